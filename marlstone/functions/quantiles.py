@@ -21,6 +21,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[s
     keyed = base if keys else base.withColumn("_all", F.lit(1))
     ks = keys or ["_all"]
     eps = 3.0 / accuracy
+    few = F.col("_n") * eps < 3  # too few rows for the margin to span whole ranks: order all of them
     names = list(probs)
     cuts = [c for n in names for c in (max(probs[n] - eps, 0.0), min(probs[n] + eps, 1.0))]
     sketch = keyed.groupBy(*ks).agg(
@@ -28,8 +29,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[s
         F.percentile_approx("_v", cuts, accuracy).alias("_cuts"))
     brackets = []
     for i, n in enumerate(names):
-        low = F.col("_min") if cuts[2 * i] <= 0 else F.col("_cuts")[2 * i]
-        high = F.col("_max") if cuts[2 * i + 1] >= 1 else F.col("_cuts")[2 * i + 1]
+        low = F.when(few | F.lit(cuts[2 * i] <= 0), F.col("_min")).otherwise(F.col("_cuts")[2 * i])
+        high = F.when(few | F.lit(cuts[2 * i + 1] >= 1), F.col("_max")).otherwise(F.col("_cuts")[2 * i + 1])
         brackets.append(F.struct(F.lit(n).alias("name"), low.alias("low"), high.alias("high"),
                                  (F.lit(float(probs[n])) * (F.col("_n") - 1)).alias("pos")))
     plan = sketch.select(*ks, F.array(*brackets).alias("_b"))

@@ -29,12 +29,13 @@ def _slice_of(ts: str | Column, width_seconds: float) -> Column:
 
 
 def numbered(df: DataFrame, keys: list[str], ts: str, ties: list[str],
-             slice_seconds: float = DAY, out: str = "_rn") -> DataFrame:
+             slice_seconds: float = DAY, out: str = "_rn", slice_by: Column | None = None) -> DataFrame:
     """1-based row number per key in (ts, ties) order, without one task per key.
 
-    Row numbers inside (key, time slice) plus the number of rows in earlier slices.
+    Row numbers inside (key, slice) plus the number of rows in earlier slices. ``slice_by`` replaces the
+    time slice by any expression that never decreases along the order.
     """
-    base = df.withColumn("_slice", _slice_of(ts, slice_seconds))
+    base = df.withColumn("_slice", _slice_of(ts, slice_seconds) if slice_by is None else slice_by)
     per_slice = base.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(F.col("_slice").asc_nulls_first()) \
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -116,12 +117,12 @@ def _merge_two(kind: str, a: Column, b: Column) -> Column:
 
 def running(df: DataFrame, keys: list[str], ts: str, ties: list[str],
             measures: dict[str, tuple[str, Column]], include_current: bool = True,
-            slice_seconds: float = DAY) -> DataFrame:
+            slice_seconds: float = DAY, slice_by: Column | None = None) -> DataFrame:
     """Running sum / count / min / max per key: ``measures = {out: (kind, column)}``.
 
     One partial row per (key, slice) carries the totals of earlier slices.
     """
-    base = df.withColumn("_slice", _slice_of(ts, slice_seconds))
+    base = df.withColumn("_slice", _slice_of(ts, slice_seconds) if slice_by is None else slice_by)
     partial = base.groupBy(*keys, "_slice").agg(
         *[_FIRST[k](c).alias(f"_c_{n}") for n, (k, c) in measures.items()])
     earlier = Window.partitionBy(*keys).orderBy(F.col("_slice").asc_nulls_first()) \
@@ -151,6 +152,17 @@ def running_moments(df: DataFrame, keys: list[str], ts: str, ties: list[str], va
             .drop(f"{prefix}_s1", f"{prefix}_s2"))
 
 
+def value_slices(df: DataFrame, keys: list[str], value: str, slices: int = 64, out: str = "_cut") -> DataFrame:
+    """Add a slice number that grows with ``value`` and holds about 1/slices of a key's rows."""
+    probs = [i / slices for i in range(1, slices)]
+    if not keys:
+        cuts = df.agg(F.percentile_approx(value, probs, 1000).alias("c")).scalar()
+        return df.withColumn(out, F.size(F.filter(cuts, lambda c: c < F.col(value))))
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_cuts"))
+    return (null_safe_join(df, cuts, keys, "left")
+            .withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts"))
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """First ``k`` rows per key in the given order.
 
@@ -165,3 +177,33 @@ def ranked_top(df: DataFrame, keys: list[str], order: list[Column], k: int, out:
     """As :func:`latest`, keeping the rank."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
+
+
+def fill_series(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: str, method: str = "forward",
+                slice_seconds: float = DAY) -> DataFrame:
+    """Forward fill, or linear interpolation in time between the known neighbours (ends stay null).
+
+    The last known (time, value) of each slice is carried over the slices of a key, in both directions.
+    """
+    base = df.withColumns({"_us": micros(ts), "_slice": _slice_of(ts, slice_seconds)})
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col("_us").alias("t"), F.col(value).alias("v")))
+    base = base.withColumn("_known", known)
+    per = base.groupBy(*keys, "_slice").agg(F.max("_known").alias("_last"), F.min("_known").alias("_first"))
+    over = Window.partitionBy(*keys).orderBy("_slice")
+    carry = per.select(
+        *keys, "_slice",
+        F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.last("_first", ignorenulls=True).over(
+            Window.partitionBy(*keys).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    up = Window.partitionBy(*keys, "_slice").orderBy(F.col("_us"), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys, "_slice").orderBy(F.col("_us").desc(), *[F.col(c).desc() for c in ties]) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    local = base.withColumns({"_p": F.last("_known", ignorenulls=True).over(up), "_n": F.last("_known", ignorenulls=True).over(down)})
+    out = null_safe_join(local, carry, [*keys, "_slice"], "left")
+    p, n = F.coalesce("_p", "_before"), F.coalesce("_n", "_after")
+    if method == "forward":
+        filled = F.coalesce(F.col(value), p["v"])
+    else:
+        share = (F.col("_us") - p["t"]) / F.nullif((n["t"] - p["t"]).cast("double"), F.lit(0.0))
+        filled = F.coalesce(F.col(value), p["v"] + (n["v"] - p["v"]) * share)
+    return out.withColumn(value, filled).drop("_us", "_slice", "_known", "_p", "_n", "_before", "_after")

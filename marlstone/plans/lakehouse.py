@@ -354,12 +354,12 @@ def _(t):
 
 
 @query("snk8_layout_choice", "SNK8", """
-select pmod, count(*) n from (select 1 pmod from orders) group by pmod""".replace("pmod", "layouts"))
+select strftime(o_orderdate, '%Y-%m-%d-%H') "_hour", count(*) n, true bucket_in_range from orders group by 1""")
 def _(t):
-    from marlstone.sources.writers import choose_partitioning
+    from marlstone.sources.writers import USER_BUCKETS, choose_partitioning
     df = t.orders.withColumnsRenamed({"o_custkey": "user_id"})
-    layout = choose_partitioning(df.schema)
-    return df.withColumns(layout).select(F.lit(1).alias("layouts")).groupBy("layouts").agg(F.count(F.lit(1)).alias("n"))
+    return df.withColumns(choose_partitioning(df.schema)).groupBy("_hour").agg(
+        F.count(F.lit(1)).alias("n"), F.max("_user_bucket").between(0, USER_BUCKETS - 1).alias("bucket_in_range"))
 
 
 @query("snk10_retention", "SNK10", f"""

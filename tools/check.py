@@ -60,7 +60,7 @@ def main():
              .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     from marlstone.plans import ENTRIES
 
     con = duckdb.connect()
@@ -77,7 +77,7 @@ def main():
             else:
                 ok, note = True, f"{len(df.collect())} rows, no SQL"
         except Exception as ex:
-            ok, note = False, (str(ex)[:700] if os.environ.get("SHORT", "1") == "1" else traceback.format_exc())
+            ok, note = False, (str(ex).split('== DataFrame')[0][:900] if os.environ.get("SHORT", "1") == "1" else traceback.format_exc())
         print(f"{'ok  ' if ok else 'FAIL'} {time.time() - t0:5.1f}s {e.name}: {note}", flush=True)
         if not ok:
             bad.append(e.name)
