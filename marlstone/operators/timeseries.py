@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,3 +18,359 @@ def maintenance_features(df: DataFrame, keys: list[str], ts: str, value: str, er
         return {"rolling_mean": F.avg(value).over(f), "rolling_std": F.stddev(value).over(f), "_err": F.avg(errors).over(f)}
     out = rows_frame(df, keys, ts, [], make, before=rows - 1)
     return out.withColumns({"efficiency": ratio(value, "rolling_mean"), "error_spike": F.col(errors) > 2 * F.col("_err")}).drop("_err")
+
+
+def resample(df: DataFrame, keys: list[str], ts: str, value: str, step: str = "1 hour", trunc: str = "hour") -> DataFrame:
+    """Regular grid of bucket means between the first and last bucket of a key, gaps interpolated in time."""
+    means = df.groupBy(*keys, F.date_trunc(trunc, ts).alias(ts)).agg(F.avg(value).alias(value))
+    span = means.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
+    grid = span.select(*keys, F.explode(F.sequence("_a", "_b", F.expr(f"interval {step}"))).alias(ts))
+    full = null_safe_join(grid, means, [*keys, ts], "left")
+    return fill_series(full, keys, ts, [], value, "linear", 30 * 86_400)
+
+
+def linear_trend(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: str) -> DataFrame:
+    """Least squares over the row index: slope, intercept, r2, exponential rate, direction and strength."""
+    d = numbered(df.filter(F.col(value).isNotNull()), keys, ts, ties).withColumns(
+        {"_x": (F.col("_rn") - 1).cast("double"), "_y": F.col(value).cast("double")})
+    log = F.when(F.col("_y") > 0, F.log("_y"))
+    out = d.groupBy(*keys).agg(
+        F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"),
+        F.regr_r2("_y", "_x").alias("r_squared"), F.regr_slope(log, F.col("_x")).alias("_rate"), F.min("_y").alias("_low"),
+        F.avg("_y").alias("mean"), F.stddev_pop("_y").alias("std"), F.min("_y").alias("min"), F.max("_y").alias("max"), F.count("_y").alias("points"))
+    direction = F.when(F.col("slope") < 0, "decreasing").when(F.col("slope") > 0, "increasing").otherwise("flat")
+    strength = F.when(F.col("r_squared") > 0.7, "strong").when(F.col("r_squared") > 0.3, "moderate").otherwise("weak")
+    return out.withColumns({"exponential_rate": F.when(F.col("_low") > 0, F.col("_rate")).otherwise(0.0), "trend_direction": direction,
+                            "trend_strength": strength, "change_rate": ratio("slope", "mean")}).drop("_rate", "_low")
+
+
+def zscore_anomalies(df: DataFrame, keys: list[str], value: str, threshold: float = 3.0, min_rows: int = 10) -> DataFrame:
+    """Rows further than ``threshold`` population deviations from the mean of their key, with the expected range."""
+    s = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.count(value).alias("_n"))
+    z = F.abs(F.col(value) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
+    return null_safe_join(df, s, keys).withColumns({
+        "z_score": z, "expected_low": F.col("_m") - threshold * F.col("_s"), "expected_high": F.col("_m") + threshold * F.col("_s")}) \
+        .filter((F.col("_n") >= min_rows) & (F.col("z_score") > threshold)).drop("_m", "_s", "_n")
+
+
+def mean_shift_points(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: str, margin: int = 10,
+                      critical: float = 2.576) -> DataFrame:
+    """Split positions where the means before and after differ by a pooled two-sample t above ``critical``."""
+    v = F.col(value).cast("double")
+    d = running(df, keys, ts, ties, {"_n1": ("count", v), "_s1": ("sum", v), "_q1": ("sum", v * v)}, include_current=False)
+    total = df.groupBy(*keys).agg(F.count(v).alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
+    d = null_safe_join(d, total, keys)
+    n1, n2 = F.col("_n1"), F.col("_n") - F.col("_n1")
+    m1, m2 = F.col("_s1") / F.nullif(n1, F.lit(0)), (F.col("_s") - F.col("_s1")) / F.nullif(n2, F.lit(0))
+    ss = (F.col("_q1") - n1 * m1 * m1) + (F.col("_q") - F.col("_q1") - n2 * m2 * m2)
+    t = (m1 - m2) / F.nullif(F.sqrt(ss / (F.col("_n") - 2) * (1 / n1 + 1 / n2)), F.lit(0.0))
+    inside = (n1 >= margin) & (n1 < F.col("_n") - margin) & (F.col("_n") > 2 * margin)
+    return d.withColumns({"index": n1, "before_mean": m1, "after_mean": m2, "t": t}).filter(inside & (F.abs("t") > critical)) \
+        .drop("_n1", "_s1", "_q1", "_n", "_s", "_q")
+
+
+def local_shifts(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: str, side: int = 10) -> DataFrame:
+    """Mean of up to ``side`` rows before and from each row on, the magnitude and the type of the change."""
+    out = rows_frame(df, keys, ts, ties, lambda w: {
+        "before_mean": F.avg(value).over(w.rowsBetween(-side, -1)), "after_mean": F.avg(value).over(w.rowsBetween(0, side - 1)),
+        "_k": F.count(value).over(w.rowsBetween(-side, -1))}, before=side, after=side)
+    kind = ladder([(F.col("after_mean") < F.col("before_mean") * 0.5, "improvement"),
+                   (F.col("after_mean") > F.col("before_mean") * 1.5, "degradation")], "shift")
+    return out.filter(F.col("_k") > 0).withColumns({"magnitude": F.abs(F.col("after_mean") - F.col("before_mean")), "change_type": kind}).drop("_k")
+
+
+def seasonality(df: DataFrame, keys: list[str], ts: str, value: str, period: int = 24) -> DataFrame:
+    """Additive decomposition of a regular series: strength = deviation of the seasonal part over that of the rest.
+
+    Centred moving average (half weights at both ends of an even period), phase means made to sum to zero.
+    """
+    half = period // 2
+    even = period % 2 == 0
+
+    def make(w):
+        inner = F.sum(value).over(w.rowsBetween(-(half - 1 if even else half), half - 1 if even else half))
+        trend = ((inner + 0.5 * (F.lag(value, half).over(w) + F.lead(value, half).over(w))) / period) if even else inner / period
+        full = F.count(value).over(w.rowsBetween(-half, half)) == 2 * half + 1
+        return {"_trend": F.when(full, trend)}
+
+    d = rows_frame(df, keys, ts, [], make, before=half, after=half, slice_seconds=30 * 86_400)
+    d = numbered(d, keys, ts, [], 30 * 86_400).withColumns({"_phase": (F.col("_rn") - 1) % period, "_off": F.col(value) - F.col("_trend")})
+    phase = d.groupBy(*keys, "_phase").agg(F.avg("_off").alias("_mean"))
+    centre = phase.groupBy(*keys).agg(F.avg("_mean").alias("_centre"))
+    s = null_safe_join(null_safe_join(d, phase, [*keys, "_phase"]), centre, keys).withColumn("_seasonal", F.col("_mean") - F.col("_centre"))
+    out = s.groupBy(*keys).agg(F.stddev("_seasonal").alias("seasonal_amplitude"), F.stddev(F.col("_off") - F.col("_seasonal")).alias("_rest"),
+                               F.count(F.lit(1)).alias("points"))
+    strength = F.coalesce(F.col("seasonal_amplitude") / F.nullif(F.col("_rest"), F.lit(0.0)), F.lit(0.0))
+    return out.withColumns({"seasonality_strength": strength, "has_seasonality": (strength > 0.5) & (F.col("points") >= period)}).drop("_rest")
+
+
+def dominant_period(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: str, periods: list[int], top: int = 1) -> DataFrame:
+    """Strongest of the candidate periods by spectral power, as sums of cosines and sines in one aggregation."""
+    from marlstone.operators.windows import ranked_top
+    d = numbered(df, keys, ts, ties, 30 * 86_400)
+    means = df.groupBy(*keys).agg(F.avg(value).alias("_m"))
+    d = null_safe_join(d, means, keys)
+    angle = lambda p: 2 * math.pi / p * (F.col("_rn") - 1)
+    dev = F.col(value) - F.col("_m")
+    aggs = [a for p in periods for a in (F.sum(dev * F.cos(angle(p))).alias(f"c{p}"), F.sum(dev * F.sin(angle(p))).alias(f"s{p}"))]
+    one = d.groupBy(*keys).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(p).alias("period"), F.sqrt(F.pow(f"c{p}", 2) + F.pow(f"s{p}", 2)).alias("strength")) for p in periods])
+    return ranked_top(one.select(*keys, F.inline(rows)), keys, [F.col("strength").desc(), F.col("period")], top).drop("rank")
+
+
+def convergence(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: str) -> DataFrame:
+    """Rate statistics of a falling series, its acceleration, and the pattern it shows."""
+    def make(w):
+        prev, prev2 = F.lag(value).over(w), F.lag(value, 2).over(w)
+        return {"_rate": F.when(prev > 0, (prev - F.col(value)) / prev), "_d1": F.col(value) - prev, "_d0": prev - prev2}
+
+    d = rows_frame(df.filter(F.col(value).isNotNull()), keys, ts, ties, make, before=2, slice_seconds=30 * 86_400)
+    rates = numbered(d.filter(F.col("_rate").isNotNull()), keys, ts, ties, 30 * 86_400, out="_k")
+    count = d.groupBy(*keys).agg(F.count("_rate").alias("_m"))
+    r = null_safe_join(rates, count, keys)
+    stats = r.groupBy(*keys).agg(
+        F.avg("_rate").alias("average_rate"), F.stddev_pop("_rate").alias("rate_std"), F.min("_rate").alias("min_rate"), F.max("_rate").alias("max_rate"),
+        F.avg(F.when(F.col("_k") <= 5, F.col("_rate"))).alias("_head"), F.avg(F.when(F.col("_k") > F.col("_m") - 5, F.col("_rate"))).alias("_tail"),
+        F.max("_m").alias("_m"))
+    turns = d.groupBy(*keys).agg(F.count_if(F.signum("_d1") != F.signum("_d0")).alias("_turns"), F.count("_d1").alias("_diffs"))
+    trend = linear_trend(df, keys, ts, ties, value).select(*keys, "slope", "exponential_rate", "points")
+    out = null_safe_join(null_safe_join(stats, turns, keys), trend, keys)
+    pattern = ladder([
+        (F.col("points") < 5, "unknown"), (F.col("exponential_rate") < -0.1, "exponential"),
+        ((F.col("slope") < 0) & (F.col("rate_std") < 0.1), "linear"), (F.col("_turns") > F.col("_diffs") * 0.3, "oscillatory"),
+        (F.col("average_rate") < 0.01, "stagnant"), (F.col("slope") > 0, "diverging")], "irregular")
+    return out.withColumns({
+        "is_accelerating": (F.col("_m") > 10) & (F.col("_tail") > F.col("_head")),
+        "rate_trend": F.when(F.col("_tail") > F.col("average_rate"), "improving").otherwise("worsening"), "pattern": pattern}) \
+        .drop("_head", "_tail", "_m", "_turns", "_diffs", "points")
+
+
+def compare_series(conv: DataFrame, key: str) -> DataFrame:
+    """Number of series per pattern, with the best and worst mean rate over all series."""
+    best = conv.agg(F.max_by(key, F.struct("average_rate", key)).alias("b")).scalar()
+    worst = conv.agg(F.min_by(key, F.struct("average_rate", key)).alias("w")).scalar()
+    return conv.groupBy("pattern").agg(F.count(F.lit(1)).alias("series")).withColumns({"best": best, "worst": worst})
+
+
+def stationarity(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: str) -> DataFrame:
+    """Dickey-Fuller t of the change regressed on the previous value, against the fixed 5 % critical value."""
+    d = rows_frame(df, keys, ts, ties, lambda w: {"_x": F.lag(value).over(w)}, before=1, slice_seconds=30 * 86_400) \
+        .filter(F.col("_x").isNotNull()).withColumn("_y", F.col(value) - F.col("_x"))
+    out = d.groupBy(*keys).agg(F.regr_slope("_y", "_x").alias("gamma"), F.regr_sxx("_y", "_x").alias("_sxx"),
+                               F.regr_syy("_y", "_x").alias("_syy"), F.regr_sxy("_y", "_x").alias("_sxy"), F.count("_y").alias("points"))
+    rss = F.col("_syy") - F.col("_sxy") * F.col("_sxy") / F.nullif(F.col("_sxx"), F.lit(0.0))
+    se = F.sqrt(rss / (F.col("points") - 2) / F.nullif(F.col("_sxx"), F.lit(0.0)))
+    stat = F.col("gamma") / F.nullif(se, F.lit(0.0))
+    return out.select(*keys, stat.alias("statistic"), (stat < -2.86).alias("is_stationary"), "points")
+
+
+def running_zscores(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: str, threshold: float = 3.0, min_rows: int = 10) -> DataFrame:
+    """Rows beyond ``threshold`` deviations of all earlier rows of the key, once more than ``min_rows`` are known."""
+    d = running_moments(df, keys, ts, ties, F.col(value), "_h", include_current=False)
+    z = F.abs((F.col(value) - F.col("_h_mean")) / (F.col("_h_std") + 1e-6))
+    return d.withColumns({"z_score": z, "expected_low": F.col("_h_mean") - 3 * F.col("_h_std"), "expected_high": F.col("_h_mean") + 3 * F.col("_h_std")}) \
+        .filter((F.col("_h_n") > min_rows) & (F.col("z_score") > threshold)).drop("_h_n", "_h_mean", "_h_std")
+
+
+def confidence_anomalies(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: str, history: int = 1000, min_rows: int = 50,
+                         threshold: float = 3.0) -> DataFrame:
+    """z against the last ``history`` rows of the key, with more than ``min_rows`` known.
+
+    Frame sums are differences of running sums, so the cost does not depend on the frame.
+    """
+    v = F.col(value).cast("double")
+    d = running(df, keys, ts, ties, {"_c": ("count", v), "_s": ("sum", v), "_q": ("sum", v * v)})
+    d = rows_frame(d, keys, ts, ties, lambda w: {
+        "_c1": F.lag("_c").over(w), "_s1": F.lag("_s").over(w), "_q1": F.lag("_q").over(w), "_c0": F.lag("_c", history + 1).over(w),
+        "_s0": F.lag("_s", history + 1).over(w), "_q0": F.lag("_q", history + 1).over(w)}, before=history + 1)
+    z0 = F.lit(0.0)
+    n = F.col("_c1") - F.coalesce(F.col("_c0"), F.lit(0))
+    mean = (F.col("_s1") - F.coalesce(F.col("_s0"), z0)) / F.nullif(n, F.lit(0))
+    var = F.greatest((F.col("_q1") - F.coalesce(F.col("_q0"), z0)) / F.nullif(n, F.lit(0)) - mean * mean, z0)
+    z = F.abs(F.col(value) - mean) / F.nullif(F.sqrt(var), z0)
+    return d.withColumns({"expected": mean, "z_score": z}).filter((n > min_rows) & (F.col("z_score") > threshold)) \
+        .drop(*[f"_{a}{b}" for a in "csq" for b in ("", "0", "1")])
+
+
+def failure_indicators(df: DataFrame, key: str, ts: str, ident: str, kind: str, value: str, now: Column) -> DataFrame:
+    """Errors per day over 7 days and 1 - (last 10 / first 10) of the performance values."""
+    from marlstone.operators.windows import latest
+    week = F.col(ts) > now - F.expr("interval 7 days")
+    errors = df.groupBy(key).agg((F.count_if((F.col(kind) == "error") & week) / 7.0).alias("error_rate"))
+    perf = df.filter(F.col(kind) == "performance")
+    head = latest(perf, [key], [F.col(ts), F.col(ident)], 10).groupBy(key).agg(F.avg(value).alias("_first"))
+    tail = latest(perf, [key], [F.col(ts).desc(), F.col(ident).desc()], 10).groupBy(key).agg(F.avg(value).alias("_last"))
+    out = errors.join(head, key, "left").join(tail, key, "left")
+    drop = F.when(F.col("_first") > 0, 1 - F.col("_last") / F.col("_first")).otherwise(F.lit(0.0))
+    return out.withColumn("performance_degradation", drop).drop("_first", "_last")
+
+
+def failure_probability(error_rate: Column, degradation: Column, hours: float) -> Column:
+    """1 - (1 - p)^days with p = 1 % stepped up by the error rate and the degradation."""
+    p = F.lit(0.01) * ladder([(error_rate > 10, 5.0), (error_rate > 5, 2.0)], 1.0) * ladder([(degradation > 0.3, 3.0), (degradation > 0.1, 1.5)], 1.0)
+    return F.least(F.lit(1.0), 1 - F.pow(1 - p, F.lit(hours / 24)))
+
+
+def health_score(is_anomalous: Column, failure: Column, low_efficiency: Column) -> Column:
+    s = 100.0 - F.when(is_anomalous, 20.0).otherwise(0.0) - F.coalesce(failure, F.lit(0.0)) * 50 \
+        - F.when(F.coalesce(low_efficiency < 0.7, F.lit(False)), 15.0).otherwise(0.0)
+    return clamp(s, 0.0, 100.0)
+
+
+def urgency(failure: Column) -> Column:
+    return ladder([(failure > 0.8, "critical"), (failure > 0.5, "high"), (failure > 0.3, "medium"), (failure > 0.1, "low")], "none")
+
+
+def fleet_health(components: DataFrame) -> DataFrame:
+    """One row over the fleet: counts by urgency, mean health, backlog and status."""
+    u = F.col("urgency")
+    out = components.agg(F.count(F.lit(1)).alias("components"), F.avg("health").alias("mean_health"),
+                         F.count_if(F.col("failure_probability") > 0.5).alias("at_risk"), F.count_if(u == "critical").alias("critical"),
+                         F.count_if(u == "high").alias("high"), F.count_if(u.isin("critical", "high")).alias("backlog"))
+    status = ladder([(F.col("components") == 0, "unknown"), ((F.col("critical") > 0) | (F.col("mean_health") < 50), "critical"),
+                     ((F.col("high") > 2) | (F.col("mean_health") < 70), "warning")], "healthy")
+    return out.withColumn("fleet_status", status)
+
+
+def feature_importance(current: DataFrame, history: DataFrame, key: str, features: list[str]) -> DataFrame:
+    """Share of each feature in the absolute z-scores of a row against the history."""
+    from marlstone.functions.columns import one_row
+    s = one_row(history.agg(*[a for f in features for a in (F.avg(f).alias(f"m_{f}"), F.stddev_pop(f).alias(f"s_{f}"))]))
+    z = {f: F.coalesce(F.abs(F.col(f) - s[f"m_{f}"]) / F.nullif(s[f"s_{f}"], F.lit(0.0)), F.lit(0.0)) for f in features}
+    total = None
+    for c in z.values():
+        total = c if total is None else total + c
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), c.alias("z"), F.coalesce(c / F.nullif(total, F.lit(0.0)), F.lit(0.0)).alias("importance")) for f, c in z.items()])
+    return current.select(key, F.inline(rows))
+
+
+def risk_profiles(alerts: DataFrame, entity: str, ts: str, score: str, pattern: str) -> DataFrame:
+    """Alerts per entity: totals over daily figures, most patterns in a day, level and trend of the daily counts."""
+    daily = alerts.groupBy(entity, F.date_trunc("day", ts).alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(score).alias("a"), F.max(score).alias("m"), F.countDistinct(pattern).alias("p"))
+    out = daily.groupBy(entity).agg(F.sum("n").alias("alerts"), F.avg("a").alias("avg_risk"), F.max("m").alias("max_risk"), F.max("p").alias("patterns"))
+    level = ladder([((F.col("max_risk") > 0.8) | (F.col("alerts") > 50), "CRITICAL"), ((F.col("avg_risk") > 0.6) | (F.col("alerts") > 20), "HIGH"),
+                    ((F.col("avg_risk") > 0.4) | (F.col("alerts") > 10), "MEDIUM")], "LOW")
+    trend = linear_trend(daily, [entity], "day", [], "n").select(entity, F.col("slope").alias("daily_slope"))
+    return out.withColumn("risk_level", level).join(trend, entity, "left")
+
+
+def resource_anomalies(df: DataFrame, keep: list[str], cpu: Column, memory: Column, requests: Column, errors: Column, p99: Column) -> DataFrame:
+    """One row per exceeded resource threshold with its 0-1 severity."""
+    row = lambda kind, severity, value: F.struct(F.lit(kind).alias("anomaly_type"), F.least(F.lit(1.0), severity).alias("severity"), value.cast("double").alias("value"))
+    share = errors / F.nullif(requests, F.lit(0.0))
+    rows = F.array_compact(F.array(
+        F.when(cpu > 80, row("high_cpu", (cpu - 80) / 20, cpu)), F.when(memory > 85, row("high_memory", (memory - 85) / 15, memory)),
+        F.when(share > 0.05, row("high_error_rate", share * 10, errors)), F.when(p99 > 1000, row("slow_response", (p99 - 1000) / 4000, p99))))
+    return df.select(*keep, F.inline(rows))
+
+
+def damped_forecast(df: DataFrame, key: str, ts: str, value: str, steps: int = 10) -> DataFrame:
+    """Damped-trend exponential smoothing per series with a 95 % band; parameters from a small fixed grid by squared error.
+
+    For many bounded series (say daily values): one series is one Arrow group. Long raw series are to be
+    aggregated first.
+    """
+    import numpy as np
+    import pandas as pd
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, step int, forecast double, lower double, upper double, alpha double, beta double, phi double"
+    grid = [(a, b, p) for a in (0.1, 0.3, 0.5, 0.8) for b in (0.05, 0.2) for p in (0.8, 0.9, 0.98)]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values(ts)[value].to_numpy(dtype=float)
+        y = y[~np.isnan(y)]
+        if len(y) < 10:
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        alpha, beta, phi = (np.array(c) for c in zip(*grid))
+        level, trend = np.full(len(grid), y[0]), np.full(len(grid), y[1] - y[0])
+        errors = []
+        for v in y[1:]:
+            guess = level + phi * trend
+            errors.append(v - guess)
+            new = alpha * v + (1 - alpha) * guess
+            trend = beta * (new - level) + (1 - beta) * phi * trend
+            level = new
+        resid = np.array(errors)
+        i = int(np.argmin((resid ** 2).sum(axis=0)))
+        sd = resid[:, i].std()
+        n = min(steps, len(y) // 2)
+        damp = np.cumsum(phi[i] ** np.arange(1, n + 1))
+        f = level[i] + damp * trend[i]
+        return pd.DataFrame({key: pdf[key].iloc[0], "step": np.arange(1, n + 1, dtype="int32"), "forecast": f, "lower": f - 1.96 * sd,
+                             "upper": f + 1.96 * sd, "alpha": alpha[i], "beta": beta[i], "phi": phi[i]})
+
+    return df.select(key, ts, value).groupBy(key).applyInPandas(fit, schema)
+
+
+# -- lagged causality ---------------------------------------------------------------------------------------
+
+def _aligned(df: DataFrame, entity: str, bucket: str, value: str, entities: list) -> DataFrame:
+    """One row per bucket, one column per entity (e0, e1, ...)."""
+    return df.groupBy(bucket).agg(*[F.avg(F.when(F.col(entity) == e, F.col(value))).alias(f"e{i}") for i, e in enumerate(entities)])
+
+
+def _moments(df: DataFrame, entities: list, bucket: str, lags: int):
+    """Means and covariances of every entity and its lags: one aggregation, a small matrix on the driver."""
+    import numpy as np
+    names = [f"e{i}" for i in range(len(entities))]
+    lagged = rows_frame(df.withColumn("_one", F.lit(1)), ["_one"], bucket, [], lambda w: {
+        f"{n}_{k}": F.lag(n, k).over(w) for n in names for k in range(1, lags + 1)}, before=lags, slice_seconds=30 * 86_400)
+    cols = [n if k == 0 else f"{n}_{k}" for n in names for k in range(lags + 1)]
+    full = lagged.dropna(subset=cols)
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    row = full.agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(a, b).alias(f"{a}__{b}") for a, b in pairs]).first()
+    m = np.zeros((len(cols), len(cols)))
+    at = {c: i for i, c in enumerate(cols)}
+    for a, b in pairs:
+        m[at[a], at[b]] = m[at[b], at[a]] = row[f"{a}__{b}"] or 0.0
+    return row["n"], cols, at, m
+
+
+def granger(df: DataFrame, entity: str, bucket: str, value: str, entities: list, max_lag: int = 5, f_critical: float = 3.84) -> DataFrame:
+    """F statistic of adding the cause's lags to a regression on the effect's own lags, for all ordered pairs.
+
+    The data pass is one aggregation of products; the normal equations have at most 2 x max_lag unknowns.
+    """
+    import numpy as np
+    n, cols, at, m = _moments(_aligned(df, entity, bucket, value, entities), entities, bucket, max_lag)
+
+    def rss(y, xs):
+        if not xs:
+            return m[y, y] * n
+        a, b = m[np.ix_(xs, xs)], m[xs, y]
+        return max((m[y, y] - b @ np.linalg.lstsq(a, b, rcond=None)[0]) * n, 0.0)
+
+    rows = []
+    for i, cause in enumerate(entities):
+        for j, effect in enumerate(entities):
+            if i == j:
+                continue
+            for lag in range(1, max_lag + 1):
+                own = [at[f"e{j}_{k}"] for k in range(1, lag + 1)]
+                both = own + [at[f"e{i}_{k}"] for k in range(1, lag + 1)]
+                small, large = rss(at[f"e{j}"], own), rss(at[f"e{j}"], both)
+                dof = n - 2 * lag - 1
+                if dof > 0 and large > 0:
+                    f = (small - large) / lag / (large / dof)
+                    rows.append((cause, effect, lag, float(f), bool(f * lag > f_critical * lag), int(n)))
+    return df.sparkSession.createDataFrame(rows, "cause string, effect string, lag int, f_statistic double, significant boolean, points long")
+
+
+def lagged_partial_correlations(df: DataFrame, entity: str, bucket: str, value: str, entities: list, max_lag: int = 5, z_critical: float = 1.96) -> DataFrame:
+    """Partial correlation of each effect with each lagged cause, given the effect's own first lag (Fisher z test)."""
+    import numpy as np
+    n, cols, at, m = _moments(_aligned(df, entity, bucket, value, entities), entities, bucket, max_lag)
+    sd = np.sqrt(np.diag(m))
+    r = m / np.outer(sd, sd)
+    rows = []
+    for i, cause in enumerate(entities):
+        for j, effect in enumerate(entities):
+            if i == j:
+                continue
+            y, z = at[f"e{j}"], at[f"e{j}_1"]
+            for lag in range(1, max_lag + 1):
+                x = at[f"e{i}_{lag}"]
+                p = (r[x, y] - r[x, z] * r[y, z]) / np.sqrt((1 - r[x, z] ** 2) * (1 - r[y, z] ** 2))
+                stat = 0.5 * np.log((1 + p) / (1 - p)) * np.sqrt(n - 4)
+                rows.append((cause, effect, lag, float(p), bool(abs(stat) > z_critical)))
+    return df.sparkSession.createDataFrame(rows, "cause string, effect string, lag int, strength double, significant boolean")
