@@ -32,29 +32,32 @@ def stable_id(*columns: str | Column) -> Column:
 
 
 def masked(c: str | Column, method: str) -> Column:
-    """mask: letters and digits replaced; tokenize: stable token; redact: constant; encrypt: tagged token."""
+    """mask: constant; shape: letters and digits replaced; tokenize: stable token; encrypt: tagged digest."""
     text = col(c).cast("string")
-    if method == "mask":
+    if method == "shape":
         return F.mask(text)
     if method == "tokenize":
         return F.concat(F.lit("tok_"), F.substring(F.sha2(text, 256), 1, 16))
     if method == "encrypt":
         return F.concat(F.lit("enc:"), F.sha2(text, 256))
-    if method == "redact":
-        return F.when(text.isNotNull(), F.lit("***"))
+    if method == "mask":
+        return F.when(text.isNotNull(), F.lit("***MASKED***"))
     raise ValueError(f"unknown method {method!r}")
 
 
 #: Error categories by the first matching pattern.
 ERROR_PATTERNS = (
-    ("timeout", r"(?i)timeout|timed out"), ("connection", r"(?i)connection|network|socket"),
-    ("serialization", r"(?i)deseriali|seriali|decode|parse|schema"), ("validation", r"(?i)validation|invalid|missing"),
-    ("authorization", r"(?i)unauthori|forbidden|permission"), ("resource", r"(?i)memory|quota|resource|disk"),
-)
+    ("timeout", "timeout|timed out"), ("connection", "connection|connect|network"),
+    ("serialization", "serializ|deserializ|json|parse"), ("validation", "validat|invalid|required"),
+    ("authorization", "auth|forbidden|unauthorized"), ("rate_limit", "rate|limit|throttl"),
+    ("resource", "resource|memory|disk|cpu"), ("database", "database|db|sql|cassandra|mongo"),
+    ("service", "service|unavailable|503"))
 
 
 def error_category(message: str | Column, patterns=ERROR_PATTERNS) -> Column:
-    return ladder([(col(message).rlike(p), name) for name, p in patterns], "unknown")
+    text = F.lower(col(message))
+    found = ladder([(text.rlike(p), name) for name, p in patterns], "other")
+    return F.when(F.coalesce(text, F.lit("")) == "", "unknown").otherwise(found)
 
 
 def one_hot(df: DataFrame, column: str, categories: list) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.columns import clamp, ladder, micros, null_safe_join, ratio
 from marlstone.operators.windows import fill_series, numbered, rows_frame, running, running_moments
+from marlstone.session import cut_lineage
 
 
 def maintenance_features(df: DataFrame, keys: list[str], ts: str, value: str, errors: str, rows: int = 24) -> DataFrame:
@@ -94,6 +95,7 @@ def seasonality(df: DataFrame, keys: list[str], ts: str, value: str, period: int
         return {"_trend": F.when(full, trend)}
 
     d = rows_frame(df, keys, ts, [], make, before=half, after=half, slice_seconds=30 * 86_400)
+    d = cut_lineage(d)  # read for the row numbers, the phases and the rest
     d = numbered(d, keys, ts, [], 30 * 86_400).withColumns({"_phase": (F.col("_rn") - 1) % period, "_off": F.col(value) - F.col("_trend")})
     phase = d.groupBy(*keys, "_phase").agg(F.avg("_off").alias("_mean"))
     centre = phase.groupBy(*keys).agg(F.avg("_mean").alias("_centre"))
@@ -124,7 +126,7 @@ def convergence(df: DataFrame, keys: list[str], ts: str, ties: list[str], value:
         prev, prev2 = F.lag(value).over(w), F.lag(value, 2).over(w)
         return {"_rate": F.when(prev > 0, (prev - F.col(value)) / prev), "_d1": F.col(value) - prev, "_d0": prev - prev2}
 
-    d = rows_frame(df.filter(F.col(value).isNotNull()), keys, ts, ties, make, before=2, slice_seconds=30 * 86_400)
+    d = cut_lineage(rows_frame(df.filter(F.col(value).isNotNull()), keys, ts, ties, make, before=2, slice_seconds=30 * 86_400))
     rates = numbered(d.filter(F.col("_rate").isNotNull()), keys, ts, ties, 30 * 86_400, out="_k")
     count = d.groupBy(*keys).agg(F.count("_rate").alias("_m"))
     r = null_safe_join(rates, count, keys)
@@ -133,7 +135,7 @@ def convergence(df: DataFrame, keys: list[str], ts: str, ties: list[str], value:
         F.avg(F.when(F.col("_k") <= 5, F.col("_rate"))).alias("_head"), F.avg(F.when(F.col("_k") > F.col("_m") - 5, F.col("_rate"))).alias("_tail"),
         F.max("_m").alias("_m"))
     turns = d.groupBy(*keys).agg(F.count_if(F.signum("_d1") != F.signum("_d0")).alias("_turns"), F.count("_d1").alias("_diffs"))
-    trend = linear_trend(df, keys, ts, ties, value).select(*keys, "slope", "exponential_rate", "points")
+    trend = linear_trend(d, keys, ts, ties, value).select(*keys, "slope", "exponential_rate", "points")
     out = null_safe_join(null_safe_join(stats, turns, keys), trend, keys)
     pattern = ladder([
         (F.col("points") < 5, "unknown"), (F.col("exponential_rate") < -0.1, "exponential"),
@@ -310,20 +312,29 @@ def _aligned(df: DataFrame, entity: str, bucket: str, value: str, entities: list
 
 
 def _moments(df: DataFrame, entities: list, bucket: str, lags: int):
-    """Means and covariances of every entity and its lags: one aggregation, a small matrix on the driver."""
+    """Covariances of every entity and its lags: partial products per batch, a small matrix on the driver."""
     import numpy as np
+    import pandas as pd
     names = [f"e{i}" for i in range(len(entities))]
     lagged = rows_frame(df.withColumn("_one", F.lit(1)), ["_one"], bucket, [], lambda w: {
         f"{n}_{k}": F.lag(n, k).over(w) for n in names for k in range(1, lags + 1)}, before=lags, slice_seconds=30 * 86_400)
     cols = [n if k == 0 else f"{n}_{k}" for n in names for k in range(lags + 1)]
     full = lagged.dropna(subset=cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = full.agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(a, b).alias(f"{a}__{b}") for a, b in pairs]).first()
-    m = np.zeros((len(cols), len(cols)))
     at = {c: i for i, c in enumerate(cols)}
-    for a, b in pairs:
-        m[at[a], at[b]] = m[at[b], at[a]] = row[f"{a}__{b}"] or 0.0
-    return row["n"], cols, at, m
+
+    def products(batches):
+        for pdf in batches:
+            x = np.column_stack([np.ones(len(pdf)), pdf.to_numpy(dtype=float)])
+            i, j = np.meshgrid(range(x.shape[1]), range(x.shape[1]), indexing="ij")
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": (x.T @ x).ravel()})
+
+    sums = full.select(*cols).mapInPandas(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    raw = np.zeros((len(cols) + 1, len(cols) + 1))
+    for r in sums.collect():  # (columns + 1) squared entries
+        raw[r["i"], r["j"]] = r["s"]
+    n = raw[0, 0]
+    mean = raw[0, 1:] / max(n, 1)
+    return int(n), cols, at, raw[1:, 1:] / max(n, 1) - np.outer(mean, mean)
 
 
 def granger(df: DataFrame, entity: str, bucket: str, value: str, entities: list, max_lag: int = 5, f_critical: float = 3.84) -> DataFrame:

@@ -26,7 +26,7 @@ STREAMS = {
     "position_limit": (["POSITION_UPDATE"], "value", 1, 10), "concentration_risk": (["MARKET_SHARE_UPDATE"], "value / 300", 1, 10),
     "rapid_position_change": (["POSITION_UPDATE"], "value + 30", 60, 10), "convergence_stall": (["CONVERGENCE_STATUS"], "value", 60, 10),
     "oscillation": (["DOMAIN_METRICS"], "value / 500", 600, 10), "domain_cascade": (["DOMAIN_METRICS"], "value", 600, 10),
-    "sustained_low_uptime": (["UPTIME_CHECK"], "100 - value / 10", 200, 10), "critical_uptime_failure": (["UPTIME_CHECK"], "100 - value / 10", 1, 10),
+    "sustained_low_uptime": (["UPTIME_CHECK"], "value", 200, 10), "critical_uptime_failure": (["UPTIME_CHECK"], "100 - value / 10", 1, 10),
     "provider_unresponsive": (["HEARTBEAT", "X"], "value", 600, 10), "provider_exhaustion": (["M"], "least(value * 3, 100)", 600, 10),
     "intermittent_failure": (["M"], "value", 60, 10), "violation_storm": (["M"], "value", 600, 10)}
 

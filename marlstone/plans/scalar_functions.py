@@ -60,10 +60,12 @@ def _(t):
 
 
 @query("fn10_error_categories", "FN10", """
-select case when regexp_matches(lower(text), 'timeout|timed out') then 'timeout' when regexp_matches(lower(text), 'connection|network|socket') then 'connection'
- when regexp_matches(lower(text), 'deseriali|seriali|decode|parse|schema') then 'serialization' when regexp_matches(lower(text), 'validation|invalid|missing') then 'validation'
- when regexp_matches(lower(text), 'unauthori|forbidden|permission') then 'authorization' when regexp_matches(lower(text), 'memory|quota|resource|disk') then 'resource' else 'unknown' end category,
- count(*) n from documents group by 1""")
+with d as (select lower(text) x from documents)
+select case when x = '' then 'unknown' when regexp_matches(x, 'timeout|timed out') then 'timeout' when regexp_matches(x, 'connection|connect|network') then 'connection'
+ when regexp_matches(x, 'serializ|deserializ|json|parse') then 'serialization' when regexp_matches(x, 'validat|invalid|required') then 'validation'
+ when regexp_matches(x, 'auth|forbidden|unauthorized') then 'authorization' when regexp_matches(x, 'rate|limit|throttl') then 'rate_limit'
+ when regexp_matches(x, 'resource|memory|disk|cpu') then 'resource' when regexp_matches(x, 'database|db|sql|cassandra|mongo') then 'database'
+ when regexp_matches(x, 'service|unavailable|503') then 'service' else 'other' end category, count(*) n from d group by 1""")
 def _(t):
     return t.documents.groupBy(sc.error_category("text").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -108,11 +110,11 @@ def _(t):
 
 
 @query("fn18_masking", "FN18", """
-select c_custkey, 'tok_' || substr(sha256(c_name), 1, 16) token, '***' redacted,
+select c_custkey, 'tok_' || substr(sha256(c_name), 1, 16) token, '***MASKED***' redacted,
  regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g') masked from customer""")
 def _(t):
-    return t.customer.select("c_custkey", sc.masked("c_name", "tokenize").alias("token"), sc.masked("c_name", "redact").alias("redacted"),
-                             sc.masked("c_name", "mask").alias("masked"))
+    return t.customer.select("c_custkey", sc.masked("c_name", "tokenize").alias("token"), sc.masked("c_name", "mask").alias("redacted"),
+                             sc.masked("c_name", "shape").alias("masked"))
 
 
 @query("fn19_scaling", "FN19", """
