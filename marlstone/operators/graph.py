@@ -1,8 +1,8 @@
 """Graph analytics on plain vertex and edge frames.
 
 ``vertices(id, ...)`` and ``edges(src, dst, ...)``. Iterations cut their lineage with reliable checkpoints and
-test convergence with one scalar. Rows of a hub are spread with :func:`salted_lookup`; sums and minima over its
-edges combine on the map side.
+test convergence with one scalar. Rows of a hub are spread with :func:`salted_lookup` where its edges are joined
+again and again; sums and minima over its edges combine on the map side.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.columns import clamp, ladder, ratio
-from marlstone.operators.joins import salted_lookup
+from marlstone.operators.joins import hot_keys, salted_lookup
 from marlstone.operators.windows import latest, running, value_slices
 from marlstone.session import cut_lineage
 
@@ -41,6 +41,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, tol: fl
     out = e.groupBy("src").agg(F.sum("w").alias("_out"))
     e = cut_lineage(salted_lookup(e, "src", out.withColumnRenamed("src", "_s"), "_s", ["_out"]).filter(F.col("_out") > 0)
                     .select("src", "dst", (F.col("w") / F.col("_out")).alias("w")))
+    hubs = hot_keys(e, "src")
     if sources is None:
         n = v.agg(F.count(F.lit(1))).scalar()
         base = v.select("id", (F.lit(1.0) / n).alias("base"))
@@ -52,7 +53,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, tol: fl
     base = cut_lineage(base.join(sinks, "id", "left").withColumn("sink", F.col("_has").isNull()).drop("_has"))
     ranks = base.withColumn("rank", F.col("base"))
     for _ in range(max_iter):
-        sent = salted_lookup(e, "src", ranks, "id", ["rank"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("_in"))
+        sent = salted_lookup(e, "src", ranks, "id", ["rank"], hot=hubs).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("w")).alias("_in"))
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).scalar()
         new = F.col("base") * reset + (1 - reset) * (F.coalesce(F.col("_in"), F.lit(0.0)) + lost * F.col("base"))
         step = ranks.join(sent, "id", "left").withColumn("_new", new)
@@ -80,8 +81,8 @@ def triangles(edges: DataFrame) -> DataFrame:
     """
     e = cut_lineage(links(edges))
     deg = both_ways(e).groupBy("v").agg(F.count(F.lit(1)).alias("d"))
-    d = salted_lookup(e, "a", deg, "v", [F.col("d").alias("da")])
-    d = salted_lookup(d, "b", deg, "v", [F.col("d").alias("db")])
+    d = salted_lookup(e, "a", deg, "v", [F.col("d").alias("da")], hot=hot_keys(e, "a"))
+    d = salted_lookup(d, "b", deg, "v", [F.col("d").alias("db")], hot=hot_keys(e, "b"))
     up = F.struct("da", "a") < F.struct("db", "b")
     o = cut_lineage(d.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y")))
     path = o.join(o.select(F.col("x").alias("y"), F.col("y").alias("z")), "y")
@@ -115,8 +116,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             if moved.filter("_m").isEmpty():
                 break
         maps.append(hook)
-        one = salted_lookup(e, "a", hook, "v", [F.col("root").alias("ra")])
-        two = salted_lookup(one, "b", hook, "v", [F.col("root").alias("rb")])
+        one = salted_lookup(e, "a", hook, "v", [F.col("root").alias("ra")], hot=hot_keys(e, "a"))
+        two = salted_lookup(one, "b", hook, "v", [F.col("root").alias("rb")], hot=hot_keys(e, "b"))
         e = cut_lineage(two.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     final = None
     for m in reversed(maps):
@@ -141,9 +142,10 @@ def component_sizes(components: DataFrame) -> DataFrame:
 def label_propagation(vertices: DataFrame, edges: DataFrame, max_iter: int = 5) -> DataFrame:
     """(id, label): each round takes the most frequent label among the neighbours, the smallest on a tie."""
     n = cut_lineage(both_ways(links(edges)))
+    hubs = hot_keys(n, "u")
     labels = vertices.select("id").distinct().withColumn("label", F.col("id"))
     for _ in range(max_iter):
-        seen = salted_lookup(n, "u", labels, "id", ["label"]).groupBy("v", "label").agg(F.count(F.lit(1)).alias("c"))
+        seen = salted_lookup(n, "u", labels, "id", ["label"], hot=hubs).groupBy("v", "label").agg(F.count(F.lit(1)).alias("c"))
         best = seen.groupBy(F.col("v").alias("id")).agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("_new"))
         step = cut_lineage(labels.join(best, "id", "left").select("id", F.coalesce("_new", "label").alias("label"),
                                                                   (F.coalesce("_new", "label") != F.col("label")).alias("_m")))
@@ -166,7 +168,7 @@ def modularity(edges: DataFrame, communities: DataFrame, weight: str | None = No
     return deg.agg((inside / m - F.sum(F.col("k") * F.col("k")) / (4 * m * m)).alias("modularity"))
 
 
-def modularity_communities(vertices: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
+def modularity_communities(vertices: DataFrame, edges: DataFrame, levels: int = 2, rounds: int = 4) -> DataFrame:
     """(id, community) by local moves of positive gain and contraction, over the whole graph at once.
 
     In a round a vertex may only move to a smaller label (even rounds) or a larger one (odd rounds), so that two

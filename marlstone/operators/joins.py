@@ -144,25 +144,31 @@ def radius_pairs(points: DataFrame, ident: str, x: str, y: str, radius: float,
     return pairs.select(*group, F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "distance")
 
 
-#: A key with more than this share of the rows counts as hot: there are at most 1 / share of them.
+#: A key with more than this share of the rows counts as hot, so there are fewer than 500 of them.
 HOT_SHARE = 1 / 500
 SALTS = 32
 
 
-def salted_lookup(left: DataFrame, key: str, table: DataFrame, table_key: str, columns: list[str], how: str = "inner") -> DataFrame:
-    """Join to a table that is unique on its key, when few keys may own most of the left rows.
+def hot_keys(df: DataFrame, key: str) -> list:
+    """Keys that own more than ``HOT_SHARE`` of the rows (fewer than 500 values), by one count with map-side combine."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    floor = F.greatest(total * HOT_SHARE, F.lit(100_000))  # small keys need no salt
+    return [r[0] for r in counts.filter(F.col(key).isNotNull() & (F.col("_n") > floor)).select(key).collect()]
+
 
-    Keys above ``HOT_SHARE`` of the rows (at most 500, hence the broadcast) are found by one count; their rows
-    are dealt out over ``SALTS`` salts, and only their table rows are copied to all salts.
+def salted_lookup(left: DataFrame, key: str, table: DataFrame, table_key: str, columns: list, how: str = "inner",
+                  hot: list | None = None) -> DataFrame:
+    """Join to a table that is unique on its key.
+
+    The rows of the keys in ``hot`` (see :func:`hot_keys`; worth it where the left side is joined many times) are
+    dealt out over ``SALTS`` salts, and only their table rows are copied to all salts. Without known hot keys it is
+    a plain join, whose skewed partitions adaptive execution splits.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = counts.filter(F.col(key).isNotNull() & (F.col("_n") > total * HOT_SHARE)).select(F.col(key).alias("_hot_key"))
-    l = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    salt = F.when(F.col("_hot_key").isNotNull(), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(SALTS)).cast("int")).otherwise(0)
-    l = l.withColumn("_salt", salt).drop("_hot_key")
     r = table.select(F.col(table_key).alias("_key"), *columns)
-    r = r.join(F.broadcast(hot), F.col("_key") == F.col("_hot_key"), "left")
-    salts = F.when(F.col("_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    r = r.withColumn("_r_salt", F.explode(salts)).drop("_hot_key")
+    if not hot:
+        return left.join(r, F.col(key) == F.col("_key"), how).drop("_key")
+    salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("_key").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    l, r = left.withColumn("_salt", salt), r.withColumn("_r_salt", F.explode(salts))
     return l.join(r, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_r_salt")), how).drop("_key", "_salt", "_r_salt")

@@ -343,7 +343,7 @@ def _(t):
 @query("mkt3_dynamic_price", "MKT3", f"""
 with x as (select event_id, {SQL_K} / 100.0 t, least(value / 100, 1) q, case when event_id % 2 = 0 then 'full' else 'filtered' end lv, event_id % 2000 v from events),
  y as (select *, case when lv = 'full' and t >= 0.7 then 200.0 when lv = 'filtered' and t >= 0.5 then 50.0 else 10.0 end p, case when lv = 'full' and t >= 0.7 then 1.0 when lv = 'filtered' and t >= 0.5 then 0.8 else 0.5 end m from x)
-select event_id, p::DOUBLE base_price, round(p::DECIMAL(8,2) * (q * m)::DECIMAL(9,6) * (1 - least(t * 0.2, 0.15))::DECIMAL(7,6) * (1 - case when v > 1000 then 0.1 when v > 100 then 0.05 else 0 end)::DECIMAL(3,2), 2)::DOUBLE final_price from y""")
+select event_id, p::DOUBLE base_price, round(p::DECIMAL(38,2) * (q * m)::DECIMAL(9,6) * (1 - least(t * 0.2, 0.15))::DECIMAL(7,6) * (1 - case when v > 1000 then 0.1 when v > 100 then 0.05 else 0 end)::DECIMAL(3,2), 2)::DOUBLE final_price from y""")
 def _(t):
     x = t.events.select("event_id", (k_of(t.events) / 100.0).cast("double").alias("t"), F.least(F.col("value") / 100, F.lit(1.0)).alias("q"),
                         F.expr("case when event_id % 2 = 0 then 'full' else 'filtered' end").alias("lv"), (F.col("event_id") % 2000).alias("v"))

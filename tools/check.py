@@ -53,6 +53,7 @@ def compare(df, rel):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
+    ap.add_argument("--limit", type=int, default=90, help="seconds per query")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     path = f"/root/testdata/sf{a.sf}"
@@ -68,8 +69,14 @@ def main():
         con.execute(f"create view {t} as select * from '{path}/{t}.parquet'")
     bad = []
     chosen = [e for n, e in ENTRIES.items() if not a.names or any(p in n for p in a.names)]
+    import signal
+
+    def late(*_):
+        raise TimeoutError("query took too long")
+    signal.signal(signal.SIGALRM, late)
     for e in chosen:
         t0 = time.time()
+        signal.alarm(a.limit)
         try:
             df = e(spark, path)
             if e.sql:
@@ -78,6 +85,7 @@ def main():
                 ok, note = True, f"{len(df.collect())} rows, no SQL"
         except Exception as ex:
             ok, note = False, (str(ex).split('== DataFrame')[0][:900] if os.environ.get("SHORT", "1") == "1" else traceback.format_exc())
+        signal.alarm(0)
         print(f"{'ok  ' if ok else 'FAIL'} {time.time() - t0:5.1f}s {e.name}: {note}", flush=True)
         if not ok:
             bad.append(e.name)
