@@ -493,13 +493,18 @@ def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         else:
             kids = size[l + 1].groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("_s"))
             size[l] = cut_lineage(here.join(kids, "id", "left").withColumn("size", (1 + F.coalesce("_s", F.lit(0))).cast("long")).drop("_s"))
-    pre = cut_lineage(size[0].withColumn("pre", F.lit(0).cast("long")))
+    sized = size[0]
+    for l in range(1, depth + 1):
+        sized = sized.unionByName(size[l])
+    sliced = value_slices(cut_lineage(sized), ["parent"], "id")
+    # sizes of the smaller siblings
+    sized = cut_lineage(running(sliced, ["parent"], "id", [], {"_b": ("sum", F.col("size"))}, include_current=False, slice_by=F.col("_cut")).drop("_cut"))
+    pre = cut_lineage(sized.filter("level = 0").withColumn("pre", F.lit(0).cast("long")))
     rows = pre
     for l in range(1, depth + 1):
-        sliced = value_slices(size[l], ["parent"], "id")
-        before = running(sliced, ["parent"], "id", [], {"_b": ("sum", F.col("size"))}, include_current=False, slice_by=F.col("_cut")).drop("_cut")
         up = pre.select(F.col("id").alias("_p"), F.col("pre").alias("_pp"))
-        pre = cut_lineage(salted_lookup(before, "parent", up, "_p", ["_pp"]).withColumn("pre", F.col("_pp") + 1 + F.coalesce("_b", F.lit(0))).drop("_b", "_pp"))
+        here = salted_lookup(sized.filter(F.col("level") == l), "parent", up, "_p", ["_pp"])
+        pre = cut_lineage(here.withColumn("pre", F.col("_pp") + 1 + F.coalesce("_b", F.lit(0))).drop("_pp"))
         rows = rows.unionByName(pre.select(rows.columns))
     rows = cut_lineage(rows)
     info = rows.select("id", "parent", "pre", "size")

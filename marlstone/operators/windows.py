@@ -155,9 +155,6 @@ def running_moments(df: DataFrame, keys: list[str], ts: str, ties: list[str], va
 def value_slices(df: DataFrame, keys: list[str], value: str, slices: int = 64, out: str = "_cut") -> DataFrame:
     """Add a slice number that grows with ``value`` and holds about 1/slices of a key's rows."""
     probs = [i / slices for i in range(1, slices)]
-    if not keys:
-        cuts = df.agg(F.percentile_approx(value, probs, 1000).alias("c")).scalar()
-        return df.withColumn(out, F.size(F.filter(cuts, lambda c: c < F.col(value))))
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs, 1000).alias("_cuts"))
     return (null_safe_join(df, cuts, keys, "left")
             .withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts"))

@@ -192,9 +192,9 @@ def _(t):
     return g.cascade(e, s, 0.05, 4).select("id", F.round("probability", 6).alias("probability"))
 
 
-@query("gra19_dependency_subgraph", "GRA19", f"with recursive {graph_sql(220)}, h as (select 9::BIGINT id, 0 d union select b.u, d + 1 from h join b on b.v = h.id where d < 3), m as (select distinct id from h) select src, dst, event_id from e where src in (select id from m) and dst in (select id from m)")
+@query("gra19_dependency_subgraph", "GRA19", f"with recursive {graph_sql(220)}, h as (select distinct id, 0 d from v where id % 50 = 7 union select b.u, d + 1 from h join b on b.v = h.id where d < 3), m as (select distinct id from h) select src, dst, event_id from e where src in (select id from m) and dst in (select id from m)")
 def _(t):
-    return g.subgraph(edges(t, 220), vertices(t).filter("id = 9"), 3).select("src", "dst", "event_id")
+    return g.subgraph(edges(t, 220), vertices(t).filter("id % 50 = 7"), 3).select("src", "dst", "event_id")
 
 
 @query("gra20_sybil_scores", "GRA20", f"""with {graph_sql(60)}, {CLU}, x as (select src id from e union all select dst from e), dg as (select id, count(*) degree from x group by 1),
@@ -240,17 +240,17 @@ def _(t):
     return r6(g.fraud_summary(fraud(t)), "top_score")
 
 
-@query("gra27_articulation_points", "GRA27", f"""with recursive {graph_sql(220)}, q as (select x.id cut, v.id from v x, v where v.id <> x.id and exists (select 1 from b where b.v = x.id)),
+@query("gra27_articulation_points", "GRA27", f"""with recursive {graph_sql(170)}, q as (select x.id cut, v.id from v x, v where v.id <> x.id and exists (select 1 from b where b.v = x.id)),
  r as (select cut, id, id y from q union select r.cut, r.id, b.u from r join b on b.v = r.y where b.u <> r.cut), c as (select cut, id, min(y) m from r group by all),
  nb as (select c.cut, count(distinct c.m) parts from c join b on b.v = c.cut and b.u = c.id group by 1)
 select cut id, parts blocks from nb where parts > 1""")
 def _(t):
-    return g.articulation_points(vertices(t), edges(t, 220))
+    return g.articulation_points(vertices(t), edges(t, 170))
 
 
 @query("gra27_resilience", "GRA27")
 def _(t):
-    return r6(g.resilience(vertices(t), edges(t, 220)).drop("id"), "connectivity", "redundancy", "criticality", "resilience")
+    return r6(g.resilience(vertices(t), edges(t, 170)).drop("id"), "connectivity", "redundancy", "criticality", "resilience")
 
 
 @query("gra28_systemic_risk", "GRA28")
