@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.columns import flagged, ladder
 from marlstone.functions.vectors import cosine
 from marlstone.operators.windows import ranked_top
+from marlstone.session import cut_lineage
 
 #: Vectors per block; a query block of 64 doubles each is 2 MB.
 BLOCK = 4096
@@ -87,9 +88,13 @@ def bm25(docs: DataFrame, ident: str, fields: dict[str, float], terms: list[str]
     total = None
     for name, boost in fields.items():
         base = docs.select(F.col(ident).alias("id"), tokens(name).alias("_t"))
-        s = base.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("len")).select(F.struct("n", "len")).scalar()
-        hits = base.select("id", F.size("_t").alias("len"), F.explode(F.filter("_t", lambda x: F.array_contains(wanted, x))).alias("term")) \
-            .groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        found = F.filter("_t", lambda x: F.array_contains(wanted, x))
+        # the texts are read once: what is kept is one row per document and query term (or none)
+        hits = cut_lineage(base.select("id", F.size("_t").alias("len"), F.explode_outer(found).alias("term"))
+                           .groupBy("id", "len", "term").agg(F.count("term").alias("tf")))
+        per_doc = hits.groupBy("id").agg(F.max("len").alias("len"))
+        s = per_doc.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("len")).select(F.struct("n", "len")).scalar()
+        hits = hits.filter("term is not null")
         df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         idf = F.log(1 + (s["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
         tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / s["len"]))
@@ -146,8 +151,8 @@ def chunks(docs: DataFrame, ident: str, text: str, size: int = 1000, overlap: in
     """(id, chunk, content) windows of characters over the whole text, each sharing ``overlap`` with the one before."""
     step = size - overlap
     n = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step)).cast("int")
-    d = docs.select(F.col(ident).alias("id"), F.col(text).alias("_t"), F.posexplode(F.sequence(F.lit(0), n - 1)).alias("chunk", "_i"))
-    return d.select("id", "chunk", F.substring("_t", F.col("chunk") * step + 1, F.lit(size)).alias("content")).filter(F.length("content") > 0)
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(text), i * step + 1, F.lit(size)))
+    return docs.select(F.col(ident).alias("id"), F.posexplode(parts).alias("chunk", "content")).filter(F.length("content") > 0)
 
 
 def assemble_context(ranked: DataFrame, query: str, title: str, page: str, content: str, k: int = 5) -> DataFrame:

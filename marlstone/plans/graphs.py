@@ -240,17 +240,17 @@ def _(t):
     return r6(g.fraud_summary(fraud(t)), "top_score")
 
 
-@query("gra27_articulation_points", "GRA27", f"""with recursive {graph_sql(170)}, q as (select x.id cut, v.id from v x, v where v.id <> x.id and exists (select 1 from b where b.v = x.id)),
+@query("gra27_articulation_points", "GRA27", f"""with recursive {graph_sql(140)}, q as (select x.id cut, v.id from v x, v where v.id <> x.id and exists (select 1 from b where b.v = x.id)),
  r as (select cut, id, id y from q union select r.cut, r.id, b.u from r join b on b.v = r.y where b.u <> r.cut), c as (select cut, id, min(y) m from r group by all),
  nb as (select c.cut, count(distinct c.m) parts from c join b on b.v = c.cut and b.u = c.id group by 1)
 select cut id, parts blocks from nb where parts > 1""")
 def _(t):
-    return g.articulation_points(vertices(t), edges(t, 170))
+    return g.articulation_points(vertices(t), edges(t, 140))
 
 
 @query("gra27_resilience", "GRA27")
 def _(t):
-    return r6(g.resilience(vertices(t), edges(t, 170)).drop("id"), "connectivity", "redundancy", "criticality", "resilience")
+    return r6(g.resilience(vertices(t), edges(t, 140)).drop("id"), "connectivity", "redundancy", "criticality", "resilience")
 
 
 @query("gra28_systemic_risk", "GRA28")
