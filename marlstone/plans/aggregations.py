@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 from marlstone.functions.columns import micros
 from marlstone.operators import aggregates as agg
 from marlstone.operators import lake, market
-from marlstone.plans.derived import (DAILY_SQL, EVENTS_NOW, HOURLY_SQL, SQL_K, TRADES_SQL, daily, hourly, k_of, trades)
+from marlstone.plans.derived import (n_rows, DAILY_SQL, EVENTS_NOW, HOURLY_SQL, SQL_K, TRADES_SQL, daily, hourly, k_of, trades)
 from marlstone.plans.registry import query
 
-N = F.count(F.lit(1))
 
 
 @query("agg1_configured_group", "AGG1", """
@@ -94,7 +93,7 @@ select user_id, count(case when event_type = 'error' then 1 end) errors, count(c
 from events group by user_id""")
 def _(t):
     return t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"),
-                                           F.count(F.when(F.col("value") > 100, 1)).alias("large"), N.alias("total"))
+                                           F.count(F.when(F.col("value") > 100, 1)).alias("large"), n_rows().alias("total"))
 
 
 @query("agg11_field_averages", "AGG11 UDF4", f"""
@@ -165,7 +164,7 @@ from labels l join documents d on d.doc_id = l.doc_id group by all""")
 def _(t):
     p = t.labels.join(t.documents, "doc_id").select(F.col("quality").alias("actual"), (F.col("n_chars") > 500).cast("int").alias("predicted"))
     hit = (F.col("actual") == F.col("predicted")).cast("int")
-    return p.groupBy("actual", "predicted").agg(N.alias("n"), F.round(F.avg(hit), 6).alias("hit_rate"))
+    return p.groupBy("actual", "predicted").agg(n_rows().alias("n"), F.round(F.avg(hit), 6).alias("hit_rate"))
 
 
 @query("agg18_top_issues", "AGG18", """
@@ -186,7 +185,7 @@ def _(t):
 @query("agg19_score_summary", "AGG19", """
 select event_type, count(*) n, round(avg(value), 6) mean, min(value) low, max(value) high, round(stddev(value), 6) spread from events group by 1""")
 def _(t):
-    return t.events.groupBy("event_type").agg(N.alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"),
+    return t.events.groupBy("event_type").agg(n_rows().alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"),
                                               F.max("value").alias("high"), F.round(F.stddev("value"), 6).alias("spread"))
 
 
@@ -196,7 +195,7 @@ from events where event_type = 'purchase' group by all""")
 def _(t):
     sales = t.events.filter("event_type = 'purchase'")
     return sales.groupBy(F.col("user_id").alias("asset_id"), F.window("ts", "1 hour").alias("w")).agg(
-        F.round(F.sum(F.col("value") * 0.05), 6).alias("royalties"), N.alias("sales")) \
+        F.round(F.sum(F.col("value") * 0.05), 6).alias("royalties"), n_rows().alias("sales")) \
         .select("asset_id", micros("w.start").alias("window_start"), "royalties", "sales")
 
 
@@ -216,7 +215,7 @@ select event_type, epoch_us(time_bucket(interval 5 minute, ts)) window_start, co
 from events where value > 20 group by all""")
 def _(t):
     return t.events.filter("value > 20").groupBy("event_type", F.window("ts", "5 minutes").alias("w")).agg(
-        N.alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg(F.least(F.col("value") / 100, F.lit(1.0))), 6).alias("risk")) \
+        n_rows().alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg(F.least(F.col("value") / 100, F.lit(1.0))), 6).alias("risk")) \
         .select("event_type", micros("w.start").alias("window_start"), "n", "total", "risk")
 
 
@@ -252,7 +251,7 @@ def _(t):
     view, zero = F.col("event_type") == "view", F.lit(0.0)
     v = F.when(view, F.col("value"))
     return t.events.groupBy(F.window("ts", "1 hour").alias("w")).agg(
-        N.alias("window_event_count"),
+        n_rows().alias("window_event_count"),
         F.round(F.coalesce(F.sum(v), zero) / F.greatest(F.lit(1), F.count(v)), 6).alias("avg_residual"),
         F.coalesce(F.min(v), zero).alias("min_residual"), F.coalesce(F.max(v), zero).alias("max_residual"),
         F.count(v).alias("domain_updates"),
@@ -308,7 +307,7 @@ select case when power < 10 then '0-10' when power < 100 then '10-100' when powe
 from p where power > 0 group by 1""")
 def _(t):
     p = t.customer.withColumn("power", agg.quadratic_power("c_acctbal")).filter("power > 0")
-    return p.groupBy(agg.power_bucket(F.col("power")).alias("bucket")).agg(N.alias("n"))
+    return p.groupBy(agg.power_bucket(F.col("power")).alias("bucket")).agg(n_rows().alias("n"))
 
 
 @query("agg30_time_weighted_votes", "AGG30", f"""with {VOTES_SQL},
@@ -318,7 +317,7 @@ select proposal, support, round(sum(tokens * case when held < 1 then 0 else grea
 def _(t):
     one = agg.first_votes(votes(t), "proposal", [F.col("ts"), F.col("event_id")])
     m = agg.holding_multiplier(F.col("held").cast("double"), decay_after=700.0)
-    return one.groupBy("proposal", "support").agg(F.round(F.sum(F.col("tokens") * m), 4).alias("weighted"), N.alias("voters"))
+    return one.groupBy("proposal", "support").agg(F.round(F.sum(F.col("tokens") * m), 4).alias("weighted"), n_rows().alias("voters"))
 
 
 @query("agg31_conviction_votes", "AGG31", f"""with {VOTES_SQL}
@@ -333,7 +332,7 @@ def _(t):
 select user_id, n, rank() over (order by n desc)::INTEGER position from (select user_id, count(*) n from events where event_type = 'purchase' group by 1 order by n desc, user_id limit 25)""")
 def _(t):
     from pyspark.sql import Window
-    top = t.events.filter("event_type = 'purchase'").groupBy("user_id").agg(N.alias("n")).orderBy(F.col("n").desc(), "user_id").limit(25)
+    top = t.events.filter("event_type = 'purchase'").groupBy("user_id").agg(n_rows().alias("n")).orderBy(F.col("n").desc(), "user_id").limit(25)
     return top.withColumn("position", F.rank().over(Window.orderBy(F.col("n").desc())))
 
 
@@ -345,7 +344,7 @@ def _(t):
     a = t.events.select(F.col("event_type").alias("pattern"), F.expr("case when value > 80 then 'CRITICAL' when value > 40 then 'HIGH' else 'LOW' end").alias("severity"),
                         F.col("user_id").alias("entity"))
     counts = agg.grouped_counts(a, ["pattern", "severity"])
-    top = a.groupBy(F.col("entity").cast("string").alias("value")).agg(N.alias("n")).orderBy(F.col("n").desc(), "value").limit(10)
+    top = a.groupBy(F.col("entity").cast("string").alias("value")).agg(n_rows().alias("n")).orderBy(F.col("n").desc(), "value").limit(10)
     return counts.unionByName(top.withColumn("dimension", F.lit("entity")))
 
 
@@ -382,7 +381,7 @@ def _(t):
 with s as (select event_type service, count(*) activities, sum({SQL_K}) resources, case when event_type = 'error' then 'error' else 'ok' end status from events group by 1)
 select sum(activities)::BIGINT total_platform_activities, sum(resources)::BIGINT total_resource_consumption, round(avg((status <> 'error')::INTEGER), 6) service_health_score from s""")
 def _(t):
-    s = t.events.groupBy(F.col("event_type").alias("service")).agg(N.alias("activities"), F.sum(k_of(t.events)).alias("resources")) \
+    s = t.events.groupBy(F.col("event_type").alias("service")).agg(n_rows().alias("activities"), F.sum(k_of(t.events)).alias("resources")) \
         .withColumn("status", F.when(F.col("service") == "error", "error").otherwise("ok"))
     return s.agg(F.sum("activities").alias("total_platform_activities"), F.sum("resources").alias("total_resource_consumption"),
                  F.round(F.avg((F.col("status") != "error").cast("int")), 6).alias("service_health_score"))
@@ -393,7 +392,7 @@ select event_type market, count(*) filter (value <= 100) normal, count(*) filter
 from events group by 1""")
 def _(t):
     p = t.events.withColumn("anomaly", (F.col("value") > 100).cast("int")).groupBy(F.col("event_type").alias("market")) \
-        .pivot("anomaly", [0, 1]).agg(N).fillna(0)
+        .pivot("anomaly", [0, 1]).agg(n_rows()).fillna(0)
     return p.select("market", F.col("0").alias("normal"), F.col("1").alias("anomalous"),
                     F.round(F.col("1") / (F.col("0") + F.col("1")), 6).alias("anomaly_rate"))
 
@@ -448,7 +447,7 @@ from s group by grouping sets ((p_type), (p_brand), ())""")
 def _(t):
     p = t.part.withColumns({"g_type": F.col("p_type"), "g_brand": F.col("p_brand")})
     g = p.groupingSets([["p_type"], ["p_brand"], []], "p_type", "p_brand").agg(
-        N.alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"), F.round(F.avg("p_retailprice"), 6).alias("mean"))
+        n_rows().alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"), F.round(F.avg("p_retailprice"), 6).alias("mean"))
     return g.withColumns({c: F.coalesce(c, F.lit("*")) for c in ("p_type", "p_brand")})
 
 
@@ -458,7 +457,7 @@ with u as (select l_suppkey service, 1 + count(*) % 8 cpu, sum(l_quantity) / 100
 select service, round(cost, 6) daily_cost, (cost > 12) over_budget from c""")
 def _(t):
     u = t.lineitem.groupBy(F.col("l_suppkey").alias("service")).agg(
-        (1 + N % 8).alias("cpu"), (F.sum("l_quantity") / 1000).alias("mem"), (N / 10.0).alias("rate")) \
+        (1 + n_rows() % 8).alias("cpu"), (F.sum("l_quantity") / 1000).alias("mem"), (n_rows() / 10.0).alias("rate")) \
         .withColumn("replicas", 1 + F.col("service") % 3)
     cost = agg.hourly_cost(F.col("cpu"), F.col("mem"), F.col("replicas"), F.col("rate")) * 24
     return u.select("service", F.round(cost, 6).alias("daily_cost"), (cost > 12).alias("over_budget"))

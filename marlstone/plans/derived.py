@@ -12,6 +12,14 @@ EVENTS_NOW = "2024-01-31 00:00:00"
 ORDERS_NOW = "2001-08-02 00:00:00"
 
 
+def n_rows():
+    return F.count(F.lit(1))
+
+
+def events_now():
+    return F.lit(EVENTS_NOW).cast("timestamp_ntz")
+
+
 def k_of(df):
     return F.get_json_object("props", "$.k").cast("int")
 

@@ -7,11 +7,9 @@ from marlstone.operators import features as fe
 from marlstone.operators import models as ml
 from marlstone.operators import recommend as rec
 from marlstone.operators import search as se
-from marlstone.plans.derived import EVENTS_NOW, HOURLY_SQL, SQL_K, hourly, k_of
+from marlstone.plans.derived import n_rows, events_now, EVENTS_NOW, HOURLY_SQL, SQL_K, hourly, k_of
 from marlstone.plans.registry import query
 
-N = F.count(F.lit(1))
-NOW = F.lit(EVENTS_NOW).cast("timestamp_ntz")
 
 
 def r6(df, *names, places=6):
@@ -47,7 +45,7 @@ def _(t):
 
 @query("rec3_als", "REC3")
 def _(t):
-    r = baskets(t).groupBy("user_id", "item").agg(N.cast("float").alias("rating"))
+    r = baskets(t).groupBy("user_id", "item").agg(n_rows().cast("float").alias("rating"))
     return rec.als_recommendations(r, "user_id", "item", "rating", 5).select("user_id", "item", F.round("rating", 3).alias("rating"))
 
 
@@ -91,7 +89,7 @@ with s as (select user_id, avg(value) r, count(*) it, stddev(value) / 1000 cr, m
  b as (select c_custkey user_id, c_acctbal / 10000 sc from customer where c_custkey < 100)
 select coalesce(a.user_id, b.user_id) user_id, round(0.6 * coalesce(a.sc, 0) + 0.4 * coalesce(b.sc, 0), 6) score from a full join b on a.user_id = b.user_id""")
 def _(t):
-    s = t.events.groupBy("user_id").agg(F.avg("value").alias("r"), N.alias("it"), (F.stddev("value") / 1000).alias("cr"), F.max(k_of(t.events)).alias("im"), F.count_if(F.col("event_type") == "view").alias("op"))
+    s = t.events.groupBy("user_id").agg(F.avg("value").alias("r"), n_rows().alias("it"), (F.stddev("value") / 1000).alias("cr"), F.max(k_of(t.events)).alias("im"), F.count_if(F.col("event_type") == "view").alias("op"))
     a = s.select("user_id", rec.success_score(F.col("r"), F.col("it"), F.col("cr"), F.col("im"), F.col("op"), F.lit(0.5)).alias("score"))
     b = t.customer.filter("c_custkey < 100").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") / 10000).alias("score"))
     return r6(rec.merge_parameter_lists(a, b, ["user_id"]), "score")
@@ -171,7 +169,7 @@ with h as (select doc_id id, n_chars / 1000.0 s from documents), c as (select us
 select h.id, round(s * (1 + least(coalesce(l, 0) * 0.1, 2) + least(coalesce(k, 0) * 0.05, 0.5) + least(coalesce(a, 0) * 0.02, 0.2)), 6)::DOUBLE score from h left join c on c.id = h.id""")
 def _(t):
     h = t.documents.select(F.col("doc_id").alias("id"), (F.col("n_chars") / 1000.0).alias("score"))
-    c = t.events.groupBy(F.col("user_id").alias("id")).agg(N.alias("links"), F.countDistinct("event_type").alias("collaborators"), (F.max("event_id") % 30).alias("ancestors"))
+    c = t.events.groupBy(F.col("user_id").alias("id")).agg(n_rows().alias("links"), F.countDistinct("event_type").alias("collaborators"), (F.max("event_id") % 30).alias("ancestors"))
     return r6(se.graph_boost(h, c), "score")
 
 
@@ -212,7 +210,7 @@ def _(t):
 with g as (select {SQL_K} topic, count(*) filter (ts > TIMESTAMP '{EVENTS_NOW}' - interval 72 hour) recent, count(*) filter (ts <= TIMESTAMP '{EVENTS_NOW}' - interval 72 hour) previous from events where ts > TIMESTAMP '{EVENTS_NOW}' - interval 144 hour group by 1)
 select topic, recent, previous, round((recent + 1) / (previous + 1)::DOUBLE, 6) growth from g order by (recent + 1) / (previous + 1)::DOUBLE desc, recent desc, topic limit 10""")
 def _(t):
-    return r6(se.trending(t.events.withColumn("topic", k_of(t.events)), "topic", "ts", NOW, 72), "growth")
+    return r6(se.trending(t.events.withColumn("topic", k_of(t.events)), "topic", "ts", events_now(), 72), "growth")
 
 
 # -- features -----------------------------------------------------------------------------------------------
@@ -229,7 +227,7 @@ with n as (select user_id, max(ts) m, arg_max(value, ts) v, arg_max(event_type,
  coalesce(case when epoch_us(TIMESTAMP '{EVENTS_NOW}') - epoch_us(m) <= 86400000000 then e end, 'none') event_type from n""")
 def _(t):
     from marlstone.functions.columns import micros
-    v = fe.online_view(t.events, ["user_id"], "ts", ["value", "event_type"], NOW, 86_400, {"value": -1.0, "event_type": "none"})
+    v = fe.online_view(t.events, ["user_id"], "ts", ["value", "event_type"], events_now(), 86_400, {"value": -1.0, "event_type": "none"})
     return v.withColumn("feature_time", micros("feature_time"))
 
 
@@ -324,14 +322,14 @@ def _(t):
 def _(t):
     from pyspark.ml.feature import PCA, VectorAssembler
     from pyspark.ml.functions import vector_to_array
-    f = t.events.groupBy("user_id").agg(F.avg("value").alias("a"), F.stddev("value").alias("b"), F.avg(k_of(t.events)).alias("c"), N.cast("double").alias("d"))
+    f = t.events.groupBy("user_id").agg(F.avg("value").alias("a"), F.stddev("value").alias("b"), F.avg(k_of(t.events)).alias("c"), n_rows().cast("double").alias("d"))
     v = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="x").transform(f.dropna())
     p = PCA(k=2, inputCol="x", outputCol="p").fit(v).transform(v)
     return p.select("user_id", F.round(F.abs(vector_to_array("p")[0]), 3).alias("first"), F.round(F.abs(vector_to_array("p")[1]), 3).alias("second"))
 
 
 def updates(t):
-    return t.events.groupBy("user_id").agg(N.alias("n"), F.array(F.avg("value"), F.avg(k_of(t.events)).cast("double"), F.max("value")).alias("w")).withColumn("name", F.when(F.col("user_id") % 2 == 0, "dense").otherwise("bias"))
+    return t.events.groupBy("user_id").agg(n_rows().alias("n"), F.array(F.avg("value"), F.avg(k_of(t.events)).cast("double"), F.max("value")).alias("w")).withColumn("name", F.when(F.col("user_id") % 2 == 0, "dense").otherwise("bias"))
 
 
 UPD_SQL = f"""up as (select user_id, count(*) n, [avg(value), avg({SQL_K}), max(value)] w, case when user_id % 2 = 0 then 'dense' else 'bias' end name from events group by 1),
@@ -355,13 +353,13 @@ def _(t):
 @query("ml7_private_noise", "ML7")
 def _(t):
     d = ml.laplace_noise(t.events.select("event_id", "value"), "event_id", {"value": (0.0, 100.0)}, 1.0)
-    return d.agg(F.round(F.avg("value"), 3).alias("noisy_mean"), N.alias("n"))
+    return d.agg(F.round(F.avg("value"), 3).alias("noisy_mean"), n_rows().alias("n"))
 
 
 @query("ml8_secret_shares", "ML8", "select event_id, round(value, 6) total, 3::BIGINT parties from events")
 def _(t):
     s = ml.secret_shares(t.events, "event_id", "value", 3)
-    return s.groupBy("event_id").agg(F.round(F.sum("share"), 6).alias("total"), N.alias("parties"))
+    return s.groupBy("event_id").agg(F.round(F.sum("share"), 6).alias("total"), n_rows().alias("parties"))
 
 
 @query("ml9_regression_metrics", "ML9", f"with p as (select value y, value * 0.9 + {SQL_K} / 50.0 q from events) select round(sqrt(avg(power(q - y, 2))), 6) rmse, round(avg(abs(q - y)), 6) mae, round(1 - sum(power(q - y, 2)) / (var_pop(y) * count(*)), 6) r2 from p")
@@ -397,7 +395,7 @@ def _(t):
 @query("ml11_resource_anomalies", "ML11")
 def _(t):
     m = ml.fit_classifier(labelled(t), ["v", "k", "h"], "label", trees=8)
-    return ml.with_confidence(m.transform(labelled(t))).groupBy("prediction").agg(N.alias("n"), F.round(F.avg("confidence"), 3).alias("confidence"))
+    return ml.with_confidence(m.transform(labelled(t))).groupBy("prediction").agg(n_rows().alias("n"), F.round(F.avg("confidence"), 3).alias("confidence"))
 
 
 @query("ts23_load_forecast", "TS23")

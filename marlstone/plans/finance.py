@@ -6,11 +6,9 @@ from marlstone.functions.columns import micros
 from marlstone.operators import compliance as co
 from marlstone.operators import operations as op
 from marlstone.operators import risk, trust
-from marlstone.plans.derived import EVENTS_NOW, SQL_K, k_of
+from marlstone.plans.derived import n_rows, events_now, EVENTS_NOW, SQL_K, k_of
 from marlstone.plans.registry import query
 
-N = F.count(F.lit(1))
-NOW = F.lit(EVENTS_NOW).cast("timestamp_ntz")
 
 
 def r6(df, *names, places=6):
@@ -385,7 +383,7 @@ with c as (select user_id, event_type, ts, coalesce(least(value * 5 / 100, 5), 1
 select user_id, round(least(sum(v * case event_type when 'purchase' then 2.0 when 'signup' then 1.0 else 0.0 end) * power(0.95, avg(date_diff('day', ts, TIMESTAMP '{EVENTS_NOW}') / 30.0)), 100), 6)::DOUBLE trust_score from c group by 1""")
 def _(t):
     v = trust.credential_value(F.col("value") * 5, F.lit(1), k_of(t.events), F.col("event_id") % 3 == 0)
-    return r6(trust.credential_scores(t.events, "user_id", "event_type", v, "ts", NOW, {"purchase": 2.0, "signup": 1.0}), "trust_score")
+    return r6(trust.credential_scores(t.events, "user_id", "event_type", v, "ts", events_now(), {"purchase": 2.0, "signup": 1.0}), "trust_score")
 
 
 # -- service levels and operations --------------------------------------------------------------------------
@@ -418,7 +416,7 @@ def _(t):
 @query("sla3_timeouts", "SLA3", f"""with g as (select user_id, ts, lead(ts) over (partition by user_id order by ts) nx from events), h as (select *, (epoch_us(coalesce(nx, TIMESTAMP '{EVENTS_NOW}')) - epoch_us(ts)) / 1e6 s from g)
 select user_id, epoch_us(ts) last_metrics, round(s, 6) silent_seconds, nx is null still_silent from h where s > 86400""")
 def _(t):
-    d = op.metrics_timeouts(t.events, "user_id", "ts", "event_id", 86_400, NOW)
+    d = op.metrics_timeouts(t.events, "user_id", "ts", "event_id", 86_400, events_now())
     return d.withColumns({"last_metrics": micros("last_metrics"), "silent_seconds": F.round("silent_seconds", 6)})
 
 
@@ -436,7 +434,7 @@ def _(t):
 with s as (select event_id, ts d, {SQL_K} h from events) select case when TIMESTAMP '2024-01-20' < d then 'provisioning' when epoch_us(TIMESTAMP '2024-01-20') < epoch_us(d) + h * 3600000000 then 'active' else 'completed' end state, count(*) n from s group by 1""")
 def _(t):
     s = t.events.select("event_id", F.col("ts").alias("delivery_start"), k_of(t.events).alias("duration_hours"))
-    return op.settlement_states(s, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).groupBy("state").agg(N.alias("n"))
+    return op.settlement_states(s, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).groupBy("state").agg(n_rows().alias("n"))
 
 
 @query("sla5_regional_quality", "SLA5", f"""with {MET_SQL} select user_id % 5 region, epoch_us(time_bucket(interval 1 hour, ts)) window_start, count(*) n, round(avg(uptime), 6) uptime, round(avg(latency * pi()), 6) latency, round(avg(performance), 6) performance from met group by all""")
@@ -455,7 +453,7 @@ select topic, category, strategy, count(*) messages, round(max(age), 6) oldest_s
 def _(t):
     k = k_of(t.events)
     reasons = F.element_at(F.array(*[F.lit(x) for x in ("Request TIMEOUT after 5s", "json parse failed", "forbidden", "db down", "", "mystery")]), k % 6 + 1)
-    d = op.dead_letters(t.events.withColumnRenamed("event_type", "topic"), "topic", "ts", reasons, k % 13, NOW)
+    d = op.dead_letters(t.events.withColumnRenamed("event_type", "topic"), "topic", "ts", reasons, k % 13, events_now())
     return r6(d, "oldest_seconds", "newest_seconds", "mean_deliveries")
 
 
@@ -464,13 +462,13 @@ select case when regexp_matches(lower(text), 'email|ssn|phone|address|credit_car
  when regexp_matches(lower(text), 'salary|revenue|profit|financial|strategic') then 'confidential' when source = 'src3' then 'phi' else 'internal' end kind, count(*) n from documents group by 1""")
 def _(t):
     tags = F.when(F.col("source") == "src3", F.array(F.lit("medical"))).otherwise(F.array().cast("array<string>"))
-    return t.documents.groupBy(op.classify_asset(F.lit(""), F.col("text"), tags).alias("kind")).agg(N.alias("n"))
+    return t.documents.groupBy(op.classify_asset(F.lit(""), F.col("text"), tags).alias("kind")).agg(n_rows().alias("n"))
 
 
 @query("asset_usage_report", "OPS3", f"""
 select event_type asset, count(*) accesses, count(*) filter (ts >= TIMESTAMP '{EVENTS_NOW}' - interval 7 day) recent_accesses, count(distinct user_id) users, epoch_us(max(ts)) last_access from events group by 1""")
 def _(t):
-    return op.asset_usage(t.events.withColumnRenamed("event_type", "asset"), "asset", "user_id", "ts", NOW, 7).withColumn("last_access", micros("last_access"))
+    return op.asset_usage(t.events.withColumnRenamed("event_type", "asset"), "asset", "user_id", "ts", events_now(), 7).withColumn("last_access", micros("last_access"))
 
 
 @query("access_decisions", "OPS4", """

@@ -4,11 +4,9 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.columns import micros
 from marlstone.operators import aggregates, graph as g
-from marlstone.plans.derived import EVENTS_NOW, SQL_K, k_of
+from marlstone.plans.derived import n_rows, events_now, EVENTS_NOW, SQL_K, k_of
 from marlstone.plans.registry import query
 
-N = F.count(F.lit(1))
-NOW = F.lit(EVENTS_NOW).cast("timestamp_ntz")
 
 
 def r6(df, *names, places=6):
@@ -63,7 +61,7 @@ LPA = ", ".join([f"l{i} as (select v.id, coalesce(x.label, v.label) label from l
 
 @query("gra4_label_propagation", "GRA4", f"with {graph_sql(180)}, l0 as (select id, id label from v), {LPA} select label, count(*) size, min(id) first_member from l3 group by 1")
 def _(t):
-    return g.label_propagation(vertices(t), edges(t, 180), 3).groupBy("label").agg(N.alias("size"), F.min("id").alias("first_member"))
+    return g.label_propagation(vertices(t), edges(t, 180), 3).groupBy("label").agg(n_rows().alias("size"), F.min("id").alias("first_member"))
 
 
 @query("gra5_modularity_communities", "GRA5")
@@ -71,7 +69,7 @@ def _(t):
     e = edges(t, 180)
     c = g.modularity_communities(vertices(t), e)
     q = g.modularity(g.links(e).withColumnsRenamed({"a": "src", "b": "dst"}), c).select("modularity").scalar()
-    return c.groupBy("community").agg(N.alias("size")).withColumn("modularity", F.round(q, 6))
+    return c.groupBy("community").agg(n_rows().alias("size")).withColumn("modularity", F.round(q, 6))
 
 
 @query("gra5_modularity", "GRA5", f"""with {graph_sql(100)}, m as (select count(*)::DOUBLE m from l), k as (select v % 5 c, count(*)::DOUBLE k from b group by 1)
@@ -154,7 +152,7 @@ def _(t):
 @query("gra14_impact", "GRA14", f"""with recursive {LIN_SQL}, s as (select distinct user_id id from events where user_id < 5), h as (select id "start", id, 0 d from s union select "start", lin.dst, d + 1 from h join lin on lin.src = h.id where d < 3),
  m as (select "start", id, min(d) d from h where d > 0 group by all) select "start", case when d = 1 then 'high' else 'medium' end impact, count(*) assets from m group by all""")
 def _(t):
-    return g.impact(lineage_edges(t), vertices(t).filter("id < 5"), 3).groupBy("start", "impact").agg(N.alias("assets"))
+    return g.impact(lineage_edges(t), vertices(t).filter("id < 5"), 3).groupBy("start", "impact").agg(n_rows().alias("assets"))
 
 
 @query("gra15_provenance_roots", "GRA15", f"with recursive {LIN_SQL}, h as (select 140::BIGINT id, 0 d union select lin.src, d + 1 from h join lin on lin.dst = h.id where d < 5), m as (select id, min(d) d from h where d > 0 group by 1) select id, d::INTEGER depth from m where id not in (select dst from lin)")
@@ -320,7 +318,7 @@ def _(t):
 select v.id, coalesce(n, 0) new_links, coalesce(lo, 0) low_trust, least(0.9, 0.1 + case when n > 50 then 0.2 else 0 end + case when lo > 5 then 0.3 else 0 end)::DOUBLE network_risk from v left join q on q.id = v.id""")
 def _(t):
     e = edges(t, 60).withColumn("tr", (F.col("event_id") % 100) / 100.0)
-    return r6(g.network_risk(vertices(t), e, "ts", NOW, "tr"), "network_risk")
+    return r6(g.network_risk(vertices(t), e, "ts", events_now(), "tr"), "network_risk")
 
 
 @query("gra34_trust_density", "GRA34", f"with {graph_sql(100)} select (select count(*) from v) vertices, (select count(*) from l) links, round((select count(*) from l) / ((select count(*) from v) * ((select count(*) from v) - 1) / 2.0), 9)::DOUBLE density")

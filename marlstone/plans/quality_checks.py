@@ -5,11 +5,9 @@ from pyspark.sql import functions as F
 from marlstone.functions.columns import micros
 from marlstone.operators import folds, lake
 from marlstone.operators import quality as q
-from marlstone.plans.derived import DAILY_SQL, EVENTS_NOW, SQL_K, daily, k_of
+from marlstone.plans.derived import n_rows, events_now, DAILY_SQL, EVENTS_NOW, SQL_K, daily, k_of
 from marlstone.plans.registry import query
 
-N = F.count(F.lit(1))
-NOW = F.lit(EVENTS_NOW).cast("timestamp_ntz")
 
 
 def r6(df, *names, places=6):
@@ -70,7 +68,7 @@ select round(completeness, 6) completeness, round(uniqueness, 6) uniqueness, val
  round((0.25 * completeness + 0.2 * accuracy + 0.15 * validity + 0.1 * uniqueness + 0.1 * timeliness) / 0.8, 6) overall from s""")
 def _(t):
     e = t.events.select("event_id", "ts", "event_type", F.expr("case when event_id % 10 <> 0 then value end").alias("v"))
-    d = q.dimension_scores(e, NOW, "ts", {"accuracy": F.col("v") < 50})
+    d = q.dimension_scores(e, events_now(), "ts", {"accuracy": F.col("v") < 50})
     return r6(d.select("completeness", "uniqueness", F.col("validity").cast("decimal(2,1)").cast("double").alias("validity"),
                        F.col("timeliness").cast("double").alias("timeliness"), "accuracy", "overall"), "completeness", "uniqueness", "accuracy", "overall")
 
@@ -110,13 +108,13 @@ CHECKS_SQL = f"""s as (select count(*)::DOUBLE n, count(distinct event_id) u, co
 
 @query("dq8_check_runner", "DQ8", f"with {CHECKS_SQL} select check_name, check_type, round(score, 6) score, threshold, status from f")
 def _(t):
-    return r6(q.run_checks(t.events, CHECKS, NOW), "score")
+    return r6(q.run_checks(t.events, CHECKS, events_now()), "score")
 
 
 @query("dq8_check_rollup", "DQ8", f"""with {CHECKS_SQL} select count(*) filter (status = 'pass') passed, count(*) filter (status = 'warning') warnings,
  count(*) filter (status = 'fail') failed, round(avg(score), 6) mean_score from f""")
 def _(t):
-    return r6(q.check_rollup(q.run_checks(t.events, CHECKS, NOW)), "mean_score")
+    return r6(q.check_rollup(q.run_checks(t.events, CHECKS, events_now())), "mean_score")
 
 
 def metrics_records(t):
@@ -154,7 +152,7 @@ union all select 'quarantine', case when b1 or b3 then 'quarantined' else 'valid
 def _(t):
     out = None
     for m in ("reject", "quarantine"):
-        one = q.enforce(metrics_records(t), "simulation_metrics", m).groupBy("outcome").agg(N.alias("n")).withColumn("mode", F.lit(m))
+        one = q.enforce(metrics_records(t), "simulation_metrics", m).groupBy("outcome").agg(n_rows().alias("n")).withColumn("mode", F.lit(m))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -192,7 +190,7 @@ select event_id, round(k, 6) consistency, round(ov, 6)::DOUBLE overall, concat_w
 def _(t):
     d = t.events.select("event_id", "user_id", "ts", F.col("value").alias("size_bytes"), k_of(t.events).alias("num_samples"),
                         F.when(F.col("event_type") != "error", F.col("event_type")).alias("format"))
-    s = q.score_dataset_events(d, "user_id", "ts", "event_id", NOW)
+    s = q.score_dataset_events(d, "user_id", "ts", "event_id", events_now())
     return s.select("event_id", F.round("consistency", 6).alias("consistency"), F.round("overall", 6).alias("overall"), F.array_join("issues", ",").alias("issues"))
 
 
@@ -242,7 +240,7 @@ with c as (select user_id, date_trunc('day', ts)::TIMESTAMP d, count(*) n from e
  w as (select *, avg(n) over x m, stddev_pop(n) over x s, count(*) over x k from c window x as (partition by user_id order by d rows between 5 preceding and 1 preceding))
 select user_id, epoch_us(d) d, n, round(m, 6) expected, round(abs(n - m) / s, 6) z_score from w where k = 5 and s > 0 and abs(n - m) / s > 3""")
 def _(t):
-    c = t.events.groupBy("user_id", F.date_trunc("day", "ts").alias("d")).agg(N.alias("n"))
+    c = t.events.groupBy("user_id", F.date_trunc("day", "ts").alias("d")).agg(n_rows().alias("n"))
     return r6(q.volume_anomalies(c, ["user_id"], "d", "n").withColumn("d", micros("d")), "expected", "z_score")
 
 
@@ -297,8 +295,8 @@ select user_id, 'missing_values' issue, 'fill_missing' actions, 'medium' severit
 union all select user_id, 'duplicate_records', 'remove_duplicates', 'medium', false from d where u < 0.98
 union all select user_id, 'schema_violation', 'validate_schema,quarantine_data', 'high', true from d where v < 0.9""")
 def _(t):
-    d = t.events.groupBy("user_id").agg((F.count_if(F.col("event_id") % 10 != 0) / N).alias("completeness"), (F.countDistinct("event_type") / 5.0).alias("uniqueness"),
-                                        (F.count_if(F.col("value") < 60) / N).alias("validity"))
+    d = t.events.groupBy("user_id").agg((F.count_if(F.col("event_id") % 10 != 0) / n_rows()).alias("completeness"), (F.countDistinct("event_type") / 5.0).alias("uniqueness"),
+                                        (F.count_if(F.col("value") < 60) / n_rows()).alias("validity"))
     return q.remediation_plan(q.quality_issues(d)).drop("score")
 
 
@@ -313,7 +311,7 @@ def _(t):
 select 'good' part, count(*) n from lineitem where l_quantity >= 10 and l_discount < 0.08 union all select 'bad', count(*) from lineitem where not (l_quantity >= 10 and l_discount < 0.08)""")
 def _(t):
     good, bad = q.quarantine(t.lineitem, "l_quantity >= 10 and l_discount < 0.08")
-    return good.agg(F.lit("good").alias("part"), N.alias("n")).unionByName(bad.agg(F.lit("bad").alias("part"), N.alias("n")))
+    return good.agg(F.lit("good").alias("part"), n_rows().alias("n")).unionByName(bad.agg(F.lit("bad").alias("part"), n_rows().alias("n")))
 
 
 @query("dq24_remediation_gate", "DQ24", """
@@ -332,14 +330,14 @@ with h as (select date_trunc('hour', ts)::TIMESTAMP h, count(*) n from events wh
  s as (select count(*) / 24.0 completeness, 1 - stddev_pop(n) / (avg(n) + 1e-9) consistency, greatest(0, 1 - (epoch_us(TIMESTAMP '{EVENTS_NOW}') - epoch_us(max(h))) / 3.6e9) timeliness, count(*) filter (epoch_us(h) - epoch_us(p) > 7200000000) gaps from l)
 select round(completeness, 6)::DOUBLE completeness, round(consistency, 6) consistency, round(timeliness, 6) timeliness, gaps, round(0.4 * completeness + 0.3 * consistency + 0.3 * timeliness, 6) overall from s""")
 def _(t):
-    return r6(q.series_quality(t.events.filter("event_type = 'click'"), "ts", NOW), "completeness", "consistency", "timeliness", "overall")
+    return r6(q.series_quality(t.events.filter("event_type = 'click'"), "ts", events_now()), "completeness", "consistency", "timeliness", "overall")
 
 
 @query("dq26_suggestions", "DQ26", """
 with d as (select count(*) filter (event_id % 5 <> 0) / count(*)::DOUBLE c, count(*) filter (value < 60) / count(*)::DOUBLE v, count(*) filter (value > 300) a from events)
 select 'completeness' type, 'high' priority from d where c < 0.9 union all select 'anomaly', 'high' from d where a > 0 union all select 'validity', 'medium' from d where v < 0.95""")
 def _(t):
-    d = t.events.agg((F.count_if(F.col("event_id") % 5 != 0) / N).alias("completeness"), (F.count_if(F.col("value") < 60) / N).alias("validity"),
+    d = t.events.agg((F.count_if(F.col("event_id") % 5 != 0) / n_rows()).alias("completeness"), (F.count_if(F.col("value") < 60) / n_rows()).alias("validity"),
                      F.count_if(F.col("value") > 300).alias("a"))
     return q.suggestions(d, F.col("a"), F.lit(0))
 

@@ -4,11 +4,9 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.columns import micros
 from marlstone.operators import timeseries as ts
-from marlstone.plans.derived import DAILY_SQL, EVENTS_NOW, HOURLY_SQL, SQL_K, daily, hourly, k_of
+from marlstone.plans.derived import events_now, DAILY_SQL, EVENTS_NOW, HOURLY_SQL, SQL_K, daily, hourly, k_of
 from marlstone.plans.registry import query
 
-N = F.count(F.lit(1))
-NOW = F.lit(EVENTS_NOW).cast("timestamp_ntz")
 SERIES = ["click", "view", "purchase", "signup", "error"]
 
 
@@ -166,7 +164,7 @@ with k as (select user_id, ts, event_id, value, case when event_type = 'error' t
 select user_id, round(er, 6)::DOUBLE error_rate, round(pd, 6) performance_degradation, round(1 - power(1 - b, 3), 6) failure_probability from p""")
 def _(t):
     k = t.events.withColumn("kind", F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "performance"))
-    d = ts.failure_indicators(k, "user_id", "ts", "event_id", "kind", "value", NOW)
+    d = ts.failure_indicators(k, "user_id", "ts", "event_id", "kind", "value", events_now())
     d = d.withColumn("failure_probability", ts.failure_probability(F.col("error_rate"), F.col("performance_degradation"), 72))
     return r6(d, "error_rate", "performance_degradation", "failure_probability")
 

@@ -5,14 +5,13 @@ from pyspark.sql import functions as F
 from marlstone.functions.columns import micros
 from marlstone.operators import cep, merge
 from marlstone.operators.trust import trust_impact
-from marlstone.plans.derived import CHANGES_SQL, SQL_K, k_of
+from marlstone.plans.derived import n_rows, CHANGES_SQL, SQL_K, k_of
 from marlstone.plans.event_patterns import match_sql, stream
 from marlstone.plans.registry import query
 from marlstone.session import scratch
 from marlstone.streaming import jobs
 from marlstone.streaming.sources import collected, file_stream, run_available
 
-N = F.count(F.lit(1))
 
 
 def stream_of(t, table="events", schema=None):
@@ -35,7 +34,7 @@ def sliced_files(t, df, order: str, parts: int = 3) -> str:
 @query("str2_tumbling_windows", "STR1 STR2 STR6 SRC7 SRC8 AGG12 AGG20", """
 select event_type, epoch_us(time_bucket(interval 1 hour, ts)) window_start, count(*) n, round(sum(value), 4) total, arg_min(value, ts) "open", arg_max(value, ts) "close" from events group by all""")
 def _(t):
-    s = jobs.windowed(stream_of(t), "ts", ["event_type"], "1 hour", [N.alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min_by("value", "ts").alias("open"), F.max_by("value", "ts").alias("close")])
+    s = jobs.windowed(stream_of(t), "ts", ["event_type"], "1 hour", [n_rows().alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min_by("value", "ts").alias("open"), F.max_by("value", "ts").alias("close")])
     return collected(s, "update", ["event_type", "window_start"]).drop("window_end").withColumn("window_start", micros("window_start"))
 
 
@@ -43,20 +42,20 @@ def _(t):
 select epoch_us(time_bucket(interval 1 day, ts)) window_start, count(*) event_count, round(avg(case when event_type <> 'error' then {SQL_K} end), 6) avg_cpu, count(distinct event_id) events from events group by 1""")
 def _(t):
     d = stream_of(t).withColumn("details", F.create_map(F.lit("cpu_usage"), F.when(F.col("event_type") == "error", "n/a").otherwise(F.get_json_object("props", "$.k"))))
-    s = jobs.windowed(d, "ts", [], "1 day", [N.alias("event_count"), F.round(F.avg(F.col("details")["cpu_usage"].try_cast("double")), 6).alias("avg_cpu"), F.size(F.collect_list("event_id")).cast("bigint").alias("events")])
+    s = jobs.windowed(d, "ts", [], "1 day", [n_rows().alias("event_count"), F.round(F.avg(F.col("details")["cpu_usage"].try_cast("double")), 6).alias("avg_cpu"), F.size(F.collect_list("event_id")).cast("bigint").alias("events")])
     return collected(s, "update", ["window_start"]).drop("window_end").withColumn("window_start", micros("window_start"))
 
 
 @query("str4_arrival_windows", "STR4", "select event_type, count(*) n from events group by 1")
 def _(t):
-    s = jobs.arrival_windows(stream_of(t), ["event_type"], "5 minutes", [N.alias("n")])
+    s = jobs.arrival_windows(stream_of(t), ["event_type"], "5 minutes", [n_rows().alias("n")])
     return collected(s, "update", ["event_type", "window_start"]).groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
 @query("str5_sliding_windows", "STR5", """
 with w as (select event_type, value, unnest([time_bucket(interval 1 hour, ts), time_bucket(interval 1 hour, ts) - interval 1 hour]) s from events) select event_type, epoch_us(s) window_start, count(*) n from w group by all""")
 def _(t):
-    s = jobs.windowed(stream_of(t), "ts", ["event_type"], "2 hours", [N.alias("n")], slide="1 hour")
+    s = jobs.windowed(stream_of(t), "ts", ["event_type"], "2 hours", [n_rows().alias("n")], slide="1 hour")
     return collected(s, "update", ["event_type", "window_start"]).drop("window_end").withColumn("window_start", micros("window_start"))
 
 
@@ -64,7 +63,7 @@ def _(t):
 with g as (select user_id, ts, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts)) < 7200000000 then 0 else 1 end b from events), s as (select user_id, ts, sum(b) over (partition by user_id order by ts) k from g)
 select user_id, epoch_us(min(ts)) session_start, count(*) n from s group by user_id, k""")
 def _(t):
-    s = jobs.sessions(stream_of(t), "ts", ["user_id"], "2 hours", [N.alias("n")])
+    s = jobs.sessions(stream_of(t), "ts", ["user_id"], "2 hours", [n_rows().alias("n")])
     return collected(s, "complete", ["user_id", "session_start"]).select("user_id", micros("session_start").alias("session_start"), "n")
 
 
@@ -99,7 +98,7 @@ def _(t):
     s = jobs.unified_activity({name: (stream_of(t).filter(F.col("event_type") == kind), columns(name)) for name, kind in UNI.items()})
     cold, hot = scratch(t.spark, "cold"), scratch(t.spark, "hot")
     run_available(s, jobs.lake_writer(cold, hot, by=("tenant_id", "year", "month", "day")))
-    c = t.spark.read.option("basePath", cold).parquet(f"{cold}/batch=*").groupBy("event_source", "tenant_id", F.lpad(F.col("day").cast("string"), 2, "0").alias("day")).agg(N.alias("n"))
+    c = t.spark.read.option("basePath", cold).parquet(f"{cold}/batch=*").groupBy("event_source", "tenant_id", F.lpad(F.col("day").cast("string"), 2, "0").alias("day")).agg(n_rows().alias("n"))
     h = t.spark.read.parquet(f"{hot}/batch=*").groupBy("event_source", "tenant_id", "day").agg(F.countDistinct("event_id").alias("ids"))
     return c.join(h, ["event_source", "tenant_id", "day"])
 
@@ -122,7 +121,7 @@ def _(t):
 def _(t):
     from marlstone.sources.manifest import file_manifest, staged
     m = staged(file_manifest(t.spark, t.path, "*.parquet"), ["parquet"], 10 ** 12)
-    return m.groupBy("file_type", "validated", "analyzed", "packaged").agg(N.alias("files"))
+    return m.groupBy("file_type", "validated", "analyzed", "packaged").agg(n_rows().alias("files"))
 
 
 @query("src2_formats_round_trip", "SRC1 SRC3 SNK2 SNK7", "select f format, count(*) n, round(sum(c_acctbal), 2) total from customer, (values ('csv'), ('json'), ('orc'), ('parquet')) v(f) group by 1")
@@ -133,7 +132,7 @@ def _(t):
     for f in ("csv", "json", "orc", "parquet"):
         path = scratch(t.spark, f)
         export(t.customer, path, f)
-        one = read_dataset(t.spark, path, f, t.customer.schema).agg(F.lit(f).alias("format"), N.alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+        one = read_dataset(t.spark, path, f, t.customer.schema).agg(F.lit(f).alias("format"), n_rows().alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -144,7 +143,7 @@ def _(t):
     a, b = scratch(t.spark, "many"), scratch(t.spark, "few")
     t.lineitem.repartition(40).write.parquet(a)
     compact(t.spark, a, b, _size(t.spark, a) // 2 + 1)
-    return t.spark.read.parquet(b).withColumn("f", F.input_file_name()).agg(N.alias("n"), F.countDistinct("f").alias("files"))
+    return t.spark.read.parquet(b).withColumn("f", F.input_file_name()).agg(n_rows().alias("n"), F.countDistinct("f").alias("files"))
 
 
 @query("src10_read_table", "SRC10", "select l_orderkey, l_quantity from lineitem where l_quantity >= 49")
@@ -156,7 +155,7 @@ def _(t):
 @query("set2_union_of_windows", "SET2 SET3", """
 select 'views' kind, epoch_us(time_bucket(interval 6 hour, ts)) window_start, count(*) n from events where event_type = 'view' group by 2 union all select 'errors', epoch_us(time_bucket(interval 6 hour, ts)), count(*) from events where event_type = 'error' group by 2""")
 def _(t):
-    w = lambda e, name: jobs.windowed(t.events.filter(F.col("event_type") == e), "ts", [], "6 hours", [N.alias("n")]).select(F.lit(name).alias("kind"), micros("window_start").alias("window_start"), "n")
+    w = lambda e, name: jobs.windowed(t.events.filter(F.col("event_type") == e), "ts", [], "6 hours", [n_rows().alias("n")]).select(F.lit(name).alias("kind"), micros("window_start").alias("window_start"), "n")
     return w("view", "views").unionByName(w("error", "errors"))
 
 
@@ -175,7 +174,7 @@ def _(t):
 def _(t):
     path = scratch(t.spark, "routes")
     run_available(stream_of(t), jobs.routed_writer(path, {"alerts": "event_type = 'error'", "large": "value > 100"}))
-    return t.spark.read.option("basePath", path).parquet(f"{path}/route=*/batch=*").groupBy("route").agg(N.alias("n"))
+    return t.spark.read.option("basePath", path).parquet(f"{path}/route=*/batch=*").groupBy("route").agg(n_rows().alias("n"))
 
 
 @query("str15_threshold_alerts", "STR15", "select event_id, 'value above 120.0' alert from events where value > 120")
