@@ -238,17 +238,17 @@ def _(t):
     return r6(g.fraud_summary(fraud(t)), "top_score")
 
 
-@query("gra27_articulation_points", "GRA27", f"""with recursive {graph_sql(140)}, q as (select x.id cut, v.id from v x, v where v.id <> x.id and exists (select 1 from b where b.v = x.id)),
+@query("gra27_articulation_points", "GRA27", f"""with recursive {graph_sql(160)}, q as (select x.id cut, v.id from v x, v where v.id <> x.id and exists (select 1 from b where b.v = x.id)),
  r as (select cut, id, id y from q union select r.cut, r.id, b.u from r join b on b.v = r.y where b.u <> r.cut), c as (select cut, id, min(y) m from r group by all),
  nb as (select c.cut, count(distinct c.m) parts from c join b on b.v = c.cut and b.u = c.id group by 1)
 select cut id, parts blocks from nb where parts > 1""")
 def _(t):
-    return g.articulation_points(vertices(t), edges(t, 140))
+    return g.articulation_points(vertices(t), edges(t, 160))
 
 
 @query("gra27_resilience", "GRA27")
 def _(t):
-    return r6(g.resilience(vertices(t), edges(t, 140)).drop("id"), "connectivity", "redundancy", "criticality", "resilience")
+    return r6(g.resilience(vertices(t), edges(t, 160)).drop("id"), "connectivity", "redundancy", "criticality", "resilience")
 
 
 @query("gra28_systemic_risk", "GRA28")
@@ -327,12 +327,12 @@ def _(t):
 
 
 @query("agg32_delegated_power", "AGG32", """
-with recursive d as (select c_custkey voter, (c_custkey * 7 + 3) % 1500 delegate from customer where c_custkey % 3 <> 0), e as (select * from d where voter <> delegate and delegate < (select count(*) from customer)), p as (select c_custkey voter, c_acctbal "power" from customer),
- h as (select voter origin, delegate at, [voter, delegate] path, 1 depth from e union all select origin, e.delegate, list_append(path, e.delegate), depth + 1 from h join e on e.voter = h.at where depth < 5 and not list_contains(path, e.delegate)),
- s as (select at voter, sum("power" * power(0.9, depth)) g from h join p on p.voter = h.origin group by 1)
+with recursive d as (select c_custkey voter, (c_custkey * 7 + 3) % 1500 delegate from customer where c_custkey % 3 <> 0), e as (select * from d where voter <> delegate and delegate < (select count(*) from customer)), p as (select c_custkey voter, c_acctbal * pi() / 3 "power" from customer),
+ h as (select voter origin, delegate cur, [voter, delegate] path, 1 depth from e union all select origin, e.delegate, list_append(path, e.delegate), depth + 1 from h join e on e.voter = h.cur where depth < 5 and not list_contains(path, e.delegate)),
+ s as (select cur voter, sum("power" * power(0.9, depth)) g from h join p on p.voter = h.origin group by 1)
 select coalesce(p.voter, s.voter) voter, round(coalesce(g, 0), 4) delegated, floor(coalesce("power", 0) + coalesce(g, 0))::BIGINT total_power from p full join s on s.voter = p.voter""")
 def _(t):
     n = t.customer.agg(F.count(F.lit(1))).scalar()
     d = t.customer.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("voter"), ((F.col("c_custkey") * 7 + 3) % 1500).alias("delegate")).filter(F.col("delegate") < n)
-    p = t.customer.select(F.col("c_custkey").alias("voter"), F.col("c_acctbal").alias("power"))
+    p = t.customer.select(F.col("c_custkey").alias("voter"), (F.col("c_acctbal") * F.pi() / 3).alias("power"))
     return r6(g.delegated_power(d, p).drop("own"), "delegated", places=4)
