@@ -2,9 +2,9 @@
 
 A sequence of tokens is the encoding of its bytes exactly if every two neighbours stay apart when their bytes are merged alone. So
 the encoding of each prefix ends with the one token that fits the encoding of what is before it. The transducer reads a byte at a
-time. Its state is the last token it has emitted and the bytes after it. Only a boundary from which a longer token may still run
-can matter later; the tokens that the ways to all such boundaries share are emitted, which looks ahead as far as the longest token
-that may still run. Transitions are computed when first met and kept, up to ``MAX_STATES`` states; then the table starts anew.
+time; the beginnings of tokens that may be open at once are determinised into one state, when first met. Each state lists the
+tokens that end there, and whether two neighbours stay apart is worked out when first asked and kept. Tokens are emitted as soon
+as every open beginning lies behind them, looking ahead no further than the longest token may run.
 
 Rows: a null or empty text has no tokens; its decoded text is empty. Null ids decode like no ids; ids outside the vocabulary fail.
 Bytes that are not UTF-8 decode to U+FFFD, as in Python. Equal texts have equal tokens.
@@ -25,9 +25,11 @@ from pyspark.sql import types as T
 
 from marlstone.llm.batches import append_columns
 
-#: States of the transducer, and pieces whose tokens are kept, per worker.
-MAX_STATES = 1 << 18
+#: Pairs of neighbours, and pieces, whose outcome is kept per worker. (The states are at most the beginnings of tokens.)
+MAX_PAIRS = 1 << 18
 MAX_PIECES = 1 << 18
+#: Bytes held before the tokens that are settled are emitted.
+LOOKAHEAD = 1024
 #: Longest piece that is kept, and longest text whose pieces are listed at once, in characters.
 KEPT_PIECE = 48
 LISTED_TEXT = 1 << 20
@@ -53,29 +55,35 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int], below: int) -> list[int]:
 
 
 class Transducer:
-    """Bytes in, tokens out. ``moves[state][byte]`` is (state, tokens). A state holds the boundaries that still matter, each with
-    the bytes since it and the tokens, not emitted yet, up to it; and the last token emitted, where one may still follow it."""
+    """Bytes in, tokens out. A state stands for all beginnings of tokens that the bytes read may end with: it is the longest of
+    them. ``moves[state]`` maps a byte to a state, ``ends[state]`` lists the tokens, longest first, that end at this byte."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {r: t for t, r in ranks.items()}
-        self.longer = {t[:n] for t in ranks for n in range(1, len(t))}  # proper prefixes of tokens
+        self.size = max(self.bytes, default=0) + 1
+        self.begun = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.states: dict[tuple, int] = {}
-        self.keys: list[tuple[int, tuple]] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._state((-1, ((b"", ()),)))
-
-    def _state(self, key: tuple[int, tuple]) -> int:
-        n = self.states.setdefault(key, len(self.keys))
-        if n == len(self.keys):
-            self.keys.append(key)
+        self.apart: dict[int, bool] = {}
+        self.names: list[bytes] = [b""]
+        self.states: dict[bytes, int] = {b"": 0}
+        self.moves: list[dict[int, int]] = [{}]
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+
+    def _move(self, state: int, byte: int) -> int:
+        name = self.names[state] + BYTES[byte]
+        while name not in self.begun:
+            if not name:
+                raise ValueError("the ranks have no token for a byte")
+            name = name[1:]
+        target = self.states.get(name)
+        if target is None:
+            target = self.states[name] = len(self.names)
+            self.names.append(name)
             self.moves.append({})
-        return n
+            self.ends.append(tuple((len(name) - k, self.ranks[name[k:]]) for k in range(len(name)) if name[k:] in self.ranks))
+        self.moves[state][byte] = target
+        return target
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; none for a byte."""
@@ -90,73 +98,72 @@ class Transducer:
         Seen backwards in time: a pair across the boundary must not merge before the younger of its two sides is made; then that
         side is taken apart, and what it had at the boundary is the next to look at. Of equal ranks the left side is made first.
         """
-        known = self.apart.get((a, b))
-        if known is None:
-            left, right, before = a, b, (len(self.ranks), 1)
-            known = True
-            while known:
-                pair = self.ranks.get(self.bytes[left] + self.bytes[right])
-                known = pair is None or (pair, 0) >= before
-                one, two = self._halves(left), self._halves(right)
-                if two is not None and (one is None or right >= left):
-                    before, right = (right, 1), two[0]
-                elif one is not None:
-                    before, left = (left, 0), one[1]
-                else:
-                    break
-            if len(self.apart) >= MAX_STATES:
-                self.apart.clear()
-            self.apart[a, b] = known
-        return known
-
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, ways = self.keys[state]
-        kept, here = [], None
-        for tail, way in ways:
-            tail += BYTES[byte]
-            if here is None:
-                token = self.ranks.get(tail)
-                if token is not None:
-                    left = way[-1] if way else last
-                    if left < 0 or self.stays_apart(left, token):
-                        here = (*way, token)
-            if tail in self.longer:
-                kept.append((tail, way))
-        if here is None:
-            raise ValueError("the ranks have no token for a byte")
-        if kept:
-            low, high, shared = min(here, kept[0][1], kept[-1][1]), max(here, kept[0][1], kept[-1][1]), 0
-            if len(kept) > 2:
-                low, high = min(low, *(w for _, w in kept)), max(high, *(w for _, w in kept))
-            while shared < len(low) and low[shared] == high[shared]:
-                shared += 1
-            out, first = here[:shared], kept[0][1]
-            follows = len(first) == shared or len(here) == shared or any(len(w) == shared for _, w in kept)
-            kept.append((b"", here))
-            key = ((out[-1] if out else last) if follows else -2, tuple([(t, w[shared:]) for t, w in kept]) if shared else tuple(kept))
-        else:
-            out, key = here, (here[-1], ((b"", ()),))
-        move = self.moves[state][byte] = self._state(key), out
-        return move
+        left, right, before = a, b, (self.size, 1)
+        while True:
+            pair = self.ranks.get(self.bytes[left] + self.bytes[right])
+            if pair is not None and (pair, 0) < before:
+                return False
+            one, two = self._halves(left), self._halves(right)
+            if two is not None and (one is None or right >= left):
+                before, right = (right, 1), two[0]
+            elif one is not None:
+                before, left = (left, 0), one[1]
+            else:
+                return True
+
+    def _fits(self, key: int) -> bool:
+        if len(self.apart) >= MAX_PAIRS:
+            self.apart.clear()
+        fits = self.apart[key] = key < 0 or self.stays_apart(*divmod(key, self.size))  # below 0: the piece begins here
+        return fits
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.keys) >= MAX_STATES:
-            self.clear()
-        state, out, moves = 0, [], self.moves
-        for byte in piece:
-            move = moves[state].get(byte)
-            if move is None:
-                if len(self.keys) >= 2 * MAX_STATES:  # one long piece of many states: start anew from the state it is in
-                    key = self.keys[state]
-                    self.clear()
-                    state, moves = self._state(key), self.moves
-                move = self._move(state, byte)
-            state, new = move
-            if new:
-                out += new
-        out += self.keys[state][1][-1][1]
+        """Tokens of a piece. ``last[i]`` is the token that the encoding of the bytes up to i, counted from the last token
+        emitted, ends with; what lies before every beginning of a token that is still open is emitted now and then."""
+        moves, ends, apart, size = self.moves, self.ends, self.apart, self.size
+        out: list[int] = []
+        last, state = [-1], 0
+        for at in range(0, len(piece), LOOKAHEAD):
+            if at:
+                last = self._emit(last, len(self.names[state]), out)
+            n = len(last)
+            for byte in piece[at:at + LOOKAHEAD]:
+                target = moves[state].get(byte)
+                state = self._move(state, byte) if target is None else target
+                for length, token in ends[state]:
+                    if length <= n:
+                        key = last[-length] * size + token
+                        fits = apart.get(key)
+                        if self._fits(key) if fits is None else fits:
+                            break
+                else:
+                    raise ValueError("the ranks have no token for a byte")
+                last.append(token)
+                n += 1
+        out += self._way(last, len(last) - 1)
         return out
 
+    def _way(self, last: list[int], end: int) -> list[int]:
+        way = []
+        while end:
+            way.append(last[end])
+            end -= len(self.bytes[last[end]])
+        way.reverse()
+        return way
+
+    def _emit(self, last: list[int], reach: int, out: list[int]) -> list[int]:
+        """Emit the tokens that the ways to all boundaries share from which a token may still run, at most ``reach`` bytes back."""
+        ways = [self._way(last, end) for end in range(len(last) - 1 - reach, len(last))]
+        shared = 0
+        for tokens in zip(*ways):
+            if min(tokens) != max(tokens):
+                break
+            shared += 1
+        new = ways[0][:shared]
+        out += new
+        done = sum(len(self.bytes[t]) for t in new)
+        return [new[-1], *last[done + 1:]] if new else last
+
 
 class Pieces(dict):
     """Tokens of each piece met, up to MAX_PIECES short ones."""
