@@ -13,7 +13,8 @@ Bytes that are not UTF-8 decode to U+FFFD, as in Python. Equal texts have equal
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from itertools import chain
 
@@ -54,35 +55,39 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int], below: int) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+class State:
+    """All beginnings of tokens that the bytes read may end with, named by the longest of them. ``ends`` lists the tokens, longest
+    first, that end here: (length, token, tokens before it -> whether the two stay apart)."""
+
+    __slots__ = ("ends", "moves", "name")
+
+    def __init__(self, name: bytes, ends: list[tuple[int, int, dict[int, bool]]]):
+        self.name, self.ends, self.moves = name, ends, {}
+
+
 class Transducer:
-    """Bytes in, tokens out. A state stands for all beginnings of tokens that the bytes read may end with: it is the longest of
-    them. ``moves[state]`` maps a byte to a state, ``ends[state]`` lists the tokens, longest first, that end at this byte."""
+    """Bytes in, tokens out; states are made when first met."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {r: t for t, r in ranks.items()}
-        self.size = max(self.bytes, default=0) + 1
         self.begun = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.apart: dict[int, bool] = {}
-        self.names: list[bytes] = [b""]
-        self.states: dict[bytes, int] = {b"": 0}
-        self.moves: list[dict[int, int]] = [{}]
-        self.ends: list[tuple[tuple[int, int], ...]] = [()]
-
-    def _move(self, state: int, byte: int) -> int:
-        name = self.names[state] + BYTES[byte]
+        self.apart: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
+        self.states: dict[bytes, State] = {b"": State(b"", [])}
+
+    def _move(self, state: State, byte: int) -> State:
+        name = state.name + BYTES[byte]
         while name not in self.begun:
             if not name:
                 raise ValueError("the ranks have no token for a byte")
             name = name[1:]
         target = self.states.get(name)
         if target is None:
-            target = self.states[name] = len(self.names)
-            self.names.append(name)
-            self.moves.append({})
-            self.ends.append(tuple((len(name) - k, self.ranks[name[k:]]) for k in range(len(name)) if name[k:] in self.ranks))
-        self.moves[state][byte] = target
+            tokens = ((len(name) - k, self.ranks[name[k:]]) for k in range(len(name)) if name[k:] in self.ranks)
+            target = self.states[name] = State(name, [(n, t, self.apart.setdefault(t, {-1: True})) for n, t in tokens])
+        state.moves[byte] = target
         return target
 
     def _halves(self, token: int) -> tuple[int, int] | None:
@@ -98,7 +103,7 @@ class Transducer:
         Seen backwards in time: a pair across the boundary must not merge before the younger of its two sides is made; then that
         side is taken apart, and what it had at the boundary is the next to look at. Of equal ranks the left side is made first.
         """
-        left, right, before = a, b, (self.size, 1)
+        left, right, before = a, b, (len(self.ranks), 1)
         while True:
             pair = self.ranks.get(self.bytes[left] + self.bytes[right])
             if pair is not None and (pair, 0) < before:
@@ -111,45 +116,46 @@ class Transducer:
             else:
                 return True
 
-    def _fits(self, key: int) -> bool:
-        if len(self.apart) >= MAX_PAIRS:
-            self.apart.clear()
-        fits = self.apart[key] = key < 0 or self.stays_apart(*divmod(key, self.size))  # below 0: the piece begins here
+    def _fits(self, left: int, token: int) -> bool:
+        if self.pairs >= MAX_PAIRS:
+            for known in self.apart.values():
+                known.clear()
+                known[-1] = True  # before the first token of a piece there is nothing to merge with
+            self.pairs = 0
+        self.pairs += 1
+        fits = self.apart[token][left] = self.stays_apart(left, token)
         return fits
 
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of a piece. ``last[i]`` is the token that the encoding of the bytes up to i, counted from the last token
         emitted, ends with; what lies before every beginning of a token that is still open is emitted now and then."""
-        moves, ends, apart, size = self.moves, self.ends, self.apart, self.size
         out: list[int] = []
-        last, state = [-1], 0
+        last, state = [-1], self.states[b""]
         for at in range(0, len(piece), LOOKAHEAD):
             if at:
-                last = self._emit(last, len(self.names[state]), out)
+                last = self._emit(last, len(state.name), out)
             n = len(last)
             for byte in piece[at:at + LOOKAHEAD]:
-                target = moves[state].get(byte)
-                state = self._move(state, byte) if target is None else target
-                for length, token in ends[state]:
+                state = state.moves.get(byte) or self._move(state, byte)
+                for length, token, known in state.ends:
                     if length <= n:
-                        key = last[-length] * size + token
-                        fits = apart.get(key)
-                        if self._fits(key) if fits is None else fits:
+                        left = last[-length]
+                        fits = known.get(left)
+                        if self._fits(left, token) if fits is None else fits:
                             break
                 else:
                     raise ValueError("the ranks have no token for a byte")
                 last.append(token)
                 n += 1
-        out += self._way(last, len(last) - 1)
-        return out
+        return out + self._way(last, len(last) - 1) if out else self._way(last, len(last) - 1)
 
     def _way(self, last: list[int], end: int) -> list[int]:
-        way = []
+        way, names = [], self.bytes
         while end:
-            way.append(last[end])
-            end -= len(self.bytes[last[end]])
-        way.reverse()
-        return way
+            token = last[end]
+            way.append(token)
+            end -= len(names[token])
+        return way[::-1]
 
     def _emit(self, last: list[int], reach: int, out: list[int]) -> list[int]:
         """Emit the tokens that the ways to all boundaries share from which a token may still run, at most ``reach`` bytes back."""
@@ -165,30 +171,33 @@ class Transducer:
         return [new[-1], *last[done + 1:]] if new else last
 
 
-class Pieces(dict):
-    """Tokens of each piece met, up to MAX_PIECES short ones."""
+class Known(dict):
+    """Tokens, as packed ints, of the strings met, up to MAX_PIECES short ones; ``work`` gives those of others."""
 
-    def __init__(self, transducer: Transducer):
+    def __init__(self, work: Callable[[str], bytes]):
         super().__init__()
-        self.transducer = transducer
+        self.work = work
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        tokens = tuple(self.transducer.encode(piece.encode()))
-        if len(piece) <= KEPT_PIECE:
+    def __missing__(self, key: str) -> bytes:
+        tokens = self.work(key)
+        if len(key) <= KEPT_PIECE:
             if len(self) >= MAX_PIECES:
                 self.clear()
-            self[piece] = tokens
+            self[key] = tokens
         return tokens
 
 
 class Encoder:
+    """Splits by the pattern and encodes each piece."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
-        self.pieces = Pieces(Transducer(ranks))
+        self.transducer = Transducer(ranks)
+        self.pieces = Known(lambda piece: array("i", self.transducer.encode(piece.encode())).tobytes())
 
     def encode(self, text: str) -> np.ndarray:
         found: Iterable[str] = self.pattern.findall(text) if len(text) <= LISTED_TEXT else (m.group() for m in self.pattern.finditer(text))
-        return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, found)), np.int32)
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), np.int32)
 
 
 def follow(pending: bytes) -> tuple[int, int, int]:
@@ -290,6 +299,11 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name: str =
 
     def make():
         worker = decoder(held.value)
-        return lambda values: [pa.array([worker.decode(v or []) for v in values.to_pylist()], pa.string())]
+
+        def work(values):
+            ends, flat = values.offsets.to_numpy(), values.values.to_numpy()
+            return [pa.array([worker.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string())]
+
+        return work
 
     return append_columns(df, [ids], [T.StructField(name, T.StringType())], make)
