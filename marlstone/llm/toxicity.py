@@ -36,6 +36,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur ya du dich dir dein dein
 UNDO = str.maketrans("013457@$!|+", "oieastasilt")
 REPEATED = regex.compile(r"(.)\1{2,}")
 NEAR = 5
+KEPT_WORDS = 1 << 17
 FEATURES = ("hits", "hits_per_100", "strength", "strength_per_100", "strongest", "distinct", "near_second_person", "second_person_per_100",
             "undone_hits", "odd_words_per_100", "repeated_per_100", "capitals", "capital_words", "shouts", "punctuation", "log_words")
 
@@ -74,42 +75,55 @@ def undone(word: str) -> str:
     return REPEATED.sub(r"\1", word.translate(UNDO)).replace("*", "")
 
 
-def features(text: str | None, lexicon: dict[str, float], prefixes: tuple[int, ...]) -> list[float]:
+class Words(dict):
+    """What each word met brings: (word in lower case, strength, hit after undoing, odd, repeated letters, second person, capital,
+    shouted). The strength is that of the strongest term in the lexicon. Up to KEPT_WORDS are kept."""
+
+    def __init__(self, lexicon: dict[str, float], prefixes: tuple[int, ...]):
+        super().__init__()
+        self.lexicon, self.prefixes = lexicon, prefixes
+
+    def strength(self, word: str) -> float:
+        return max(self.lexicon.get(t, 0.0) for t in terms(word, self.prefixes))
+
+    def __missing__(self, raw: str) -> tuple | None:
+        word = raw.lower()
+        w, undone_hit, inner = self.strength(word), False, word.rstrip("!*+|")
+        odd = not word.isalpha() and not inner.isalpha()
+        repeated = word.isalpha() and len(word) > 3 and REPEATED.search(word) is not None
+        if (odd or repeated) and not w:
+            w = self.strength(undone(inner))
+            undone_hit = w > 0
+        out = (word, w, undone_hit, odd, repeated, word in SECOND_PERSON, raw != word, len(raw) > 1 and raw.isupper())
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[raw] = out = out if any(out[1:]) else None
+        return out
+
+
+def features(text: str | None, words: Words) -> list[float]:
     """The values of FEATURES; all 0 for a text without words."""
     raw = WORD.findall(text or "")
     n = len(raw)
     if not n:
         return [0.0] * len(FEATURES)
-    known: dict[str, float] = {}
-
-    def weight(word: str) -> float:
-        w = known.get(word)
-        if w is None:
-            w = known[word] = max(map(lexicon.get, terms(word, prefixes), [0.0] * (1 + len(prefixes))))
-        return w
-
-    hits, strength, strongest, near, undone_hits, odd, repeated, second, found = [], 0.0, 0.0, 0, 0, 0, 0, [], set()
-    lowered = [w.lower() for w in raw]
-    for i, word in enumerate(lowered):
-        w = weight(word)
-        if not word.isalpha():
-            inner = word.rstrip("!*+|")
-            if not inner.isalpha():
-                odd += 1
-                if not w:
-                    w = weight(undone(inner))
-                    undone_hits += w > 0
-        elif len(word) > 3 and REPEATED.search(word):
-            repeated += 1
-            if not w:
-                w = weight(undone(word))
-                undone_hits += w > 0
+    hits, strength, strongest, near, second, found = [], 0.0, 0.0, 0, [], set()
+    undone_hits = odd = repeated = capitals = shouting = 0
+    for i, known in enumerate(map(words.__getitem__, raw)):
+        if known is None:
+            continue
+        word, w, by_undoing, is_odd, is_repeated, is_second, capital, shouted = known
+        undone_hits += by_undoing
+        odd += is_odd
+        repeated += is_repeated
+        capitals += capital
+        shouting += shouted
         if w:
             hits.append(i)
             strength += w
             strongest = max(strongest, w)
             found.add(word)
-        if word in SECOND_PERSON:
+        if is_second:
             second.append(i)
     j = 0
     for i in hits:
@@ -117,8 +131,6 @@ def features(text: str | None, lexicon: dict[str, float], prefixes: tuple[int, .
             j += 1
         near += j < len(second) and second[j] <= i + NEAR
     letters = sum(map(len, raw))
-    shouting = sum(len(w) > 1 and w.isupper() for w in raw)
-    capitals = sum(w != v for w, v in zip(raw, lowered))
     marks = text.count("!")
     signs = marks + text.count("?") + text.count("*") + text.count("#")
     return [float(len(hits)), 100.0 * len(hits) / n, strength, 100.0 * strength / n, strongest, float(len(found)), float(near), 100.0 * len(second) / n,
@@ -129,8 +141,8 @@ def with_features(df: DataFrame, text: str, lexicon: dict[str, float], prefixes:
     held = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def make():
-        known = held.value
-        return lambda values: [pa.array([features(v, known, prefixes) for v in values.to_pylist()], pa.list_(pa.float64()))]
+        words = Words(held.value, prefixes)
+        return lambda values: [pa.array([features(v, words) for v in values.to_pylist()], pa.list_(pa.float64()))]
 
     return append_columns(df, [text], [T.StructField(name, T.ArrayType(T.DoubleType()))], make)
 
