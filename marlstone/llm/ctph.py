@@ -122,12 +122,9 @@ def in_order(df: DataFrame, id: str, text: str, rows_per_part: int = 512) -> Dat
     # The part is the number of bounds below the id, found by halving the list.
     part = F.lit(0)
     if bounds:
-        held = F.array(*[F.lit(b).cast("long") for b in bounds])
-        step = 1 << (len(bounds).bit_length() - 1)
-        while step:
-            nxt = part + step
-            part = F.when((nxt <= len(bounds)) & (F.get(held, nxt - 1) < F.col("ord")), nxt).otherwise(part)
-            step >>= 1
+        held = F.lit(bounds)
+        steps = F.lit([1 << k for k in reversed(range(len(bounds).bit_length()))])
+        part = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(held, n + step - 1) < F.col("ord"), n + step).otherwise(n))
     dealt = rows.withColumn("part", part)
     tops = sorted((r["part"], r["top"]) for r in dealt.groupBy("part").agg(F.max("ord").alias("top")).collect())
     if not tops:
