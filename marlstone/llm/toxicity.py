@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
               .join(F.broadcast(chosen.select("id", "label", "part")), F.col("_id") == F.col("id")).select("text", "label", "part"))
     lexicon = learn_lexicon(sample.filter("part = 0"), config)
     rest = cut_lineage(with_features(sample.filter("part > 0"), "text", lexicon, config.prefixes, "values")
-                       .select(array_to_vector("values").alias("features"), F.col("label").cast("double").alias("label"), "part").coalesce(4))
+                       .select(array_to_vector("values").alias("features"), F.col("label").cast("double").alias("label"), "part").repartition(8))
     enough = {p: r for p, r in ((r["part"], r["n"]) for r in rest.groupBy("part").agg(F.countDistinct("label").alias("n")).collect())}
     if not lexicon or enough.get(1, 0) < 2 or enough.get(2, 0) < 2:
         return Model(lexicon, None, None, float(base), config)
