@@ -10,8 +10,8 @@ text ends is filed under a short run of words and the trees of the groups are bu
 2. A key that one run of suffixes has cannot repeat; it ends here, before any text is shuffled.
 3. The fragments of a key with up to ``GROUP`` runs go to one group. Its sorted suffixes are the leaves of the subtree; neighbours
    that share at least ``window`` words lie below a deep internal node, a repeat. All but its earliest leaf are marked.
-4. A key with more runs has its prefix lengthened to the whole window: a node is then one 128-bit hash, whose earliest place is
-   aggregated before the shuffle, and later places are joined back. Groups of any size pass through no single task.
+4. A key with more runs has its prefix lengthened to the whole fragment, then to the whole window: a node is then one 128-bit hash,
+   whose earliest place is aggregated before the shuffle, and later places are joined back. No group passes through one task.
 
 Rows: null, empty and short texts lose nothing (a null text has no words; kept text is then null). Rows without an id lose nothing
 and are not counted as earlier. Equal rows with one id are one document. Rows that share an id but not a text are pooled by position.
@@ -25,7 +25,6 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +34,13 @@ from marlstone.session import cut_lineage, scratch
 
 WINDOW = 20
 GRAM = 6
-#: Most runs of suffixes in one group: a few hundred KB of text.
-GROUP = 1000
-#: Windows looked at together in a task.
-SLICE = 1 << 16
+#: Most runs of suffixes in one group: about one MB of text.
+GROUP = 4096
+#: Bytes of text looked at together in a task.
+STRETCH = 1 << 21
+#: The bytes between words, and a scattered 64-bit number for every byte value, by rule.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+SCATTER = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(23))
 
 
 def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,28 +55,62 @@ def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def runs(words: list[bytes], window: int = WINDOW, gram: int = GRAM):
-    """(first suffix, number of suffixes, key) for each stretch of neighbouring suffixes with one key at one place."""
-    for begin in range(0, len(words) - window + 1, SLICE):
-        part = words[begin:begin + SLICE + window - 1]
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(part))
-        n = len(part) - gram + 1
-        g = np.zeros(n, np.uint64)
-        for k in range(gram):
-            g = g * np.uint64(0x9E3779B97F4A7C15) + h[k:k + n]
-        g ^= g >> np.uint64(31)
-        g *= np.uint64(0xBF58476D1CE4E5B9)
-        g ^= g >> np.uint64(29)
-        at = leftmost_minimum(g, window - gram + 1)
-        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        counts = np.diff(np.append(starts, len(at)))
-        yield from zip((starts + begin).tolist(), counts.tolist(), g[at[starts]].view(np.int64).tolist())
-
-
-def repeated_leaves(fragments: list[tuple[int, int, bytes]], window: int = WINDOW) -> list[tuple[int, int]]:
-    """(id, start) of every suffix below a deep node of the subtree but the earliest; fragments are (id, start, words)."""
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch [begin, end) of bytes that does not depend on where it stands."""
+    values = SCATTER[data]
+    plain = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
+    values *= np.arange(len(data), dtype=np.uint64)
+    placed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
+    one = plain[ends] - plain[begins]
+    return mixed((placed[ends] - placed[begins] - begins.astype(np.uint64) * one) * np.uint64(0xD6E8FEB86659FD93) + one)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def find_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words of texts that stand one after the other, text k in [bounds[k], bounds[k + 1])."""
+    inside = ~SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1] | edge[1:-1]
+    end[:-1] &= ~inside[1:] | edge[1:-1]
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+
+def runs(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW, gram: int = GRAM):
+    """(text, first suffix, number of suffixes, key) arrays: the stretches of neighbouring suffixes with one key at one place."""
+    begins, ends = find_words(data, bounds)
+    first = np.searchsorted(begins, bounds)  # the first word of each text
+    n = len(begins)
+    if n < window:
+        return None
+    h = word_hashes(data, begins, ends)
+    g = np.zeros(n - gram + 1, np.uint64)
+    for k in range(gram):
+        g = g * np.uint64(0x9E3779B97F4A7C15) + h[k:k + len(g)]
+    g = mixed(g)
+    at = leftmost_minimum(g, window - gram + 1)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    whole = text[:len(at)] == text[window - 1:window - 1 + len(at)]  # the window does not run into the next text
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | ~whole[:-1] | ~whole[1:]
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.append(starts, len(at)))
+    kept = whole[starts]
+    starts, counts = starts[kept], counts[kept]
+    return text[starts], starts - first[text[starts]], counts, g[at[starts]].view(np.int64)
+
+
+def repeated_leaves(fragments: list[tuple[tuple[int, int], bytes]], window: int = WINDOW) -> list[tuple[int, int]]:
+    """(id, start) of every suffix below a deep node of the subtree but the earliest; fragments are ((id, start), words)."""
     leaves = []
-    for doc, start, text in fragments:
+    for (doc, start), text in fragments:
         ends = [0]
         for word in text.split(b" "):
             ends.append(ends[-1] + len(word) + 1)
@@ -96,6 +132,20 @@ def repeated_leaves(fragments: list[tuple[int, int, bytes]], window: int = WINDO
     return out
 
 
+def group_spans(group: list[tuple[int, int, bytes]], window: int = WINDOW):
+    """(id, begin, end) of the repeated words of one group of (id, start, words). Equal fragments are one: all but the earliest go
+    whole, and only the earliest of each enters the subtree."""
+    places: dict[bytes, set[tuple[int, int]]] = {}
+    for doc, start, text in group:
+        places.setdefault(text, set()).add((doc, start))
+    for text, at in places.items():
+        if len(at) > 1:
+            n, first = text.count(b" ") + 1, min(at)
+            yield from ((doc, start, start + n) for doc, start in at if (doc, start) != first)
+    if len(places) > 1:
+        yield from spans(repeated_leaves([(min(at), text) for text, at in places.items()], window), window)
+
+
 def spans(starts: list[tuple[int, int]], window: int):
     """(id, begin, end) of the words that the windows cover, neighbours merged."""
     held = None
@@ -111,31 +161,60 @@ def spans(starts: list[tuple[int, int]], window: int):
 
 
 def find_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, lo, n, key) for every run of suffixes; ``docs`` is (id, text)."""
-    schema = pa.schema([("id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("key", pa.int64())])
+    """(id, lo, n, key) for every run of suffixes; ``docs`` is (id, text) without nulls."""
+    names = ["id", "lo", "n", "key"]
 
     def run(batches):
         for batch in batches:
-            yield from row_batches(((doc, *r) for doc, text in zip(batch.column(0).to_pylist(), byte_list(batch.column(1)))
-                                    for r in runs(text.split(), window, gram)), schema, 1 << 15)
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), byte_list(batch.column(1))
+            for some, data, bounds, lead in stretches(texts):
+                found = runs(data, bounds, window, gram)
+                if found is not None:
+                    text, lo, n, key = found
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some][text]), pa.array((lo + lead).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key)], names)
+
+    def stretches(texts):
+        """Texts put together up to STRETCH bytes; a longer one by itself, in parts that overlap by a window."""
+        held, size, at = [], 0, []
+        for i, text in enumerate(texts):
+            if len(text) > STRETCH:
+                words = text.split()
+                for begin in range(0, max(len(words) - window + 1, 0), STRETCH // 8):
+                    part = b" ".join(words[begin:begin + STRETCH // 8 + window - 1])
+                    yield np.array([i]), np.frombuffer(part, np.uint8), np.array([0, len(part)]), begin
+                continue
+            if size + len(text) > STRETCH:
+                yield put_together(held, at)
+                held, size, at = [], 0, []
+            held.append(text)
+            at.append(i)
+            size += len(text)
+        if held:
+            yield put_together(held, at)
+
+    def put_together(held, at):
+        return np.array(at), np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)]), 0
 
     return docs.mapInArrow(run, "id long, lo int, n int, key long")
 
 
-def fragments(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
+def fragments(df: DataFrame, id: str, text: str, found: DataFrame, window: int) -> DataFrame:
     """(key, id, lo, words): the text of each run."""
     lists = found.groupBy("id").agg(F.collect_set(F.struct("lo", "n", "key")).alias("runs")).withColumnRenamed("id", "_id")
-    both = docs.join(lists, F.col("id") == F.col("_id")).select("id", "text", "runs")
+    both = (df.select(column(df, id), column(df, text)).join(lists, column(df, id) == F.col("_id"))
+            .select(F.col("_id"), F.col(f"`{text}`"), "runs.lo", "runs.n", "runs.key"))
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("lo", pa.int32()), ("words", pa.binary())])
 
     def run(batches):
         def rows(batch):
-            for doc, text, marks in zip(batch.column(0).to_pylist(), byte_list(batch.column(1)), batch.column(2).to_pylist()):
-                words = text.split()
-                for m in marks:
-                    part = words[m["lo"]:m["lo"] + m["n"] + window - 1]
+            lo, n, key = (batch.column(i).values.to_numpy(zero_copy_only=False).tolist() for i in (2, 3, 4))
+            ends = batch.column(2).offsets.to_numpy().tolist()
+            for doc, text, a, b in zip(batch.column(0).to_pylist(), byte_list(batch.column(1)), ends, ends[1:]):
+                words = text.split() if text else []
+                for begin, count, k in zip(lo[a:b], n[a:b], key[a:b]):
+                    part = words[begin:begin + count + window - 1]
                     if len(part) >= window:
-                        yield m["key"], doc, m["lo"], b" ".join(part)
+                        yield k, doc, begin, b" ".join(part)
 
         for batch in batches:
             yield from row_batches(rows(batch), schema)
@@ -149,19 +228,19 @@ def marked_in_groups(pieces: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
-        yield from row_batches((s for _, group in groupby(rows, key=itemgetter(0))
-                                for s in spans(repeated_leaves([r[1:] for r in group], window), window)), schema)
+        yield from row_batches((s for _, group in groupby(rows, key=itemgetter(0)) for s in group_spans([r[1:] for r in group], window)), schema)
 
     return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, begin long, end long")
 
 
 def marked_by_window(pieces: DataFrame, window: int) -> DataFrame:
-    """(id, begin, end) by the whole window as the prefix, for keys of any size."""
-    schema = pa.schema([("node", pa.binary()), ("id", pa.int64()), ("start", pa.int64())])
+    """(id, begin, end) by the whole window as the prefix, for keys of any size. Equal fragments are one: their earliest place is
+    aggregated before the shuffle, later ones go whole, and only the windows of the earliest are looked at one by one."""
+    schema = pa.schema([("node", pa.binary()), ("id", pa.int64()), ("begin", pa.int64())])
 
     def run(batches):
         def rows(batch):
-            for doc, lo, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for doc, lo, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = text.split(b" ")
                 for i in range(len(words) - window + 1):
                     yield md5(b" ".join(words[i:i + window])).digest(), doc, lo + i
@@ -169,12 +248,20 @@ def marked_by_window(pieces: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             yield from row_batches(rows(batch), schema)
 
-    leaves = pieces.mapInArrow(run, "node binary, id long, start long")
-    place = F.struct("id", "start")
-    first = leaves.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    known = cut_lineage(first.select(F.col("node").alias("known"), "first"))
-    return (leaves.join(known, F.col("node") == F.col("known")).filter(place > F.col("first"))
-            .select("id", F.col("start").alias("begin"), (F.col("start") + window).alias("end")))
+    def later(places: DataFrame, first: DataFrame) -> DataFrame:
+        """The places (node, id, begin, ...) whose node has an earlier one; both sides are plain shuffles, so a frequent node can be split."""
+        known = cut_lineage(first.filter("first <> last").select(F.col("node").alias("known"), "first"))
+        return places.join(known, F.col("node") == F.col("known")).filter(F.struct("id", "begin") > F.col("first"))
+
+    whole = pieces.select(F.unhex(F.md5("words")).alias("node"), "id", F.col("lo").cast("long").alias("begin"), "words")
+    earliest = cut_lineage(whole.groupBy("node").agg(F.min(F.struct("id", "begin", "words")).alias("first"), F.max(F.struct("id", "begin")).alias("last")))
+    copies = later(whole.select("node", "id", "begin", (F.regexp_count(F.col("words").cast("string"), F.lit(" ")) + 1).alias("n")),
+                   earliest.select("node", F.struct("first.id", "first.begin").alias("first"), "last"))
+    leaves = earliest.select("first.id", "first.begin", "first.words").mapInArrow(run, "node binary, id long, begin long")
+    place = F.struct("id", "begin")
+    nodes = later(leaves, leaves.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last")))
+    return (copies.select("id", "begin", (F.col("begin") + F.col("n")).alias("end"))
+            .unionByName(nodes.select("id", "begin", (F.col("begin") + window).alias("end"))))
 
 
 def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP,
@@ -184,31 +271,37 @@ def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", wind
         raise ValueError("gram must be between 1 and window")
     spark = df.sparkSession
     small_batches(spark)
-    docs = df.select(column(df, id).cast("long").alias("id"), column(df, text).alias("text"))
-    own = docs.filter("id is not null and text is not null")
+    own = df.select(column(df, id).cast("long").alias("id"), column(df, text).alias("text")).filter("id is not null and text is not null")
     found = find_runs(own, window, gram)
     # Only keys met more than once go on; both sides of the join are plain shuffles, so a frequent key can be split.
     keys = cut_lineage(found.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("key").alias("_key"), "size"))
     place = scratch(spark, "substring-runs")
     found.join(keys, F.col("key") == F.col("_key")).select("id", "lo", "n", "key", (F.col("size") > group).alias("large")).write.parquet(place)
     again = spark.read.schema("id long, lo int, n int, key long, large boolean").parquet(place)
-    marked = (marked_in_groups(fragments(own, again.filter("not large"), window), window)
-              .unionByName(marked_by_window(fragments(own, again.filter("large"), window), window)))
-    cuts, key = fresh(df, "cuts", "cut_id")
-    lists = marked.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias(cuts)).withColumnRenamed("id", key)
-    joined = df.join(lists, column(df, id).cast("long") == F.col(key), "left").select(*[F.col(f"`{c}`") for c in df.columns], cuts)
+    marked = (marked_in_groups(fragments(df, id, text, again.filter("not large"), window), window)
+              .unionByName(marked_by_window(fragments(df, id, text, again.filter("large"), window), window)))
+    begins, ends, key = fresh(df, "cut_begins", "cut_ends", "cut_id")
+    # Every id has a list, if an empty one: all joins of the texts are then alike, and their shuffle is done once.
+    every = marked.unionByName(df.select(column(df, id).cast("long").alias("id")), allowMissingColumns=True)
+    lists = every.groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_list(F.when(F.col("begin").isNotNull(), F.struct("begin", "end")))).alias(begins))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    none = F.array().cast("array<long>")
+    joined = (df.join(lists, column(df, id) == F.col(key)).select(*columns, F.col(f"{begins}.begin").alias(begins), F.col(f"{begins}.end").alias(ends))
+              .unionByName(df.filter(column(df, id).isNull()).select(*columns, none.alias(begins), none.alias(ends))))
 
     def make():
-        def work(values, marks):
+        def work(values, first, after):
             out = []
-            for value, cut in zip(byte_list(values), marks.to_pylist()):
+            flat_a, flat_b = (c.values.to_numpy(zero_copy_only=False).tolist() for c in (first, after))
+            at = first.offsets.to_numpy().tolist()
+            for value, a, b in zip(byte_list(values), at, at[1:]):
                 words = value.split() if value is not None else []
-                n, kept, at = len(words), [], 0
-                for begin, end in sorted((c["begin"], c["end"]) for c in cut or ()):
-                    if begin > at:
-                        kept += words[at:begin]
-                    at = max(at, end)
-                kept += words[at:]
+                n, kept, reached = len(words), [], 0
+                for begin, end in zip(flat_a[a:b], flat_b[a:b]):
+                    if begin > reached:
+                        kept += words[reached:begin]
+                    reached = max(reached, end)
+                kept += words[reached:]
                 out.append((n, n - len(kept), None if value is None else b" ".join(kept)))
             n, removed, kept = zip(*out) if out else ((), (), ())
             return [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
@@ -216,4 +309,4 @@ def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", wind
         return work
 
     fields = [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.StringType())]
-    return append_columns(joined, [text, cuts], fields, make).drop(cuts)
+    return append_columns(joined, [text, begins, ends], fields, make).drop(begins, ends)
