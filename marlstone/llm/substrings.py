@@ -10,8 +10,11 @@ text ends is filed under a short run of words and the trees of the groups are bu
 2. A key that one run of suffixes has cannot repeat; it ends here, before any text is shuffled.
 3. The fragments of a key with up to ``GROUP`` runs go to one group. Its sorted suffixes are the leaves of the subtree; neighbours
    that share at least ``window`` words lie below a deep internal node, a repeat. All but its earliest leaf are marked.
-4. A key with more runs has its prefix lengthened to the whole fragment, then to the whole window: a node is then one 128-bit hash,
-   whose earliest place is aggregated before the shuffle, and later places are joined back. No group passes through one task.
+4. Of a key with more runs, equal fragments become one first: the earliest place is aggregated before the shuffle, the others go
+   whole. If more than ``GROUP`` different fragments are left, the prefix is lengthened to the whole window: a node is then one
+   128-bit hash, whose earliest place is aggregated and to which the later places are joined. No group passes through one task.
+
+The shuffle of the texts is the same for all these joins and for the last one, so it is done once.
 
 Rows: null, empty and short texts lose nothing (a null text has no words; kept text is then null). Rows without an id lose nothing
 and are not counted as earlier. Equal rows with one id are one document. Rows that share an id but not a text are pooled by position.
@@ -36,6 +39,8 @@ WINDOW = 20
 GRAM = 6
 #: Most runs of suffixes in one group: about one MB of text.
 GROUP = 4096
+#: Tasks over which the rows of one key are dealt in joins.
+SALTS = 16
 #: Bytes of text looked at together in a task.
 STRETCH = 1 << 21
 #: The bytes between words, and a scattered 64-bit number for every byte value, by rule.
@@ -233,9 +238,29 @@ def marked_in_groups(pieces: DataFrame, window: int) -> DataFrame:
     return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, begin long, end long")
 
 
+def dealt(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``df`` joined to ``table``, which has each ``key`` once; rows of one key are dealt over SALTS tasks."""
+    left = df.withColumn("_salt", F.pmod(F.xxhash64("id", "begin"), F.lit(SALTS)).cast("int"))
+    right = table.withColumnRenamed(key, "_key").withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_r_salt"))).drop("_key", "_salt", "_r_salt")
+
+
+def later(places: DataFrame, first: DataFrame, node: str) -> DataFrame:
+    """The places (node, id, begin, ...) that are not the first of their node; ``first`` is (node, first, last)."""
+    return dealt(places, first.filter("first <> last").select(node, "first"), node).filter(F.struct("id", "begin") > F.col("first"))
+
+
+def merged_pieces(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal fragments of a key as one: (key, id, begin, words) of the earliest, and (id, begin, end) of the others."""
+    whole = pieces.select("key", F.unhex(F.md5("words")).alias("node"), "id", F.col("lo").cast("long").alias("begin"), "words")
+    one = whole.groupBy("key", "node").agg(F.min(F.struct("id", "begin", "words")).alias("first"), F.max(F.struct("id", "begin")).alias("last"))
+    places = whole.select("node", "id", "begin", (F.regexp_count(F.col("words").cast("string"), F.lit(" ")) + 1).alias("n"))
+    copies = later(places, one.select("node", F.struct("first.id", "first.begin").alias("first"), "last"), "node")
+    return one.select("key", "first.id", "first.begin", "first.words"), copies.select("id", "begin", (F.col("begin") + F.col("n")).alias("end"))
+
+
 def marked_by_window(pieces: DataFrame, window: int) -> DataFrame:
-    """(id, begin, end) by the whole window as the prefix, for keys of any size. Equal fragments are one: their earliest place is
-    aggregated before the shuffle, later ones go whole, and only the windows of the earliest are looked at one by one."""
+    """(id, begin, end) by the whole window as the prefix, for keys of any size; ``pieces`` is (key, id, begin, words)."""
     schema = pa.schema([("node", pa.binary()), ("id", pa.int64()), ("begin", pa.int64())])
 
     def run(batches):
@@ -248,20 +273,10 @@ def marked_by_window(pieces: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             yield from row_batches(rows(batch), schema)
 
-    def later(places: DataFrame, first: DataFrame) -> DataFrame:
-        """The places (node, id, begin, ...) whose node has an earlier one; both sides are plain shuffles, so a frequent node can be split."""
-        known = cut_lineage(first.filter("first <> last").select(F.col("node").alias("known"), "first"))
-        return places.join(known, F.col("node") == F.col("known")).filter(F.struct("id", "begin") > F.col("first"))
-
-    whole = pieces.select(F.unhex(F.md5("words")).alias("node"), "id", F.col("lo").cast("long").alias("begin"), "words")
-    earliest = cut_lineage(whole.groupBy("node").agg(F.min(F.struct("id", "begin", "words")).alias("first"), F.max(F.struct("id", "begin")).alias("last")))
-    copies = later(whole.select("node", "id", "begin", (F.regexp_count(F.col("words").cast("string"), F.lit(" ")) + 1).alias("n")),
-                   earliest.select("node", F.struct("first.id", "first.begin").alias("first"), "last"))
-    leaves = earliest.select("first.id", "first.begin", "first.words").mapInArrow(run, "node binary, id long, begin long")
+    leaves = pieces.select("id", "begin", "words").mapInArrow(run, "node binary, id long, begin long")
     place = F.struct("id", "begin")
-    nodes = later(leaves, leaves.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last")))
-    return (copies.select("id", "begin", (F.col("begin") + F.col("n")).alias("end"))
-            .unionByName(nodes.select("id", "begin", (F.col("begin") + window).alias("end"))))
+    nodes = later(leaves, leaves.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last")), "node")
+    return nodes.select("id", "begin", (F.col("begin") + window).alias("end"))
 
 
 def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP,
@@ -278,8 +293,12 @@ def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", wind
     place = scratch(spark, "substring-runs")
     found.join(keys, F.col("key") == F.col("_key")).select("id", "lo", "n", "key", (F.col("size") > group).alias("large")).write.parquet(place)
     again = spark.read.schema("id long, lo int, n int, key long, large boolean").parquet(place)
-    marked = (marked_in_groups(fragments(df, id, text, again.filter("not large"), window), window)
-              .unionByName(marked_by_window(fragments(df, id, text, again.filter("large"), window), window)))
+    small = fragments(df, id, text, again.filter("not large"), window).select("key", "id", F.col("lo").cast("long").alias("begin"), "words")
+    merged, copies = merged_pieces(fragments(df, id, text, again.filter("large"), window))
+    sized = dealt(merged, merged.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
+    fitting = sized.filter(F.col("size") <= group).drop("size")
+    marked = (marked_in_groups(small.unionByName(fitting), window).unionByName(copies)
+              .unionByName(marked_by_window(sized.filter(F.col("size") > group).drop("size"), window)))
     begins, ends, key = fresh(df, "cut_begins", "cut_ends", "cut_id")
     # Every id has a list, if an empty one: all joins of the texts are then alike, and their shuffle is done once.
     every = marked.unionByName(df.select(column(df, id).cast("long").alias("id")), allowMissingColumns=True)
