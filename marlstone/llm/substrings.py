@@ -37,12 +37,12 @@ from marlstone.session import cut_lineage, scratch
 
 WINDOW = 20
 GRAM = 6
-#: Most runs of suffixes in one group: about one MB of text.
-GROUP = 4096
+#: Most runs of suffixes in one group: some hundred KB of text.
+GROUP = 1024
 #: Tasks over which the rows of one key are dealt in joins.
 SALTS = 16
 #: Bytes of text looked at together in a task.
-STRETCH = 1 << 21
+STRETCH = 1 << 20
 #: The bytes between words, and a scattered 64-bit number for every byte value, by rule.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 SCATTER = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(23))
