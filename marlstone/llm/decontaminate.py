@@ -23,10 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.batches import append_columns, byte_list, column, fresh, small_batches
+from marlstone.session import cut_lineage
 
 WINDOW = 13
 #: Most words of benchmark items per automaton: some tens of MB in a worker.
 BLOCK_WORDS = 200_000
+#: Blocks applied one after the other before what they found is written down.
+CHAINED = 16
 
 #: Every byte that is not part of a word becomes a space; A-Z become a-z.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -216,7 +219,9 @@ def scan(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "it
         return make
 
     out = None
-    for block in blocks(items, item_id, item_text, window, block_words):
+    for k, block in enumerate(blocks(items, item_id, item_text, window, block_words)):
+        if k and k % CHAINED == 0:
+            out = cut_lineage(out)
         held = sc.broadcast(block)
         if out is None:
             out = append_columns(df, [text], fields, stage(held))
