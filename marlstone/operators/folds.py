@@ -16,8 +16,8 @@ from marlstone.functions.columns import micros, null_safe_join
 from marlstone.operators.windows import DAY, numbered, range_frame, rows_frame, running
 from marlstone.session import cut_lineage
 
-#: Rows per chunk (a >= 0.9 keeps the product of 2000 factors above 1e-92) and chunk maps per group.
-CHUNK, MAPS = 2000, 1000
+#: Rows per chunk, chunk maps per group, and how far the product of factors may fall within a segment, as a logarithm.
+CHUNK, MAPS, FALL = 2000, 1000, 200.0
 
 
 def _running_fold(maps: str, start: Column) -> Column:
@@ -37,7 +37,7 @@ def _collapse(maps: str) -> Column:
 
 
 def _carry_in(chunks: DataFrame, keys: list[str], start: float, maps: int) -> DataFrame:
-    """Value before each chunk, from the (key, idx, a, b) maps of the chunks, in two ordered levels."""
+    """Value before each segment, from the (key, idx, a, b) maps of the segments, in two ordered levels."""
     ordered = lambda idx: F.array_sort(F.collect_list(F.struct(F.col(idx).alias("idx"), "a", "b")))
     groups = chunks.withColumn("_sup", F.floor(F.col("idx") / maps)).groupBy(*keys, "_sup").agg(ordered("idx").alias("_maps"))
     whole = groups.select(*keys, "_sup", _collapse("_maps").alias("_m")).select(*keys, "_sup", "_m.a", "_m.b")
@@ -50,24 +50,32 @@ def _carry_in(chunks: DataFrame, keys: list[str], start: float, maps: int) -> Da
 def affine_scan(df: DataFrame, keys: list[str], ts: str, ties: list[str], a: Column, b: Column, out: str,
                 start: float = 0.0, slice_seconds: float = DAY, chunk_rows: int = CHUNK, maps: int = MAPS,
                 has_rn: bool = False) -> DataFrame:
-    """Add ``out`` = a * (previous out) + b in (ts, ties) order; a > 0; ``_rn`` may be used in a and b.
+    """Add ``out`` = a * (previous out) + b in (ts, ties) order; a in [0, 1]; ``_rn`` may be used in a and b.
 
-    Inside a chunk the solution is P * (x0 + sum(b / P)) with P the running product of a. The solved chunks
-    are read twice (their last rows make the chunk maps), hence the checkpoint. With ``has_rn`` the frame
-    already holds the row number ``_rn``, which then stays.
+    A chunk is cut into segments, so that the product of factors after a segment's first row stays above exp(-2 * FALL); a row whose
+    factor is 0 or that small begins a segment. Inside one, with P the running product after the first row, the solution is
+    P * (a1 * x0 + b1 + sum(b / P)). The solved segments are read twice (their last rows make the maps), hence the checkpoint.
+    With ``has_rn`` the frame already holds the row number ``_rn``, which then stays.
     """
     d = (df if has_rn else numbered(df, keys, ts, ties, slice_seconds)).withColumns({"_a": a.cast("double"), "_b": b.cast("double")}) \
         .withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows))
+    # Segments count the falls so far and the factors that are too small; their number grows with the rows of the chunk.
     w = Window.partitionBy(*keys, "_chunk").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_log", F.sum(F.log("_a")).over(w)).withColumn("_s", F.sum(F.col("_b") * F.exp(-F.col("_log"))).over(w))
-    d = cut_lineage(d)
-    ends = d.groupBy(*keys, "_chunk").agg(F.max_by(F.struct("_log", "_s"), "_rn").alias("_e"))
-    chunks = ends.select(*keys, F.col("_chunk").alias("idx"), F.exp("_e._log").alias("a"),
+    low = F.col("_a") < F.exp(F.lit(-FALL))
+    fallen = F.sum(F.when(low, 0.0).otherwise(F.greatest(-F.log("_a"), F.lit(0.0)))).over(w)
+    d = d.withColumn("_chunk", F.col("_chunk") * (2 * chunk_rows + 1) + F.floor(fallen / FALL) + F.sum(low.cast("long")).over(w))
+    part = Window.partitionBy(*keys, "_chunk").orderBy("_rn")
+    w = part.rowsBetween(Window.unboundedPreceding, 0)
+    first = F.row_number().over(part) == 1
+    d = d.withColumn("_log", F.sum(F.when(first, 0.0).otherwise(F.log("_a"))).over(w)).withColumn("_a1", F.first("_a").over(w))
+    d = cut_lineage(d.withColumn("_s", F.sum(F.col("_b") * F.exp(-F.col("_log"))).over(w)))
+    ends = d.groupBy(*keys, "_chunk").agg(F.max_by(F.struct("_log", "_s", "_a1"), "_rn").alias("_e"))
+    chunks = ends.select(*keys, F.col("_chunk").alias("idx"), (F.exp("_e._log") * F.col("_e._a1")).alias("a"),
                          (F.exp("_e._log") * F.col("_e._s")).alias("b"))
-    carry = _carry_in(chunks, keys, start, maps).withColumnsRenamed({"idx": "_chunk", "x": "_x0"})
+    carry = _carry_in(chunks, keys, start, maps * (2 * chunk_rows + 1)).withColumnsRenamed({"idx": "_chunk", "x": "_x0"})
     return (null_safe_join(d, carry, [*keys, "_chunk"])
-            .withColumn(out, F.exp("_log") * (F.col("_x0") + F.col("_s")))
-            .drop("_a", "_b", "_chunk", "_log", "_s", "_x0", *([] if has_rn else ["_rn"])))
+            .withColumn(out, F.exp("_log") * (F.col("_a1") * F.col("_x0") + F.col("_s")))
+            .drop("_a", "_b", "_a1", "_chunk", "_log", "_s", "_x0", *([] if has_rn else ["_rn"])))
 
 
 def ema(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: Column, out: str, keep: float = 0.9,

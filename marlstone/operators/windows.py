@@ -140,16 +140,31 @@ def running(df: DataFrame, keys: list[str], ts: str, ties: list[str],
 
 def running_moments(df: DataFrame, keys: list[str], ts: str, ties: list[str], value: Column,
                     prefix: str, include_current: bool = True, slice_seconds: float = DAY) -> DataFrame:
-    """Running count, mean and population deviation of ``value``: ``{prefix}_n/_mean/_std``."""
+    """Running count, mean and population deviation of ``value``: ``{prefix}_n/_mean/_std``.
+
+    Count, mean and sum of squared deviations are merged, not raw squares, so values far from zero keep their deviation: slices
+    are measured around the mean of all earlier and later ones, and a row merges its slice so far with the slices before.
+    """
     v = value.cast("double")
-    out = running(df, keys, ts, ties, {
-        f"{prefix}_n": ("count", v), f"{prefix}_s1": ("sum", v), f"{prefix}_s2": ("sum", v * v),
-    }, include_current, slice_seconds)
-    n, s1, s2 = F.col(f"{prefix}_n"), F.col(f"{prefix}_s1"), F.col(f"{prefix}_s2")
-    mean = s1 / F.nullif(n, F.lit(0))
-    var = F.greatest(s2 / F.nullif(n, F.lit(0)) - mean * mean, F.lit(0.0))
-    return (out.withColumns({f"{prefix}_mean": mean, f"{prefix}_std": F.sqrt(var)})
-            .drop(f"{prefix}_s1", f"{prefix}_s2"))
+    base = df.withColumn("_slice", _slice_of(ts, slice_seconds))
+    partial = base.groupBy(*keys, "_slice").agg(F.count(v).alias("_n"), F.avg(v).alias("_m"), (F.var_pop(v) * F.count(v)).alias("_q"))
+    every = Window.partitionBy(*keys)
+    centred = partial.withColumn("_c", F.sum(F.col("_n") * F.col("_m")).over(every) / F.sum("_n").over(every)).withColumn("_d", F.col("_m") - F.col("_c"))
+    earlier = every.orderBy(F.col("_slice").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    n1, s1 = F.sum("_n").over(earlier), F.sum(F.col("_n") * F.col("_d")).over(earlier)
+    between = F.greatest(F.sum(F.col("_n") * F.col("_d") * F.col("_d")).over(earlier) - s1 * s1 / F.nullif(n1, F.lit(0)), F.lit(0.0))
+    carry = centred.select(*keys, "_slice", n1.alias("_n1"), (F.col("_c") + s1 / F.nullif(n1, F.lit(0))).alias("_m1"), (F.sum("_q").over(earlier) + between).alias("_q1"))
+    inner = Window.partitionBy(*keys, "_slice").orderBy(ts, *ties).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    local = base.withColumns({"_n2": F.count(v).over(inner), "_m2": F.avg(v).over(inner), "_q2": F.var_pop(v).over(inner) * F.count(v).over(inner)})
+    joined = null_safe_join(local, carry, [*keys, "_slice"], "left")
+    n1, n2 = F.coalesce("_n1", F.lit(0)), F.coalesce("_n2", F.lit(0))
+    n = n1 + n2
+    whole = F.nullif(n, F.lit(0))
+    step = F.col("_m2") - F.col("_m1")
+    mean = F.when(n1 == 0, F.col("_m2")).when(n2 == 0, F.col("_m1")).otherwise(F.col("_m1") + step * n2 / whole)
+    squares = F.coalesce("_q1", F.lit(0.0)) + F.coalesce("_q2", F.lit(0.0)) + F.when((n1 > 0) & (n2 > 0), step * step * n1 * n2 / whole).otherwise(0.0)
+    return (joined.withColumns({f"{prefix}_n": n, f"{prefix}_mean": mean, f"{prefix}_std": F.sqrt(squares / whole)})
+            .drop("_slice", "_n1", "_m1", "_q1", "_n2", "_m2", "_q2"))
 
 
 def value_slices(df: DataFrame, keys: list[str], value: str, slices: int = 64, out: str = "_cut") -> DataFrame:

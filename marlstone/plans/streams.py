@@ -109,7 +109,7 @@ def _(t):
     table = scratch(t.spark, "table")
     sn.publish(t.customer.filter("c_acctbal > 0"), table, at="2024-01-01 10:00:00")
     sn.publish(t.customer, table, at="2024-01-01 14:00:00")
-    sn.publish(t.customer.limit(5), table, at="2024-01-01 16:00:00")
+    sn.publish(t.customer.filter("c_acctbal <= 0"), table, at="2024-01-01 16:00:00")
     sn.rollback(t.spark, table, 1)
     n = lambda d: d.agg(F.count(F.lit(1))).scalar()
     return t.spark.range(1).select(
@@ -162,12 +162,13 @@ def _(t):
 @query("snk5_upsert_stream", "SNK5 CDC3 STR11 SRC9", f"""with {CHANGES_SQL} select user_id, event_id, op operation from changes qualify row_number() over (partition by user_id order by ts_ms desc, event_id desc) = 1""")
 def _(t):
     from marlstone.plans.derived import changes
+    from marlstone.sources import snapshots
     flat = changes(t).select(F.coalesce("before.user_id", "after.user_id").alias("user_id"), "event_id", F.col("op").alias("operation"), "ts_ms")
     path = sliced_files(t, flat.withColumn("_t", F.timestamp_millis("ts_ms")), "_t")
     table = scratch(t.spark, "table")
     s = file_stream(t.spark, path + "/*", "user_id long, event_id long, operation string, ts_ms long", max_files=1)
     run_available(s, jobs.upsert_writer(table, ["user_id"], ["ts_ms", "event_id"]))
-    return t.spark.read.parquet(f"{table}/version=2").select("user_id", "event_id", "operation")
+    return snapshots.read(t.spark, table).select("user_id", "event_id", "operation")
 
 
 @query("str9_routed_outputs", "STR9 SET3", "select 'alerts' route, count(*) n from events where event_type = 'error' union all select 'large', count(*) from events where value > 100")

@@ -1,15 +1,18 @@
 """Versioned tables as snapshot folders with a small manifest: time travel, history, rollback, retention.
 
-``<table>/data/version=N`` holds a snapshot, ``<table>/manifest`` one small JSON row per published version.
-A version counts only once its manifest row is written, so a failed write is never read.
+Every snapshot has a folder of its own below ``<table>/data``; ``<table>/manifest`` has one small JSON row per published version
+with the name of its folder. A version counts only once its manifest row is written, so a failed write is never read. Of two
+writers that publish the same number at once, the folder first in name order keeps it, and the other publishes itself anew.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "version bigint, committed_at timestamp, operation string, source_version bigint, expired boolean"
+MANIFEST = "version bigint, committed_at timestamp, operation string, source_version bigint, expired boolean, folder string, batch bigint"
 
 
 def _manifest(spark: SparkSession, table: str) -> DataFrame:
@@ -25,13 +28,14 @@ def history(spark: SparkSession, table: str) -> DataFrame:
     """Published versions, newest first; expired ones are marked."""
     m = _manifest(spark, table)
     return m.groupBy("version").agg(F.min("committed_at").alias("committed_at"), F.first("operation", ignorenulls=True).alias("operation"),
-                                    F.first("source_version", ignorenulls=True).alias("source_version"), F.bool_or(F.coalesce("expired", F.lit(False))).alias("expired")) \
+                                    F.first("source_version", ignorenulls=True).alias("source_version"), F.bool_or(F.coalesce("expired", F.lit(False))).alias("expired"),
+                                    F.min("folder").alias("folder"), F.max("batch").alias("batch")) \
         .orderBy(F.col("version").desc())
 
 
-def _log(spark, table, version, operation, source=None, at=None, expired=False):
+def _log(spark, table, version, operation, source=None, at=None, expired=False, folder=None, batch=None):
     row = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), (F.lit(at).cast("timestamp") if at else F.current_timestamp()).alias("committed_at"),
-                                F.lit(operation).alias("operation"), F.lit(source).cast("bigint").alias("source_version"), F.lit(expired).alias("expired"))
+                                F.lit(operation).alias("operation"), F.lit(source).cast("bigint").alias("source_version"), F.lit(expired).alias("expired"), F.lit(folder).cast("string").alias("folder"), F.lit(batch).cast("bigint").alias("batch"))
     row.coalesce(1).write.mode("append").json(f"{table}/manifest")
 
 
@@ -43,13 +47,15 @@ def current_version(spark: SparkSession, table: str, at: str | None = None) -> i
     return h.agg(F.max("version").alias("v")).first()["v"] or 0
 
 
-def publish(df: DataFrame, table: str, operation: str = "overwrite", at: str | None = None) -> int:
-    """Write a snapshot and make it the current version."""
-    spark = df.sparkSession
-    version = (_manifest(spark, table).agg(F.max("version").alias("v")).first()["v"] or 0) + 1
-    df.write.mode("overwrite").parquet(f"{table}/data/version={version}")
-    _log(spark, table, version, operation, at=at)
-    return version
+def publish(df: DataFrame, table: str, operation: str = "overwrite", at: str | None = None, batch: int | None = None) -> int:
+    """Write a snapshot into a new folder and make it the current version; ``batch`` is noted in the manifest."""
+    spark, folder = df.sparkSession, f"snapshot-{uuid.uuid4().hex}"
+    df.write.parquet(f"{table}/data/{folder}")
+    while True:
+        version = (_manifest(spark, table).agg(F.max("version").alias("v")).first()["v"] or 0) + 1
+        _log(spark, table, version, operation, at=at, folder=folder, batch=batch)
+        if history(spark, table).filter(F.col("version") == version).first()["folder"] == folder:
+            return version
 
 
 def read(spark: SparkSession, table: str, version: int | None = None, at: str | None = None) -> DataFrame:
@@ -59,7 +65,9 @@ def read(spark: SparkSession, table: str, version: int | None = None, at: str |
     source = history(spark, table).filter(F.col("version") == v).first()
     if source is None or source["expired"]:
         raise ValueError(f"version {v} is not readable")
-    return spark.read.parquet(f"{table}/data/version={source['source_version'] or v}")
+    if source["source_version"]:
+        source = history(spark, table).filter(F.col("version") == source["source_version"]).first()
+    return spark.read.parquet(f"{table}/data/{source['folder']}")
 
 
 def rollback(spark: SparkSession, table: str, version: int) -> int:

@@ -93,22 +93,25 @@ def lake_writer(path: str, hot: str | None = None, max_records: int = 1_000_000,
 
 
 def upsert_writer(path: str, keys: list[str], order: list[str]):
-    """Keep a keyed table up to date: each batch merges into the newest version and becomes the next one.
+    """Keep a keyed table up to date: each batch merges into the newest published snapshot and is published as the next one.
 
-    A version is written before anybody reads it; a repeated batch reads the version before it again.
+    Only a table without any version starts from the batch alone; every other error ends the stream. A repeated batch merges the
+    same rows once more, which changes nothing, and a new stream on an old table goes on from what the table holds.
     """
     def write(df: DataFrame, batch: int) -> None:
-        from pyspark.errors import AnalysisException
-
         from marlstone.operators.merge import upsert
+        from marlstone.sources import snapshots
         rest = [c for c in df.columns if c not in keys]
         new = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("s")).select(*keys, "s.*")
-        try:
-            old = df.sparkSession.read.parquet(f"{path}/version={batch - 1}")
+        version = snapshots.current_version(df.sparkSession, path)
+        if version:
+            old = snapshots.read(df.sparkSession, path, version)
+            kinds = {f.name: f.dataType for f in old.schema.fields}
+            changed = [f.name for f in new.schema.fields if f.name in kinds and f.dataType != kinds[f.name]]
+            if changed:
+                raise ValueError(f"the type of {changed} differs from the table's")
             new = upsert(old, new, keys)
-        except AnalysisException:
-            pass  # the first batch has no version before it
-        new.write.mode("overwrite").parquet(f"{path}/version={batch}")
+        snapshots.publish(new, path, "upsert", batch=batch)
     return write
 
 

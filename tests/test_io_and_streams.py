@@ -87,7 +87,22 @@ def test_upsert_writer_repeats_a_batch(spark):
     two = spark.createDataFrame([("a", 3), ("a", 2), ("c", 1)], "k string, v int")
     write(two, 1)
     write(two, 1)
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{t}/version=1").select("k", "v").collect()) == [("a", 3), ("b", 1), ("c", 1)]
+    rows = lambda: sorted(tuple(r) for r in sn.read(spark, t).select("k", "v").collect())
+    assert rows() == [("a", 3), ("b", 1), ("c", 1)]
+    write(spark.createDataFrame([("d", 1)], "k string, v int"), 7)  # a gap, then a new stream on the old table
+    write(spark.createDataFrame([("a", 9)], "k string, v int"), 0)
+    assert rows() == [("a", 9), ("b", 1), ("c", 1), ("d", 1)]
+    with pytest.raises(Exception):
+        write(spark.createDataFrame([("a", "x")], "k string, v string"), 1)
+    assert rows() == [("a", 9), ("b", 1), ("c", 1), ("d", 1)]
+
+
+def test_two_writers_of_one_version_keep_both(spark):
+    t = scratch(spark, "race")
+    sn.publish(spark.range(3), t)
+    spark.range(5).write.parquet(f"{t}/data/other")
+    sn._log(spark, t, 2, "overwrite", folder="other")
+    assert sn.publish(spark.range(7), t) == 3 and sn.read(spark, t, 2).count() == 5 and sn.read(spark, t).count() == 7
 
 
 def test_silence_timer(spark):

@@ -118,3 +118,28 @@ def test_empty_input(rows):
     assert wd.rows_frame(none, ["k"], "ts", ["id"], lambda w: {"m": F.lag("x").over(w)}, before=1).count() == 0
     assert wd.running(none, ["k"], "ts", ["id"], {"s": ("sum", F.col("x"))}).count() == 0
     assert exact_quantiles(none, ["k"], F.col("x"), {"m": 0.5}).count() == 0
+
+
+def _series(spark, values):
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 1, 1)
+    return spark.createDataFrame([("k", t0 + timedelta(minutes=13 * i), i, float(v)) for i, v in enumerate(values)], "k string, ts timestamp_ntz, i int, v double")
+
+
+def test_moving_average_with_any_decay(spark):
+    values = [(i * 37) % 101 for i in range(3200)]
+    df = _series(spark, values)
+    for keep in (0.0, 1e-200, 0.3, 0.5, 0.6, 0.9, 1.0):
+        got = [r["x"] for r in folds.ema(df, ["k"], "ts", ["i"], F.col("v"), "x", keep=keep, maps=3).orderBy("i").collect()]
+        x, want = 0.0, []
+        for v in values:
+            x = keep * x + (1 - keep) * v
+            want.append(x)
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-9), keep
+
+
+def test_running_deviation_far_from_zero(spark):
+    from statistics import pstdev
+    values = [1e9 + (i * 7) % 5 for i in range(400)]
+    got = [r["h_std"] for r in wd.running_moments(_series(spark, values), ["k"], "ts", ["i"], F.col("v"), "h").orderBy("i").collect()]
+    assert got == pytest.approx([pstdev([v - 1e9 for v in values[:i + 1]]) for i in range(400)], rel=1e-6, abs=1e-6)
