@@ -37,7 +37,7 @@ def masked(c: str | Column, method: str) -> Column:
     if method == "shape":
         return F.mask(text)
     if method == "tokenize":
-        return F.concat(F.lit("tok_"), F.substring(F.sha2(text, 256), 1, 16))
+        return F.concat(F.lit("tok_"), F.sha2(text, 256))
     if method == "encrypt":
         return F.concat(F.lit("enc:"), F.sha2(text, 256))
     if method == "mask":

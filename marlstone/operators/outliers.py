@@ -46,21 +46,19 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
-def grow_forest(df: DataFrame, ident: str, features: list[str], trees: int = 100, seed: int = 42) -> DataFrame:
-    """Node table of the forest: at most ``trees`` x (2 x 256 - 1) rows.
+def grow_forest(df: DataFrame, ident: str, features: list[str], trees: int = 100, seed: int = 42, sample_rows: int = SAMPLE, pool: int = 32) -> DataFrame:
+    """Node table of the forest: at most ``trees`` x (2 x ``sample_rows`` - 1) rows.
 
-    Rows are sampled and dealt to trees by the hash of their id; each tree takes up to 256 of them.
+    About ``pool`` x ``sample_rows`` rows are drawn by the hash of their id, whatever the size of the table; every tree takes the
+    first ``sample_rows`` of them in a hash order of its own. Both bound what the forest is grown from, not what it scores.
     """
     n = df.agg(F.count(F.lit(1))).scalar()
     h = F.xxhash64(F.col(ident), F.lit(seed))
-    want = F.least(F.lit(1.0), F.lit(float(SAMPLE * trees * 2)) / n)
+    want = F.least(F.lit(1.0), F.lit(float(sample_rows * pool)) / n)
     drawn = df.withColumn("_h", h).filter(F.pmod(F.col("_h"), F.lit(1_000_000)) < want * 1_000_000)
-    few = n < SAMPLE * trees
-    # a small table serves every tree with its own hash order; a large one gives each row to one tree
-    tree = F.when(few, F.sequence(F.lit(0), F.lit(trees - 1))).otherwise(F.array(F.pmod(F.xxhash64("_h"), F.lit(trees)).cast("int")))
-    dealt = drawn.withColumn("tree", F.explode(tree)).withColumn("_o", F.xxhash64("_h", "tree"))
+    dealt = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_o", F.xxhash64("_h", "tree"))
     w = Window.partitionBy("tree").orderBy("_o", ident)
-    sample = dealt.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= SAMPLE) \
+    sample = dealt.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample_rows) \
         .select("tree", "_r", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
     schema = "tree int, node int, feature int, cut double, left int, right int, length double, sample int"
 

@@ -502,21 +502,25 @@ def suggestions(dims: DataFrame, high_anomalies: Column, drifted: Column) -> Dat
     return dims.select(F.inline(rows))
 
 
-def document_schema(df: DataFrame, column: str, depth: int = 4) -> DataFrame:
+def document_schema(df: DataFrame, column: str) -> DataFrame:
     """Dotted paths of JSON documents with the type of each and the share of documents that hold it.
 
-    One explode per nesting level; arrays are one leaf, as their items carry no field names.
+    One explode per nesting level, until no level holds an object; arrays are one leaf, as their items carry no field names.
     """
+    from marlstone.session import cut_lineage
+
     level = df.select(F.col(column).alias("_v"), F.lit("").alias("path"))
     total = df.agg(F.count(F.lit(1))).scalar()
     found = None
-    for i in range(depth):
+    while True:
         fields = level.select("path", F.explode(F.from_json("_v", "map<string,string>")).alias("k", "v"))
         t = F.trim("v")
         kind = (F.when(F.col("v").isNull(), "null").when(t.startswith("{"), "object").when(t.startswith("["), "array")
                 .when(t.isin("true", "false"), "boolean").when(t.rlike(r"^-?[0-9]+$"), "integer")
                 .when(t.rlike(r"^-?[0-9]*\.?[0-9]+([eE][+-]?[0-9]+)?$"), "float").otherwise("string"))
-        here = fields.select(F.when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(".", "path", "k")).alias("path"), "v", kind.alias("type"))
+        here = cut_lineage(fields.select(F.when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(".", "path", "k")).alias("path"), "v", kind.alias("type")))
         found = here.select("path", "type") if found is None else found.unionByName(here.select("path", "type"))
         level = here.filter(F.col("type") == "object").select(F.col("v").alias("_v"), "path")
+        if level.isEmpty():
+            break
     return found.groupBy("path", "type").agg((F.count(F.lit(1)) / total).alias("presence"))

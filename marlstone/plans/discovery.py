@@ -86,12 +86,12 @@ def _(t):
 @query("rec7_success_and_merge", "REC7", f"""
 with s as (select user_id, avg(value) r, count(*) it, stddev(value) / 1000 cr, max({SQL_K}) im, count(*) filter (event_type = 'view') op from events group by 1),
  a as (select user_id, ((1 / (1 + r)) * 0.4 + (1 / (1 + it / 100.0)) * 0.3 + least(abs(cr) / 0.1, 1) * 0.3) * 0.4 + case when op > 0 then (least(im / 100.0, 1) * 0.5 + 1 / (1 + op / 10.0) * 0.5) * 0.3 else 0 end + 0.5 * 0.3 sc from s),
- b as (select c_custkey user_id, c_acctbal / 10000 sc from customer where c_custkey < 100)
+ b as (select c_custkey user_id, c_acctbal / 10000 sc from customer)
 select coalesce(a.user_id, b.user_id) user_id, round(0.6 * coalesce(a.sc, 0) + 0.4 * coalesce(b.sc, 0), 6) score from a full join b on a.user_id = b.user_id""")
 def _(t):
     s = t.events.groupBy("user_id").agg(F.avg("value").alias("r"), n_rows().alias("it"), (F.stddev("value") / 1000).alias("cr"), F.max(k_of(t.events)).alias("im"), F.count_if(F.col("event_type") == "view").alias("op"))
     a = s.select("user_id", rec.success_score(F.col("r"), F.col("it"), F.col("cr"), F.col("im"), F.col("op"), F.lit(0.5)).alias("score"))
-    b = t.customer.filter("c_custkey < 100").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") / 10000).alias("score"))
+    b = t.customer.select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") / 10000).alias("score"))
     return r6(rec.merge_parameter_lists(a, b, ["user_id"]), "score")
 
 
@@ -135,10 +135,10 @@ def _(t):
     return se.fuzzy_terms(t.documents, "text", ["the", "nation", "on"]).select("term", "n", "query", "edits")
 
 
-@query("sch5_hybrid_fusion", "SCH5", f"with {BM_SQL}, v as (select doc_id id, n_chars / 10000.0 s from documents where n_chars > 500) select coalesce(sc.id, v.id) id, round((coalesce(sc.s, 0) * 0.75 + coalesce(v.s, 0) * 0.25) * case when sc.s > 0 and v.s > 0 then 1.2 else 1 end, 6) score, coalesce(sc.s > 0 and v.s > 0, false) in_both from sc full join v on v.id = sc.id")
+@query("sch5_hybrid_fusion", "SCH5", f"with {BM_SQL}, v as (select doc_id id, n_chars / 10000.0 s from documents) select coalesce(sc.id, v.id) id, round((coalesce(sc.s, 0) * 0.75 + coalesce(v.s, 0) * 0.25) * case when sc.s > 0 and v.s > 0 then 1.2 else 1 end, 6) score, coalesce(sc.s > 0 and v.s > 0, false) in_both from sc full join v on v.id = sc.id")
 def _(t):
     text = se.bm25(t.documents, "doc_id", {"text": 1.0}, TERMS)
-    vec = t.documents.filter("n_chars > 500").select(F.col("doc_id").alias("id"), (F.col("n_chars") / 10000.0).alias("score"))
+    vec = t.documents.select(F.col("doc_id").alias("id"), (F.col("n_chars") / 10000.0).alias("score"))
     return r6(se.fuse(text, vec, 0.6, 0.2), "score")
 
 

@@ -261,12 +261,12 @@ def _(t):
 
 
 @query("frd5_alert_risk", "FRD5", f"""
-with a as (select event_id, user_id, ts, {SQL_K} / 120.0 c from events where value > 40),
+with a as (select event_id, user_id, ts, {SQL_K} / 120.0 c from events),
  w as (select *, count(*) over (partition by user_id order by ts, event_id) n, count(*) over (partition by user_id order by ts range between interval 2 day preceding and current row) r from a),
  s as (select *, least(c * (1 + 0.1 * n) * case when r > 3 then 1.2 else 1 end, 1) risk from w)
 select event_id, n alert_count, round(risk, 6)::DOUBLE risk_score, n > 5 and risk > 0.8 critical from s""")
 def _(t):
-    a = t.events.filter("value > 40").select("event_id", "user_id", "ts", (k_of(t.events) / 120.0).alias("c"))
+    a = t.events.select("event_id", "user_id", "ts", (k_of(t.events) / 120.0).alias("c"))
     d = co.enriched_alert_risk(a, "user_id", "ts", "event_id", "c", 2 * 86_400)
     return d.select("event_id", "alert_count", F.round(F.col("risk_score").cast("double"), 6).alias("risk_score"), "critical")
 
@@ -486,7 +486,7 @@ def _(t):
 
 
 @query("privacy_levels", "OPS5", """
-select c_custkey, '***MASKED***' masked, 'enc:' || sha256(c_mktsegment) encrypted, 'tok_' || substr(sha256(c_name), 1, 16) tokenized from customer""")
+select c_custkey, '***MASKED***' masked, 'enc:' || sha256(c_mktsegment) encrypted, 'tok_' || sha256(c_name) tokenized from customer""")
 def _(t):
     c = t.customer.select("c_custkey", F.col("c_name").alias("masked"), F.col("c_mktsegment").alias("encrypted"), F.col("c_name").alias("tokenized"))
     c = op.apply_privacy(c, "internal", {"email": "masked"})

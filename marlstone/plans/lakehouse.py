@@ -339,9 +339,9 @@ def _(t):
     return merge.version_diff(top("ts < '2024-01-10'"), top("ts >= '2024-01-03'"), ["user_id"])
 
 
-@query("evo1_schema_evolution", "EVO1", "select p_partkey part_id, p_name, p_brand, null::INTEGER stock from part where p_size > 25")
+@query("evo1_schema_evolution", "EVO1", "select p_partkey part_id, p_name, p_brand, null::INTEGER stock from part")
 def _(t):
-    return merge.evolve(t.part.filter("p_size > 25"), {"stock": "int"}, {"p_partkey": "part_id"},
+    return merge.evolve(t.part, {"stock": "int"}, {"p_partkey": "part_id"},
                         ["p_type", "p_size", "p_retailprice"])
 
 

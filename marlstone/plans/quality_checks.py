@@ -325,12 +325,12 @@ def _(t):
 
 
 @query("dq25_series_quality", "DQ25", f"""
-with h as (select date_trunc('hour', ts)::TIMESTAMP h, count(*) n from events where ts > TIMESTAMP '{EVENTS_NOW}' - interval 24 hour and event_type = 'click' and ts <= TIMESTAMP '{EVENTS_NOW}' group by 1),
+with h as (select date_trunc('hour', ts)::TIMESTAMP h, count(*) n from events where ts > TIMESTAMP '{EVENTS_NOW}' - interval 24 hour and ts <= TIMESTAMP '{EVENTS_NOW}' group by 1),
  l as (select *, lag(h) over (order by h) p from h),
  s as (select count(*) / 24.0 completeness, 1 - stddev_pop(n) / (avg(n) + 1e-9) consistency, greatest(0, 1 - (epoch_us(TIMESTAMP '{EVENTS_NOW}') - epoch_us(max(h))) / 3.6e9) timeliness, count(*) filter (epoch_us(h) - epoch_us(p) > 7200000000) gaps from l)
 select round(completeness, 6)::DOUBLE completeness, round(consistency, 6) consistency, round(timeliness, 6) timeliness, gaps, round(0.4 * completeness + 0.3 * consistency + 0.3 * timeliness, 6) overall from s""")
 def _(t):
-    return r6(q.series_quality(t.events.filter("event_type = 'click'"), "ts", events_now()), "completeness", "consistency", "timeliness", "overall")
+    return r6(q.series_quality(t.events, "ts", events_now()), "completeness", "consistency", "timeliness", "overall")
 
 
 @query("dq26_suggestions", "DQ26", """

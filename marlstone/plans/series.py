@@ -194,10 +194,10 @@ def _(t):
 
 @query("ts20_feature_importance", "TS20", """
 with s as (select avg(l_quantity) a, stddev_pop(l_quantity) b, avg(l_extendedprice) c, stddev_pop(l_extendedprice) d from lineitem),
- z as (select l_orderkey, l_linenumber, l_partkey, abs(l_quantity - a) / b x, abs(l_extendedprice - c) / d y from lineitem, s where l_extendedprice > 95000)
+ z as (select l_orderkey, l_linenumber, l_partkey, abs(l_quantity - a) / b x, abs(l_extendedprice - c) / d y from lineitem, s)
 select l_orderkey * 10 + l_linenumber id, 'l_quantity' feature, round(x, 6) z, round(x / (x + y), 6) importance from z union all select l_orderkey * 10 + l_linenumber, 'l_extendedprice', round(y, 6), round(y / (x + y), 6) from z""")
 def _(t):
-    cur = t.lineitem.filter("l_extendedprice > 95000").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    cur = t.lineitem.withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     return r6(ts.feature_importance(cur, t.lineitem, "id", ["l_quantity", "l_extendedprice"]), "z", "importance")
 
 
