@@ -17,7 +17,8 @@ HEADLINE = [
     "mrg1_upsert", "cdc3_apply_changes", "ded1_keep_none", "agg1_configured_group", "agg4_olap_cube", "agg12_ohlcv_bars", "agg24_running_user_stats",
     "win5_technical_indicators", "win21_latency_percentiles", "dq2_numeric_profile", "dq9_record_rules", "dq20_ks_drift", "ts2_linear_trend", "ts13_running_zscores",
     "gra8_degrees", "gra9_triangles_and_clustering", "rec1_item_recommendations", "sch1_exact_knn", "sch3_bm25", "sch10_chunks", "aml1_velocity",
-    "cep1_velocity_check", "cep3_money_laundering", "sla1_violations", "ml5_federated_average", "str2_tumbling_windows", "str9_routed_outputs"]
+    "cep1_velocity_check", "cep3_money_laundering", "sla1_violations", "ml5_federated_average", "str2_tumbling_windows", "str9_routed_outputs",
+    "str7_keyed_state_scores", "cep_stream_account_takeover"]
 
 
 def main() -> None:
@@ -41,8 +42,10 @@ def main() -> None:
             print(f"{name}: {str(e)[:300]}", file=sys.stderr)
             times[name] = None
     events = spark.read.parquet(f"{path}/events.parquet").count()
-    if times.get("str9_routed_outputs"):
-        rates["stream_events_per_sec"] = round(events / times["str9_routed_outputs"])
+    for rate, name in (("stream_events_per_sec", "str9_routed_outputs"), ("keyed_state_events_per_sec", "str7_keyed_state_scores"),
+                       ("pattern_events_per_sec", "cep_stream_account_takeover")):
+        if times.get(name):
+            rates[rate] = round(events / times[name])
     total = round(sum(t for t in times.values() if t), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times, "sf": os.path.basename(path.rstrip("/")).removeprefix("sf"), **rates}))
 
