@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.columns import clamp, ladder, ratio
 from marlstone.operators.joins import hot_keys, salted_lookup
 from marlstone.operators.windows import latest, running, value_slices
-from marlstone.session import cut_lineage
+from marlstone.session import cut_lineage, written
 
 
 def links(edges: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         hook = cut_lineage(both_ways(e).groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("root")))
         while True:
             up = salted_lookup(hook, "root", hook.select(F.col("v").alias("_v"), F.col("root").alias("_up")), "_v", ["_up"])
-            moved = cut_lineage(up.select("v", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_m")))
+            moved = written(up.select("v", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_m")))
             hook = moved.drop("_m")
             if moved.filter("_m").isEmpty():
                 break
@@ -549,15 +549,15 @@ def resilience(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("resilience", 0.4 * F.col("connectivity") + 0.3 * F.col("redundancy") + 0.3 * F.col("criticality"))
 
 
-def dominant_participants(vertices: DataFrame, edges: DataFrame, weight: str, share: float = 0.05, top: int = 10) -> DataFrame:
-    """Up to ten vertices with more than 5 % of the weighted rank."""
-    p = pagerank(vertices, edges, weight=weight)
+def dominant_participants(vertices: DataFrame, edges: DataFrame, weight: str, share: float = 0.05, top: int = 10, **ranking) -> DataFrame:
+    """Up to ten vertices with more than 5 % of the weighted rank. ``ranking`` goes to :func:`pagerank`."""
+    p = pagerank(vertices, edges, weight=weight, **ranking)
     return p.filter(F.col("rank") > share).orderBy(F.col("rank").desc(), "id").limit(top).select("id", "rank")
 
 
-def systemic_risk(vertices: DataFrame, edges: DataFrame, high_risk: Column, concentration: DataFrame) -> DataFrame:
-    """min(1, 0.4 rank of the high-risk vertices + 0.3 mean clustering + 0.3 concentration)."""
-    p = pagerank(vertices, edges)
+def systemic_risk(vertices: DataFrame, edges: DataFrame, high_risk: Column, concentration: DataFrame, **ranking) -> DataFrame:
+    """min(1, 0.4 rank of the high-risk vertices + 0.3 mean clustering + 0.3 concentration). ``ranking`` goes to :func:`pagerank`."""
+    p = pagerank(vertices, edges, **ranking)
     risky = vertices.filter(high_risk).select("id")
     contagion = p.join(risky, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
     mean = clustering(vertices, edges).agg(F.avg("clustering")).scalar()

@@ -66,3 +66,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     """A new, unused folder below the shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or shared_dir(spark)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: cuts the lineage like :func:`cut_lineage`, and the plan starts from the sizes
+    of its files, without the constraints and estimates of earlier rounds, which grow with every self-join."""
+    path = scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
