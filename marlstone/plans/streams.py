@@ -6,7 +6,7 @@ from marlstone.functions.columns import micros
 from marlstone.operators import cep, merge
 from marlstone.operators.trust import trust_impact
 from marlstone.plans.derived import n_rows, CHANGES_SQL, SQL_K, k_of
-from marlstone.plans.event_patterns import match_sql, stream
+from marlstone.plans.event_patterns import match_sql, stream, stream_sql
 from marlstone.plans.registry import query
 from marlstone.session import scratch
 from marlstone.streaming import jobs
@@ -212,7 +212,8 @@ def _(t):
 def _stream_pattern(name):
     p = cep.PATTERNS[name]
 
-    @query(f"cep_stream_{name}", "STR7 CEP28", match_sql(p))
+    # the matches whose last row the watermark, ten seconds behind the newest event, has passed
+    @query(f"cep_stream_{name}", "STR7 CEP28", f"select * from ({match_sql(p)}) m where end_us <= (select (max(us) // 1000 - 10000) * 1000 from ({stream_sql(name)}) z)")
     def _(t):
         batch = stream(t, name)
         s = file_stream(t.spark, sliced_files(t, batch, "ts") + "/*", batch.schema, max_files=1)

@@ -205,10 +205,11 @@ def _complete(us: list, flags: list, start: int, pattern: Pattern) -> int:
 
 
 def pattern_stream(stream: DataFrame, key: str, ts: str, ident: str, pattern: Pattern, watermark: str = "10 seconds") -> DataFrame:
-    """Matches of a pattern per key as soon as their last row arrives.
+    """Matches of a pattern per key, the same as in a batch, once the watermark has passed their last row.
 
-    The conditions run as Spark expressions; the state keeps (time, id, which conditions hold) of the rows that
-    may still begin or extend a match.
+    The conditions run as Spark expressions; the state keeps (time, id, which conditions hold) of the rows that the
+    watermark has not passed or that may still begin or extend a match. Late rows inside the watermark take their
+    place by time; a timer settles or clears the rows of a key that gets no more.
     """
     t = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     marks = F.array(*[F.coalesce(F.expr(s.when), F.lit(False)) for s in pattern.steps])
@@ -216,19 +217,30 @@ def pattern_stream(stream: DataFrame, key: str, ts: str, ident: str, pattern: Pa
     within = int(pattern.within * 1_000_000)
 
     def update(k, batches, state):
-        old = json.loads(state.get[0]) if state.exists else []
+        text, before = state.get if state.exists else ("[]", -1)
+        old = json.loads(text)
         known = {(r[0], r[1]) for r in old}
-        new = [[int(u), int(i), [bool(x) for x in m]] for p in batches for u, i, m in zip(p["_us"], p["_id"], p["_m"])]
-        allrows = sorted([*old, *[r for r in new if (r[0], r[1]) not in known]], key=lambda r: (r[0], r[1]))
-        us, flags = [r[0] for r in allrows], [r[2] for r in allrows]
+        new = [] if state.hasTimedOut else [[int(u), int(i), [bool(x) for x in m]] for p in batches for u, i, m in zip(p["_us"], p["_id"], p["_m"])]
+        held = sorted([*old, *[r for r in new if (r[0], r[1]) not in known]], key=lambda r: (r[0], r[1]))
+        mark = state.getCurrentWatermarkMs()
+        passed = mark * 1000
+        settled = [r for r in held if r[0] <= passed]
+        us, flags = [r[0] for r in settled], [r[2] for r in settled]
         out = []
         for i, f in enumerate(flags):
             if f[0]:
                 j = _complete(us, flags, i, pattern)
-                if j >= 0 and (us[j], allrows[j][1]) not in known:
-                    out.append((k[0], allrows[i][1], us[i], allrows[j][1], us[j]))
-        state.update((json.dumps([r for r in allrows if r[0] > us[-1] - within]),))
+                if j >= 0 and us[j] > before:
+                    out.append((k[0], settled[i][1], us[i], settled[j][1], us[j]))
+        kept = [r for r in held if r[0] + within > passed]
+        if kept:
+            state.update((json.dumps(kept), passed))
+            ahead = [r[0] for r in kept if r[0] > passed]
+            due = ahead[0] if ahead else kept[-1][0] + within
+            state.setTimeoutTimestamp(max(due // 1000 + 1, mark + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=[key, "start_id", "start_us", "end_id", "end_us"])
 
     return rows.groupBy(key).applyInPandasWithState(
-        update, f"{key} {t[key]}, start_id {t[ident]}, start_us long, end_id {t[ident]}, end_us long", "rows string", "append", "NoTimeout")
+        update, f"{key} {t[key]}, start_id {t[ident]}, start_us long, end_id {t[ident]}, end_us long", "rows string, passed long", "append", "EventTimeTimeout")

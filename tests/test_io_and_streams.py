@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.operators.cep import Pattern, Step, match_pattern
 from marlstone.session import scratch
 from marlstone.sources import snapshots as sn
 from marlstone.sources.readers import jdbc_options, read_dataset, records_from_json
@@ -112,3 +113,24 @@ def test_silence_timer(spark):
     part(spark, path, 2, [(4, "b", 1000, 1.0)])
     s = file_stream(spark, path + "/*", SCHEMA, max_files=1)
     assert {r["k"] for r in collected(jobs.silences(s, "k", "ts", 300)).collect()} >= {"a"}
+
+
+def test_pattern_stream_equals_batch_with_late_rows(spark):
+    """Rows late inside the watermark take their place by time; a restart repeats nothing."""
+    files = [[(1, "k", 0, 1.0), (2, "k", 8, 2.0), (10, "idle", 1, 1.0)], [(3, "k", 5, 2.0), (4, "k", 9, 1.0), (11, "idle", 3, 2.0)],
+             [(5, "k", 12, 2.0), (6, "k", 12, 2.0)], [(7, "z", 300, 0.0)], [(8, "z", 600, 0.0)]]
+    path, sink, state = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "state")
+    p = Pattern("two steps", "low", 60, (Step("x = 1.0"), Step("x = 2.0")))
+
+    def run():
+        s = file_stream(spark, path + "/*", SCHEMA, max_files=1)
+        run_available(jobs.pattern_stream(s, "k", "ts", "id", p), batch_writer(sink), "append", state)
+
+    for n, rows in enumerate(files):
+        part(spark, path, n, rows)
+        if n in (1, 4):
+            run()
+    got = sorted((r["k"], r["start_id"], r["end_id"]) for r in spark.read.parquet(sink + "/batch=*").collect())
+    every = spark.createDataFrame([(i, k, T0 + timedelta(seconds=s), x) for f in files for i, k, s, x in f], SCHEMA)
+    want = sorted((r["k"], r["start_id"], r["end_id"]) for r in match_pattern(every, ["k"], "ts", "id", p).collect())
+    assert got == want == [("idle", 10, 11), ("k", 1, 3), ("k", 4, 5)]
