@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.columns import micros
 from marlstone.operators import cep
 from marlstone.operators.cep import PATTERNS
+from marlstone.operators.windows import rows_frame
 from marlstone.plans.derived import SQL_K, k_of
 from marlstone.plans.registry import query
 
@@ -19,9 +20,9 @@ STREAMS = {
     "latency_spike": (["API_RESPONSE"], "value * 30", 600, 10), "compliance_violation": (["LARGE_TRANSACTION", "COMPLIANCE_CHECK_COMPLETED", "X"], "value", 60, 20),
     "trading_manipulation": (["BUY_ORDER", "PRICE_UPDATE", "SELL_ORDER"], "value * 1500", 60, 10), "duplicate_submission": (["FORM_SUBMITTED", "X"], "value", 3000, 10),
     "failed_verification_then_success": (["VERIFICATION_FAILED", "VERIFICATION_FAILED", "ASSET_CREATED"], "value", 200, 10),
-    "wash_trading": (["ORDER_PLACED"], "value", 600, 20), "spoofing_buy": (["ORDER_PLACED", "ORDER_CANCELLED"], "value * 3", 6000, 10),
-    "spoofing_sell": (["ORDER_PLACED", "ORDER_CANCELLED"], "value * 3", 6000, 10), "layering": (["ORDER_PLACED", "X"], "value", 12000, 5),
-    "price_spike": (["PRICE_UPDATE"], "value + 100", 2000, 10), "volume_anomaly": (["VOLUME_UPDATE"], "value * 5", 1, 10),
+    "wash_trading": (["ORDER_PLACED"], "value", 600, 20), "spoofing_buy": (["ORDER_PLACED", "ORDER_CANCELLED"], "value * value", 6000, 10),
+    "spoofing_sell": (["ORDER_PLACED", "ORDER_CANCELLED"], "value * value", 6000, 10), "layering": (["ORDER_PLACED", "X"], "value", 12000, 5),
+    "price_spike": (["PRICE_UPDATE"], "value + 100", 2000, 10), "volume_anomaly": (["VOLUME_UPDATE"], "value * value", 1, 10),
     "funding_rate_anomaly": (["FUNDING_RATE_UPDATE"], "value / 50000", 1, 10), "liquidation_cascade": (["POSITION_LIQUIDATED", "X"], "value", 600, 10),
     "position_limit": (["POSITION_UPDATE"], "value", 1, 10), "concentration_risk": (["MARKET_SHARE_UPDATE"], "value / 300", 1, 10),
     "rapid_position_change": (["POSITION_UPDATE"], "value + 30", 60, 10), "convergence_stall": (["CONVERGENCE_STATUS"], "value", 60, 10),
@@ -29,14 +30,21 @@ STREAMS = {
     "sustained_low_uptime": (["UPTIME_CHECK"], "value", 200, 10), "critical_uptime_failure": (["UPTIME_CHECK"], "100 - value / 10", 1, 10),
     "provider_unresponsive": (["HEARTBEAT", "X"], "value", 600, 10), "provider_exhaustion": (["M"], "least(value * 3, 100)", 600, 10),
     "intermittent_failure": (["M"], "value", 60, 10), "violation_storm": (["M"], "value", 600, 10)}
+#: Patterns that compare with the key's previous amount or the mean of its 20 amounts before.
+EARLIER = {"spoofing_buy", "spoofing_sell", "price_spike", "volume_anomaly", "funding_rate_anomaly", "position_limit", "rapid_position_change",
+           "sustained_low_uptime", "perf"}
 
 
 def stream_sql(name: str) -> str:
     types, amount, speed, groups = STREAMS.get(name, (["PERFORMANCE_CHECK"], "value", 200, 10))
     kinds = " ".join(f"when {i} then '{x}'" for i, x in enumerate(types))
-    return f"""select event_id, user_id % {groups} entity, user_id provider, {EPOCH} + (epoch_us(ts) - {EPOCH}) // {speed} us, case {SQL_K} % {len(types)} {kinds} end event_type,
-   ({amount})::DOUBLE amount, {SQL_K}::DOUBLE change, 20.0::DOUBLE average, 60.0::DOUBLE previous, case event_id % 3 when 0 then 'user' when 1 then 'admin' else 'failed' end "level",
+    rows = f"""select event_id, user_id % {groups} entity, user_id provider, {EPOCH} + (epoch_us(ts) - {EPOCH}) // {speed} us, case {SQL_K} % {len(types)} {kinds} end event_type,
+   ({amount})::DOUBLE amount, {SQL_K}::DOUBLE change, case event_id % 3 when 0 then 'user' when 1 then 'admin' else 'failed' end "level",
    case when event_id % 2 = 0 then 'buy' else 'sell' end side, case when event_id % 5 < 2 then 'r' end related from events"""
+    if name not in EARLIER:
+        return rows
+    return f"""select *, lag(amount) over (partition by entity order by us, event_id) previous,
+   avg(amount) over (partition by entity order by us, event_id rows between 20 preceding and 1 preceding) average from ({rows}) earlier"""
 
 
 def stream(t, name):
@@ -45,11 +53,14 @@ def stream(t, name):
     k = k_of(e)
     kind = F.element_at(F.array(*[F.lit(x) for x in types]), k % len(types) + 1)
     us = F.lit(EPOCH) + F.floor((micros("ts") - EPOCH) / speed)
-    return e.select(
+    rows = e.select(
         "event_id", (F.col("user_id") % groups).alias("entity"), F.col("user_id").alias("provider"), F.timestamp_micros(us).alias("ts"), kind.alias("event_type"),
-        F.expr(f"double({amount})").alias("amount"), k.cast("double").alias("change"), F.lit(20.0).alias("average"), F.lit(60.0).alias("previous"),
+        F.expr(f"double({amount})").alias("amount"), k.cast("double").alias("change"),
         F.expr("case event_id % 3 when 0 then 'user' when 1 then 'admin' else 'failed' end").alias("level"),
         F.expr("case when event_id % 2 = 0 then 'buy' else 'sell' end").alias("side"), F.expr("case when event_id % 5 < 2 then 'r' end").alias("related"))
+    if name not in EARLIER:
+        return rows
+    return rows_frame(rows, ["entity"], "ts", ["event_id"], lambda w: {"previous": F.lag("amount").over(w), "average": F.avg("amount").over(w.rowsBetween(-20, -1))}, before=20)
 
 
 def match_sql(p: cep.Pattern) -> str:
