@@ -1,11 +1,12 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Each line of a document, each block of lines between blank ones and the whole text is a unit. A unit of a bigrams and a template
-of b can only reach a coefficient t if t / (2 - t) * b <= a <= (2 - t) / t * b, so units and templates outside these bounds are not
-compared; the others are found by the bigrams they share. Bigrams count as often as they occur.
+Any run of words of a text is a window, across lines and blank lines. The best window of a template is found exactly: it begins and
+ends with a bigram of the template, and a window of a bigrams and a template of b only reach a coefficient t if
+t / (2 - t) * b <= a <= (2 - t) / t * b and they share at least t / (2 - t) * b bigrams. Texts, and then first words, that cannot have so
+many are left out by counting; from the others, all lengths are compared. Bigrams count as often as they occur in both.
 
-Rows: null, empty and wordless texts match nothing; texts and templates of one word have that word as their only bigram. Ties go to
-the first template by name. Equal texts have equal matches. No templates: no matches.
+Rows: null, empty and wordless texts match nothing; a template of one word matches where that word occurs. Ties go to the first
+template by name. Equal texts have equal matches. No templates: no matches.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import math
 from bisect import bisect_left, bisect_right
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,7 +25,6 @@ from marlstone.llm.batches import append_columns
 
 THRESHOLD = 0.8
 WORD = regex.compile(r"[\p{L}\p{N}]+(?:\.[\p{N}]+)*")
-BLANK = regex.compile(r"\n[^\S\n]*\n\s*")
 
 #: Fixed texts: licences and notices by name; words in <> stand for anything a copy fills in and are left out.
 TEMPLATES = {
@@ -76,12 +77,23 @@ class Templates:
 
     def __init__(self, texts: dict[str, str], threshold: float):
         self.threshold = threshold
-        counts = {name: Counter(bigrams(words_of(text))) for name, text in texts.items()}
+        counts = {name: Counter(bigrams(words_of(text))) for name, text in sorted(texts.items())}
         self.sizes = sorted((c.total(), name) for name, c in counts.items() if c)
         self.index: dict[tuple, list[tuple[str, int]]] = {}
         for name, c in counts.items():
             for gram, k in c.items():
                 self.index.setdefault(gram, []).append((name, k))
+        self.single = {gram[0]: [name for name, _ in named] for gram, named in self.index.items() if len(gram) == 1}
+        self.names = [name for name, c in counts.items() if any(len(gram) == 2 for gram in c)]
+        grams = sorted(gram for gram in self.index if len(gram) == 2)
+        self.ids = {w: i for i, w in enumerate(sorted({w for gram in grams for w in gram}), 1)}
+        #: Sorted codes of the bigrams, and how often each template has each.
+        self.codes = np.array([self.code(*map(self.ids.get, gram)) for gram in grams], np.int64)
+        self.counts = np.array([[counts[name][gram] for gram in grams] for name in self.names], np.int32).reshape(len(self.names), len(grams))
+        self.totals = self.counts.sum(axis=1)
+
+    def code(self, first, second):
+        return first * (len(self.ids) + 1) + second
 
     def candidates(self, size: int) -> dict[str, int]:
         """Templates whose size lets a unit of ``size`` bigrams reach the threshold."""
@@ -102,33 +114,76 @@ class Templates:
         scored = ((name, 2 * both / (size + candidates[name])) for name, both in shared.items())
         return [(name, d) for name, d in scored if d >= self.threshold]
 
-
-def units(text: str):
-    """Lines, blocks of several lines, and the whole of several blocks; as words."""
-    blocks = [[words for words in map(words_of, block.split("\n")) if words] for block in BLANK.split(text)]
-    blocks = [b for b in blocks if b]
-    for block in blocks:
-        yield from block
-        if len(block) > 1:
-            yield [w for line in block for w in line]
-    if len(blocks) > 1:
-        yield [w for block in blocks for line in block for w in line]
+    def places(self, words: list[str]) -> dict[str, list[tuple[float, int, int]]]:
+        """Windows that reach the threshold, per template: (dice, first word, word after the last), best first, none overlapping a
+        better one of the template."""
+        out: dict[str, list[tuple[float, int, int]]] = {}
+        if self.single:
+            for i, w in enumerate(words):
+                for name in self.single.get(w, ()):
+                    out.setdefault(name, []).append((1.0, i, i + 1))
+        if len(words) < 2 or not len(self.codes):
+            return out
+        get = self.ids.get
+        ids = np.array([get(w, 0) for w in words], np.int64)
+        at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        code = self.code(ids[at], ids[at + 1])
+        gram = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        known = self.codes[gram] == code
+        at, gram = at[known], gram[known]
+        found, often = np.unique(gram, return_counts=True)
+        need = np.maximum(np.ceil(self.totals * self.threshold / (2 - self.threshold) - 1e-9), 1)
+        shared = np.minimum(self.counts[:, found], often).sum(axis=1)
+        for t in np.flatnonzero(shared >= need):
+            n = self.counts[t][gram]
+            windows = self.windows(at[n > 0], gram[n > 0], n[n > 0], int(self.totals[t]), int(need[t]))
+            if windows:
+                out[self.names[t]] = windows
+        return out
+
+    def windows(self, at: np.ndarray, gram: np.ndarray, n: np.ndarray, size: int, need: int) -> list[tuple[float, int, int]]:
+        """The windows of one template of ``size`` bigrams, of which the text has ``gram`` at ``at`` and the template has it ``n`` times.
+
+        An occurrence adds to the shared count of a window if the n-th one before it (``past``) lies before the window."""
+        longest = math.floor(size * (2 - self.threshold) / self.threshold + 1e-9)
+        order = np.argsort(gram, kind="stable")
+        back = np.arange(len(order)) - n[order]
+        same = (back >= 0) & (gram[order[back]] == gram[order])
+        past = np.empty(len(at), np.int64)
+        past[order] = np.where(same, at[order[back]], -1)
+        # What the longest window from each occurrence shares: an occurrence counts for the starts after ``past`` and near enough.
+        steps = np.zeros(len(at) + 1, np.int64)
+        np.add.at(steps, np.searchsorted(at, np.maximum(past, at - longest), "right"), 1)
+        steps[1:] -= 1
+        reached = []
+        for k in np.flatnonzero(np.cumsum(steps[:-1]) >= need):
+            end = np.searchsorted(at, at[k] + longest)
+            dice = 2 * np.cumsum(past[k:end] < at[k]) / (at[k:end] - at[k] + 1 + size)
+            best = int(dice.argmax())
+            if dice[best] >= self.threshold:
+                reached.append((float(dice[best]), int(at[k]), int(at[k + best]) + 2))
+        reached.sort(key=lambda x: (-x[0], x[1], x[2]))
+        kept: list[tuple[float, int, int]] = []
+        taken: list[tuple[int, int]] = []
+        for dice, first, last in reached:
+            i = bisect_left(taken, (first, last))
+            if (i == 0 or taken[i - 1][1] <= first) and (i == len(taken) or last <= taken[i][0]):
+                taken.insert(i, (first, last))
+                kept.append((dice, first, last))
+        return kept
 
 
 def scan(df: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text", name: str = "licenses") -> DataFrame:
-    """``df`` with the templates its units match, best first: a list of (license, dice). One pass; the templates travel with the
+    """``df`` with the templates its windows match, best first: a list of (license, dice). One pass; the templates travel with the
     task, and they must be few enough to be listed by the caller."""
-    held = df.sparkSession.sparkContext.broadcast(dict(TEMPLATES if templates is None else templates))
+    held = df.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates, threshold))
     kind = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("dice", T.DoubleType())]))
 
     def make():
-        known = Templates(held.value, threshold)
+        known = held.value
 
         def found(value):
-            best: dict[str, float] = {}
-            for words in units(value or ""):
-                for license, dice in known.match(words):
-                    best[license] = max(best.get(license, 0.0), dice)
+            best = {name: windows[0][0] for name, windows in known.places(words_of(value or "")).items()}
             return [{"license": a, "dice": d} for a, d in sorted(best.items(), key=lambda x: (-x[1], x[0]))]
 
         return lambda values: [pa.array([found(v) for v in values.to_pylist()], pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64())])))]

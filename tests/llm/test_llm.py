@@ -350,6 +350,47 @@ def test_license_rows(edge, empty, spark):
     assert licenses.scan(df, templates={}).filter(F.size("licenses") > 0).count() == 0
 
 
+def best_windows(words, texts, threshold=0.8):
+    """Best Dice of each template over all windows of all lengths."""
+    from collections import Counter
+
+    out, grams = {}, licenses.bigrams(words)
+    for name, text in texts.items():
+        b = Counter(licenses.bigrams(licenses.words_of(text)))
+        for i in range(len(grams)):
+            a, shared = Counter(), 0
+            for j in range(i, min(len(grams), i + 2 * b.total())):
+                a[grams[j]] += 1
+                shared += a[grams[j]] <= b[grams[j]]
+                d = 2 * shared / (j - i + 1 + b.total())
+                if d >= max(threshold, out.get(name, 0)):
+                    out[name] = d
+    return out
+
+
+def test_license_windows_against_brute_force(spark):
+    rnd, prose = random.Random(5), [f"p{i}" for i in range(40)] + ["the", "of", "software", "license", "under", "a"]
+    mit = licenses.words_of(licenses.TEMPLATES["MIT"])
+    cuts = [" ".join(mit[:70]), " ".join(mit[70:95]), " ".join(mit[95:])]
+    filler = lambda: " ".join(rnd.choice(prose) for _ in range(rnd.randrange(5, 40)))
+    texts = [f"{filler()}\n\n" + "\n\n".join(cuts) + f"\n\n{filler()}\n\n{filler()}",
+             f"{filler()} released under the MIT License {filler()}", f"{filler()}\n{filler()} released under\nthe MIT license {filler()}\n{filler()}"]
+    names = ["ISC", "MIT", "MIT-notice", "Zlib", "GPL-3.0-header", "Apache-2.0-header"]
+    for name in names:
+        words = [w for w in licenses.words_of(licenses.TEMPLATES[name]) if rnd.random() > 0.05]
+        for _ in range(rnd.randrange(4)):
+            words.insert(rnd.randrange(len(words)), rnd.choice(prose))
+        half = len(words) // 2
+        texts.append(f"{filler()}\n\n{' '.join(words[:half])}\n\n{' '.join(words[half:])} {filler()}\n{' '.join(words[:half])}")
+    texts.append("of the software of the license " * 60)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few = {name: licenses.TEMPLATES[name] for name in names}
+    got = {r.doc_id: {m["license"]: m["dice"] for m in r.licenses} for r in licenses.scan(df, few).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(best_windows(licenses.words_of(text), few)), i
+    assert got[0] == {"MIT": 1.0} and got[1] == got[2] == {"MIT-notice": 1.0}
+
+
 def test_revisit_rules(spark):
     rows = [(1, "http://www.A.org/x/?utm_source=q", 10, 200, {"etag": "e1", "date": "d1", "server": "s"}), (2, "https://a.org/x#f", 20, 304, {"etag": "e1", "date": "d2", "server": "t"}),
             (3, "http://a.org/x", 30, 200, {"etag": "e2"}), (4, "http://a.org/x", 40, 304, {"etag": "e1"}), (5, "http://a.org/y", 50, 304, None), (6, None, 60, 304, {}),
