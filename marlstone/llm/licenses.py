@@ -5,13 +5,18 @@ ends with a bigram of the template, and a window of a bigrams and a template of
 t / (2 - t) * b <= a <= (2 - t) / t * b and they share at least t / (2 - t) * b bigrams. Texts, and then first words, that cannot have so
 many are left out by counting; from the others, all lengths are compared. Bigrams count as often as they occur in both.
 
+Templates that differ in versions only need their own version in the window or as the next word. Of templates of like size that match
+one another's text (GPL and AGPL headers, CC BY and CC BY-SA), the better match of overlapping windows stays, then the larger template.
+
 Rows: null, empty and wordless texts match nothing; a template of one word matches where that word occurs. Ties go to the first
 template by name. Equal texts have equal matches. No templates: no matches.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import pkgutil
 from bisect import bisect_left, bisect_right
 from collections import Counter
 
@@ -26,48 +31,23 @@ from marlstone.llm.batches import append_columns
 THRESHOLD = 0.8
 WORD = regex.compile(r"[\p{L}\p{N}]+(?:\.[\p{N}]+)*")
 
-#: Fixed texts: licences and notices by name; words in <> stand for anything a copy fills in and are left out.
-TEMPLATES = {
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
-License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
-agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS
-OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
-published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
-distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
-FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
-that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR
-DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT
-SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS
-OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH
-THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "MIT-notice": "Released under the MIT License.",
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
-(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
-publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
-subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or
-substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
-NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS
-OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING
-FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
-damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
-commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software
-must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
-acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as
-such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.""",
-}
+VERSION = regex.compile(r"v?(\p{N}+(?:\.\p{N}+)*)")
+#: Words that go with a version: notices that differ in nothing else are the same notice in several versions.
+PORTS = frozenset(("version", "v", "international", "unported", "generic"))
+
+#: Licences, headers and notices by name, from licenses.json; what a copy fills in is left out.
+TEMPLATES: dict[str, str] = json.loads(pkgutil.get_data(__package__, "licenses.json"))
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def versions(words: list[str]) -> frozenset[str]:
+    """The numbers among the words, "3.0" as "3"."""
+    return frozenset(regex.sub(r"(\.0+)+$", "", m[1]) for m in map(VERSION.fullmatch, words) if m)
+
+
 def bigrams(words: list[str]) -> list[tuple[str, ...]]:
     return list(zip(words, words[1:])) if len(words) > 1 else [tuple(words)] if words else []
 
@@ -89,8 +69,24 @@ class Templates:
         self.ids = {w: i for i, w in enumerate(sorted({w for gram in grams for w in gram}), 1)}
         #: Sorted codes of the bigrams, and how often each template has each.
         self.codes = np.array([self.code(*map(self.ids.get, gram)) for gram in grams], np.int64)
-        self.counts = np.array([[counts[name][gram] for gram in grams] for name in self.names], np.int32).reshape(len(self.names), len(grams))
-        self.totals = self.counts.sum(axis=1)
+        self.counts = np.array([[counts[name][gram] for name in self.names] for gram in grams], np.int32).reshape(len(grams), len(self.names))
+        self.totals = self.counts.sum(axis=0)
+        self.compare({name: words_of(texts[name]) for name in counts})
+
+    def compare(self, words: dict[str, list[str]]) -> None:
+        """Templates that differ in versions only, with their versions; and templates of like size that match one another's text."""
+        plain: dict[tuple[str, ...], list[str]] = {}
+        for name, w in words.items():
+            plain.setdefault(tuple(x for x in w if x not in PORTS and not VERSION.fullmatch(x)), []).append(name)
+        self.versions = {name: versions(words[name]) for same in plain.values() if len({versions(words[n]) for n in same}) > 1 for name in same}
+        self.size = {name: n for n, name in self.sizes}
+        self.siblings: dict[str, set[str]] = {name: set() for name in self.size}
+        for name, n in self.size.items():
+            alike = self.candidates(n)
+            for other in self.places(words[name]):
+                if other != name and other in alike:
+                    self.siblings[name].add(other)
+                    self.siblings[other].add(name)
 
     def code(self, first, second):
         return first * (len(self.ids) + 1) + second
@@ -133,14 +129,28 @@ class Templates:
         at, gram = at[known], gram[known]
         found, often = np.unique(gram, return_counts=True)
         need = np.maximum(np.ceil(self.totals * self.threshold / (2 - self.threshold) - 1e-9), 1)
-        shared = np.minimum(self.counts[:, found], often).sum(axis=1)
+        shared = np.minimum(self.counts[found], often[:, None]).sum(axis=0)
         for t in np.flatnonzero(shared >= need):
-            n = self.counts[t][gram]
+            n = self.counts[gram, t]
             windows = self.windows(at[n > 0], gram[n > 0], n[n > 0], int(self.totals[t]), int(need[t]))
             if windows:
                 out[self.names[t]] = windows
         return out
 
+    def named(self, words: list[str]) -> dict[str, float]:
+        """Best Dice per template, over the places where its version agrees and no sibling matches better. A notice without a version
+        comes after those with one."""
+        places = [(name not in self.versions or bool(self.versions[name]), dice, self.size[name], name, first, last)
+                  for name, found in self.places(words).items() for dice, first, last in found
+                  if name not in self.versions or self.versions[name] <= versions(words[first:last + 1])]
+        kept: dict[str, list[tuple[int, int]]] = {}
+        best: dict[str, float] = {}
+        for _, dice, _, name, first, last in sorted(places, key=lambda x: (not x[0], -x[1], -x[2], x[3:])):
+            if not any(i < last and first < j for other in self.siblings[name] for i, j in kept.get(other, ())):
+                kept.setdefault(name, []).append((first, last))
+                best[name] = max(best.get(name, 0.0), dice)
+        return best
+
     def windows(self, at: np.ndarray, gram: np.ndarray, n: np.ndarray, size: int, need: int) -> list[tuple[float, int, int]]:
         """The windows of one template of ``size`` bigrams, of which the text has ``gram`` at ``at`` and the template has it ``n`` times.
 
@@ -183,8 +193,7 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, threshold: floa
         known = held.value
 
         def found(value):
-            best = {name: windows[0][0] for name, windows in known.places(words_of(value or "")).items()}
-            return [{"license": a, "dice": d} for a, d in sorted(best.items(), key=lambda x: (-x[1], x[0]))]
+            return [{"license": a, "dice": d} for a, d in sorted(known.named(words_of(value or "")).items(), key=lambda x: (-x[1], x[0]))]
 
         return lambda values: [pa.array([found(v) for v in values.to_pylist()], pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64())])))]
 

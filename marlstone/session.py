@@ -49,7 +49,7 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(here):
             for name in names:
-                if name.endswith(".py"):
+                if name.endswith((".py", ".json")):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
     sc.addPyFile(path)

@@ -391,6 +391,24 @@ def test_license_windows_against_brute_force(spark):
     assert got[0] == {"MIT": 1.0} and got[1] == got[2] == {"MIT-notice": 1.0}
 
 
+def test_license_names_and_versions(spark):
+    pad = "some words before\n\n{}\n\nand some words after it"
+    known = licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD)
+    for name, text in licenses.TEMPLATES.items():
+        found = known.named(licenses.words_of(pad.format(text)))
+        assert found[name] == 1.0 and not known.siblings[name] & set(found), (name, found)
+    want = {"This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0-notice"},
+            "This work is licensed under the GNU General Public License, version 3.0.": {"GPL-3.0-notice"},
+            "This work is licensed under the GNU General Public License, version 4.": {"GPL-notice"},
+            "This work is licensed under the GNU General Public License, version 2. This work is licensed under the GNU General Public License, version 3.":
+                {"GPL-2.0-notice", "GPL-3.0-notice"},
+            "Licensed under CC BY-SA 3.0. Nothing else. Licensed under CC BY 4.0.": {"CC-BY-SA-3.0-short", "CC-BY-4.0-short"},
+            "Licensed under CC BY-NC 4.0.": {"CC-BY-NC-4.0-notice"}, "Licensed under CC BY 7.0.": set()}
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: {m["license"] for m in r.licenses} for r in licenses.scan(df).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_revisit_rules(spark):
     rows = [(1, "http://www.A.org/x/?utm_source=q", 10, 200, {"etag": "e1", "date": "d1", "server": "s"}), (2, "https://a.org/x#f", 20, 304, {"etag": "e1", "date": "d2", "server": "t"}),
             (3, "http://a.org/x", 30, 200, {"etag": "e2"}), (4, "http://a.org/x", 40, 304, {"etag": "e1"}), (5, "http://a.org/y", 50, 304, None), (6, None, 60, 304, {}),
