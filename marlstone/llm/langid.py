@@ -1,7 +1,7 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Fitting counts n-grams of a bounded sample of labelled texts in Spark tasks; the driver receives one vector of counts per
-language and salt. Scoring broadcasts the matrix of log-probabilities (languages x buckets) and sums the entries of a text's
+Every label is learned. Fitting counts n-grams of a bounded sample of each label's texts in Spark tasks and sums them per label;
+the driver receives one vector of log-probabilities per label (128 KB at 2^15 buckets). Scoring broadcasts the matrix of log-probabilities (languages x buckets) and sums the entries of a text's
 n-grams in numpy, slice by slice, so that the n-grams of a long text are never held at once.
 
 Rows: a null text, a text without a letter and an untrained model give ``und`` with score 0. Null labels, null ids and texts
@@ -29,14 +29,12 @@ SLICE = 1 << 17
 
 @dataclass(frozen=True)
 class Config:
-    """``rows_per_language``: at most so many distinct texts per language are learned from (the smallest text hashes).
-    ``max_languages``: at most so many labels, the most frequent ones, are learned. Both bound the fit and the broadcast."""
+    """``rows_per_language``: at most so many distinct texts per language are learned from (the smallest text hashes)."""
 
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 15
     alpha: float = 0.5
     rows_per_language: int = 3000
-    max_languages: int = 64
     salts: int = 8
 
 
@@ -83,13 +81,10 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", config: Config =
     small_batches(df.sparkSession)
     rows = (df.select(column(df, text).alias("text"), column(df, label).cast("string").alias("lang")).filter("lang is not null and text rlike '\\\\p{L}'")
             .select("lang", "text", F.xxhash64("text").alias("h")))
-    kept = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.max_languages).collect()]
-    if not kept:
-        return Model([], np.zeros((1 << config.bits, 0), np.float32), config)
-    hashes = rows.select("lang", "h").filter(F.col("lang").isin(kept)).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = hashes.withColumn("rank", rank).filter(F.col("rank") <= config.rows_per_language).select("lang", "h")
-    sample = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    last = (rows.select("lang", "h").distinct().withColumn("rank", rank).filter(F.col("rank") <= config.rows_per_language)
+            .groupBy("lang").agg(F.max("h").alias("last")))
+    sample = rows.join(F.broadcast(last), "lang").filter("h <= last").select("lang", "text", "h").dropDuplicates(["lang", "h"])
 
     def count(key, table):
         total = np.zeros(1 << config.bits, np.int64)
@@ -99,13 +94,17 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", config: Config =
         return pa.table({"lang": pa.array([key[0].as_py()]), "counts": pa.array([total.tobytes()], pa.binary())})
 
     salted = sample.withColumn("salt", F.pmod("h", F.lit(config.salts)))
-    parts = salted.groupBy("lang", "salt").applyInArrow(count, "lang string, counts binary").collect()
-    languages = sorted({r["lang"] for r in parts})
-    counts = np.zeros((1 << config.bits, len(languages)))
-    for r in parts:
-        counts[:, languages.index(r["lang"])] += np.frombuffer(r["counts"], np.int64)
-    smooth = counts + config.alpha
-    return Model(languages, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), config)
+    parts = salted.groupBy("lang", "salt").applyInArrow(count, "lang string, counts binary")
+
+    def weigh(key, table):
+        smooth = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist()) + config.alpha
+        return pa.table({"lang": pa.array([key[0].as_py()]), "weights": pa.array([np.log(smooth / smooth.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+    learned = sorted((r["lang"], r["weights"]) for r in parts.groupBy("lang").applyInArrow(weigh, "lang string, weights binary").collect())
+    weights = np.zeros((1 << config.bits, len(learned)), np.float32)
+    for i, (_, column_bytes) in enumerate(learned):
+        weights[:, i] = np.frombuffer(column_bytes, np.float32)
+    return Model([lang for lang, _ in learned], weights, config)
 
 
 def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:

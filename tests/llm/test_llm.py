@@ -173,6 +173,19 @@ def test_language_rows(edge, empty, docs):
     assert langid.keep_identified(edge, model).columns == edge.columns
 
 
+def test_every_language_is_learned(spark):
+    rnd, rows = random.Random(9), []
+    for k in range(70):
+        words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(3, 8))) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(rnd.choice(words) for _ in range(30)), f"l{k:02}") for i in range(2 if k < 65 else 1)]
+        rows.append((100 * k + 99, " ".join(words), None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.languages == [f"l{k:02}" for k in range(70)]
+    for r in langid.predict(df, model).collect():
+        assert r.lang_pred == f"l{r.doc_id // 100:02}"
+
+
 def test_toxicity_learns_and_keeps_rows(spark, edge, empty):
     rnd = random.Random(1)
     clean = [f"word{i}" for i in range(300)]
