@@ -6,8 +6,9 @@ per text: lexicon densities and strengths, lexicon words near a second-person wo
 (signs or digits inside words, repeated letters, hits only after undoing them).
 
 Rows: a null text counts as empty; all features of an empty text are 0, and it is scored like any other. Null labels and null ids
-are not learned from; of several labels of an id the highest counts. With one label or none to learn from, every score is the
-share of label 1 (0 without rows). Equal texts have equal scores.
+are not learned from; of several labels of an id the highest counts. Without a lexicon the other features are
+learned from. If a part lacks a label, trees and calibration learn from all three parts together. With one label or none in the
+sample, every score is the share of label 1 (0 without rows). Equal texts have equal scores.
 """
 
 from __future__ import annotations
@@ -181,13 +182,20 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     sample = (docs.select(column(docs, id).alias("_id"), column(docs, text).alias("text"))
               .join(F.broadcast(chosen.select("id", "label", "part")), F.col("_id") == F.col("id")).select("text", "label", "part"))
     lexicon = learn_lexicon(sample.filter("part = 0"), config)
-    rest = cut_lineage(with_features(sample.filter("part > 0"), "text", lexicon, config.prefixes, "values")
-                       .select(array_to_vector("values").alias("features"), F.col("label").cast("double").alias("label"), "part").repartition(8))
-    enough = {p: r for p, r in ((r["part"], r["n"]) for r in rest.groupBy("part").agg(F.countDistinct("label").alias("n")).collect())}
-    if not lexicon or enough.get(1, 0) < 2 or enough.get(2, 0) < 2:
-        return Model(lexicon, None, None, float(base), config)
-    trees = GBTClassifier(maxIter=config.trees, maxDepth=config.depth, stepSize=0.3, seed=config.seed, maxBins=32).fit(rest.filter("part = 1"))
-    judged = trees.transform(rest.filter("part = 2")).select(vector_to_array("probability")[1].alias("p"), "label")
+
+    def featured(rows):
+        return cut_lineage(with_features(rows, "text", lexicon, config.prefixes, "values")
+                           .select(array_to_vector("values").alias("features"), F.col("label").cast("double").alias("label"), "part").repartition(8))
+
+    rest = featured(sample.filter("part > 0"))
+    enough = {r["part"]: r["n"] for r in rest.groupBy("part").agg(F.countDistinct("label").alias("n")).collect()}
+    to_fit, to_judge = rest.filter("part = 1"), rest.filter("part = 2")
+    if enough.get(1, 0) < 2 or enough.get(2, 0) < 2:
+        to_fit = to_judge = featured(sample)
+        if to_fit.select("label").distinct().count() < 2:
+            return Model(lexicon, None, None, float(base), config)
+    trees = GBTClassifier(maxIter=config.trees, maxDepth=config.depth, stepSize=0.3, seed=config.seed, maxBins=32).fit(to_fit)
+    judged = trees.transform(to_judge).select(vector_to_array("probability")[1].alias("p"), "label")
     calibration = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="calibrated").fit(judged)
     return Model(lexicon, trees, calibration, float(base), config)
 

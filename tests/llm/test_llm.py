@@ -208,6 +208,20 @@ def test_toxicity_learns_and_keeps_rows(spark, edge, empty):
     assert toxicity.score(edge, none, name="s").select("s").distinct().collect() == [(1.0,)]
 
 
+def test_toxicity_without_lexicon_or_with_bare_parts(spark):
+    rnd = random.Random(2)
+    rows = []
+    for i in range(240):
+        words = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(12))
+        rows.append((i, words.upper() + "!!!!" if i % 3 == 0 else words, int(i % 3 == 0)))
+    for some in (rows, rows[:5]):
+        df = spark.createDataFrame(some, "doc_id long, text string, toxic int")
+        model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), config=toxicity.Config(trees=3))
+        assert model.lexicon == {} and model.trees is not None
+        if some is rows:
+            assert all((r.score >= 0.7) == (r.toxic == 1) for r in toxicity.score(df, model).collect())
+
+
 def test_undoing_finds_obfuscated_words():
     words = toxicity.Words({"idiot": 3.0}, (4, 5, 6))
     values = dict(zip(toxicity.FEATURES, toxicity.features("You are an 1d10t and an idiooooot", words)))
