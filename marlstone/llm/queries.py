@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, ctph, decontaminate, langid, licenses, linededup, simhash, substrings, toxicity, warc
+from marlstone.llm import bpe, ctph, decontaminate, divergence, langid, licenses, linededup, simhash, substrings, toxicity, warc
 from marlstone.llm.batches import fold
 from marlstone.session import Tables
 
@@ -155,6 +155,33 @@ def op10_simhash_near_dedup(spark: SparkSession, path: str) -> DataFrame:
     return simhash.near_duplicates(Tables(spark, path).documents.select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op12_source_divergence(spark: SparkSession, path: str) -> DataFrame:
+    return divergence.audit(Tables(spark, path).documents.select("lang", "source", "text"))
+
+
+OP12_SQL = rf"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+o as (select id, lang, source, unnest(w) as term from d),
+k as (select lang, term, count(*) as n from o group by lang, term having count(distinct id) >= 10),
+l as (select lang, count(*) as v, sum(n) as total from k group by lang),
+c as (select lang, source, term, count(*) as n from o semi join k using (lang, term) group by lang, source, term),
+g as (select lang, source, coalesce(v, 0)::hugeint as v, coalesce(l.total, 0)::hugeint as lang_total, coalesce(t.total, 0)::hugeint as total
+      from (select distinct lang, source from d) left join l using (lang) left join (select lang, source, sum(n) as total from c group by lang, source) t using (lang, source)),
+s as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 2) // (g.total + 2 * v) as p, 1 + 1000000000::hugeint * (k.n + 2) // (lang_total + 2 * v) as q
+      from g join k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (select a.lang, a.source, b.source as item, coalesce(f, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+          left join (select x.lang as l1, x.source as s1, y.source as s2, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as f
+                     from s x join s y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) on l1 = a.lang and s1 = a.source and s2 = b.source),
+terms as (select lang, source, term as item, (p - q) * (p - q) // (p + q) as value from s where n > 0 and p > q),
+r as (select 'pair' as part, *, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+      union all
+      select 'term', *, row_number() over (partition by lang, source order by value desc, item) from terms)
+select lang, source, part, item, value::bigint as value, rank::int as rank from r where part = 'pair' or rank <= 10"""
+
+
 QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_dedup, op3_license_scan, op4_substring_dedup, op5_language_id,
-                                   op6_document_fingerprints, op7_revisit_resolution, op8_toxicity, op9_byte_bpe, op10_simhash_near_dedup)}
-SQL = {"op1_benchmark_decontamination": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_revisit_resolution": OP7_SQL}
+                                   op6_document_fingerprints, op7_revisit_resolution, op8_toxicity, op9_byte_bpe, op10_simhash_near_dedup,
+                                   op12_source_divergence)}
+SQL = {"op1_benchmark_decontamination": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_revisit_resolution": OP7_SQL,
+       "op12_source_divergence": OP12_SQL}
