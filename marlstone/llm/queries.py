@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, ctph, decontaminate, divergence, langid, licenses, linededup, simhash, substrings, toxicity, warc
+from marlstone.llm import bpe, crosstoken, ctph, decontaminate, divergence, langid, licenses, linededup, simhash, substrings, toxicity, warc
 from marlstone.llm.batches import fold
 from marlstone.session import Tables
 
 #: The vocabulary and the pattern that splits texts, of the public tokenizer files.
 RANKS = "byte_bpe_50k.tiktoken"
+BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def sha256(text):
@@ -155,6 +156,12 @@ def op10_simhash_near_dedup(spark: SparkSession, path: str) -> DataFrame:
     return simhash.near_duplicates(Tables(spark, path).documents.select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, path: str) -> DataFrame:
+    vocabularies = crosstoken.read_vocabularies(public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+    found = crosstoken.link_statistics(Tables(spark, path).documents.select("doc_id", "text"), vocabularies)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.when(F.col("n_a") > 0, sha256(F.col("groups"))).otherwise("").alias("groups_sha256"))
+
+
 def op12_source_divergence(spark: SparkSession, path: str) -> DataFrame:
     return divergence.audit(Tables(spark, path).documents.select("lang", "source", "text"))
 
@@ -182,6 +189,6 @@ select lang, source, part, item, value::bigint as value, rank::int as rank from
 
 QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_dedup, op3_license_scan, op4_substring_dedup, op5_language_id,
                                    op6_document_fingerprints, op7_revisit_resolution, op8_toxicity, op9_byte_bpe, op10_simhash_near_dedup,
-                                   op12_source_divergence)}
+                                   op11_cross_tokenizer_alignment, op12_source_divergence)}
 SQL = {"op1_benchmark_decontamination": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_revisit_resolution": OP7_SQL,
        "op12_source_divergence": OP12_SQL}
