@@ -21,8 +21,11 @@ column with the name of a result column comes back with underscores before its n
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -68,15 +71,14 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-@dataclass(frozen=True)
-class Aligned:
-    """Tokens and groups of a chunk or text; ``groups`` as ``a1,a2|b1;a3|b2``, links as packed pairs with repeats."""
+class Aligned(NamedTuple):
+    """Tokens and groups of a chunk or text; ``groups`` as ``a1,a2|b1;a3|b2``, links as packed pairs with repeats, 64-bit integers."""
 
     n_a: int
     n_b: int
     n_groups: int
     groups: str
-    links: list[int]
+    links: bytes
 
 
 class Aligner:
@@ -94,50 +96,78 @@ class Aligner:
         alphabet = byte_alphabet()
         self.a_bytes = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.size)]
-        self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)}
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.name = [str(i) for i in range(max(self.size, max(self.a_bytes) + 1))]
         self.in_chunks = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.kept: dict[str, Aligned | None] = {}
+        self.older: dict[str, Aligned | None] = {}
 
     def chunk(self, text: str) -> Aligned | None:
         """The tokens of a space and ``text``; None where they do not give its bytes."""
-        ids_a = self.a.encode(" " + text, add_special_tokens=False).ids
+        whole = " " + text
+        ids_a = self.a.encode(whole, add_special_tokens=False).ids
         ids_b = self.b.encode(text) if text else []
         parts_a, parts_b = [self.a_bytes[i] for i in ids_a], [self.b_bytes[i] for i in ids_b]
-        whole = (" " + text).encode()
-        if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
+        if not b"".join(parts_a) == b"".join(parts_b) == whole.encode():
             return None
-        ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
-        index_a, index_b = {e: i for i, e in enumerate(ends_a)}, {e: i for i, e in enumerate(ends_b)}
-        groups, links, at_a, at_b = [], [], 0, 0
-        for end in sorted(index_a.keys() & index_b.keys()):
-            to_a, to_b = index_a[end] + 1, index_b[end] + 1
-            groups.append(f"{','.join(map(str, ids_a[at_a:to_a]))}|{','.join(map(str, ids_b[at_b:to_b]))}")
-            i, j = at_a, at_b
-            while i < to_a and j < to_b:
-                links.append(ids_a[i] * self.size + ids_b[j])
-                move_a, move_b = ends_a[i] <= ends_b[j], ends_b[j] <= ends_a[i]
-                i, j = i + move_a, j + move_b
+        index_a = dict(zip(accumulate(map(len, parts_a)), range(1, len(ids_a) + 1)))
+        index_b = dict(zip(accumulate(map(len, parts_b)), range(1, len(ids_b) + 1)))
+        common = sorted(index_a.keys() & index_b.keys())
+        name, size, groups, links, at_a, at_b = self.name, self.size, [], [], 0, 0
+        for end in common:
+            to_a, to_b = index_a[end], index_b[end]
+            if to_a - at_a == 1 and to_b - at_b == 1:
+                i, j = ids_a[at_a], ids_b[at_b]
+                links.append(i * size + j)
+                groups.append(name[i] + "|" + name[j])
+            else:
+                some_a, some_b = ids_a[at_a:to_a], ids_b[at_b:to_b]
+                if len(some_a) == 1 or len(some_b) == 1:
+                    links += [i * size + j for i in some_a for j in some_b]
+                else:
+                    links += overlaps(some_a, some_b, parts_a[at_a:to_a], parts_b[at_b:to_b], size)
+                groups.append(",".join([name[i] for i in some_a]) + "|" + ",".join([name[j] for j in some_b]))
             at_a, at_b = to_a, to_b
-        return Aligned(len(ids_a), len(ids_b), len(groups), ";".join(groups), links)
+        return Aligned(len(ids_a), len(ids_b), len(groups), ";".join(groups), array("q", links).tobytes())
 
     def look_up(self, text: str) -> Aligned | None:
+        """The alignment of a chunk, kept in two generations: what is not used again while one fills up goes with it."""
         if len(text) > KEPT_LENGTH:
             return self.chunk(text)
-        if text not in self.kept:
-            if len(self.kept) >= KEPT_CHUNKS:
-                self.kept.clear()
-            self.kept[text] = self.chunk(text)
-        return self.kept[text]
+        found = self.older[text] if text in self.older else self.chunk(text)
+        if len(self.kept) >= KEPT_CHUNKS:
+            self.kept, self.older = {}, self.kept
+        self.kept[text] = found
+        return found
 
     def text(self, text: str) -> Aligned | None:
         """The alignment of a whole text; None where it has no tokens."""
         if not text:
             return None
-        parts = [self.look_up(c) for c in (CUT.split(text) if self.in_chunks else [text])]
-        if None in parts:
-            return None
-        return Aligned(sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.n_groups for p in parts), ";".join([p.groups for p in parts]),
-                       [link for p in parts for link in p.links])
+        parts = []
+        for c in CUT.split(text) if self.in_chunks else [text]:
+            part = self.kept.get(c) or self.look_up(c)
+            if part is None:
+                return None
+            parts.append(part)
+        n_a, n_b, n_groups, groups, links = zip(*parts)
+        return Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links))
+
+
+@lru_cache(maxsize=1)
+def aligner_of(vocabularies: Vocabularies) -> Aligner:
+    """One aligner per worker: later tasks find its vocabularies loaded and its chunks kept."""
+    return Aligner(vocabularies)
+
+
+def overlaps(ids_a: list[int], ids_b: list[int], parts_a: list[bytes], parts_b: list[bytes], size: int) -> list[int]:
+    """Packed pairs of the tokens whose byte ranges overlap, of two lists over the same bytes."""
+    ends_a, ends_b, out, i, j = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b))), [], 0, 0
+    while i < len(ids_a):
+        out.append(ids_a[i] * size + ids_b[j])
+        end_a, end_b = ends_a[i], ends_b[j]
+        i, j = i + (end_a <= end_b), j + (end_b <= end_a)
+    return out
 
 
 def align(df: DataFrame, vocabularies: Vocabularies, text: str = "text") -> DataFrame:
@@ -147,7 +177,7 @@ def align(df: DataFrame, vocabularies: Vocabularies, text: str = "text") -> Data
     kind = pa.int32() if isinstance(packed, T.IntegerType) else pa.int64()
 
     def make():
-        aligner = Aligner(held.value)
+        aligner = aligner_of(held.value)
 
         def work(values):
             counts, groups, sizes, pairs, times = [], [], [0], [], []
@@ -158,9 +188,9 @@ def align(df: DataFrame, vocabularies: Vocabularies, text: str = "text") -> Data
                     groups.append("")
                     sizes.append(sizes[-1])
                     continue
-                counts.append((found.n_a, found.n_b, found.n_groups, len(found.links)))
+                counts.append((found.n_a, found.n_b, found.n_groups, len(found.links) // 8))
                 groups.append(found.groups)
-                pair, n = np.unique(np.array(found.links, np.int64), return_counts=True)
+                pair, n = np.unique(np.frombuffer(found.links, np.int64), return_counts=True)
                 sizes.append(sizes[-1] + len(pair))
                 pairs.append(pair)
                 times.append(n)
@@ -185,12 +215,14 @@ def pair_counts(aligned: DataFrame, b_size: int) -> DataFrame:
 
 
 def link_statistics(df: DataFrame, vocabularies: Vocabularies, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """(row, n_best, count_sum) and the columns of :func:`align` but the pairs: one row per row of ``df``.
+    """One row per row of ``df``: its columns but the text, those of :func:`align` but the pairs and with the SHA-256 of the groups in
+    place of the groups (empty without tokens), n_best and count_sum.
 
     n_best: links whose pair is in more documents than, or as many as, any pair of the same A id. count_sum: the documents that hold
     each link's pair, summed over links.
     """
-    aligned = written(align(df, vocabularies, text).withColumn("row", F.monotonically_increasing_id()))
+    found = align(df, vocabularies, text).withColumn("groups", F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise(""))
+    aligned = written(found.drop(text).withColumnRenamed("groups", "groups_sha256").withColumn("row", F.monotonically_increasing_id()))
     counts = written(pair_counts(aligned, vocabularies.b_size))
     total = counts.agg(F.sum("n")).head()[0] or 0
     often = F.col("n") * frequent > F.lit(total)
@@ -201,6 +233,6 @@ def link_statistics(df: DataFrame, vocabularies: Vocabularies, text: str = "text
         return linked.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
 
     both = sums(pairs.join(top, "pair")).unionByName(sums(pairs.join(top, "pair", "left_anti").join(rest, "pair")))
-    found = both.groupBy(F.col("row").alias("_row")).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    return (aligned.drop("pairs", "times").join(found, F.col("row") == F.col("_row"), "left").drop("_row")
+    sums_of = both.groupBy(F.col("row").alias("_row")).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return (aligned.drop("pairs", "times").join(sums_of, F.col("row") == F.col("_row"), "left").drop("_row", "row")
             .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_best", "count_sum")}))

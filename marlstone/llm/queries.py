@@ -159,7 +159,7 @@ def op10_simhash_near_dedup(spark: SparkSession, path: str) -> DataFrame:
 def op11_cross_tokenizer_alignment(spark: SparkSession, path: str) -> DataFrame:
     vocabularies = crosstoken.read_vocabularies(public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
     found = crosstoken.link_statistics(Tables(spark, path).documents.select("doc_id", "text"), vocabularies)
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.when(F.col("n_a") > 0, sha256(F.col("groups"))).otherwise("").alias("groups_sha256"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def op12_source_divergence(spark: SparkSession, path: str) -> DataFrame:
