@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, crosstoken, ctph, decontaminate, divergence, langid, licenses, linededup, simhash, substrings, toxicity, warc
+from marlstone.llm import bpe, crosstoken, ctph, decontaminate, divergence, langid, licenses, linededup, simhash, substrings, toxicity, vecgraph, warc
 from marlstone.llm.batches import fold
 from marlstone.session import Tables
 
@@ -187,8 +187,26 @@ r as (select 'pair' as part, *, row_number() over (partition by lang, source ord
 select lang, source, part, item, value::bigint as value, rank::int as rank from r where part = 'pair' or rank <= 10"""
 
 
+def op13_embedding_near_dedup(spark: SparkSession, path: str) -> DataFrame:
+    found = vecgraph.near_duplicates(Tables(spark, path).embeddings)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+OP13_SQL = r"""
+with recursive e as (select vec_id, label, embedding::double[] as v from embeddings),
+u as (select vec_id, label, v, sqrt(list_dot_product(v, v)) as n from e
+      where label is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(v, v) > 0),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+      where list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.93),
+reach as (select a, b from l union select reach.a, l.b from reach join l on reach.b = l.a),
+c as (select a, min(b) as least from reach group by a),
+d as (select a, count(*) as n from l group by a),
+r as (select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(least, vec_id)) as component_id from e left join c on c.a = vec_id left join d on d.a = vec_id)
+select vec_id, n_links, component_id, vec_id = component_id as kept from r"""
+
+
 QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_dedup, op3_license_scan, op4_substring_dedup, op5_language_id,
                                    op6_document_fingerprints, op7_revisit_resolution, op8_toxicity, op9_byte_bpe, op10_simhash_near_dedup,
-                                   op11_cross_tokenizer_alignment, op12_source_divergence)}
+                                   op11_cross_tokenizer_alignment, op12_source_divergence, op13_embedding_near_dedup)}
 SQL = {"op1_benchmark_decontamination": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op7_revisit_resolution": OP7_SQL,
-       "op12_source_divergence": OP12_SQL}
+       "op12_source_divergence": OP12_SQL, "op13_embedding_near_dedup": OP13_SQL}
