@@ -4,9 +4,9 @@ Both tokenizers read a space and the text, A a byte-level BPE (``tokenizers`` JS
 the space). The cumulative byte ends of the tokens go into end-to-index dictionaries; the ends that both have, found as a set
 intersection and sorted, cut the two id lists into groups, and the links of each slice are expanded by their byte ranges.
 
-A text is aligned in chunks that begin at a space after a visible character. No token of A crosses such a place (its pattern has
-a space only before a word), nor one of B as long as no piece has a space after another character, which is looked up in the model;
-else a text is one chunk. Chunks up to ``KEPT_LENGTH`` characters are aligned once per worker and kept, at most ``KEPT_CHUNKS`` of them.
+A text is aligned in chunks that begin at a space after a visible character, or at a mark after a Latin letter. No token of A crosses
+such a place (its pattern has a space only before a word, and letters only with letters), nor one of B as long as no piece has a
+space after another character or a mark after a letter, which is looked up in the model; else a text is one chunk. Chunks up to ``KEPT_LENGTH`` characters are aligned once per worker and kept, at most ``KEPT_CHUNKS`` of them.
 
 How many documents hold a linked id pair is counted in Spark: each document's pairs are written once with their number, exploded
 and added up. The sums over a document's links look the counts up in two parts. Of R (document, pair) rows fewer than
@@ -20,12 +20,12 @@ column with the name of a result column comes back with underscores before its n
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,11 @@ SPACE = "▁"
 FREQUENT = 1 << 17
 KEPT_CHUNKS = 1 << 18
 KEPT_LENGTH = 48
-#: A space after a visible character, with something behind it.
-CUT = re.compile(r"(?<=\S) (?=[\s\S])")
+#: Before a space that follows a visible character and has something behind it, and between a Latin letter and a mark.
+CUT = re.compile(r"(?<=\S)(?= [\s\S])")
+MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[^\w\s])")
+#: A word that the pattern of A keeps whole.
+PLAIN = re.compile("[A-Za-z]+")
 
 
 @dataclass(frozen=True)
@@ -71,14 +74,9 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-class Aligned(NamedTuple):
-    """Tokens and groups of a chunk or text; ``groups`` as ``a1,a2|b1;a3|b2``, links as packed pairs with repeats, 64-bit integers."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: bytes
+#: n_a, n_b, n_groups, the groups as ``a1,a2|b1;a3|b2``, and the links as packed pairs with repeats, 64-bit integers. A plain tuple:
+#: the collector of Python's garbage does not look through those again.
+Aligned = tuple[int, int, int, str, bytes]
 
 
 class Aligner:
@@ -92,21 +90,30 @@ class Aligner:
         self.size = vocabularies.b_size
         self.a = Tokenizer.from_str(vocabularies.a_json)
         self.a.encode_special_tokens = True
+        self.model = self.a.model
         self.b = sentencepiece.SentencePieceProcessor(model_proto=vocabularies.b_model)
         alphabet = byte_alphabet()
         self.a_bytes = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.size)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.name = [str(i) for i in range(max(self.size, max(self.a_bytes) + 1))]
-        self.in_chunks = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
+        across = re.compile(f"[^{SPACE}]{SPACE}|{MARK.pattern}")
+        as_written = "ﬁ e\u0301"
+        self.first = self.b.encode("a")
+        self.in_chunks = (len(self.first) == 1 and self.b.decode(self.b.encode(as_written)) == as_written
+                          and not any(across.search(p) for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))))
+        self.byte_space = {b: c for c, b in alphabet.items()}[32]
         self.kept: dict[str, Aligned | None] = {}
         self.older: dict[str, Aligned | None] = {}
 
-    def chunk(self, text: str) -> Aligned | None:
-        """The tokens of a space and ``text``; None where they do not give its bytes."""
-        whole = " " + text
-        ids_a = self.a.encode(whole, add_special_tokens=False).ids
-        ids_b = self.b.encode(text) if text else []
+    def chunk(self, whole: str) -> Aligned | None:
+        """The tokens of a text from its space on, or of a part of it after a letter; None where they do not give its bytes."""
+        if whole[0] == " ":
+            ids_b = self.b.encode(whole[1:])
+            word = PLAIN.fullmatch(whole, 1)
+        else:
+            ids_b, word = self.b.encode("a" + whole)[1:], None
+        ids_a = [t.id for t in self.model.tokenize(self.byte_space + whole[1:])] if word else self.a.encode(whole, add_special_tokens=False).ids
         parts_a, parts_b = [self.a_bytes[i] for i in ids_a], [self.b_bytes[i] for i in ids_b]
         if not b"".join(parts_a) == b"".join(parts_b) == whole.encode():
             return None
@@ -128,10 +135,12 @@ class Aligner:
                     links += overlaps(some_a, some_b, parts_a[at_a:to_a], parts_b[at_b:to_b], size)
                 groups.append(",".join([name[i] for i in some_a]) + "|" + ",".join([name[j] for j in some_b]))
             at_a, at_b = to_a, to_b
-        return Aligned(len(ids_a), len(ids_b), len(groups), ";".join(groups), array("q", links).tobytes())
+        return len(ids_a), len(ids_b), len(groups), ";".join(groups), array("q", links).tobytes()
 
     def look_up(self, text: str) -> Aligned | None:
-        """The alignment of a chunk, kept in two generations: what is not used again while one fills up goes with it."""
+        """The alignment of a chunk. Parts between marks are kept, in two generations: what is not used again while one fills up goes with it."""
+        if len(parts := MARK.split(text)) > 1:
+            return joined([self.kept.get(p) or self.look_up(p) for p in parts])
         if len(text) > KEPT_LENGTH:
             return self.chunk(text)
         found = self.older[text] if text in self.older else self.chunk(text)
@@ -144,20 +153,28 @@ class Aligner:
         """The alignment of a whole text; None where it has no tokens."""
         if not text:
             return None
-        parts = []
-        for c in CUT.split(text) if self.in_chunks else [text]:
-            part = self.kept.get(c) or self.look_up(c)
-            if part is None:
-                return None
-            parts.append(part)
-        n_a, n_b, n_groups, groups, links = zip(*parts)
-        return Aligned(sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links))
+        if not self.in_chunks:
+            return self.chunk(" " + text)
+        kept, look_up = self.kept.get, self.look_up
+        return joined([kept(c) or look_up(c) for c in CUT.split(" " + text)])
+
+
+def joined(parts: list[Aligned | None]) -> Aligned | None:
+    """One alignment of consecutive parts, None if one of them is."""
+    if None in parts:
+        return None
+    n_a, n_b, n_groups, groups, links = zip(*parts)
+    return sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), b"".join(links)
 
 
 @lru_cache(maxsize=1)
 def aligner_of(vocabularies: Vocabularies) -> Aligner:
-    """One aligner per worker: later tasks find its vocabularies loaded and its chunks kept."""
-    return Aligner(vocabularies)
+    """One aligner per worker: later tasks find its vocabularies loaded and its chunks kept. They hold no cycles, so garbage
+    is looked for less often and not among them."""
+    aligner = Aligner(vocabularies)
+    gc.freeze()
+    gc.set_threshold(1 << 16)
+    return aligner
 
 
 def overlaps(ids_a: list[int], ids_b: list[int], parts_a: list[bytes], parts_b: list[bytes], size: int) -> list[int]:
@@ -188,9 +205,10 @@ def align(df: DataFrame, vocabularies: Vocabularies, text: str = "text") -> Data
                     groups.append("")
                     sizes.append(sizes[-1])
                     continue
-                counts.append((found.n_a, found.n_b, found.n_groups, len(found.links) // 8))
-                groups.append(found.groups)
-                pair, n = np.unique(np.frombuffer(found.links, np.int64), return_counts=True)
+                *sums, text_groups, links = found
+                counts.append((*sums, len(links) // 8))
+                groups.append(text_groups)
+                pair, n = np.unique(np.frombuffer(links, np.int64), return_counts=True)
                 sizes.append(sizes[-1] + len(pair))
                 pairs.append(pair)
                 times.append(n)
