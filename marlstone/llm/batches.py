@@ -34,6 +34,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def making_room(df: DataFrame, names: Iterable[str], *used: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with underscores before the columns that have one of the names of new columns, and what the ``used`` ones are called then."""
+    new = {n.lower() for n in names}
+    renamed = {c: fresh(df, c)[0] if c.lower() in new else c for c in df.columns}
+    if any(a != b for a, b in renamed.items()):
+        df = df.select(*[F.col(f"`{a}`").alias(b) for a, b in renamed.items()])
+    return df, [renamed.get(c, c) for c in used]
+
+
 def column(df: DataFrame, name: str):
     """The column of exactly this name, also if the name holds dots."""
     return df[f"`{name}`"]
@@ -48,8 +57,10 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
                    make: Callable[[], Callable[..., list[pa.Array]]]) -> DataFrame:
     """``df`` with columns that a Python function computes batch by batch; nothing is shuffled.
 
-    ``make()`` runs once per task and returns a function of the input arrays that gives one array per new field.
+    ``make()`` runs once per task and returns a function of the input arrays that gives one array per new field. A column of ``df``
+    with the name of a new field comes back with underscores before its name.
     """
+    df, inputs = making_room(df, [f.name for f in fields], *inputs)
     small_batches(df.sparkSession)
     schema = T.StructType(df.schema.fields + fields)
 

@@ -17,7 +17,9 @@ text ends is filed under a short run of words and the trees of the groups are bu
 The shuffle of the texts is the same for all these joins and for the last one, so it is done once.
 
 Rows: null, empty and short texts lose nothing (a null text has no words; kept text is then null). Rows without an id lose nothing
-and are not counted as earlier. Equal rows with one id are one document. Rows that share an id but not a text are pooled by position.
+and are not counted as earlier. A document is an id, of any type with an order, and the hash of its text: equal texts of one id are
+one document, different texts of one id are documents of their own, in the order of their hashes. An input column with the name of
+a result column comes back with underscores before its name.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from marlstone.llm.batches import append_columns, byte_list, column, fresh, row_batches, small_batches
+from marlstone.llm.batches import append_columns, byte_list, column, fresh, making_room, row_batches, small_batches
 from marlstone.session import cut_lineage, scratch
 
 WINDOW = 20
@@ -43,6 +46,8 @@ GROUP = 1024
 SALTS = 16
 #: Bytes of text looked at together in a task.
 STRETCH = 1 << 20
+#: The order of places: earlier documents first, then earlier words.
+PLACE_COLUMNS = ("id", "version", "begin")
 #: The bytes between words, and a scattered 64-bit number for every byte value, by rule.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 SCATTER = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(23))
@@ -112,8 +117,8 @@ def runs(data: np.ndarray, bounds: np.ndarray, window: int = WINDOW, gram: int =
     return text[starts], starts - first[text[starts]], counts, g[at[starts]].view(np.int64)
 
 
-def repeated_leaves(fragments: list[tuple[tuple[int, int], bytes]], window: int = WINDOW) -> list[tuple[int, int]]:
-    """(id, start) of every suffix below a deep node of the subtree but the earliest; fragments are ((id, start), words)."""
+def repeated_leaves(fragments: list[tuple[tuple, bytes]], window: int = WINDOW) -> list[tuple]:
+    """(document, start) of every suffix below a deep node of the subtree but the earliest; fragments are ((document, start), words)."""
     leaves = []
     for (doc, start), text in fragments:
         ends = [0]
@@ -137,10 +142,10 @@ def repeated_leaves(fragments: list[tuple[tuple[int, int], bytes]], window: int
     return out
 
 
-def group_spans(group: list[tuple[int, int, bytes]], window: int = WINDOW):
-    """(id, begin, end) of the repeated words of one group of (id, start, words). Equal fragments are one: all but the earliest go
+def group_spans(group: list[tuple], window: int = WINDOW):
+    """(document, begin, end) of the repeated words of one group of (document, start, words). Equal fragments are one: all but the earliest go
     whole, and only the earliest of each enters the subtree."""
-    places: dict[bytes, set[tuple[int, int]]] = {}
+    places: dict[bytes, set[tuple]] = {}
     for doc, start, text in group:
         places.setdefault(text, set()).add((doc, start))
     for text, at in places.items():
@@ -151,8 +156,8 @@ def group_spans(group: list[tuple[int, int, bytes]], window: int = WINDOW):
         yield from spans(repeated_leaves([(min(at), text) for text, at in places.items()], window), window)
 
 
-def spans(starts: list[tuple[int, int]], window: int):
-    """(id, begin, end) of the words that the windows cover, neighbours merged."""
+def spans(starts: list[tuple], window: int):
+    """(document, begin, end) of the words that the windows cover, neighbours merged."""
     held = None
     for doc, start in sorted(set(starts)):
         if held and held[0] == doc and start <= held[2]:
@@ -166,17 +171,18 @@ def spans(starts: list[tuple[int, int]], window: int):
 
 
 def find_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, lo, n, key) for every run of suffixes; ``docs`` is (id, text) without nulls."""
-    names = ["id", "lo", "n", "key"]
+    """(id, version, lo, n, key) for every run of suffixes; ``docs`` is (id, version, text) without nulls."""
+    names = ["id", "version", "lo", "n", "key"]
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), byte_list(batch.column(1))
+            texts = byte_list(batch.column(2))
             for some, data, bounds, lead in stretches(texts):
                 found = runs(data, bounds, window, gram)
                 if found is not None:
                     text, lo, n, key = found
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some][text]), pa.array((lo + lead).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key)], names)
+                    rows = pa.array(some[text])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array((lo + lead).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key)], names)
 
     def stretches(texts):
         """Texts put together up to STRETCH bytes; a longer one by itself, in parts that overlap by a window."""
@@ -200,83 +206,91 @@ def find_runs(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def put_together(held, at):
         return np.array(at), np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)]), 0
 
-    return docs.mapInArrow(run, "id long, lo int, n int, key long")
+    return docs.mapInArrow(run, f"id {id_type(docs)}, version long, lo int, n int, key long")
+
+
+def id_type(df: DataFrame) -> str:
+    return df.schema["id"].dataType.simpleString()
+
+
+def version(df: DataFrame, text: str):
+    return F.xxhash64(column(df, text))
 
 
 def fragments(df: DataFrame, id: str, text: str, found: DataFrame, window: int) -> DataFrame:
-    """(key, id, lo, words): the text of each run."""
-    lists = found.groupBy("id").agg(F.collect_set(F.struct("lo", "n", "key")).alias("runs")).withColumnRenamed("id", "_id")
-    both = (df.select(column(df, id), column(df, text)).join(lists, column(df, id) == F.col("_id"))
-            .select(F.col("_id"), F.col(f"`{text}`"), "runs.lo", "runs.n", "runs.key"))
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("lo", pa.int32()), ("words", pa.binary())])
+    """(key, id, version, lo, words): the text of each run."""
+    lists = (found.groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(F.collect_set(F.struct("lo", "n", "key")).alias("runs")))
+    both = (df.select(column(df, id), column(df, text)).join(lists, (column(df, id) == F.col("_id")) & (version(df, text) == F.col("_version")))
+            .select(F.col("_id"), F.col("_version"), F.col(f"`{text}`"), "runs.lo", "runs.n", "runs.key"))
+    schema = pa.schema([("key", pa.int64()), ("id", to_arrow_type(found.schema["id"].dataType)), ("version", pa.int64()), ("lo", pa.int32()), ("words", pa.binary())])
 
     def run(batches):
         def rows(batch):
-            lo, n, key = (batch.column(i).values.to_numpy(zero_copy_only=False).tolist() for i in (2, 3, 4))
-            ends = batch.column(2).offsets.to_numpy().tolist()
-            for doc, text, a, b in zip(batch.column(0).to_pylist(), byte_list(batch.column(1)), ends, ends[1:]):
+            lo, n, key = (batch.column(i).values.to_numpy(zero_copy_only=False).tolist() for i in (3, 4, 5))
+            ends = batch.column(3).offsets.to_numpy().tolist()
+            for doc, of, text, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_list(batch.column(2)), ends, ends[1:]):
                 words = text.split() if text else []
                 for begin, count, k in zip(lo[a:b], n[a:b], key[a:b]):
                     part = words[begin:begin + count + window - 1]
                     if len(part) >= window:
-                        yield k, doc, begin, b" ".join(part)
+                        yield k, doc, of, begin, b" ".join(part)
 
         for batch in batches:
             yield from row_batches(rows(batch), schema)
 
-    return both.mapInArrow(run, "key long, id long, lo int, words binary")
+    return both.mapInArrow(run, f"key long, id {id_type(found)}, version long, lo int, words binary")
 
 
 def marked_in_groups(pieces: DataFrame, window: int) -> DataFrame:
-    """(id, begin, end) from the subtree of each key; a group is held one at a time."""
-    schema = pa.schema([("id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+    """(id, version, begin, end) from the subtree of each key; a group is held one at a time."""
+    schema = pa.schema([("id", to_arrow_type(pieces.schema["id"].dataType)), ("version", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
-        yield from row_batches((s for _, group in groupby(rows, key=itemgetter(0)) for s in group_spans([r[1:] for r in group], window)), schema)
+        groups = ([(r[1:3], r[3], r[4]) for r in group] for _, group in groupby(rows, key=itemgetter(0)))
+        yield from row_batches(((*doc, begin, end) for group in groups for doc, begin, end in group_spans(group, window)), schema)
 
-    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, "id long, begin long, end long")
+    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"id {id_type(pieces)}, version long, begin long, end long")
 
 
 def dealt(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """``df`` joined to ``table``, which has each ``key`` once; rows of one key are dealt over SALTS tasks."""
-    left = df.withColumn("_salt", F.pmod(F.xxhash64("id", "begin"), F.lit(SALTS)).cast("int"))
+    left = df.withColumn("_salt", F.pmod(F.xxhash64("id", "version", "begin"), F.lit(SALTS)).cast("int"))
     right = table.withColumnRenamed(key, "_key").withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_r_salt"))).drop("_key", "_salt", "_r_salt")
 
 
 def later(places: DataFrame, first: DataFrame, node: str) -> DataFrame:
-    """The places (node, id, begin, ...) that are not the first of their node; ``first`` is (node, first, last)."""
-    return dealt(places, first.filter("first <> last").select(node, "first"), node).filter(F.struct("id", "begin") > F.col("first"))
+    """The places (node, id, version, begin, ...) that are not the first of their node; ``first`` is (node, first, last)."""
+    return dealt(places, first.filter("first <> last").select(node, "first"), node).filter(F.struct(*PLACE_COLUMNS) > F.col("first"))
 
 
 def merged_pieces(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Equal fragments of a key as one: (key, id, begin, words) of the earliest, and (id, begin, end) of the others."""
-    whole = pieces.select("key", F.unhex(F.md5("words")).alias("node"), "id", F.col("lo").cast("long").alias("begin"), "words")
-    one = whole.groupBy("key", "node").agg(F.min(F.struct("id", "begin", "words")).alias("first"), F.max(F.struct("id", "begin")).alias("last"))
-    places = whole.select("node", "id", "begin", (F.regexp_count(F.col("words").cast("string"), F.lit(" ")) + 1).alias("n"))
-    copies = later(places, one.select("node", F.struct("first.id", "first.begin").alias("first"), "last"), "node")
-    return one.select("key", "first.id", "first.begin", "first.words"), copies.select("id", "begin", (F.col("begin") + F.col("n")).alias("end"))
+    """Equal fragments of a key as one: (key, id, version, begin, words) of the earliest, and (id, version, begin, end) of the others."""
+    whole = pieces.select("key", F.unhex(F.md5("words")).alias("node"), "id", "version", F.col("lo").cast("long").alias("begin"), "words")
+    one = whole.groupBy("key", "node").agg(F.min(F.struct("id", "version", "begin", "words")).alias("first"), F.max(F.struct(*PLACE_COLUMNS)).alias("last"))
+    places = whole.select("node", "id", "version", "begin", (F.regexp_count(F.col("words").cast("string"), F.lit(" ")) + 1).alias("n"))
+    copies = later(places, one.select("node", F.struct("first.id", "first.version", "first.begin").alias("first"), "last"), "node")
+    return one.select("key", "first.id", "first.version", "first.begin", "first.words"), copies.select("id", "version", "begin", (F.col("begin") + F.col("n")).alias("end"))
 
 
 def marked_by_window(pieces: DataFrame, window: int) -> DataFrame:
-    """(id, begin, end) by the whole window as the prefix, for keys of any size; ``pieces`` is (key, id, begin, words)."""
-    schema = pa.schema([("node", pa.binary()), ("id", pa.int64()), ("begin", pa.int64())])
+    """(id, version, begin, end) by the whole window as the prefix, for keys of any size; ``pieces`` is (key, id, version, begin, words)."""
+    schema = pa.schema([("node", pa.binary()), ("id", to_arrow_type(pieces.schema["id"].dataType)), ("version", pa.int64()), ("begin", pa.int64())])
 
     def run(batches):
         def rows(batch):
-            for doc, lo, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, of, lo, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = text.split(b" ")
                 for i in range(len(words) - window + 1):
-                    yield md5(b" ".join(words[i:i + window])).digest(), doc, lo + i
+                    yield md5(b" ".join(words[i:i + window])).digest(), doc, of, lo + i
 
         for batch in batches:
             yield from row_batches(rows(batch), schema)
 
-    leaves = pieces.select("id", "begin", "words").mapInArrow(run, "node binary, id long, begin long")
-    place = F.struct("id", "begin")
-    nodes = later(leaves, leaves.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last")), "node")
-    return nodes.select("id", "begin", (F.col("begin") + window).alias("end"))
+    leaves = pieces.select("id", "version", "begin", "words").mapInArrow(run, f"node binary, id {id_type(pieces)}, version long, begin long")
+    nodes = later(leaves, leaves.groupBy("node").agg(F.min(F.struct(*PLACE_COLUMNS)).alias("first"), F.max(F.struct(*PLACE_COLUMNS)).alias("last")), "node")
+    return nodes.select("id", "version", "begin", (F.col("begin") + window).alias("end"))
 
 
 def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP,
@@ -286,26 +300,27 @@ def dedup_substrings(df: DataFrame, id: str = "doc_id", text: str = "text", wind
         raise ValueError("gram must be between 1 and window")
     spark = df.sparkSession
     small_batches(spark)
-    own = df.select(column(df, id).cast("long").alias("id"), column(df, text).alias("text")).filter("id is not null and text is not null")
+    df, (id, text) = making_room(df, names, id, text)
+    own = df.select(column(df, id).alias("id"), version(df, text).alias("version"), column(df, text).alias("text")).filter("id is not null and text is not null")
     found = find_runs(own, window, gram)
     # Only keys met more than once go on; both sides of the join are plain shuffles, so a frequent key can be split.
     keys = cut_lineage(found.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("key").alias("_key"), "size"))
     place = scratch(spark, "substring-runs")
-    found.join(keys, F.col("key") == F.col("_key")).select("id", "lo", "n", "key", (F.col("size") > group).alias("large")).write.parquet(place)
-    again = spark.read.schema("id long, lo int, n int, key long, large boolean").parquet(place)
-    small = fragments(df, id, text, again.filter("not large"), window).select("key", "id", F.col("lo").cast("long").alias("begin"), "words")
+    found.join(keys, F.col("key") == F.col("_key")).select("id", "version", "lo", "n", "key", (F.col("size") > group).alias("large")).write.parquet(place)
+    again = spark.read.schema(f"id {id_type(own)}, version long, lo int, n int, key long, large boolean").parquet(place)
+    small = fragments(df, id, text, again.filter("not large"), window).select("key", "id", "version", F.col("lo").cast("long").alias("begin"), "words")
     merged, copies = merged_pieces(fragments(df, id, text, again.filter("large"), window))
     sized = dealt(merged, merged.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
     fitting = sized.filter(F.col("size") <= group).drop("size")
     marked = (marked_in_groups(small.unionByName(fitting), window).unionByName(copies)
               .unionByName(marked_by_window(sized.filter(F.col("size") > group).drop("size"), window)))
-    begins, ends, key = fresh(df, "cut_begins", "cut_ends", "cut_id")
-    # Every id has a list, if an empty one: all joins of the texts are then alike, and their shuffle is done once.
-    every = marked.unionByName(df.select(column(df, id).cast("long").alias("id")), allowMissingColumns=True)
-    lists = every.groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_list(F.when(F.col("begin").isNotNull(), F.struct("begin", "end")))).alias(begins))
+    begins, ends, key, of = fresh(df, "cut_begins", "cut_ends", "cut_id", "cut_version")
+    # Every document has a list, if an empty one: all joins of the texts are then alike, and their shuffle is done once.
+    every = marked.unionByName(df.select(column(df, id).alias("id"), version(df, text).alias("version")), allowMissingColumns=True)
+    lists = every.groupBy(F.col("id").alias(key), F.col("version").alias(of)).agg(F.array_sort(F.collect_list(F.when(F.col("begin").isNotNull(), F.struct("begin", "end")))).alias(begins))
     columns = [F.col(f"`{c}`") for c in df.columns]
     none = F.array().cast("array<long>")
-    joined = (df.join(lists, column(df, id) == F.col(key)).select(*columns, F.col(f"{begins}.begin").alias(begins), F.col(f"{begins}.end").alias(ends))
+    joined = (df.join(lists, (column(df, id) == F.col(key)) & (version(df, text) == F.col(of))).select(*columns, F.col(f"{begins}.begin").alias(begins), F.col(f"{begins}.end").alias(ends))
               .unionByName(df.filter(column(df, id).isNull()).select(*columns, none.alias(begins), none.alias(ends))))
 
     def make():
