@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.columns import flagged, ladder, micros
 from marlstone.operators.folds import sliding_totals
+from marlstone.operators.graph import block_counts, strongly_connected_components
+from marlstone.operators.joins import salted_lookup
 from marlstone.operators.windows import latest, range_frame, rows_frame, running
-from marlstone.session import cut_lineage
+from marlstone.session import written
 
 HOUR, DAY = 3600.0, 86_400.0
 #: Monitoring limits and high-risk countries.
@@ -127,37 +129,21 @@ def match_names(names: DataFrame, ident: str, name: str, watch: DataFrame, watch
 def trading_cycles(transfers: DataFrame, token: str, ts: str, src: str, dst: str, window: str = "24 hours") -> DataFrame:
     """Addresses on a directed cycle of three or more addresses, per token and window.
 
-    A node u lies on such a cycle when one neighbour v reaches, without passing u, another node w that points
-    to u. Nodes without an in- or out-edge are dropped first; then the reach of each (u, v) grows by one hop
-    per round, over all tokens and windows at once, until nothing new appears.
+    Cycles stay inside strong components. In one, an address is on such a cycle if and only if it is on an undirected cycle: inside
+    a block of three or more addresses every neighbour but a sole one can be left by another way. So the strong components of
+    all tokens and windows are found at once, then the blocks inside them; no pairs of addresses are formed.
     """
     w = F.window(ts, window)["start"].alias("window_start")
-    edges = transfers.select(F.col(token).alias("token"), w, F.col(src).alias("a"), F.col(dst).alias("b")) \
-        .filter(F.col("a") != F.col("b")).distinct()
-    edges = cut_lineage(edges)
-    before = -1
-    while True:
-        starts = edges.select("token", "window_start", F.col("a").alias("x")).distinct()
-        ends = edges.select("token", "window_start", F.col("b").alias("x")).distinct()
-        inner = starts.intersect(ends)
-        k = ["token", "window_start"]
-        edges = cut_lineage(edges.join(inner.withColumnRenamed("x", "a"), [*k, "a"], "left_semi")
-                            .join(inner.withColumnRenamed("x", "b"), [*k, "b"], "left_semi"))
-        n = edges.count()
-        if n == before or n == 0:
-            break
-        before = n
     k = ["token", "window_start"]
-    back = edges.select(*k, F.col("b").alias("u"), F.col("a").alias("w"))
-    reach = cut_lineage(edges.select(*k, F.col("a").alias("u"), F.col("b").alias("v"), F.col("b").alias("w")))
-    frontier = reach
-    while not frontier.isEmpty():
-        step = frontier.join(edges.select(*k, F.col("a").alias("w"), F.col("b").alias("next")), [*k, "w"]) \
-            .filter(F.col("next") != F.col("u")).select(*k, "u", "v", F.col("next").alias("w")).distinct()
-        frontier = cut_lineage(step.join(reach, [*k, "u", "v", "w"], "left_anti"))
-        reach = cut_lineage(reach.unionByName(frontier))
-    closed = reach.filter(F.col("w") != F.col("v")).join(back, [*k, "u", "w"])
-    return closed.select(*k, F.col("u").alias("address")).distinct()
+    edges = written(transfers.select(F.col(token).alias("token"), w, F.col(src).alias("a"), F.col(dst).alias("b")).filter(F.col("a") != F.col("b")).distinct())
+    ends = edges.select(*k, F.col("a").alias("address")).unionByName(edges.select(*k, F.col("b").alias("address"))).distinct()
+    nodes = written(ends.withColumn("id", F.monotonically_increasing_id()))
+    as_ = lambda address, id: nodes.select(*k, F.col("address").alias(address), F.col("id").alias(id))
+    e = written(edges.join(as_("a", "src"), [*k, "a"]).join(as_("b", "dst"), [*k, "b"]).select("src", "dst"))
+    strong = strongly_connected_components(nodes, e)
+    one = salted_lookup(e, "src", strong, "id", [F.col("component").alias("cs")])
+    inside = written(salted_lookup(one, "dst", strong, "id", [F.col("component").alias("cd")]).filter("cs = cd").select("src", "dst"))
+    return nodes.join(block_counts(nodes, inside).filter("cyclic"), "id", "left_semi").select(*k, "address")
 
 
 def sybil_windows(events: DataFrame, src: str, ts: str, dst: str, min_events: int = 100, min_parties: int = 50, window: str = "1 hour") -> DataFrame:

@@ -168,58 +168,72 @@ def modularity(edges: DataFrame, communities: DataFrame, weight: str | None = No
     return deg.agg((inside / m - F.sum(F.col("k") * F.col("k")) / (4 * m * m)).alias("modularity"))
 
 
-def modularity_communities(vertices: DataFrame, edges: DataFrame, levels: int = 2, rounds: int = 4) -> DataFrame:
-    """(id, community) by local moves of positive gain and contraction, over the whole graph at once.
-
-    In a round a vertex may only move to a smaller label (even rounds) or a larger one (odd rounds), so that two
-    vertices do not swap for ever; a round is kept only when the modularity grows.
+def modularity_communities(vertices: DataFrame, edges: DataFrame, rounds: int = 4, tol: float = 1e-6) -> DataFrame:
+    """(id, community, levels, converged): communities by local moves and contraction, level after level until one gains less than ``tol``.
+
+    In a round a hash colours the communities anew, half of them givers and half takers, and a vertex may only go from a giver to the
+    taker that gains most, so nothing swaps. Vertices that leave or join the same community at once get in each other's way by
+    k_i k_j / (2 m^2) at most: a vertex goes if its gain outweighs that against all others of its giver and its taker, or if it is the
+    best of both. So the modularity grows with every round and no round has to be taken back. A level without an accepted move in
+    all its rounds counts as the end only if no vertex has a gaining move of any colour.
     """
-    g = links(edges).groupBy("a", "b").agg(F.lit(1.0).alias("w"))
-    g = cut_lineage(g.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"))
-    ids = vertices.select("id").distinct()
-    total = g.agg(F.sum("w").alias("m")).first()["m"] or 0.0
-    assigned = cut_lineage(ids.withColumn("community", F.col("id")))
-    if not total:
-        return assigned
-    for _ in range(levels):
-        nodes = g.select(F.col("src").alias("id")).unionByName(g.select(F.col("dst").alias("id"))).distinct()
-        comm = cut_lineage(nodes.withColumn("community", F.col("id")))
-        both = cut_lineage(g.filter("src <> dst").select(F.col("src").alias("v"), F.col("dst").alias("u"), "w").unionByName(
-            g.filter("src <> dst").select(F.col("dst").alias("v"), F.col("src").alias("u"), "w")))
-        loops = g.filter("src = dst").select(F.col("src").alias("v"), (2 * F.col("w")).alias("w"))
-        k = cut_lineage(both.select("v", "w").unionByName(loops).groupBy("v").agg(F.sum("w").alias("k")))
-        best = modularity(g, comm, "w").first()["modularity"]
-        moved = False
-        for r in range(rounds):
-            state = comm.join(k.withColumnRenamed("v", "id"), "id")
-            tot = state.groupBy("community").agg(F.sum("k").alias("tot"))
-            to = salted_lookup(both, "u", comm, "id", ["community"]).groupBy("v", "community").agg(F.sum("w").alias("w_in"))
-            home = state.select(F.col("id").alias("v"), F.col("community").alias("home"), "k")
-            stay = to.join(home, "v")
-            own = stay.filter("community = home").select("v", F.col("w_in").alias("w_home"))
-            c = salted_lookup(stay, "community", tot.withColumnRenamed("community", "_c"), "_c", ["tot"])
-            c = salted_lookup(c, "home", tot.select(F.col("community").alias("_h"), F.col("tot").alias("tot_home")), "_h", ["tot_home"])
-            c = c.join(own, "v", "left").filter("community <> home")
-            gain = (F.col("w_in") - F.coalesce("w_home", F.lit(0.0))) / total \
-                - F.col("k") * (F.col("tot") - F.col("tot_home") + F.col("k")) / (2 * total * total)
-            way = F.col("community") < F.col("home") if r % 2 == 0 else F.col("community") > F.col("home")
-            pick = c.withColumn("gain", gain).filter((F.col("gain") > 1e-12) & way).groupBy("v").agg(
-                F.max_by("community", F.struct("gain", -F.col("community"))).alias("_new"))
-            trial = cut_lineage(comm.join(pick.withColumnRenamed("v", "id"), "id", "left").select("id", F.coalesce("_new", "community").alias("community")))
-            q = modularity(g, trial, "w").first()["modularity"]
-            if q > best + 1e-9:
-                comm, best, moved = trial, q, True
-            elif r % 2:
+    g = written(links(edges).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w")))
+    assigned = written(vertices.select("id").distinct().withColumn("community", F.col("id")))
+    total = g.agg(F.sum("w")).first()[0] or 0.0
+    level, drawn = 0, 0
+    while total:
+        plain = g.filter("src <> dst")
+        both = written(plain.select(F.col("src").alias("v"), F.col("dst").alias("u"), "w").unionByName(plain.select(F.col("dst").alias("v"), F.col("src").alias("u"), "w")))
+        ends = both.select("v", "w").unionByName(g.filter("src = dst").select(F.col("src").alias("v"), (2 * F.col("w")).alias("w")))
+        comm = written(ends.groupBy(F.col("v").alias("id")).agg(F.sum("w").alias("k")).withColumn("community", F.col("id")))
+        gained, r, open_moves = 0.0, 0, True
+        while open_moves and (r < rounds or not gained):
+            moves = written(best_moves(both, comm, total, drawn))
+            open_moves, r, drawn = not moves.isEmpty(), r + 1, drawn + 1
+            if not open_moves:
                 break
-        if not moved:
+            accepted = written(accepted_moves(moves.filter("target is not null"), total))
+            step = accepted.agg(F.sum("gain")).first()[0] or 0.0
+            if step:
+                gained += step
+                comm = written(comm.join(accepted.select(F.col("v").alias("_v"), "target"), F.col("id") == F.col("_v"), "left").select("id", "k", F.coalesce("target", "community").alias("community")))
+        if gained < tol:
             break
-        j = salted_lookup(assigned, "community", comm.select(F.col("id").alias("_v"), F.col("community").alias("_top")), "_v", ["_top"], "left")
-        assigned = cut_lineage(j.select("id", F.coalesce("_top", "community").alias("community")))
-        e = salted_lookup(g, "src", comm.select(F.col("id").alias("_v"), F.col("community").alias("cs")), "_v", ["cs"])
-        e = salted_lookup(e, "dst", comm.select(F.col("id").alias("_v"), F.col("community").alias("cd")), "_v", ["cd"])
-        g = cut_lineage(e.groupBy(F.least("cs", "cd").alias("src"), F.greatest("cs", "cd").alias("dst")).agg(F.sum("w").alias("w")))
-    low = assigned.groupBy("community").agg(F.min("id").alias("_low"))
-    return salted_lookup(assigned, "community", low.withColumnRenamed("community", "_c"), "_c", ["_low"]).select("id", F.col("_low").alias("community"))
+        level += 1
+        top = comm.select(F.col("id").alias("_v"), F.col("community").alias("_top"))
+        assigned = written(salted_lookup(assigned, "community", top, "_v", ["_top"], "left").select("id", F.coalesce("_top", "community").alias("community")))
+        e = salted_lookup(g, "src", top, "_v", [F.col("_top").alias("cs")])
+        e = salted_lookup(e, "dst", top, "_v", [F.col("_top").alias("cd")])
+        g = written(e.groupBy(F.least("cs", "cd").alias("src"), F.greatest("cs", "cd").alias("dst")).agg(F.sum("w").alias("w")))
+    low = assigned.groupBy(F.col("community").alias("_c")).agg(F.min("id").alias("_low"))
+    return salted_lookup(assigned, "community", low, "_c", ["_low"]).select("id", F.col("_low").alias("community"), F.lit(level).alias("levels"), F.lit(True).alias("converged"))
+
+
+def best_moves(both: DataFrame, comm: DataFrame, total: float, drawn: int) -> DataFrame:
+    """(v, home, target, gain, k) of every vertex with a gaining move; target is null where the colours of this round allow none."""
+    tot = comm.groupBy(F.col("community").alias("_c")).agg(F.sum("k").alias("tot"))
+    to = salted_lookup(both, "u", comm, "id", ["community"]).groupBy("v", "community").agg(F.sum("w").alias("w_in"))
+    home = comm.join(tot, F.col("community") == F.col("_c")).select(F.col("id").alias("_v"), F.col("community").alias("home"), "k", F.col("tot").alias("tot_home"))
+    near = to.join(home, F.col("v") == F.col("_v"))
+    own = near.filter("community = home").select(F.col("v").alias("_o"), F.col("w_in").alias("w_home"))
+    c = salted_lookup(near.filter("community <> home"), "community", tot, "_c", ["tot"]).join(own, F.col("v") == F.col("_o"), "left")
+    gain = (F.col("w_in") - F.coalesce("w_home", F.lit(0.0))) / total - F.col("k") * (F.col("tot") - F.col("tot_home") + F.col("k")) / (2 * total * total)
+    taker = lambda x: F.pmod(F.xxhash64(x, F.lit(drawn)), F.lit(2)) == 1
+    allowed = taker("community") & ~taker("home")
+    scored = c.withColumn("gain", gain).filter(F.col("gain") > 1e-12)
+    best = F.struct("gain", (-F.xxhash64("community", F.lit(drawn))).alias("_h"), F.col("community").alias("target"))
+    return (scored.groupBy("v").agg(F.first("home").alias("home"), F.first("k").alias("k"), F.max(F.when(allowed, best)).alias("_b"))
+            .select("v", "home", "_b.target", "_b.gain", "k"))
+
+
+def accepted_moves(moves: DataFrame, total: float) -> DataFrame:
+    """The (v, target, gain) that may go at once: each gains more than all others of its home and target can take away, or leads both."""
+    lead = F.max_by("v", F.struct("gain", "v")).alias("_lead")
+    of = lambda c: moves.groupBy(F.col(c).alias("_key")).agg(F.sum("k").alias("_k"), lead)
+    m = salted_lookup(moves, "home", of("home"), "_key", [F.col("_k").alias("kh"), F.col("_lead").alias("lh")])
+    m = salted_lookup(m, "target", of("target"), "_key", [F.col("_k").alias("kt"), F.col("_lead").alias("lt")])
+    others = F.col("k") * (F.col("kh") + F.col("kt") - 2 * F.col("k")) / (2 * total * total)
+    return m.filter((F.col("gain") > others) | ((F.col("lh") == F.col("v")) & (F.col("lt") == F.col("v")))).select("v", "target", "gain")
 
 
 def community_edges(edges: DataFrame, communities: DataFrame) -> DataFrame:
@@ -232,51 +246,107 @@ def community_edges(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return size.join(g, "community", "left").fillna(0).withColumn("internal_ratio", F.coalesce(ratio("internal_edges", "touching_edges"), F.lit(0.0)))
 
 
+def single_parents(edges: DataFrame, parent: str, child: str) -> tuple[DataFrame, list[DataFrame]] | None:
+    """Vertices that only one edge enters (``child`` end), with their nearest ancestor that is none of them.
+
+    Gives (v, anchor) and the pointers (v, p) to ancestors 1, 2, 4, ... steps up, at most the anchor; None without such vertices. Pointers
+    are doubled, so a chain takes a round per power of two. Of a cycle of nothing but such vertices the largest stays out.
+    """
+    lone = written(edges.groupBy(F.col(child).alias("v")).agg(F.count(F.lit(1)).alias("_n"), F.min(parent).alias("p")).filter("_n = 1").select("v", "p"))
+    n = lone.agg(F.count(F.lit(1))).first()[0]
+    if not n:
+        return None
+    while True:
+        inside = lone.select(F.col("v").alias("_p"), F.lit(True).alias("_in"))
+        step = written(lone.join(inside, F.col("p") == F.col("_p"), "left").select("v", "p", F.coalesce("_in", F.lit(False)).alias("open"), F.col("v").alias("most")))
+        pointers, reach = [step.select("v", "p")], 1
+        while reach <= n and not step.filter("open").isEmpty():
+            up = step.select(F.col("v").alias("_p"), F.col("p").alias("_up"), F.col("open").alias("_open"), F.col("most").alias("_most"))
+            step = written(step.join(up, (F.col("p") == F.col("_p")) & F.col("open"), "left")
+                           .select("v", F.coalesce("_up", "p").alias("p"), F.coalesce("_open", "open").alias("open"), F.greatest("most", "_most").alias("most")))
+            pointers.append(step.select("v", "p"))
+            reach *= 2
+        rounds = step.filter("open")
+        if rounds.isEmpty():
+            return step.select("v", F.col("p").alias("anchor")), pointers
+        on_cycle = rounds.select(F.col("p").alias("v")).distinct()
+        largest = step.join(on_cycle, "v", "left_semi").select(F.col("most").alias("v")).distinct()
+        lone = written(lone.join(largest, "v", "left_anti"))
+        if lone.isEmpty():
+            return None
+
+
 def strongly_connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the largest id of the component.
 
-    Vertices without an in- or out-edge left are components of their own. The others take the largest id that
-    reaches them as colour; what reaches a colour's own vertex inside its colour is one component.
+    Edges from vertices that nothing enters or to vertices that nothing leaves are dropped. A vertex that only one edge enters (or
+    leaves) is taken out: its other edges go to the ancestor it hangs on, found by pointer doubling, so long chains and cycles take a
+    logarithmic number of rounds. What is left has two edges each way at every vertex: there the largest id that reaches a
+    vertex is its colour, and what reaches a colour's own vertex inside its colour is one component. The vertices taken out come
+    back in reverse order: one belongs to its ancestor's component if an edge of its subtree leads back there.
     """
-    e = cut_lineage(edges.filter("src <> dst").select("src", "dst").distinct())
-    done = []
-    alive = cut_lineage(vertices.select("id").distinct())
+    e = written(edges.filter("src <> dst").select("src", "dst").distinct())
+    taken, known = [], None
     while True:
-        while True:
-            keep = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
-            keep = cut_lineage(keep.join(alive, "id", "left_semi"))
-            single = alive.join(keep, "id", "left_anti")
-            if single.isEmpty():
-                break
-            done.append(cut_lineage(single.withColumn("component", F.col("id"))))
-            alive = keep
-            e = cut_lineage(e.join(alive.withColumnRenamed("id", "src"), "src", "left_semi").join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-        if alive.isEmpty():
+        before = e.agg(F.count(F.lit(1))).first()[0]
+        if not before:
             break
-        colour = alive.withColumn("c", F.col("id"))
-        while True:
-            sent = salted_lookup(e, "src", colour, "id", ["c"]).groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("_c"))
-            step = cut_lineage(colour.join(sent, "id", "left").select("id", F.greatest("c", "_c").alias("c"), (F.coalesce(F.col("_c"), F.col("c")) > F.col("c")).alias("_m")))
-            colour = step.drop("_m")
-            if step.filter("_m").isEmpty():
-                break
-        same = salted_lookup(e, "src", colour, "id", [F.col("c").alias("cs")])
-        same = cut_lineage(salted_lookup(same, "dst", colour, "id", [F.col("c").alias("cd")]).filter("cs = cd").select("src", "dst"))
-        found = cut_lineage(colour.filter("id = c"))
-        front = found
-        while True:
-            front = cut_lineage(front.join(same.withColumnRenamed("dst", "id"), "id").select(F.col("src").alias("id"), "c").distinct()
-                                .join(found, "id", "left_anti"))
-            if front.isEmpty():
-                break
-            found = cut_lineage(found.unionByName(front))
-        done.append(found.withColumnRenamed("c", "component"))
-        alive = cut_lineage(alive.join(found, "id", "left_anti"))
-        e = cut_lineage(e.join(alive.withColumnRenamed("id", "src"), "src", "left_semi").join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        inner = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
+        e = written(e.join(inner, e["src"] == inner["id"], "left_semi").join(inner, e["dst"] == inner["id"], "left_semi"))
+        for parent, child in (("src", "dst"), ("dst", "src")):
+            found = single_parents(e, parent, child)
+            if found is None:
+                continue
+            anchors, pointers = found
+            lone = anchors.select(F.col("v").alias("_v"), F.col("anchor"))
+            rest = e.join(lone.select(F.col("_v").alias("_c")), F.col(child) == F.col("_c"), "left_anti")
+            moved = written(salted_lookup(rest, parent, lone, "_v", ["anchor"], "left"))
+            taken.append((anchors, pointers, written(moved.filter("anchor is not null").select(F.col(parent).alias("v"), F.col(child).alias("w"), "anchor"))))
+            e = written(moved.select(F.coalesce("anchor", parent).alias(parent), F.col(child)).filter(F.col(parent) != F.col(child)).select("src", "dst").distinct())
+        left = e.agg(F.count(F.lit(1))).first()[0]
+        if left <= 0.8 * before:
+            continue
+        found = largest_colours(e)
+        known = found if known is None else written(known.unionByName(found))
+        gone = found.select(F.col("id").alias("_id"))
+        e = written(e.join(gone, F.col("src") == F.col("_id"), "left_anti").join(gone, F.col("dst") == F.col("_id"), "left_anti"))
+    ids = vertices.select("id").distinct()
+    if known is None:
+        known = written(ids.limit(0).withColumn("component", F.col("id")))
+    for anchors, pointers, exits in reversed(taken):
+        of = known.select(F.col("id").alias("_id"), F.col("component").alias("_c"))
+        ends = salted_lookup(exits, "w", of.select("_id", F.col("_c").alias("cw")), "_id", ["cw"], "left")
+        ends = salted_lookup(ends, "anchor", of.select("_id", F.col("_c").alias("ca")), "_id", ["ca"], "left")
+        good = written(ends.filter(F.coalesce("cw", "w") == F.coalesce("ca", "anchor")).select("v").distinct())
+        for up in pointers:
+            above = good.join(up, "v").select(F.col("p").alias("v")).join(anchors.select("v"), "v", "left_semi")
+            good = written(good.unionByName(above).distinct())
+        back = good.join(anchors, "v")
+        named = salted_lookup(back, "anchor", of, "_id", ["_c"], "left").select(F.col("v").alias("id"), F.coalesce("_c", "anchor").alias("component"))
+        known = written(known.unionByName(named))
+    named = written(ids.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("_c")))
+    top = named.groupBy("_c").agg(F.max("id").alias("component"))
+    return named.join(top, "_c").select("id", "component")
+
+
+def largest_colours(e: DataFrame) -> DataFrame:
+    """(id, component) of the strong components that hold the largest id that reaches them; there is one at least."""
+    alive = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
+    colour = written(alive.withColumn("c", F.col("id")))
+    while True:
+        sent = salted_lookup(e, "src", colour, "id", ["c"]).groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("_c"))
+        step = written(colour.join(sent, "id", "left").select("id", F.greatest("c", "_c").alias("c"), (F.coalesce(F.col("_c"), F.col("c")) > F.col("c")).alias("_m")))
+        colour = step.drop("_m")
+        if step.filter("_m").isEmpty():
+            break
+    same = salted_lookup(e, "src", colour, "id", [F.col("c").alias("cs")])
+    same = written(salted_lookup(same, "dst", colour, "id", [F.col("c").alias("cd")]).filter("cs = cd").select("src", "dst"))
+    found = front = written(colour.filter("id = c"))
+    while True:
+        front = written(front.join(same.withColumnRenamed("dst", "id"), "id").select(F.col("src").alias("id"), "c").distinct().join(found, "id", "left_anti"))
+        if front.isEmpty():
+            return found.withColumnRenamed("c", "component")
+        found = written(found.unionByName(front))
 
 
 def reciprocity(edges: DataFrame, components: DataFrame, low: int = 3, high: int = 20) -> DataFrame:
@@ -465,16 +535,14 @@ def fraud_summary(scores: DataFrame) -> DataFrame:
 
 # -- markets and networks -----------------------------------------------------------------------------------
 
-def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Vertices whose removal disconnects their component (exact).
+def core_blocks(und: DataFrame) -> DataFrame:
+    """(id, blocks, cyclic) of the vertices of undirected edges (a, b).
 
     Breadth-first tree per component, preorder numbers and subtree ranges level by level; tree edges that share
-    a cycle are joined in an auxiliary graph whose components are the blocks. A vertex in two blocks is a cut
-    vertex. A tree edge is named by its lower end.
+    a cycle are joined in an auxiliary graph whose components are the blocks. A tree edge is named by its lower end.
     """
-    und = cut_lineage(links(edges))
     both = cut_lineage(both_ways(und))
-    comp = cut_lineage(connected_components(vertices, edges))
+    comp = cut_lineage(connected_components(both.select(F.col("v").alias("id")), und.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     tree = cut_lineage(comp.filter("id = component").select("id", F.lit(None).cast(comp.schema["id"].dataType).alias("parent"), F.lit(0).alias("level")))
     front, level = tree, 0
     while True:
@@ -533,10 +601,72 @@ def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     tied = child.filter(F.col("_pp").isNotNull() & ((F.col("low") < F.col("pn")) | (F.col("high") >= F.col("pn") + F.col("ps"))))
     aux = aux.unionByName(tied.select(F.col("parent").alias("src"), F.col("id").alias("dst")))
     named = span.filter("parent is not null").select("id", "parent")
-    block = connected_components(named.select("id"), aux)
-    ends = named.join(block, "id")
-    incident = ends.select("id", "component").unionByName(ends.select(F.col("parent").alias("id"), "component"))
-    return incident.groupBy("id").agg(F.countDistinct("component").alias("blocks")).filter("blocks > 1")
+    block = cut_lineage(connected_components(named.select("id"), aux))
+    size = block.groupBy("component").agg((F.count(F.lit(1)) > 1).alias("wide"))
+    ends = named.join(block, "id").join(size, "component")
+    incident = ends.select("id", "component", "wide").unionByName(ends.select(F.col("parent").alias("id"), "component", "wide")).distinct()
+    return incident.groupBy("id").agg(F.count(F.lit(1)).alias("blocks"), F.bool_or("wide").alias("cyclic"))
+
+
+def block_counts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, blocks, cyclic): in how many blocks (largest parts without a cut vertex) of the undirected graph a vertex is, and whether
+    one of them is more than a single edge, that is, whether the vertex is on a cycle. Vertices without edges are in none.
+
+    Leaves go, each edge to one a block of its own, and every chain of vertices with two edges shrinks to one of them, over and
+    over: trees and long chains take a logarithmic number of rounds. What is left goes to :func:`core_blocks`. A vertex of a chain is
+    in as many blocks as the one that stood for it, besides its own from before.
+    """
+    und, seen, chains, k = written(links(edges)), [], [], 0
+    while True:
+        before = und.agg(F.count(F.lit(1))).first()[0]
+        if not before:
+            break
+        degree = written(both_ways(und).groupBy("v").agg(F.count(F.lit(1)).alias("d")))
+        leaf = degree.filter("d = 1").select("v", F.lit(True).alias("_leaf"))
+        one = salted_lookup(und, "a", leaf, "v", [F.col("_leaf").alias("la")], "left")
+        marked = written(salted_lookup(one, "b", leaf, "v", [F.col("_leaf").alias("lb")], "left").select("a", "b", (F.col("la").isNotNull() | F.col("lb").isNotNull()).alias("hangs")))
+        seen.append(marked.filter("hangs").select(F.explode(F.array("a", "b")).alias("id"), F.lit(k).alias("k"), F.lit(1).alias("blocks"), F.lit(False).alias("cyclic")))
+        und = marked.filter("not hangs").select("a", "b")
+        two = written(both_ways(und).groupBy("v").agg(F.count(F.lit(1)).alias("d")).filter("d = 2").select("v"))
+        inner = written(und.join(two, F.col("a") == F.col("v"), "left_semi").join(two, F.col("b") == F.col("v"), "left_semi"))
+        k += 1
+        if not inner.isEmpty():
+            ends = inner.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            chain = written(connected_components(ends, inner.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+            ra = salted_lookup(und, "a", chain, "id", [F.col("component").alias("ca")], "left")
+            both = salted_lookup(ra, "b", chain, "id", [F.col("component").alias("cb")], "left")
+            out = written(both.select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"), "ca", "cb").filter("x <> y"))
+            tied = out.select(F.coalesce("ca", "cb").alias("component"), F.when(F.col("ca").isNull(), F.col("x")).otherwise(F.col("y")).alias("to")).filter("component is not null")
+            closed = chain.select("component").distinct().join(tied.groupBy("component").agg(F.countDistinct("to").alias("_n"), F.min("to").alias("to")), "component", "left").filter("coalesce(_n, 0) < 2")
+            closed = written(closed.select("component", "to"))
+            rings = closed.select(F.col("component").alias("id")).unionByName(closed.filter("to is not null").select(F.col("to").alias("id")))
+            seen.append(rings.select("id", F.lit(k).alias("k"), F.lit(1).alias("blocks"), F.lit(True).alias("cyclic")))
+            chains.append((k, chain.filter("id <> component")))
+            ring = closed.select(F.col("component").alias("_r"))
+            und = written(out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                          .join(ring, F.col("a") == F.col("_r"), "left_anti").join(ring, F.col("b") == F.col("_r"), "left_anti"))
+        k += 1
+        if und.agg(F.count(F.lit(1))).first()[0] > 0.8 * before:
+            break
+    if before:
+        seen.append(core_blocks(und).select("id", F.lit(k).alias("k"), "blocks", "cyclic"))
+    ids = vertices.select("id").distinct()
+    if not seen:
+        return ids.select("id", F.lit(0).cast("long").alias("blocks"), F.lit(False).alias("cyclic"))
+    found = seen[0]
+    for s in seen[1:]:
+        found = found.unionByName(s)
+    found = written(found)
+    for at, chain in reversed(chains):
+        stood = chain.withColumnRenamed("id", "_v").join(found.filter(F.col("k") >= at), F.col("component") == F.col("id"))
+        found = written(found.unionByName(stood.select(F.col("_v").alias("id"), "k", "blocks", "cyclic")))
+    total = found.groupBy("id").agg(F.sum("blocks").alias("blocks"), F.bool_or("cyclic").alias("cyclic"))
+    return ids.join(total, "id", "left").select("id", F.coalesce("blocks", F.lit(0)).cast("long").alias("blocks"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def articulation_points(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, blocks) of the vertices whose removal disconnects their component: those in two blocks or more (exact)."""
+    return block_counts(vertices, edges).filter("blocks > 1").select("id", "blocks")
 
 
 def resilience(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -240,7 +240,7 @@ def _(t):
     return r6(co.match_names(t.customer, "c_custkey", "c_name", w, "s_suppkey", "w", 0.93), "similarity")
 
 
-FRD1_SQL = """e as (select distinct event_type token, date_trunc('day', ts)::TIMESTAMP w, user_id a, least(user_id - user_id % 8 + (event_id * 7 + user_id) % 8, (select max(user_id) from events)) b from events),
+FRD1_SQL = """e as (select distinct event_type token, date_trunc('day', ts)::TIMESTAMP w, user_id a, (event_id * 7 + user_id) % (select max(user_id) + 1 from events) b from events),
  g as (select * from e where a <> b)"""
 
 
@@ -249,8 +249,8 @@ with recursive {FRD1_SQL},
  r as (select token, w, a u, b v, b x from g union select r.token, r.w, r.u, r.v, g.b from r join g on g.token = r.token and g.w = r.w and g.a = r.x and g.b <> r.u)
 select distinct r.token, epoch_us(r.w) window_start, r.u address from r join g on g.token = r.token and g.w = r.w and g.a = r.x and g.b = r.u where r.x <> r.v""")
 def _(t):
-    u, last = F.col("user_id"), t.events.agg(F.max("user_id")).scalar()
-    e = t.events.select(F.col("event_type").alias("token"), "ts", u.alias("a"), F.least(u - u % 8 + (F.col("event_id") * 7 + u) % 8, last).alias("b"))
+    u, users = F.col("user_id"), t.events.agg(F.max("user_id") + 1).scalar()
+    e = t.events.select(F.col("event_type").alias("token"), "ts", u.alias("a"), ((F.col("event_id") * 7 + u) % users).alias("b"))
     return co.trading_cycles(e, "token", "ts", "a", "b").withColumn("window_start", micros("window_start"))
 
 

@@ -88,8 +88,8 @@ def _(t):
 
 @query("gra5_modularity_communities", "GRA5")
 def _(t):
-    e = cell_edges(t, 4, 16)
-    c = g.modularity_communities(cells(t, 4), e)
+    e = edges(t)
+    c = g.modularity_communities(vertices(t), e)
     q = g.modularity(g.links(e).withColumnsRenamed({"a": "src", "b": "dst"}), c).select("modularity").scalar()
     return c.groupBy("community").agg(n_rows().alias("size")).withColumn("modularity", F.round(q, 6))
 
@@ -101,10 +101,16 @@ def _(t):
     return r6(g.modularity(p, vertices(t).withColumn("community", F.col("id") % 5)), "modularity", places=9)
 
 
-@query("gra6_connected_components", "GRA6", f"""with recursive {cell_sql(1, 64)}, r as (select id, id x from v union select r.id, b.u from r join b on b.v = r.x), c as (select id, min(x) component from r group by 1)
+#: With one edge from each cell, whatever is connected leads to one cycle (or to a cell whose edge is a loop), whose largest cell names it.
+REACH_SQL = """f as (select distinct src, dst from e where src <> dst), r as (select id x, id y from v union select r.x, f.dst from r join f on f.src = r.y)"""
+PARTS_SQL = f"""{REACH_SQL}, cy as (select distinct p.x from r p join r q on q.x = p.y and q.y = p.x where p.x <> p.y union select id from v where id not in (select src from f)),
+ tp as (select r.x id, max(r.y) top from r join cy on cy.x = r.y group by 1), c as (select id, min(id) over (partition by top) component from tp)"""
+
+
+@query("gra6_connected_components", "GRA6", f"""with recursive {cell_sql(1)}, {PARTS_SQL}
 select id, component, count(*) over (partition by component) size, component = (select component from c group by 1 order by count(*) desc, component limit 1) is_giant from c""")
 def _(t):
-    c = g.connected_components(cells(t, 1), cell_edges(t, 1, 64))
+    c = g.connected_components(cells(t, 1), cell_edges(t, 1))
     return c.join(g.component_sizes(c), "component").select("id", "component", "size", "is_giant")
 
 
@@ -129,21 +135,29 @@ def _(t):
     return r6(g.clustering(vertices(t), edges(t)), "clustering")
 
 
-SCC = """f as (select distinct src, dst from e where src <> dst), r as (select id x, id y from v union select r.x, f.dst from r join f on f.src = r.y),
- scc as (select p.x id, max(p.y) component from r p join r q on q.x = p.y and q.y = p.x group by 1)"""
+SCC = f"""{REACH_SQL}, scc as (select p.x id, max(p.y) component from r p join r q on q.x = p.y and q.y = p.x group by 1)"""
+
+
+@query("gra10_strong_components", "GRA10", f"with recursive {cell_sql(1)}, {SCC} select id, component from scc")
+def _(t):
+    return g.strongly_connected_components(cells(t, 1), cell_edges(t, 1))
 
 
-@query("gra10_strong_components", "GRA10", f"with recursive {cell_sql(1, 16)}, {SCC} select id, component from scc")
+@query("gra11_reciprocity", "GRA11", f"""with recursive {cell_sql(1)}, {SCC}, z as (select component c, count(*) n from scc group by 1 having count(*) between 3 and 20),
+ i as (select f.*, z.c, n from f join scc x on x.id = src join scc y on y.id = dst and y.component = x.component join z on z.c = x.component),
+ k as (select *, exists (select 1 from f k where k.src = i.dst and k.dst = i.src) back from i)
+select c component, any_value(n) size, count(*) edges, round(count(*) filter (back) / count(*)::DOUBLE, 6) reciprocity, count(*) filter (back) / count(*)::DOUBLE > 0.7 suspicious from k group by c""")
 def _(t):
-    return g.strongly_connected_components(cells(t, 1), cell_edges(t, 1, 16))
+    e = cell_edges(t, 1)
+    return r6(g.reciprocity(e, g.strongly_connected_components(cells(t, 1), e)), "reciprocity")
 
 
-@query("gra11_reciprocity", "GRA11", f"""with recursive {cell_sql(4, 16)}, d as (select distinct src, dst from e where src <> dst), s as (select id, id // 16 c from v), z as (select c, count(*) n from s group by 1),
+@query("gra11_reciprocity_by_group", "GRA11", f"""with {GRAPH_SQL}, d as (select distinct src, dst from e where src <> dst), s as (select id, id // 16 c from v), z as (select c, count(*) n from s group by 1 having count(*) between 3 and 20),
  i as (select d.*, x.c from d join s x on x.id = src join s y on y.id = dst and y.c = x.c)
 select c component, any_value(n) size, count(*) edges, round(count(*) filter (exists (select 1 from d k where k.src = i.dst and k.dst = i.src)) / count(*)::DOUBLE, 6) reciprocity,
  count(*) filter (exists (select 1 from d k where k.src = i.dst and k.dst = i.src)) / count(*)::DOUBLE > 0.7 suspicious from i join z using (c) group by c""")
 def _(t):
-    return r6(g.reciprocity(cell_edges(t, 4, 16), cells(t, 4).withColumn("component", F.expr("id div 16"))), "reciprocity")
+    return r6(g.reciprocity(edges(t), vertices(t).withColumn("component", F.expr("id div 16"))), "reciprocity")
 
 
 @query("gra12_hops", "GRA12", f"with recursive {cell_sql(4)}, s(id) as (values (1), (2), (77)), h as (select id \"start\", id, 0 d from s union select \"start\", b.u, d + 1 from h join b on b.v = h.id where d < 3) select \"start\"::BIGINT \"start\", id::BIGINT id, min(d)::INTEGER distance from h group by all")
@@ -226,12 +240,12 @@ def _(t):
     return r6(g.sybil_scores(vertices(t), edges(t), "ts"), "clustering")
 
 
-@query("gra21_collusion_scores", "GRA21", f"""with recursive {cell_sql(1, 16)}, {SCC}, z as (select component, count(*) n from scc group by 1 having count(*) between 3 and 20),
+@query("gra21_collusion_scores", "GRA21", f"""with recursive {cell_sql(1)}, {SCC}, z as (select component, count(*) n from scc group by 1 having count(*) between 3 and 20),
  i as (select f.*, x.component c from f join scc x on x.id = src join scc y on y.id = dst and y.component = x.component join z on z.component = x.component),
  k as (select c, avg(exists(select 1 from f q where q.src = i.dst and q.dst = i.src)::INTEGER) rc from i group by 1)
 select scc.id, round(coalesce(rc, 0), 6)::DOUBLE collusion_score from scc left join k on k.c = scc.component""")
 def _(t):
-    return r6(g.collusion_scores(cells(t, 1), cell_edges(t, 1, 16)), "collusion_score")
+    return r6(g.collusion_scores(cells(t, 1), cell_edges(t, 1)), "collusion_score")
 
 
 @query("gra22_structural_outliers", "GRA22 DQ19")
@@ -242,12 +256,12 @@ def _(t):
 
 
 def fraud(t):
-    e, v = cell_edges(t, 2, 16), cells(t, 2)
+    e, v = cell_edges(t, 1), cells(t, 1)
     an = e.groupBy(F.col("src").alias("id")).agg((F.max("value") / 500).alias("anomaly_score"))
     return g.composite_fraud(g.sybil_scores(v, e), g.collusion_scores(v, e), an)
 
 
-FRAUD = f"""{cell_sql(2, 16)}, {CLU}, {SCC}, x as (select src id from e union all select dst from e), dg as (select id, count(*) degree from x group by 1),
+FRAUD = f"""{cell_sql(1)}, {CLU}, {SCC}, x as (select src id from e union all select dst from e), dg as (select id, count(*) degree from x group by 1),
  j as (select cl.id, clustering, coalesce(degree, 0) degree from cl left join dg on dg.id = cl.id), s as (select avg(degree) m, stddev(degree) d from j), an as (select src id, max(value) / 500 a from e group by 1),
  z as (select component, count(*) n from scc group by 1 having count(*) between 3 and 20),
  i as (select f.*, x.component c from f join scc x on x.id = src join scc y on y.id = dst and y.component = x.component join z on z.component = x.component),
@@ -270,22 +284,23 @@ def _(t):
     return r6(g.fraud_summary(fraud(t)), "top_score")
 
 
-CUTS = """q as (select x.id cut, v.id from v x join v on v.id // 8 = x.id // 8 where v.id <> x.id and exists (select 1 from b where b.v = x.id)),
- r as (select cut, id, id y from q union select r.cut, r.id, b.u from r join b on b.v = r.y where b.u <> r.cut), c as (select cut, id, min(y) m from r group by all),
- nb as (select c.cut, count(distinct c.m) parts from c join b on b.v = c.cut and b.u = c.id group by 1)"""
+#: In such a graph a cell is in as many blocks as it has neighbours, but on a cycle of three or more two of them count as one.
+CUTS = f"""{PARTS_SQL}, scc as (select p.x id, max(p.y) component from r p join r q on q.x = p.y and q.y = p.x group by 1),
+ on3 as (select id from scc where component in (select component from scc group by 1 having count(*) > 2)),
+ nb as (select v cut, count(*) - case when v in (select id from on3) then 1 else 0 end parts from b group by 1)"""
 
 
-@query("gra27_articulation_points", "GRA27", f"with recursive {cell_sql(1, 8)}, {CUTS} select cut id, parts blocks from nb where parts > 1")
+@query("gra27_articulation_points", "GRA27", f"with recursive {cell_sql(1)}, {CUTS} select cut id, parts blocks from nb where parts > 1")
 def _(t):
-    return g.articulation_points(cells(t, 1), cell_edges(t, 1, 8))
+    return g.articulation_points(cells(t, 1), cell_edges(t, 1))
 
 
-@query("gra27_resilience", "GRA27", f"""with recursive {cell_sql(1, 8)}, {CUTS}, rr as (select id, id x from v union select rr.id, b.u from rr join b on b.v = rr.x),
- z as (select max(n) n from (select id, count(*) n from rr group by 1)), k as (select z.n / (select count(*) from v)::DOUBLE co, least(2 * (select count(*) from e) / (select count(*) from v)::DOUBLE / 10, 1) re,
+@query("gra27_resilience", "GRA27", f"""with recursive {cell_sql(1)}, {CUTS},
+ z as (select max(n) n from (select component, count(*) n from c group by 1)), k as (select z.n / (select count(*) from v)::DOUBLE co, least(2 * (select count(*) from e) / (select count(*) from v)::DOUBLE / 10, 1) re,
   1 - (select count(*) from nb where parts > 1) / (select count(*) from v)::DOUBLE cr from z)
 select round(co, 6) connectivity, round(re, 6) redundancy, round(cr, 6) criticality, round(0.4 * co + 0.3 * re + 0.3 * cr, 6) resilience from k""")
 def _(t):
-    return r6(g.resilience(cells(t, 1), cell_edges(t, 1, 8)).drop("id"), "connectivity", "redundancy", "criticality", "resilience")
+    return r6(g.resilience(cells(t, 1), cell_edges(t, 1)).drop("id"), "connectivity", "redundancy", "criticality", "resilience")
 
 
 @query("gra28_systemic_risk", "GRA28", f"""with {GRAPH_SQL}, {CLU}, {rank_sql(6, UNIFORM)}, h as (select sum(x * x) / pow(sum(x), 2) hhi from (select user_id, sum(value) x from events group by 1)),
