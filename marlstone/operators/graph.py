@@ -29,8 +29,8 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 # -- centrality ---------------------------------------------------------------------------------------------
 
 def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, tol: float = 0.001, max_iter: int = 20,
-             sources: list | None = None, weight: str | None = None) -> DataFrame:
-    """Rank per vertex (summing to 1) and its 0-100 scale. ``sources`` makes it personalized.
+             sources: list | DataFrame | None = None, weight: str | None = None) -> DataFrame:
+    """Rank per vertex (summing to 1) and its 0-100 scale. ``sources``, ids or a frame of them, makes it personalized.
 
     The rank of vertices without out-edges is spread like the reset. Stops when the total change is below
     ``tol`` or after ``max_iter`` rounds.
@@ -46,9 +46,12 @@ def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, tol: fl
         n = v.agg(F.count(F.lit(1))).scalar()
         base = v.select("id", (F.lit(1.0) / n).alias("base"))
     else:
-        mine = F.col("id").isin(list(sources))
-        n = v.filter(mine).agg(F.count(F.lit(1))).scalar()
-        base = v.select("id", F.when(mine, F.lit(1.0) / n).otherwise(0.0).alias("base"))
+        if isinstance(sources, DataFrame):
+            marked = cut_lineage(v.join(sources.select(F.col("id").alias("_s")).distinct(), F.col("id") == F.col("_s"), "left").select("id", F.col("_s").isNotNull().alias("_mine")))
+        else:
+            marked = v.withColumn("_mine", F.col("id").isin(list(sources)))
+        n = marked.filter("_mine").agg(F.count(F.lit(1))).scalar()
+        base = marked.select("id", F.when(F.col("_mine"), F.lit(1.0) / n).otherwise(0.0).alias("base"))
     sinks = out.filter("_out > 0").select(F.col("src").alias("id"), F.lit(True).alias("_has"))
     base = cut_lineage(base.join(sinks, "id", "left").withColumn("sink", F.col("_has").isNull()).drop("_has"))
     ranks = base.withColumn("rank", F.col("base"))

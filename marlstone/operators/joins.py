@@ -146,14 +146,18 @@ def radius_pairs(points: DataFrame, ident: str, x: str, y: str, radius: float,
 
 #: A key with more than this share of the rows counts as hot, so there are fewer than 500 of them.
 HOT_SHARE = 1 / 500
+#: Keys of fewer rows need no salt.
+HOT_ROWS = 100_000
 SALTS = 32
 
 
 def hot_keys(df: DataFrame, key: str) -> list:
     """Keys that own more than ``HOT_SHARE`` of the rows (fewer than 500 values), by one count with map-side combine."""
+    if df.count() <= HOT_ROWS:
+        return []
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    floor = F.greatest(total * HOT_SHARE, F.lit(100_000))  # small keys need no salt
+    floor = F.greatest(total * HOT_SHARE, F.lit(HOT_ROWS))
     return [r[0] for r in counts.filter(F.col(key).isNotNull() & (F.col("_n") > floor)).select(key).collect()]
 
 

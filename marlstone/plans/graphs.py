@@ -47,35 +47,40 @@ def cell_sql(fan, block=None):
     return f"e as (select {src} src, {dst} dst, ts, value, event_id from events), v as (select distinct {src} id from events), {LINKS_SQL}"
 
 
-def rank_sql(rounds, base, weight="1"):
-    w = f"ow as (select src, sum({weight})::DOUBLE o from e group by 1), w as (select e.src, dst, {weight} / o w from e join ow on ow.src = e.src), "
-    out = [w + f"base as ({base}), sink as (select id from v where id not in (select src from e)), p0 as (select id, b p from base)"]
+def rank_sql(base, weight="1", rounds=20, tol=0.001):
+    """Rounds of the ranking up to the first that changes less than ``tol`` in all; ``pr`` is the result."""
+    w = f"ow as (select src, sum({weight})::DOUBLE o from e group by 1), w as materialized (select e.src, dst, {weight} / o w from e join ow on ow.src = e.src), "
+    out = [w + f"base as materialized ({base}), sink as (select id from v where id not in (select src from e)), p0 as (select id, b p from base)"]
     for i in range(1, rounds + 1):
         out.append(f"""i{i} as (select dst id, sum(p * w) s from w join p{i - 1} on p{i - 1}.id = w.src group by 1),
- p{i} as (select base.id, b * 0.15 + 0.85 * (coalesce(s, 0) + (select coalesce(sum(p), 0) from p{i - 1} where id in (select id from sink)) * b) p from base left join i{i} on i{i}.id = base.id)""")
+ p{i} as materialized (select base.id, b * 0.15 + 0.85 * (coalesce(s, 0) + (select coalesce(sum(p), 0) from p{i - 1} where id in (select id from sink)) * b) p from base left join i{i} on i{i}.id = base.id)""")
+    change = " union all ".join(f"select {i} i, (select sum(abs(x.p - y.p)) from p{i} x join p{i - 1} y on x.id = y.id) d" for i in range(1, rounds + 1))
+    out.append(f"ended as materialized (select coalesce(min(i) filter (d < {tol}), {rounds}) k from ({change}))")
+    out.append("pr as materialized (" + " union all ".join(f"select id, p from p{i} where {i} = (select k from ended)" for i in range(1, rounds + 1)) + ")")
     return ", ".join(out)
 
 
 UNIFORM = "select id, 1.0::DOUBLE / (select count(*) from v) b from v"
 
 
-@query("gra1_pagerank", "GRA1", f"with {GRAPH_SQL}, {rank_sql(6, UNIFORM)} select id, round(p, 9) rank, round((p - (select min(p) from p6)) / (select max(p) - min(p) from p6) * 100, 5) score from p6")
+@query("gra1_pagerank", "GRA1", f"with {GRAPH_SQL}, {rank_sql(UNIFORM)} select id, round(p, 9) rank, round((p - (select min(p) from pr)) / (select max(p) - min(p) from pr) * 100, 5) score from pr")
 def _(t):
-    d = g.pagerank(vertices(t), edges(t), tol=0.0, max_iter=6)
+    d = g.pagerank(vertices(t), edges(t))
     return d.select("id", F.round("rank", 9).alias("rank"), F.round("score", 5).alias("score"))
 
 
-@query("gra2_pagerank_by_type", "GRA2", f"""with {GRAPH_SQL}, {rank_sql(6, UNIFORM)}
-select id, round(p, 9) rank from p6 where id in (select user_id from events group by 1 having arg_min(event_type, event_id) = 'view')""")
+@query("gra2_pagerank_by_type", "GRA2", f"""with {GRAPH_SQL}, {rank_sql(UNIFORM)}
+select id, round(p, 9) rank from pr where id in (select user_id from events group by 1 having arg_min(event_type, event_id) = 'view')""")
 def _(t):
     kind = t.events.groupBy(F.col("user_id").alias("id")).agg(F.min_by("event_type", "event_id").alias("kind"))
-    d = g.pagerank(vertices(t), edges(t), tol=0.0, max_iter=6).join(kind.filter("kind = 'view'"), "id", "left_semi")
+    d = g.pagerank(vertices(t), edges(t)).join(kind.filter("kind = 'view'"), "id", "left_semi")
     return r6(d.select("id", "rank"), "rank", places=9)
 
 
-@query("gra3_personalized_pagerank", "GRA3", f"with {GRAPH_SQL}, {rank_sql(5, 'select id, case when id in (1, 2, 3) then 1.0::DOUBLE / 3 else 0 end b from v')} select id, round(p, 9) rank from p5")
+@query("gra3_personalized_pagerank", "GRA3", f"with {GRAPH_SQL}, {rank_sql('select id, case when id % 50 = 7 then 1.0::DOUBLE / (select count(*) from v where id % 50 = 7) else 0 end b from v')} select id, round(p, 9) rank from pr")
 def _(t):
-    return g.pagerank(vertices(t), edges(t), tol=0.0, max_iter=5, sources=[1, 2, 3]).select("id", F.round("rank", 9).alias("rank"))
+    v = vertices(t)
+    return g.pagerank(v, edges(t), sources=v.filter("id % 50 = 7")).select("id", F.round("rank", 9).alias("rank"))
 
 
 LPA = ", ".join([f"l{i} as (select v.id, coalesce(x.label, v.label) label from l{i - 1} v left join (select v id, label from (select v, label, row_number() over (partition by v order by count(*) desc, label) r from b join l{i - 1} z on z.id = b.u group by v, label) where r = 1) x on x.id = v.id)" for i in (1, 2, 3)])
@@ -218,17 +223,17 @@ def _(t):
     return g.state_at(h, F.lit("2024-01-15").cast("timestamp_ntz")).select("user_id", "event_id")
 
 
-@query("gra18_cascade", "GRA18", f"""with recursive {cell_sql(4)}, q as (select src, dst, max(least(value / 100, 1)) s from e group by all), h as (select 5::BIGINT id, 0.9::DOUBLE p, 0 n union select q.dst, p * s, n + 1 from h join q on q.src = h.id where n < 4 and p * s > 0.05)
+@query("gra18_cascade", "GRA18", f"""with recursive {cell_sql(4)}, q as (select src, dst, max(least(value / 100, 1)) s from e group by all), h as (select id, 0.9::DOUBLE p, 0 n from v where id % 500 = 5 union select q.dst, p * s, n + 1 from h join q on q.src = h.id where n < 10 and p * s > 0.05)
 select id, round(max(p), 6) probability from h group by 1""")
 def _(t):
     e = cell_edges(t, 4).groupBy("src", "dst").agg(F.max(F.least(F.col("value") / 100, F.lit(1.0))).alias("strength"))
-    s = cells(t, 4).filter("id = 5").withColumn("probability", F.lit(0.9))
-    return g.cascade(e, s, 0.05, 4).select("id", F.round("probability", 6).alias("probability"))
+    s = cells(t, 4).filter("id % 500 = 5").withColumn("probability", F.lit(0.9))
+    return g.cascade(e, s).select("id", F.round("probability", 6).alias("probability"))
 
 
-@query("gra19_dependency_subgraph", "GRA19", f"with recursive {cell_sql(4)}, h as (select distinct id, 0 d from v where id in (7, 57, 107) union select b.u, d + 1 from h join b on b.v = h.id where d < 2), m as (select distinct id from h) select src, dst, event_id from e where src in (select id from m) and dst in (select id from m)")
+@query("gra19_dependency_subgraph", "GRA19", f"with recursive {cell_sql(4)}, h as (select distinct id, 0 d from v where id % 50 = 7 union select b.u, d + 1 from h join b on b.v = h.id where d < 3), m as (select distinct id from h) select src, dst, event_id from e where src in (select id from m) and dst in (select id from m)")
 def _(t):
-    return g.subgraph(cell_edges(t, 4), cells(t, 4).filter("id in (7, 57, 107)"), 2).select("src", "dst", "event_id")
+    return g.subgraph(cell_edges(t, 4), cells(t, 4).filter("id % 50 = 7")).select("src", "dst", "event_id")
 
 
 @query("gra20_sybil_scores", "GRA20", f"""with {GRAPH_SQL}, {CLU}, x as (select src id from e union all select dst from e), dg as (select id, count(*) degree from x group by 1),
@@ -303,18 +308,21 @@ def _(t):
     return r6(g.resilience(cells(t, 1), cell_edges(t, 1)).drop("id"), "connectivity", "redundancy", "criticality", "resilience")
 
 
-@query("gra28_systemic_risk", "GRA28", f"""with {GRAPH_SQL}, {CLU}, {rank_sql(6, UNIFORM)}, h as (select sum(x * x) / pow(sum(x), 2) hhi from (select user_id, sum(value) x from events group by 1)),
- k as (select (select sum(p) from p6 where id % 10 = 0) co, (select avg(clustering) from cl) cl, hhi from h)
+@query("gra28_systemic_risk", "GRA28", f"""with {GRAPH_SQL}, {CLU}, {rank_sql(UNIFORM)}, h as (select sum(x * x) / pow(sum(x), 2) hhi from (select user_id, sum(value) x from events group by 1)),
+ k as (select (select sum(p) from pr where id % 10 = 0) co, (select avg(clustering) from cl) cl, hhi from h)
 select round(co, 6) contagion, round(cl, 6) clustering, round(hhi, 6) concentration, round(least(0.4 * co + 0.3 * cl + 0.3 * hhi, 1), 6) systemic_risk from k""")
 def _(t):
     h = aggregates.concentration(t.events, "user_id", "value")
-    d = g.systemic_risk(vertices(t), edges(t), F.col("id") % 10 == 0, h, tol=0.0, max_iter=6)
+    d = g.systemic_risk(vertices(t), edges(t), F.col("id") % 10 == 0, h)
     return r6(d.drop("id"), "contagion", "clustering", "concentration", "systemic_risk")
 
 
-@query("gra28_dominant_participants", "GRA28", f"with {GRAPH_SQL}, {rank_sql(6, UNIFORM, 'value')} select id, round(p, 9) rank from p6 where p > 0.008 order by p desc, id limit 10")
+@query("gra28_dominant_participants", "GRA28", f"""with {GRAPH_SQL.replace("e as (select", "drawn as (select", 1).replace(", v as (", ", e as (select src, dst * dst * dst // (select (max(user_id) + 1) * (max(user_id) + 1) from events) dst, ts, value, event_id from drawn), v as (", 1)},
+ {rank_sql(UNIFORM, 'value')} select id, round(p, 9) rank from pr where p > 0.05 order by p desc, id limit 10""")
 def _(t):
-    return r6(g.dominant_participants(vertices(t), edges(t), "value", 0.008, tol=0.0, max_iter=6), "rank", places=9)
+    users = t.events.agg(F.max("user_id") + 1).scalar()
+    skewed = edges(t).withColumn("dst", F.call_function("div", F.col("dst") * F.col("dst") * F.col("dst"), users * users))
+    return r6(g.dominant_participants(vertices(t), skewed, "value"), "rank", places=9)
 
 
 @query("gra29_risk_clusters", "GRA29", f"with {GRAPH_SQL}, j as (select id % 12 community, (id * 13) % 7 < 2 r from v) select community, count(*) size, count(*) filter (r) high_risk from j group by 1 having count(*) filter (r) > count(*) * 0.3")
