@@ -370,6 +370,21 @@ def _(t):
     return activity_graph(t)[0]
 
 
+@query("src11_graph_load", "SRC11 FLT2", f"""with v as (select user_id id, arg_min(event_type, event_id) label, max(value) value from events where user_id % 3 = 1 group by 1 having arg_min(event_type, event_id) in ('view', 'click')),
+ e as (select user_id src, (event_id * 31 + user_id * 7) % (select max(user_id) + 1 from events) dst, event_id from events where user_id % 3 = 1)
+select 'edge' kind, src, dst, event_id::DOUBLE property, null label from e where src in (select id from v) and dst in (select id from v) union all select 'vertex', id, id, value, label from v""")
+def _(t):
+    from marlstone.sources.readers import flatten_properties, graph_tables
+    team = F.concat(F.lit("team"), (F.col("id") % 3).cast("string"))
+    v = (t.events.groupBy(F.col("user_id").alias("id")).agg(F.min_by("event_type", "event_id").alias("label"), F.create_map(F.lit("value"), F.max("value")).alias("props"))
+         .withColumn("tenant_id", team))
+    e = edges(t).select("src", "dst", F.col("src").alias("id"), F.create_map(F.lit("event_id"), F.col("event_id").cast("double")).alias("props")).withColumn("tenant_id", team).drop("id")
+    v, e = graph_tables(v, e, "team1", ["view", "click"])
+    v, e = flatten_properties(v, ["value"]), flatten_properties(e, ["event_id"])
+    return (e.select(F.lit("edge").alias("kind"), "src", "dst", F.col("event_id").alias("property"), F.lit(None).cast("string").alias("label"))
+            .unionByName(v.select(F.lit("vertex").alias("kind"), F.col("id").alias("src"), F.col("id").alias("dst"), F.col("value").alias("property"), "label")))
+
+
 @query("gra33_lineage_trust", "GRA33", f"""with recursive {LIN_SQL}, s as (select id from v), h as (select id "start", id, 0 d from s union select "start", lin.src, d + 1 from h join lin on lin.dst = h.id where d < 3),
  m as (select distinct "start", id from h), q as (select "start", avg((id * 17 % 100) / 100.0) a, min((id * 17 % 100) / 100.0) w, count(*) n from m group by 1) select "start", round(0.7 * a + 0.3 * w, 10)::DOUBLE lineage_trust, n links from q""")
 def _(t):

@@ -19,7 +19,7 @@ def stream_of(t, table="events", schema=None):
 
 
 def sliced_files(t, df, order: str, parts: int = 3) -> str:
-    """The rows in ``parts`` files of rising time, so that a stream meets them in several batches."""
+    """The rows in ``parts`` files of rising time, so that a stream meets them in several batches, in the order they were written."""
     path = scratch(t.spark, "parts")
     cuts = df.agg(F.percentile_approx(micros(order), [i / parts for i in range(1, parts)], 1000)).scalar()
     part = F.lit(0)
@@ -152,6 +152,91 @@ def _(t):
     return read_table(t.lineitem, ["l_orderkey", "l_quantity"], "l_quantity >= 49")
 
 
+@query("src10_read_as_of", "SRC10 TTR1", "select 'before' state, c_custkey, c_acctbal from customer where c_acctbal > 0 union all select 'after', c_custkey, c_acctbal from customer where c_acctbal > 5000")
+def _(t):
+    from marlstone.sources import snapshots as sn
+    from marlstone.sources.readers import read_published
+    table = scratch(t.spark, "table")
+    sn.publish(t.customer.filter("c_acctbal > 0"), table, at="2024-01-01 10:00:00")
+    sn.publish(t.customer, table, at="2024-01-01 14:00:00")
+    columns = ["c_custkey", "c_acctbal"]
+    before = read_published(t.spark, table, columns, as_of="2024-01-01 12:00:00").select(F.lit("before").alias("state"), *columns)
+    return before.unionByName(read_published(t.spark, table, columns, "c_acctbal > 5000").select(F.lit("after").alias("state"), *columns))
+
+
+#: Changes of the users' newest value per event type, five tables in one log; a small value deletes. The key is the user.
+CAPTURED = {k: ("user_id long, value double, event_id long", ["user_id"]) for k in ("click", "error", "purchase", "signup", "view")}
+DELETES = 20.0
+
+
+@query("src9_change_capture", "SRC9 CDC1 CDC3 MRG1", f"""
+with c as (select event_type, user_id, value, event_id, row_number() over (partition by event_type, user_id order by event_id desc) r from events where event_type in ({", ".join(f"'{k}'" for k in CAPTURED)}))
+select event_type "table", user_id, value, event_id from c where r = 1 and value >= {DELETES}""")
+def _(t):
+    from marlstone.streaming import capture
+    root = scratch(t.spark, "captured")
+    start = t.events.agg((F.max("event_id") / 3).cast("long")).first()[0]
+    past = t.events.filter(F.col("event_id") <= start)
+    state = lambda k: (past.filter(F.col("event_type") == k).groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"))
+                       .filter(F.col("value") >= DELETES).select("user_id", "value", "event_id"))
+    capture.take_snapshot({k: (state(k), keys) for k, (_, keys) in CAPTURED.items()}, root, start)
+    row = F.to_json(F.struct("user_id", "value", "event_id"))
+    gone = F.col("value") < DELETES
+    log = t.events.select(F.col("event_type").alias("table"), F.when(gone, "DELETE").otherwise("UPDATE").alias("op"), F.col("event_id").alias("position"), "ts",
+                          F.when(gone, row).alias("before"), F.when(~gone, row).alias("after"))
+    path, checkpoint = sliced_files(t, log, "ts"), scratch(t.spark, "stream")
+    schema = "table string, op string, position long, ts timestamp_ntz, before string, after string"
+    s = lambda: file_stream(t.spark, path + "/*", schema, max_files=2)
+    run_available(s(), capture.capture_writer(root, CAPTURED), checkpoint=checkpoint)
+    log.filter(F.col("position") <= 2 * start).write.parquet(f"{path}/part=again")  # an old part of the log comes once more
+    run_available(s(), capture.capture_writer(root, CAPTURED), checkpoint=checkpoint)
+    out = None
+    for k in CAPTURED:
+        one = capture.captured(t.spark, root, k).select(F.lit(k).alias("table"), "user_id", "value", "event_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("src6_polled_changes", "SRC6 SRC5", "select event_id, event_type from events")
+def _(t):
+    from marlstone.streaming import capture
+    sink, state, seen = scratch(t.spark, "polled"), scratch(t.spark, "marks"), {}
+    cuts = t.events.agg(F.percentile_approx(micros("ts"), [0.3, 0.7], 1000)).first()[0]
+    for cut in [*cuts, None, None]:  # what is there grows from poll to poll; the last finds nothing new
+        there = t.events.filter(micros("ts") <= cut) if cut is not None else t.events
+        seen[capture.poll(t.spark, lambda d=there: d, "ts", sink, state)] = cut
+    assert None in seen and len(seen) == 4
+    return t.spark.read.parquet(f"{sink}/poll=*").select("event_id", "event_type")
+
+
+@query("src7_stream_to_bronze", "SRC7 SNK1", "select event_id, event_type, 'acme' _tenant_id, 'events' _source_file, true hashed from events")
+def _(t):
+    from marlstone.streaming import capture
+    path, bronze, checkpoint = sliced_files(t, t.events, "ts"), scratch(t.spark, "bronze"), scratch(t.spark, "stream")
+    for _ in range(2):  # a restart finds nothing left to do
+        s = file_stream(t.spark, path + "/*", t.events.schema, max_files=1)
+        capture.stream_to_bronze(s, bronze, "acme", "events", checkpoint, seconds=None).awaitTermination()
+    return t.spark.read.parquet(f"{bronze}/batch=*").select("event_id", "event_type", "_tenant_id", "_source_file", F.col("_record_hash").isNotNull().alias("hashed"))
+
+
+@query("str6_late_rows", "STR6 STR1", "select count(*) late, (select count(*) from events) kept from events where ts < (select max(ts) - interval 5 day from events)")
+def _(t):
+    from marlstone.streaming import capture
+    from marlstone.streaming.sources import batch_writer
+    path, sink = scratch(t.spark, "parts"), scratch(t.spark, "sink")
+    last = t.events.agg(F.max("ts").alias("last"))
+    old = t.events.join(F.broadcast(last), F.col("ts") < F.col("last") - F.expr("interval 5 days")).drop("last")  # one row
+    t.events.write.parquet(f"{path}/part=0")
+    files = t.spark.read.parquet(f"{path}/part=0").select(F.input_file_name()).distinct().count()
+    run = lambda checkpoint: capture.run_counting_late(
+        jobs.deduplicated(file_stream(t.spark, path + "/*", t.events.schema, max_files=files), ["event_id"], "ts"), batch_writer(sink), checkpoint=checkpoint)
+    checkpoint = scratch(t.spark, "stream")
+    before = run(checkpoint)
+    old.withColumn("event_id", F.col("event_id") + 10 ** 9).write.parquet(f"{path}/part=1")
+    late = before + run(checkpoint)
+    return t.spark.read.parquet(f"{sink}/batch=*").agg(F.lit(late).cast("long").alias("late"), n_rows().alias("kept"))
+
+
 @query("set2_union_of_windows", "SET2 SET3", """
 select 'views' kind, epoch_us(time_bucket(interval 6 hour, ts)) window_start, count(*) n from events where event_type = 'view' group by 2 union all select 'errors', epoch_us(time_bucket(interval 6 hour, ts)), count(*) from events where event_type = 'error' group by 2""")
 def _(t):

@@ -86,13 +86,22 @@ def read_table(df: DataFrame, columns: list[str] | None = None, where: str | Col
     return out.limit(limit) if limit is not None else out
 
 
+def read_published(spark: SparkSession, table: str, columns: list[str] | None = None, where: str | Column | None = None, limit: int | None = None,
+                   version: int | None = None, as_of: str | None = None) -> DataFrame:
+    """:func:`read_table` over a published table, as it is now, at a version, or as of a time."""
+    from marlstone.sources import snapshots
+    return read_table(snapshots.read(spark, table, version, as_of), columns, where, limit)
+
+
 def graph_tables(vertices: DataFrame, edges: DataFrame, tenant: str | None = None,
                  labels: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges of one tenant and some labels, property maps flattened by the caller."""
+    """Vertices and edges of one tenant; with labels, the vertices that have one of them and the edges between those."""
     for c in ([F.col("tenant_id") == tenant] if tenant else []):
         vertices, edges = vertices.filter(c), edges.filter(c)
     if labels:
         vertices = vertices.filter(F.col("label").isin(labels))
+        for end in ("src", "dst"):
+            edges = edges.join(vertices.select(F.col("id").alias("_end")).distinct(), F.col(end) == F.col("_end"), "left_semi")
     return vertices, edges
 
 
