@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.batches import append_columns, byte_list, column
+from marlstone.llm.batches import append_columns, byte_list, fresh, making_room
 from marlstone.session import written
 
 SPACE = "▁"
+RESULT = ("n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times")
 FREQUENT = 1 << 17
 KEPT_CHUNKS = 1 << 18
 KEPT_LENGTH = 48
@@ -219,8 +220,8 @@ def align(df: DataFrame, vocabularies: Vocabularies, text: str = "text") -> Data
 
         return work
 
-    fields = [T.StructField(c, long) for c in ("n_a", "n_b", "n_groups", "n_links")] + [
-        T.StructField("groups", T.StringType()), T.StructField("pairs", T.ArrayType(packed)), T.StructField("times", T.ArrayType(T.IntegerType()))]
+    kinds = [long, long, long, long, T.StringType(), T.ArrayType(packed), T.ArrayType(T.IntegerType())]
+    fields = [T.StructField(c, k) for c, k in zip(RESULT, kinds)]
     return append_columns(df, [text], fields, make)
 
 
@@ -239,18 +240,20 @@ def link_statistics(df: DataFrame, vocabularies: Vocabularies, text: str = "text
     n_best: links whose pair is in more documents than, or as many as, any pair of the same A id. count_sum: the documents that hold
     each link's pair, summed over links.
     """
+    df, (text,) = making_room(df, [*RESULT, "n_best", "count_sum", "groups_sha256"], text)
+    row, of = fresh(df, "row", "row_of_sums")
     found = align(df, vocabularies, text).withColumn("groups", F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise(""))
-    aligned = written(found.drop(text).withColumnRenamed("groups", "groups_sha256").withColumn("row", F.monotonically_increasing_id()))
+    aligned = written(found.drop(text).withColumnRenamed("groups", "groups_sha256").withColumn(row, F.monotonically_increasing_id()))
     counts = written(pair_counts(aligned, vocabularies.b_size))
     total = counts.agg(F.sum("n")).head()[0] or 0
     often = F.col("n") * frequent > F.lit(total)
-    pairs = aligned.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
+    pairs = aligned.select(F.col(row).alias("row"), F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
     top, rest = F.broadcast(counts.filter(often)), counts.filter(~often)
 
     def sums(linked):
         return linked.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
 
     both = sums(pairs.join(top, "pair")).unionByName(sums(pairs.join(top, "pair", "left_anti").join(rest, "pair")))
-    sums_of = both.groupBy(F.col("row").alias("_row")).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    return (aligned.drop("pairs", "times").join(sums_of, F.col("row") == F.col("_row"), "left").drop("_row", "row")
+    sums_of = both.groupBy(F.col("row").alias(of)).agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return (aligned.drop("pairs", "times").join(sums_of, F.col(row) == F.col(of), "left").drop(row, of)
             .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_best", "count_sum")}))
