@@ -307,3 +307,21 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name: str =
         return work
 
     return append_columns(df, [ids], [T.StructField(name, T.StringType())], make)
+
+
+def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", names: tuple[str, str] = ("ids", "decoded")) -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass of the same workers: the tokens are not sent there and back."""
+    held = df.sparkSession.sparkContext.broadcast(tuple(ranks.items()))
+
+    def make():
+        forth, back = encoder(held.value, pattern), decoder(held.value)
+
+        def work(values):
+            ids = [forth.encode(v) if v else np.zeros(0, np.int32) for v in values.to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))),
+                    pa.array([back.decode(some.tolist()) for some in ids], pa.string())]
+
+        return work
+
+    return append_columns(df, [text], [T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.StringType())], make)
