@@ -41,8 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document and the round trip: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ranks = bpe.read_ranks(public_tokenizers.path(queries.RANKS))
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "ids"), ranks)
-    return queries.token_digests(coded)
+    return queries.token_digests(bpe.round_trip(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN))
 
 
 STAGES = [("language_id", identify_language), ("line_dedup", drop_repeated_lines), ("simhash_near_dedup", drop_near_duplicates),
