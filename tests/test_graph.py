@@ -50,6 +50,71 @@ def test_strong_components(data):
     assert {x["id"]: x["component"] for x in g.strongly_connected_components(v, e).collect()} == want
 
 
+def long_graph():
+    """A cycle of 3,000 with a chain of 3,000 out of it and one of 2,000 into it, and a star of mutual edges: (pairs, strong components by size)."""
+    cycle = [(i, (i + 1) % 3000) for i in range(3000)]
+    chains = [(2999 + i, 3000 + i) for i in range(3000)] + [(10_000 + i, 10_001 + i) for i in range(2000)] + [(12_000, 5)]
+    star = [p for i in range(1, 400) for p in ((20_000, 20_000 + i), (20_000 + i, 20_000))]
+    return cycle + chains + star, {3000: 1, 400: 1, 1: 5001}
+
+
+def test_strong_components_of_long_chains(spark):
+    pairs, want = long_graph()
+    ids = sorted({i for p in pairs for i in p})
+    c = g.strongly_connected_components(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(pairs, "src long, dst long")).collect()
+    sizes = {}
+    for r in c:
+        sizes[r["component"]] = sizes.get(r["component"], 0) + 1
+    assert {n: list(sizes.values()).count(n) for n in set(sizes.values())} == want
+    assert {r["component"] for r in c if r["id"] < 3000} == {2999} and {r["component"] for r in c if 20_000 <= r["id"]} == {20_399}
+
+
+def test_strong_components_of_dense_and_sparse_graphs(spark):
+    rng = random.Random(8)
+    for n, m in ((24, 30), (20, 60)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        di = {}
+        for a, b in pairs:
+            di.setdefault(a, set()).add(b)
+        r = {i: reach(di, i) for i in range(n)}
+        got = {x["id"]: x["component"] for x in g.strongly_connected_components(spark.range(n), spark.createDataFrame(pairs, "src long, dst long")).collect()}
+        assert got == {i: max(j for j in r[i] if i in r[j]) for i in range(n)}
+
+
+def test_blocks_of_long_chains(spark):
+    pairs, _ = long_graph()
+    ids = sorted({i for p in pairs for i in p})
+    got = {r["id"]: (r["blocks"], r["cyclic"]) for r in g.block_counts(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got[2999] == (2, True) and got[5] == (2, True) and got[7] == (1, True) and got[4000] == (2, False) and got[5999] == (1, False)
+    assert got[10_000] == (1, False) and got[11_000] == (2, False) and got[20_000] == (399, False) and got[20_001] == (1, False)
+
+
+def test_blocks_against_removal(spark):
+    rng = random.Random(21)
+    for n, m in ((16, 18), (20, 34)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        und = {}
+        for a, b in pairs:
+            if a != b:
+                und.setdefault(a, set()).add(b)
+                und.setdefault(b, set()).add(a)
+        got = {r["id"]: r for r in g.block_counts(spark.range(n), spark.createDataFrame(pairs, "src long, dst long")).collect()}
+        for i in range(n):
+            parts = {min(reach({k: s for k, s in und.items() if k != i}, x, banned=i)) for x in und.get(i, ())}
+            assert got[i]["blocks"] == len(parts)
+            assert got[i]["cyclic"] == (len(und.get(i, ())) > len(parts))  # two neighbours that stay connected without it
+
+
+def test_communities_reach_a_good_partition(spark):
+    ring = [(4 * i + a, 4 * i + b) for i in range(64) for a in range(4) for b in range(a)] + [(4 * i, (4 * i + 5) % 256) for i in range(64)]
+    e = spark.createDataFrame(ring, "src long, dst long")
+    c = g.modularity_communities(spark.range(256), e).cache()
+    q = c.select(g.modularity(g.links(e).withColumnsRenamed({"a": "src", "b": "dst"}), c.select("id", "community")).select("modularity").scalar().alias("q")).first()["q"]
+    assert q > 0.85 and c.first()["converged"] and c.first()["levels"] > 1  # single cliques give 0.84
+    star = spark.createDataFrame([(0, i) for i in range(1, 300)], "src long, dst long")
+    assert g.modularity_communities(spark.range(302), star).filter("id > 299").filter("id <> community").isEmpty()
+
+
 def test_triangles(data):
     v, e, n, und, _ = data
     tri = [t for t in itertools.combinations(range(n), 3) if all(b in und.get(a, ()) for a, b in itertools.combinations(t, 2))]
@@ -93,6 +158,27 @@ def test_trading_cycles(spark):
     assert {r["address"] for r in trading_cycles(df, "token", "ts", "a", "b").collect()} == {1, 2, 3}
 
 
+def test_trading_cycles_against_walks(spark):
+    from datetime import datetime
+    rng = random.Random(2)
+    t = datetime(2024, 1, 1, 5)
+    rows = [(token, t, rng.randrange(n), rng.randrange(n)) for token, n, m in (("x", 9, 12), ("y", 12, 22), ("z", 8, 9)) for _ in range(m)]
+    rows += [("big", t, i, (i + 1) % 2000) for i in range(2000)] + [("big", t, 5000, 3), ("big", t, 3, 5000)]
+    want = {("big", i) for i in range(2000)}
+    for token in "xyz":
+        out = {}
+        for k, _, a, b in rows:
+            if k == token and a != b:
+                out.setdefault(a, set()).add(b)
+
+        def closes(start, at, path):
+            return any((y == start and len(path) >= 3) or (y not in path and closes(start, y, path | {y})) for y in out.get(at, ()))
+
+        want |= {(token, a) for a in out if closes(a, a, {a})}
+    got = trading_cycles(spark.createDataFrame(rows, "token string, ts timestamp, a long, b long"), "token", "ts", "a", "b")
+    assert {(r["token"], r["address"]) for r in got.collect()} == want
+
+
 def test_name_matching_is_complete(spark):
     rng = random.Random(1)
     names = list({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 9))) for _ in range(120)})

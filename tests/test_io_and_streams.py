@@ -134,3 +134,29 @@ def test_pattern_stream_equals_batch_with_late_rows(spark):
     every = spark.createDataFrame([(i, k, T0 + timedelta(seconds=s), x) for f in files for i, k, s, x in f], SCHEMA)
     want = sorted((r["k"], r["start_id"], r["end_id"]) for r in match_pattern(every, ["k"], "ts", "id", p).collect())
     assert got == want == [("idle", 10, 11), ("k", 1, 3), ("k", 4, 5)]
+
+
+def test_capture_takes_late_and_repeated_changes(spark, tmp_path):
+    from marlstone.streaming import capture
+    root, tables = str(tmp_path / "captured"), {"a": ("id long, v string", ["id"]), "b": ("id long, v string", ["id"])}
+    capture.take_snapshot({"a": (spark.createDataFrame([(1, "one"), (2, "two")], "id long, v string"), ["id"])}, root, 10)
+    write = capture.capture_writer(root, tables)
+    schema = "table string, op string, position long, before string, after string"
+    change = lambda table, op, position, id, v: (table, op, position, *(f'{{"id":{id},"v":"{v}"}}' if (op == "DELETE") == gone else None for gone in (True, False)))
+    first = [change("a", "UPDATE", 5, 1, "old"), change("a", "INSERT", 7, 9, "gone before"), change("a", "UPDATE", 13, 2, "later"), change("a", "DELETE", 15, 1, ""), change("b", "INSERT", 11, 1, "b"),
+             change("c", "INSERT", 12, 1, "other")]
+    second = [change("a", "UPDATE", 12, 2, "late"), change("a", "UPDATE", 14, 1, "late"), change("b", "DELETE", 16, 1, ""), change("a", "INSERT", 17, 3, "three")]
+    for batch, rows in enumerate([first, second, first, second]):
+        write(spark.createDataFrame(rows, schema), batch)
+    assert sorted(tuple(r) for r in capture.captured(spark, root, "a").collect()) == [(2, "later"), (3, "three")]
+    assert capture.captured(spark, root, "b").count() == 0 and sorted(r["id"] for r in capture.captured(spark, root, "a", version=1).collect()) == [1, 2]
+
+
+def test_polls_go_on_from_their_mark(spark, tmp_path):
+    from marlstone.streaming import capture
+    sink, state = str(tmp_path / "sink"), str(tmp_path / "state")
+    rows = lambda n: (lambda: spark.range(n).select("id", F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("at")))
+    assert [capture.poll(spark, rows(n), "at", sink, state, settle="2 seconds") for n in (0, 5, 5, 9)] == [None, 1, None, 2]
+    assert sorted((r["poll"], r["id"]) for r in spark.read.parquet(sink).collect()) == [(1, 0), (1, 1), (1, 2), (2, 3), (2, 4), (2, 5), (2, 6)]
+    (tmp_path / "sink" / "poll=3").mkdir()
+    assert capture.poll(spark, rows(12), "at", sink, state, settle="2 seconds") == 3  # a poll that broke off is done again
