@@ -99,11 +99,11 @@ def captures(pages: DataFrame) -> DataFrame:
     host = F.regexp_replace("url", "^(https?)://(www\\.)?", "$1://www.")
     tag, stamp = F.md5(F.col("html").cast("binary")), F.concat(F.lit("day "), F.col("page_id").cast("string"))
     full = pages.select((2 * F.col("page_id")).alias("id"), "url", (10 * F.col("page_id")).alias("time"), F.lit(200).alias("status"),
-                        F.map_filter(F.create_map(F.lit("etag"), tag, F.lit("date"), stamp, F.lit("content-type"), F.lit("text/html")), lambda k, v: v.isNotNull()).alias("headers"))
-    stale = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("old-"), tag)).otherwise(tag)
+                        F.map_filter(F.create_map(F.lit("ETag"), tag, F.lit("Date"), stamp, F.lit("Content-Type"), F.lit("text/html")), lambda k, v: v.isNotNull()).alias("headers"))
+    stale = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit("old-"), tag)).when(F.col("page_id") % 3 == 2, F.concat(F.lit("W/"), tag)).otherwise(tag)
     later = F.concat(F.lit("day "), F.col("page_id").cast("string"), F.lit(" later"))
     again = pages.select((2 * F.col("page_id") + 1).alias("id"), host.alias("url"), (10 * F.col("page_id") + 7).alias("time"), F.lit(304).alias("status"),
-                         F.map_filter(F.create_map(F.lit("etag"), stale, F.lit("date"), later, F.lit("content-type"), F.lit("none"), F.lit("expires"), F.lit("soon")),
+                         F.map_filter(F.create_map(F.lit("etag"), stale, F.lit("DATE"), later, F.lit("content-type"), F.lit("none"), F.lit("Expires"), F.lit("soon")),
                                       lambda k, v: v.isNotNull()).alias("headers"))
     return full.unionByName(again)
 
@@ -116,20 +116,22 @@ def op7_revisit_resolution(spark: SparkSession, path: str) -> DataFrame:
 
 OP7_SQL = r"""
 with c as (
-  select 2 * page_id as id, url, 10 * page_id as time, 200 as status, md5(html) as etag, 'day ' || page_id as date, 'text/html' as kind, null as expires from pages
+  select 2 * page_id as id, url, 10 * page_id as time, 200 as status, md5(html) as etag, 'day ' || page_id as date from pages
   union all
   select 2 * page_id + 1, regexp_replace(url, '^(https?)://(www\.)?', '\1://www.'), 10 * page_id + 7, 304,
-         case when page_id % 3 = 1 then 'old-' || md5(html) else md5(html) end, 'day ' || page_id || ' later', 'none', 'soon' from pages),
+         case page_id % 3 when 1 then 'old-' when 2 then 'W/' else '' end || md5(html), 'day ' || page_id || ' later' from pages),
 p as (select *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from c),
 q as (select *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') as host,
-             regexp_extract(bare, '^[^/?]*(.*)$', 1) as rest from p),
-r as (select *, regexp_replace(regexp_replace(rest, '([?&])(utm_[a-z]+|ref)=[^&]*', '\1', 'g') || '&', '[?&]+$', '') as plain from q),
-s as (select *, host || regexp_replace(regexp_replace(regexp_replace(plain, '\?&+', '?', 'g'), '&&+', '&', 'g'), '/+$', '') as canonical from r),
-a as (select *, last_value(case when status = 200 then {'id': id, 'etag': etag, 'date': date, 'kind': kind} end ignore nulls)
+             regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') as way, string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&') as params from p),
+r as (select *, list_sort(list_filter(params, lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|gclid|dclid|fbclid|msclkid|mc_cid|mc_eid)(=|$)'))) as kept from q),
+s as (select *, host || way || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as canonical from r),
+a as (select *, last_value(case when status = 200 then {'id': id, 'etag': etag} end ignore nulls)
                 over (partition by canonical order by time, id rows between unbounded preceding and 1 preceding) as base from s),
-o as (select *, case when status = 200 then 'response' when base is null then 'no_response' when base.etag = etag then 'resolved' else 'changed' end as outcome from a)
+o as (select *, case when status = 200 then 'response' when base is null then 'no_response' when base.etag = regexp_replace(etag, '^W/', '') then 'resolved' else 'changed' end as outcome from a)
 select id, canonical, time, status, outcome, case when status = 200 then id when outcome = 'resolved' then base.id end as response_id,
-       concat_ws(';', 'content-type=' || case when outcome = 'resolved' then base.kind else kind end, 'date=' || date, 'etag=' || etag, 'expires=' || expires) as headers
+       case when status = 200 then concat_ws(';', 'Content-Type=text/html', 'Date=' || date, 'ETag=' || etag)
+            when outcome = 'resolved' then concat_ws(';', 'Content-Type=text/html', 'DATE=' || date, 'Expires=soon', 'etag=' || etag)
+            else concat_ws(';', 'DATE=' || date, 'Expires=soon', 'content-type=none', 'etag=' || etag) end as headers
 from o"""
 
 

@@ -2,7 +2,8 @@
 
 A capture is (id, url, time, status, headers). A revisit (status 304) takes the latest full response (status 200) of the same
 canonical URL before it, if the validators agree: the entity tags where both have one, else the dates of last change where both
-have one. The result has the full response's headers with those of the revisit that a 304 may bring in their place.
+have one. Header names count in any letter case and tags by weak comparison. The result has the full response's headers with those
+of the revisit that a 304 may bring in their place, each spelled as it came.
 
 The as-of join cuts time into slices of about ``SLICE_ROWS`` captures; a slice of one URL is worked on alone and gets the last full
 response before it as a carry, so a URL with a third of all captures is spread over many tasks.
@@ -22,14 +23,27 @@ SLICE_ROWS = 50_000
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified", "age", "warning")
 
 
+#: Query parameters that only track where a visitor comes from.
+TRACKERS = "^(utm_[a-z]+|gclid|dclid|fbclid|msclkid|mc_cid|mc_eid)(=|$)"
+
+
 def canonical_url(url: Column) -> Column:
-    """Without scheme, leading www., default port, fragment, tracking parameters and trailing slash; the host in lower case."""
+    """Without scheme, leading www., default port, fragment, tracking parameters and the path's trailing slash; the host in lower case, the parameters sorted."""
     bare = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, "^([^/?]*)", 1)), "^www\\.", ""), ":(80|443)$", "")
-    rest = F.regexp_extract(bare, "^[^/?]*(.*)$", 1)
-    plain = F.regexp_replace(F.concat(F.regexp_replace(rest, "([?&])(utm_[a-z]+|ref)=[^&]*", "$1"), F.lit("&")), "[?&]+$", "")
-    tidy = F.regexp_replace(F.regexp_replace(plain, "\\?&+", "?"), "&&+", "&")
-    return F.concat(host, F.regexp_replace(tidy, "/+$", ""))
+    path = F.regexp_replace(F.regexp_extract(bare, "^[^/?]*([^?]*)", 1), "/+$", "")
+    query = F.array_sort(F.filter(F.split(F.regexp_extract(bare, "^[^?]*\\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKERS)))
+    return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
+
+
+def header(headers: Column, name: str) -> Column:
+    """The value of the first header of that name in any letter case."""
+    return F.get(F.filter(F.map_entries(headers), lambda e: F.lower(F.trim(e["key"])) == name), F.lit(0))["value"]
+
+
+def entity_tag(headers: Column) -> Column:
+    """The entity tag without the mark of a weak one: a 304 answers by weak comparison."""
+    return F.regexp_replace(F.trim(header(headers, "etag")), "^W/", "")
 
 
 def resolve(captures: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -55,16 +69,13 @@ def resolve(captures: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     base = F.when(F.col("canonical").isNotNull() & F.col("time").isNotNull(), F.coalesce(F.last("own", ignorenulls=True).over(within), F.col("carry")))
     found = joined.withColumn("base", base)
 
-    def header(of: str, name: str) -> Column:
-        return F.element_at(F.col(of), name)
-
-    agree = F.coalesce(header("base.headers", "etag") == header("headers", "etag"),
-                       header("base.headers", "last-modified") == header("headers", "last-modified"), F.lit(False))
+    own, theirs = F.col("headers"), F.col("base.headers")
+    agree = F.coalesce(entity_tag(theirs) == entity_tag(own), F.trim(header(theirs, "last-modified")) == F.trim(header(own, "last-modified")), F.lit(False))
     revisit = F.col("status") == 304
     outcome = (F.when(full, "response").when(~F.coalesce(revisit, F.lit(False)), "other").when(F.col("base").isNull(), "no_response")
                .when(agree, "resolved").otherwise("changed"))
-    brought = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
-    kept = F.map_filter("base.headers", lambda k, v: ~F.array_contains(F.map_keys(brought), k))
+    brought = F.map_filter("headers", lambda k, v: F.lower(F.trim(k)).isin(*PERMITTED))
+    kept = F.map_filter("base.headers", lambda k, v: ~F.exists(F.map_keys(brought), lambda b: F.lower(F.trim(b)) == F.lower(F.trim(k))))
     done = found.withColumn("outcome", outcome)
     resolved = F.col("outcome") == "resolved"
     return done.select("id", "canonical", "time", "status", "outcome",

@@ -448,6 +448,17 @@ def test_revisit_rules(spark):
     assert warc.resolve(df.limit(0)).count() == 0
 
 
+def test_revisits_of_real_headers(spark):
+    rows = [(1, "http://a.org/p/?b=1&utm_source=q&a=2", 1, 200, {"ETag": '"e1"', "Content-Type": "text/html", "DATE": "d1", "Vary": "x"}), (2, "http://a.org/p?a=2&b=1", 2, 304, {"etag": 'W/"e1"', "Date": "d2", "content-type": "none"}),
+            (3, "http://a.org/p?ref=main", 3, 200, {"Last-Modified": "m"}), (4, "http://a.org/p?ref=dev", 4, 304, {"last-modified": "m"}), (5, "http://a.org/p?ref=main", 5, 304, {"LAST-MODIFIED": " m"}),
+            (6, "http://a.org/p?a=2&b=1", 6, 304, {"ETAG": '"e2"', "etag": '"e1"'})]
+    rows += [(100 + i, "http://burst.org/", 50, 304 if i else 200, {"ETag": "x"}) for i in range(300)]
+    got = {r.id: r for r in warc.resolve(spark.createDataFrame(rows, "id long, url string, time long, status int, headers map<string,string>"), 10).collect()}
+    assert got[2].outcome == "resolved" and got[2].headers == {"Content-Type": "text/html", "Vary": "x", "etag": 'W/"e1"', "Date": "d2"} and got[1].canonical == got[2].canonical == "a.org/p?a=2&b=1"
+    assert [got[i].outcome for i in (3, 4, 5, 6)] == ["response", "no_response", "resolved", "changed"] and got[5].response_id == 3
+    assert all(got[100 + i].response_id == 100 for i in range(300))
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------
 
 def test_pipeline_against_brute_force(spark, docs):
