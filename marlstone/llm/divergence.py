@@ -38,7 +38,7 @@ FLUSH_BYTES = 1 << 25
 PIECE = 1 << 22
 #: Sources on each side of a tile, and shares (sources x terms) that a task holds per side.
 TILE = 256
-CELLS = 1 << 20
+CELLS = 1 << 17
 
 #: Bytes of a term: letters and everything beyond ASCII. A term has no zero byte, so packing by zeros is one to one.
 IN_TERM = np.array([b >= 0x80 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
