@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.vectors import cosine
 from marlstone.operators import features as fe
 from marlstone.operators import models as ml
+from marlstone.operators import neighbours as nb
 from marlstone.operators import recommend as rec
 from marlstone.operators import search as se
 from marlstone.plans.derived import n_rows, events_now, EVENTS_NOW, HOURLY_SQL, SQL_K, hourly, k_of
@@ -109,7 +110,7 @@ def _(t):
 @query("sch14_similar_entities", "SCH14", f"with p as ({KNN_SQL} q.vec_id <> d.vec_id) select query, id, round(s, 6) similarity, row_number() over (partition by query order by s desc, id)::INTEGER rank from p qualify rank <= 3")
 def _(t):
     e = t.embeddings
-    return r6(se.knn(e, e, 3, "vec_id", "embedding", "vec_id", "embedding", exclude_self=True), "similarity")
+    return r6(nb.knn_by_pivots(e, e, 3, "vec_id", "embedding", "vec_id", "embedding", exclude_self=True).drop("blocks"), "similarity")
 
 
 @query("sch2_approximate_knn", "SCH2")
@@ -117,6 +118,15 @@ def _(t):
     return r6(se.approximate_knn(t.embeddings, t.embeddings.filter("label = 3"), 5, "vec_id", "embedding"), "similarity", places=4)
 
 
+@query("sch2_recall", "SCH2", "select (count(*) * 10)::BIGINT expected, true recall_reached from embeddings where label = 3")
+def _(t):
+    e = t.embeddings
+    q = e.filter("label = 3")
+    exact = nb.knn_by_pivots(e, q, 10, "vec_id", "embedding", "vec_id", "embedding", exclude_self=True)
+    found = nb.recall(se.approximate_knn(e, q, 10, "vec_id", "embedding"), exact)
+    return found.select("expected", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 TERMS = ["the", "nation", "table", "on", "zz9"]
 TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 BM_SQL = f"""tk as (select doc_id, unnest({TOK}) term from documents), ln as (select doc_id, len({TOK}) l from documents), st as (select count(*) n, avg(l) al from ln),
