@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.columns import clamp, ladder, micros, null_safe_join, ratio
 from marlstone.operators.windows import fill_series, numbered, rows_frame, running, running_moments
-from marlstone.session import cut_lineage
+from marlstone.session import cut_lineage, ship_package
 
 
 def maintenance_features(df: DataFrame, keys: list[str], ts: str, value: str, errors: str, rows: int = 24) -> DataFrame:
@@ -306,82 +306,166 @@ def damped_forecast(df: DataFrame, key: str, ts: str, value: str, steps: int = 1
 
 # -- lagged causality ---------------------------------------------------------------------------------------
 
-def _aligned(df: DataFrame, entity: str, bucket: str, value: str, entities: list) -> DataFrame:
-    """One row per bucket, one column per entity (e0, e1, ...)."""
-    return df.groupBy(bucket).agg(*[F.avg(F.when(F.col(entity) == e, F.col(value))).alias(f"e{i}") for i, e in enumerate(entities)])
+#: Series of one block and buckets of one time slice: a pair of blocks and a slice is one matrix product in a task.
+SERIES_BLOCK, BUCKET_SLICE = 64, 4096
 
 
-def _moments(df: DataFrame, entities: list, bucket: str, lags: int):
-    """Covariances of every entity and its lags: partial products per batch, a small matrix on the driver."""
+def _block_moments(df: DataFrame, entity: str, bucket: str, value: str, entities: list | None, lags: int) -> DataFrame:
+    """Sums of products of every pair of series and their lags, per pair of blocks: (lo, hi, moments, names_lo, names_hi).
+
+    Series are dealt into blocks, time into slices with a halo of ``lags`` buckets. A pair of blocks meets slice by slice; the sums
+    of the slices are added 32 at a time. A pair counts the buckets at which both series and all their lags are known.
+    """
     import numpy as np
     import pandas as pd
-    names = [f"e{i}" for i in range(len(entities))]
-    lagged = rows_frame(df.withColumn("_one", F.lit(1)), ["_one"], bucket, [], lambda w: {
-        f"{n}_{k}": F.lag(n, k).over(w) for n in names for k in range(1, lags + 1)}, before=lags, slice_seconds=30 * 86_400)
-    cols = [n if k == 0 else f"{n}_{k}" for n in names for k in range(lags + 1)]
-    full = lagged.dropna(subset=cols)
-    at = {c: i for i, c in enumerate(cols)}
+    ship_package(df.sparkSession)
+    finite = F.abs(F.col(value)) < F.lit(float("inf"))
+    d = df.filter(F.col(bucket).isNotNull()).select(F.col(entity).alias("e"), F.col(bucket).alias("b"), F.when(finite, F.col(value).cast("double")).alias("x"))
+    # a lag is one known bucket back, whatever series made the bucket known
+    order = numbered(d.select("b").distinct().withColumn("_one", F.lit(1)), ["_one"], "b", [], out="t").select("b", F.col("t").cast("long").alias("t"))
+    d = d.filter("e is not null" if entities is None else F.col("e").isin(entities))
+    means = d.groupBy("e", "b").agg(F.avg("x").alias("x")).filter("x is not null")
+    centre = means.groupBy("e").agg(F.avg("x").alias("c"))
+    n_blocks = -(-max(1, centre.count()) // SERIES_BLOCK)
+    names = centre.groupBy(F.pmod(F.xxhash64("e"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.sort_array(F.collect_list("e")).alias("names"))
+    rows = means.join(centre, "e").join(order, "b").select("e", (F.col("x") - F.col("c")).alias("x"), "t", F.pmod(F.xxhash64("e"), F.lit(n_blocks)).cast("int").alias("block"))
+    at = lambda c: F.floor(c / BUCKET_SLICE).cast("int")
+    rows = rows.withColumn("slice", F.explode(F.array_distinct(F.array(at(F.col("t")), at(F.col("t") + lags)))))
+    packed = rows.groupBy("block", "slice").agg(F.collect_list(F.struct("e", "t", "x")).alias("r")).join(names, "block") \
+        .select("block", "slice", "names", F.transform("r", lambda r: F.array_position("names", r["e"]) - 1).alias("s"), F.col("r.t").alias("t"), F.col("r.x").alias("x"))
+    packed = cut_lineage(packed)
+    last = F.lit(n_blocks - 1)
+    left = packed.withColumn("lo", F.col("block")).withColumn("hi", F.explode(F.sequence("block", last))) \
+        .select("lo", "hi", "slice", *[F.col(c).alias(f"{c}_lo") for c in ("names", "s", "t", "x")])
+    right = packed.withColumn("hi", F.col("block")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("block")))) \
+        .select("lo", "hi", "slice", *[F.col(c).alias(f"{c}_hi") for c in ("names", "s", "t", "x")])
+    width = lags + 1
+    upper = np.triu_indices(width)
+
+    def lagged(start, s, t, x, n):
+        """Known mask (buckets x series) and zero-filled lags (buckets x series x width) of a slice."""
+        full = np.full((BUCKET_SLICE + lags, n), np.nan)
+        full[t - (start - lags), s] = x
+        view = np.stack([full[lags - k:lags - k + BUCKET_SLICE] for k in range(width)], axis=2)
+        known = np.isfinite(view).all(axis=2)
+        return known.astype(float), np.where(known[:, :, None], view, 0.0)
 
     def products(batches):
         for pdf in batches:
-            x = np.column_stack([np.ones(len(pdf)), pdf.to_numpy(dtype=float)])
-            i, j = np.meshgrid(range(x.shape[1]), range(x.shape[1]), indexing="ij")
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": (x.T @ x).ravel()})
+            for r in pdf.itertuples():
+                side = lambda names, s, t, x: lagged(r.slice * BUCKET_SLICE, s.astype(int), t, x, len(names))
+                (va, xa), (vb, xb) = side(r.names_lo, r.s_lo, r.t_lo, r.x_lo), side(r.names_hi, r.s_hi, r.t_hi, r.x_hi)
+                flat = lambda m: m.reshape(len(m), -1)
+                squares = lambda m: flat(m[:, :, upper[0]] * m[:, :, upper[1]])
+                parts = [va.T @ vb, flat(xa).T @ vb, va.T @ flat(xb), squares(xa).T @ vb, va.T @ squares(xb), flat(xa).T @ flat(xb)]
+                yield pd.DataFrame({"lo": np.array([r.lo], dtype="int32"), "hi": np.array([r.hi], dtype="int32"), "slice": np.array([r.slice], dtype="int32"),
+                                    "moments": [np.concatenate([p.ravel() for p in parts])]})
+
+    schema = "lo int, hi int, slice int, moments array<double>"
+    sums = left.join(right.hint("merge"), ["lo", "hi", "slice"]).mapInPandas(products, schema)
+
+    def add(pdf):
+        return pd.DataFrame({"lo": pdf["lo"][:1], "hi": pdf["hi"][:1], "slice": pdf["slice"][:1], "moments": [np.sum(list(pdf["moments"]), axis=0)]})
+
+    left_over = packed.agg(F.max("slice")).first()[0] or 0
+    while left_over > 0:
+        sums = sums.withColumn("slice", F.floor(F.col("slice") / 32).cast("int")).groupBy("lo", "hi", "slice").applyInPandas(add, schema)
+        left_over //= 32
+    return sums.drop("slice").join(names.toDF("lo", "names_lo"), "lo").join(names.toDF("hi", "names_hi"), "hi")
+
+
+def _pair_covariances(moments, na: int, nb: int, lags: int):
+    """Counts (na, nb) and covariances (na, nb, 2w, 2w) of [lags of the first series, lags of the second], w = lags + 1."""
+    import numpy as np
+    w = lags + 1
+    iu = np.triu_indices(w)
+    h = len(iu[0])
+    sizes = [(na, nb), (na, w, nb), (na, nb, w), (na, h, nb), (na, nb, h), (na, w, nb, w)]
+    cuts = np.cumsum([int(np.prod(z)) for z in sizes])[:-1]
+    n, sa, sb, qa, qb, c = (p.reshape(z) for p, z in zip(np.split(np.asarray(moments, dtype=float), cuts), sizes))
+    raw = np.zeros((na, nb, 2 * w, 2 * w))
+    raw[:, :, iu[0], iu[1]] = raw[:, :, iu[1], iu[0]] = qa.transpose(0, 2, 1)
+    raw[:, :, w + iu[0], w + iu[1]] = raw[:, :, w + iu[1], w + iu[0]] = qb
+    raw[:, :, :w, w:] = c.transpose(0, 2, 1, 3)
+    raw[:, :, w:, :w] = c.transpose(0, 2, 3, 1)
+    mean = np.concatenate([sa.transpose(0, 2, 1), sb], axis=2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = mean / n[:, :, None]
+        return n, raw / n[:, :, None, None] - mean[:, :, :, None] * mean[:, :, None, :]
+
+
+def _per_pair(sums: DataFrame, entity_type: str, lags: int, name: str, measure) -> DataFrame:
+    """Rows (cause, effect, lag, statistic, significant, points) of ``measure(n, cov, cause, effect, lag)`` for all ordered pairs."""
+    import numpy as np
+    import pandas as pd
+    w = lags + 1
+
+    def solve(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                a, b = list(r.names_lo), list(r.names_hi)
+                n, cov = _pair_covariances(r.moments, len(a), len(b), lags)
+                for forward in (True, False) if r.lo != r.hi else (True,):
+                    cause, effect = (np.arange(w), w + np.arange(w)) if forward else (w + np.arange(w), np.arange(w))
+                    for lag in range(1, w):
+                        with np.errstate(all="ignore"):
+                            stat, strong = measure(n, cov, cause, effect, lag)
+                        i, j = np.nonzero(np.isfinite(stat))
+                        if r.lo == r.hi:
+                            i, j = i[i != j], j[i != j]
+                        if not len(i):
+                            continue
+                        first, second = [a[k] for k in i], [b[k] for k in j]
+                        yield pd.DataFrame({"cause": first if forward else second, "effect": second if forward else first, "lag": np.full(len(i), lag, dtype="int32"),
+                                            name: stat[i, j], "significant": strong[i, j], "points": n[i, j].astype("int64")})
+
+    return sums.mapInPandas(solve, f"cause {entity_type}, effect {entity_type}, lag int, {name} double, significant boolean, points long")
+
+
+def granger(df: DataFrame, entity: str, bucket: str, value: str, entities: list | None = None, max_lag: int = 5, f_critical: float = 3.84,
+            significant_only: bool = False) -> DataFrame:
+    """F statistic of adding the cause's lags to a regression on the effect's own lags, for all ordered pairs of series.
+
+    Sums of products are block matrix products, the normal equations (at most 2 x max_lag unknowns) are solved in tasks, pair block by
+    pair block; the driver holds nothing. Pairs without enough common buckets or with a perfect fit have no row.
+    """
+    import numpy as np
 
-    sums = full.select(*cols).mapInPandas(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
-    raw = np.zeros((len(cols) + 1, len(cols) + 1))
-    for r in sums.collect():  # (columns + 1) squared entries
-        raw[r["i"], r["j"]] = r["s"]
-    n = raw[0, 0]
-    mean = raw[0, 1:] / max(n, 1)
-    return int(n), cols, at, raw[1:, 1:] / max(n, 1) - np.outer(mean, mean)
+    def measure(n, cov, cause, effect, lag):
+        y = effect[0]
 
+        def rss(xs):
+            a, b = cov[:, :, xs[:, None], xs], cov[:, :, xs, y]
+            usable = np.isfinite(a).all(axis=(2, 3))
+            inverse = np.linalg.pinv(np.where(usable[:, :, None, None], a, 0.0), 1e-12, True)
+            return (cov[:, :, y, y] - np.einsum("ijk,ijkl,ijl->ij", b, inverse, b)) * n
 
-def granger(df: DataFrame, entity: str, bucket: str, value: str, entities: list, max_lag: int = 5, f_critical: float = 3.84) -> DataFrame:
-    """F statistic of adding the cause's lags to a regression on the effect's own lags, for all ordered pairs.
+        own = effect[1:lag + 1]
+        small, large = rss(own), rss(np.concatenate([own, cause[1:lag + 1]]))
+        dof = n - 2 * lag - 1
+        f = (small - large) / lag / (large / dof)
+        f = np.where((dof > 0) & (large > 1e-10 * n * cov[:, :, y, y]), f, np.nan)
+        return f, f > f_critical
 
-    The data pass is one aggregation of products; the normal equations have at most 2 x max_lag unknowns.
-    """
-    import numpy as np
-    n, cols, at, m = _moments(_aligned(df, entity, bucket, value, entities), entities, bucket, max_lag)
-
-    def rss(y, xs):
-        if not xs:
-            return m[y, y] * n
-        a, b = m[np.ix_(xs, xs)], m[xs, y]
-        return max((m[y, y] - b @ np.linalg.lstsq(a, b, rcond=None)[0]) * n, 0.0)
-
-    rows = []
-    for i, cause in enumerate(entities):
-        for j, effect in enumerate(entities):
-            if i == j:
-                continue
-            for lag in range(1, max_lag + 1):
-                own = [at[f"e{j}_{k}"] for k in range(1, lag + 1)]
-                both = own + [at[f"e{i}_{k}"] for k in range(1, lag + 1)]
-                small, large = rss(at[f"e{j}"], own), rss(at[f"e{j}"], both)
-                dof = n - 2 * lag - 1
-                if dof > 0 and large > 0:
-                    f = (small - large) / lag / (large / dof)
-                    rows.append((cause, effect, lag, float(f), bool(f * lag > f_critical * lag), int(n)))
-    return df.sparkSession.createDataFrame(rows, "cause string, effect string, lag int, f_statistic double, significant boolean, points long")
-
-
-def lagged_partial_correlations(df: DataFrame, entity: str, bucket: str, value: str, entities: list, max_lag: int = 5, z_critical: float = 1.96) -> DataFrame:
-    """Partial correlation of each effect with each lagged cause, given the effect's own first lag (Fisher z test)."""
+    sums = _block_moments(df, entity, bucket, value, entities, max_lag)
+    out = _per_pair(sums, df.schema[entity].dataType.simpleString(), max_lag, "f_statistic", measure)
+    return out.filter("significant") if significant_only else out
+
+
+def lagged_partial_correlations(df: DataFrame, entity: str, bucket: str, value: str, entities: list | None = None, max_lag: int = 5, z_critical: float = 1.96,
+                                significant_only: bool = False) -> DataFrame:
+    """Partial correlation of each effect with each lagged cause, given the effect's own first lag (Fisher z test); pairs with more
+    than four common buckets."""
     import numpy as np
-    n, cols, at, m = _moments(_aligned(df, entity, bucket, value, entities), entities, bucket, max_lag)
-    sd = np.sqrt(np.diag(m))
-    r = m / np.outer(sd, sd)
-    rows = []
-    for i, cause in enumerate(entities):
-        for j, effect in enumerate(entities):
-            if i == j:
-                continue
-            y, z = at[f"e{j}"], at[f"e{j}_1"]
-            for lag in range(1, max_lag + 1):
-                x = at[f"e{i}_{lag}"]
-                p = (r[x, y] - r[x, z] * r[y, z]) / np.sqrt((1 - r[x, z] ** 2) * (1 - r[y, z] ** 2))
-                stat = 0.5 * np.log((1 + p) / (1 - p)) * np.sqrt(n - 4)
-                rows.append((cause, effect, lag, float(p), bool(abs(stat) > z_critical)))
-    return df.sparkSession.createDataFrame(rows, "cause string, effect string, lag int, strength double, significant boolean")
+
+    def measure(n, cov, cause, effect, lag):
+        sd = np.sqrt(np.maximum(np.diagonal(cov, axis1=2, axis2=3), 0))
+        r = lambda p, q: cov[:, :, p, q] / (sd[:, :, p] * sd[:, :, q])
+        y, z, x = effect[0], effect[1], cause[lag]
+        p = (r(x, y) - r(x, z) * r(y, z)) / np.sqrt((1 - r(x, z) ** 2) * (1 - r(y, z) ** 2))
+        p = np.where(n > 4, p, np.nan)
+        return p, np.abs(0.5 * np.log((1 + p) / (1 - p)) * np.sqrt(n - 4)) > z_critical
+
+    sums = _block_moments(df, entity, bucket, value, entities, max_lag)
+    out = _per_pair(sums, df.schema[entity].dataType.simpleString(), max_lag, "strength", measure).drop("points")
+    return out.filter("significant") if significant_only else out

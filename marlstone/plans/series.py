@@ -154,6 +154,27 @@ def _(t):
     return r6(ts.lagged_partial_correlations(hourly(t), "market", "ts", "price", ["click", "view"], 1), "strength")
 
 
+USER_DAYS_SQL = """b as (select user_id e, date_trunc('day', ts)::TIMESTAMP d, avg(value) * pi() / 3 x from events group by all), o as (select d, row_number() over (order by d) t from (select distinct d from b)),
+ l as (select a.e, o.t, a.x, p.x x1 from b a join o using (d) join (select b.e, o.t, b.x from b join o using (d)) p on p.e = a.e and p.t = o.t - 1),
+ r as (select c.e cause, y.e effect, count(*) n, corr(y.x, c.x1) a, corr(y.x, y.x1) b, corr(c.x1, y.x1) g from l c join l y on c.t = y.t and c.e <> y.e group by all),
+ p as (select cause, effect, n, (a - b * g) / sqrt((1 - b * b) * (1 - g * g)) s from r where n > 4)"""
+
+
+def user_days(t):
+    return t.events.select("user_id", F.date_trunc("day", "ts").alias("day"), (F.col("value") * F.pi() / 3).alias("x"))
+
+
+@query("ts16_user_causes", "TS16", f"""with {USER_DAYS_SQL}, f as (select cause, effect, n, s * s / (1 - s * s) * (n - 3) f from p where abs(s) < 1)
+select cause, effect, 1 lag, round(f, 5) f_statistic, true significant, n points from f where f > 3.84""")
+def _(t):
+    return r6(ts.granger(user_days(t), "user_id", "day", "x", max_lag=1, significant_only=True), "f_statistic", places=5)
+
+
+@query("ts17_user_edges", "TS17", f"""with {USER_DAYS_SQL} select cause, effect, 1 lag, round(s, 6) strength, true significant from p where abs(0.5 * ln((1 + s) / (1 - s)) * sqrt(n - 4)) > 1.96""")
+def _(t):
+    return r6(ts.lagged_partial_correlations(user_days(t), "user_id", "day", "x", max_lag=1, significant_only=True), "strength")
+
+
 @query("ts18_failure_indicators", "TS18", f"""
 with k as (select user_id, ts, event_id, value, case when event_type = 'error' then 'error' when event_type = 'view' then 'performance' end kind from events),
  e as (select user_id, count(*) filter (kind = 'error' and ts > TIMESTAMP '{EVENTS_NOW}' - interval 7 day) / 7.0 er from k group by 1),
