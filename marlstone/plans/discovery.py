@@ -328,7 +328,7 @@ def _(t):
     return ml.importances(m, ["v", "k", "h"], t.spark).withColumn("importance", F.round("importance", 3))
 
 
-@query("ml4_component_features", "ML4 UDF5")
+@query("ml4_component_features", "ML4")
 def _(t):
     from pyspark.ml.feature import PCA, VectorAssembler
     from pyspark.ml.functions import vector_to_array

@@ -124,6 +124,25 @@ def _(t):
     return m.groupBy("file_type", "validated", "analyzed", "packaged").agg(n_rows().alias("files"))
 
 
+@query("udf5_split_map_merge", "UDF5", r"""with l as (select unnest(string_split(text, chr(10))) line from documents where text is not null)
+select strlen(line) line_bytes, count(*) n_lines, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')))::BIGINT words from l group by 1""")
+def _(t):
+    from marlstone.sources.ranges import map_records, split_files
+    path = scratch(t.spark, "texts")
+    t.documents.filter("text is not null").select("text", F.coalesce("lang", F.lit("none")).alias("lang")).write.partitionBy("lang").text(path)
+    per = map_records(split_files(t.spark, path, "*.txt", 1 << 16), line_sizes, "line_bytes long, n_lines long, words long")
+    return per.groupBy("line_bytes").agg(F.sum("n_lines").alias("n_lines"), F.sum("words").alias("words"))
+
+
+def line_sizes(lines):
+    sizes = {}
+    for line in lines:
+        n = sizes.setdefault(len(line), [0, 0])
+        n[0] += 1
+        n[1] += len(line.split())
+    return [(size, n, words) for size, (n, words) in sizes.items()]
+
+
 @query("src2_formats_round_trip", "SRC1 SRC3 SNK2 SNK7", "select f format, count(*) n, round(sum(c_acctbal), 2) total from customer, (values ('csv'), ('json'), ('orc'), ('parquet')) v(f) group by 1")
 def _(t):
     from marlstone.sources.readers import read_dataset
