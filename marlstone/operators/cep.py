@@ -11,8 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,48 +130,32 @@ def alerts(matches: DataFrame, pattern: Pattern, amount: str | None = None, new_
         "risk_score": F.round(F.least(F.lit(1.0), risk), 2), "actions": F.lit(",".join(pattern.actions))})
 
 
-def scan_matches(us: np.ndarray, start: np.ndarray, steps: list[tuple], within_us: int, rows: dict[str, np.ndarray]):
-    """(start, end) positions of matches whose steps depend on the start row.
-
-    ``steps``: (mask(rows, start position) -> bool array, times, consecutive). Small per-group helper.
-    """
-    out = []
-    for i in np.flatnonzero(start):
-        stop = np.searchsorted(us, us[i] + within_us, side="left")
-        at = i
-        for mask, times, consecutive in steps:
-            hits = np.flatnonzero(mask({n: v[at + 1:stop] for n, v in rows.items()}, {n: v[i] for n, v in rows.items()})) + at + 1
-            if len(hits) < times or (consecutive and hits[times - 1] - hits[0] != times - 1):
-                at = -1
-                break
-            at = hits[times - 1]
-        if at >= 0:
-            out.append((i, at))
-    return out
-
-
 def match_from_start(df: DataFrame, keys: list[str], ts: str, ident: str, start: str, steps: list[tuple],
                      within: float, columns: list[str]) -> DataFrame:
     """Matches whose later steps compare with the start row (worse than it, same side, other provider).
 
-    One Arrow group per (key, time slice).
+    ``steps``: (condition of the columns of a row and of its start, times, consecutive). A step ends at its ``times``-th row after
+    the step before; ``consecutive`` asks that its rows follow each other without a gap. Start rows meet the rows of their
+    (key, time slice) in a join that emits those that satisfy the step only; the steps share one partitioning.
     """
+    part = ["_key", "_chunk"]
     d = _sliced(df.withColumn("_start", F.coalesce(F.expr(start), F.lit(False))), ts, within) \
-        .select(*keys, "_chunk", "_home", "_us", F.col(ident).alias("_id"), "_start", *[c for c in columns if c not in keys])
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"start_id {types[ident]}", "start_us bigint", f"end_id {types[ident]}", "end_us bigint"])
-    within_us = int(within * 1_000_000)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", "_id"], kind="stable")
-        rows = {c: pdf[c].to_numpy() for c in columns}
-        us, ids = pdf["_us"].to_numpy(), pdf["_id"].to_numpy()
-        begin = (pdf["_start"] & (pdf["_chunk"] == pdf["_home"])).to_numpy()
-        found = scan_matches(us, begin, steps, within_us, rows)
-        return pd.DataFrame([(*[pdf[k].iloc[0] for k in keys], ids[i], us[i], ids[j], us[j]) for i, j in found],
-                            columns=[*keys, "start_id", "start_us", "end_id", "end_us"])
-
-    return d.groupBy(*keys, "_chunk").applyInPandas(run, schema)
+        .select(F.struct(*keys).alias("_key"), "_chunk", "_home", "_us", F.col(ident).alias("_id"), "_start", *columns)
+    d = d.withColumn("_rn", F.row_number().over(Window.partitionBy(*part).orderBy("_us", "_id")))
+    kept = {f"_s_{c}": c for c in ["_us", "_id", *columns]}
+    found = d.filter("_start and _chunk = _home").select(*part, F.col("_rn").alias("_s_rn"), F.col("_rn").alias("_at"), *[F.col(c).alias(s) for s, c in kept.items()])
+    rows = d.select(*part, "_rn", "_us", "_id", *columns)
+    for holds, times, consecutive in steps:
+        ahead = (F.col("_rn") > F.col("_at")) & (F.col("_us") - F.col("_s__us") < int(within * 1_000_000))
+        hits = found.drop("_end_us", "_end_id").join(rows, part).filter(ahead & holds({c: F.col(c) for c in columns}, {c: F.col(f"_s_{c}") for c in columns}))
+        first = hits.withColumn("_k", F.row_number().over(Window.partitionBy(*part, "_s_rn").orderBy("_rn"))).filter(F.col("_k") <= times)
+        found = first.groupBy(*part, "_s_rn").agg(
+            F.max("_rn").alias("_at"), *[F.first(s).alias(s) for s in kept], F.max_by("_us", "_rn").alias("_end_us"), F.max_by("_id", "_rn").alias("_end_id"),
+            F.count(F.lit(1)).alias("_n"), F.min("_rn").alias("_from")).filter(F.col("_n") == times)
+        if consecutive:
+            found = found.filter(F.col("_at") - F.col("_from") == times - 1)
+        found = found.drop("_n", "_from")
+    return found.select("_key.*", F.col("_s__id").alias("start_id"), F.col("_s__us").alias("start_us"), F.col("_end_id").alias("end_id"), F.col("_end_us").alias("end_us"))
 
 
 def _p(name, severity, minutes, *steps, absent=None, actions=("manual_review",)):

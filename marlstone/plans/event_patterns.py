@@ -118,26 +118,42 @@ def _(t):
                     F.round("top_amount", 4).alias("top_amount"))
 
 
-@query("cep25_worsening", "CEP25")
+def start_sql(start: str, steps: list[tuple[str, int, bool]], within: float, rows: str | None = None) -> str:
+    """Start rows a, then step by step the first rows b that satisfy a condition on both."""
+    us = int(within * 1_000_000)
+    out = f"""with s as ({rows or stream_sql('perf')}), e as (select *, row_number() over (partition by entity order by us, event_id) rn from s),
+ m0 as (select *, rn cur from e where {start})"""
+    for i, (when, times, consecutive) in enumerate(steps, 1):
+        out += f""",
+ h{i} as (select a.entity, a.rn, b.rn hit, row_number() over (partition by a.entity, a.rn order by b.rn) k from m{i - 1} a join e b on b.entity = a.entity and b.rn > a.cur and b.us - a.us < {us} and {when}),
+ n{i} as (select entity, rn, min(hit) lo, max(hit) hi, count(*) n from h{i} where k <= {times} group by all),
+ m{i} as (select e.*, n.hi cur from n{i} n join e using (entity, rn) where n.n = {times}{f' and hi - lo = {times - 1}' if consecutive else ''})"""
+    return out + f"""
+select m.entity, m.event_id start_id, m.us start_us, b.event_id end_id, b.us end_us from m{len(steps)} m join e b on b.entity = m.entity and b.rn = m.cur"""
+
+
+@query("cep25_worsening", "CEP25", start_sql("amount < 50", [("b.amount < a.amount * 0.95", 2, False)], 1800))
 def _(t):
     steps, within = cep.worsening()
     return cep.match_from_start(stream(t, "perf"), ["entity"], "ts", "event_id", "amount < 50", steps, within, ["event_type", "amount"])
 
 
-@query("cep27_recovering", "CEP27")
+@query("cep27_recovering", "CEP27", start_sql("amount < 20", [("b.amount > a.amount * 1.1", 3, True)], 1200))
 def _(t):
     steps, within = cep.recovering()
     return cep.match_from_start(stream(t, "perf"), ["entity"], "ts", "event_id", "amount < 20", steps, within, ["event_type", "amount"])
 
 
-@query("cep27_correlated_failures", "CEP27")
+@query("cep27_correlated_failures", "CEP27", start_sql("amount > 60", [("b.provider <> a.provider", 2, False)], 900))
 def _(t):
     steps, within = cep.correlated_failures()
     s = stream(t, "perf").withColumn("event_type", F.lit("PROVIDER_DOWN"))
     return cep.match_from_start(s, ["entity"], "ts", "event_id", "amount > 60", steps, within, ["event_type", "provider"])
 
 
-@query("cep19_front_running", "CEP19")
+@query("cep19_front_running", "CEP19", start_sql(
+    "amount < average * 0.5", [("b.amount > b.average * 5 and b.provider <> a.provider", 1, False), ("b.side <> a.side and b.provider = a.provider", 1, False)], 3600,
+    f"select * replace (amount * 3 as amount) from ({stream_sql('perf')})"))
 def _(t):
     steps, within = cep.front_running(3600.0)
     s = stream(t, "perf").withColumns({"event_type": F.lit("ORDER_PLACED"), "amount": F.col("amount") * 3})

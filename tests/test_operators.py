@@ -113,3 +113,16 @@ def test_plans_stay_declarative(spark):
         text = p._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
     assert "WindowGroupLimit" in text
+
+
+def test_patterns_relative_to_their_start(spark):
+    rows = [("a", 1, 0, 10.0), ("a", 2, 10, 9.0), ("a", 3, 20, 12.0), ("a", 4, 20, 9.2), ("a", 5, 1799, 1.0), ("a", 6, 1800, 1.0), (None, 7, 0, 10.0), (None, 8, 5, 1.0), (None, 9, 6, 2.0),
+            ("b", 10, 0, 10.0), ("b", 11, 1, 1.0), ("b", 12, 1801, 1.0), ("c", 13, 0, None), ("c", 14, 1, 1.0)]
+    df = spark.createDataFrame([(k, i, at(s), v, "PERFORMANCE_CHECK") for k, i, s, v in rows], "k string, id long, ts timestamp, amount double, event_type string")
+    steps, within = cep.worsening()
+    got = {(r["k"], r["start_id"], r["end_id"]) for r in cep.match_from_start(df, ["k"], "ts", "id", "amount >= 9", steps, within, ["event_type", "amount"]).collect()}
+    # 1: 9.0 and 9.2 are worse; 2: the two at 1.0; 3: 9.2 (same time, later id) and 1.0; 4: the two at 1.0; b: the second lies outside
+    assert got == {("a", 1, 4), ("a", 2, 6), ("a", 3, 5), ("a", 4, 6), (None, 7, 9)}
+    up = [(lambda r, s: r["amount"] > s["amount"], 2, True)], within
+    runs = cep.match_from_start(df, ["k"], "ts", "id", "id in (2, 5, 11)", *up, ["amount"]).collect()
+    assert [(r["start_id"], r["end_id"]) for r in runs] == [(2, 4)]
