@@ -9,7 +9,7 @@ from marlstone.plans.derived import n_rows, CHANGES_SQL, SQL_K, k_of
 from marlstone.plans.event_patterns import match_sql, stream, stream_sql
 from marlstone.plans.registry import query
 from marlstone.session import scratch
-from marlstone.streaming import jobs
+from marlstone.streaming import alerts, jobs
 from marlstone.streaming.sources import collected, file_stream, run_available
 
 
@@ -287,6 +287,41 @@ def _(t):
     return collected(jobs.threshold_alerts(stream_of(t), "value", 120.0).select("event_id", "alert"))
 
 
+ALERTS_SQL = """a as (select event_id, user_id, event_type, epoch_us(ts) us from events where event_type in ('error', 'signup', 'purchase')),
+ n as (select *, row_number() over w total_alerts, list({'us': us, 'p': event_type}) over (partition by user_id order by us, event_id rows between 10 preceding and 1 preceding) recent from a window w as (partition by user_id order by us, event_id)),
+ h as (select event_id, hour, count(*) c from (select event_id, unnest(list_transform(coalesce(recent, []), lambda r: r.us // 3600000000)) as hour from n) group by all),
+ c as (select event_id, list(c order by hour) cs from h group by 1),
+ t as (select n.event_id, user_id, us, total_alerts, case when cs[-1] > cs[-2] and cs[-2] > cs[-3] then 'INCREASING' when cs[-1] < cs[-2] and cs[-2] < cs[-3] then 'DECREASING' else 'STABLE' end trend,
+  len(list_filter(coalesce(recent, []), lambda r: r.p = event_type and n.us - r.us < 3600000000)) > 0 is_repeat from n left join c on c.event_id = n.event_id)"""
+
+
+def alert_rows(t):
+    return t.events.filter("event_type in ('error', 'signup', 'purchase')")
+
+
+@query("str13_alert_context", "STR13", f"with {ALERTS_SQL} select event_id, user_id, total_alerts, trend, is_repeat from t")
+def _(t):
+    return alerts.alert_context(alert_rows(t), "user_id", "ts", "event_id", "event_type").select("event_id", "user_id", "total_alerts", "trend", "is_repeat")
+
+
+@query("str13_alert_context_stream", "STR13 STR8", f"with {ALERTS_SQL} select event_id, user_id, total_alerts, trend, is_repeat from t where us < (select (max(us) // 1000 - 10000) * 1000 from a)")
+def _(t):
+    s = file_stream(t.spark, sliced_files(t, alert_rows(t), "ts") + "/*", t.events.schema, max_files=1)
+    with alerts.state_on_disk(t.spark):
+        out = collected(alerts.alert_context_stream(s, "user_id", "ts", "event_id", "event_type"))
+    return out.select(F.col("id").alias("event_id"), F.col("key").alias("user_id"), "total_alerts", "trend", "is_repeat")
+
+
+@query("str14_graph_stream", "STR14", f"""
+with x as (select 'user:' || user_id src, case when event_type = 'signup' then 'project:' || ({SQL_K} % 10) else 'asset:' || {SQL_K} end dst, case event_type when 'purchase' then 'bought' when 'view' then 'viewed' else 'joined' end label, ts from events where event_type in ('purchase', 'view', 'signup'))
+select src, dst, label, epoch_us(min(ts)) created_at, count(*) events from x group by all""")
+def _(t):
+    s = file_stream(t.spark, sliced_files(t, t.events, "ts") + "/*", t.events.schema, max_files=1)
+    k = k_of(s)
+    spec = {"purchase": ("user", F.col("user_id"), "bought:asset", k), "view": ("user", F.col("user_id"), "viewed:asset", k), "signup": ("user", F.col("user_id"), "joined:project", k % 10)}
+    return collected(alerts.graph_edges(s, spec, "event_type", "ts"), "update", ["src", "dst", "label"]).withColumn("created_at", micros("created_at"))
+
+
 @query("str7_keyed_state_scores", "STR7 TRU1", """
 with recursive i as (select event_id, user_id, case event_type when 'purchase' then 0.06 when 'error' then -0.2 else 0.05 end::DOUBLE im, row_number() over (partition by user_id order by ts, event_id) rn from events),
  f as (select user_id, rn, event_id, 0.5::DOUBLE + 0.1::DOUBLE * im * 0.5::DOUBLE x from i where rn = 1 union all select i.user_id, i.rn, i.event_id, f.x + 0.1::DOUBLE * case when i.im > 0 then i.im * (1 - f.x) else i.im * f.x end from f join i on i.user_id = f.user_id and i.rn = f.rn + 1)
