@@ -2,14 +2,17 @@
 
 from pyspark.sql import functions as F
 
+from marlstone.functions.columns import micros
 from marlstone.functions.vectors import cosine
 from marlstone.operators import features as fe
 from marlstone.operators import models as ml
 from marlstone.operators import neighbours as nb
 from marlstone.operators import recommend as rec
 from marlstone.operators import search as se
+from marlstone.operators import simulations as sim
 from marlstone.plans.derived import n_rows, events_now, EVENTS_NOW, HOURLY_SQL, SQL_K, hourly, k_of
 from marlstone.plans.registry import query
+from marlstone.session import scratch
 
 
 
@@ -338,6 +341,38 @@ def _(t):
     return p.select("user_id", F.round(F.abs(vector_to_array("p")[0]), 3).alias("first"), F.round(F.abs(vector_to_array("p")[1]), 3).alias("second"))
 
 
+def simulation_runs(t):
+    """Three agents per event, in the runs of a user and a day."""
+    k = k_of(t.events).cast("double")
+    agent = lambda i: F.struct(i.alias("id"), F.struct((F.col("value") + i).alias("x"), (k / 2 + i).alias("y"), (F.col("value") - k).alias("z")).alias("position"),
+                               F.struct((k / 10).alias("x"), i.cast("double").alias("y"), (F.col("value") / 50).alias("z")).alias("velocity"))
+    return t.events.select(F.col("user_id").alias("simulation_id"), F.date_trunc("day", "ts").alias("day"), F.transform(F.sequence(F.lit(0), F.lit(2)), agent).alias("agents"))
+
+
+RUNS_SQL = f"""a as (select user_id simulation_id, date_trunc('day', ts)::TIMESTAMP d, i, value + i x, {SQL_K} / 2.0::DOUBLE + i y, value - {SQL_K} z, sqrt(power({SQL_K} / 10.0::DOUBLE, 2) + i * i + power(value / 50, 2)) speed
+  from events, (select unnest(range(3)) i))"""
+
+
+@query("ml4_agent_features", "ML4", f"""with {RUNS_SQL} select simulation_id, epoch_us(d) day_us, round(avg(x), 6) avg_pos_x, round(avg(y), 6) avg_pos_y, round(avg(z), 6) avg_pos_z,
+ round(stddev(x), 6) std_pos_x, round(stddev(y), 6) std_pos_y, round(stddev(z), 6) std_pos_z, round(max(speed), 6) max_speed, count(i) num_agents from a group by simulation_id, d""")
+def _(t):
+    f = sim.agent_features(simulation_runs(t), ["simulation_id", "day"])
+    names = [c for c in f.columns if c.startswith(("avg", "std", "max"))]
+    return r6(f.withColumn("day_us", micros("day")).drop("day"), *names)
+
+
+@query("ml4_batch_prediction", "ML4 SNK11", f"""with {RUNS_SQL}, r as (select simulation_id, d from a group by all) select count(*) predicted, true better_than_the_mean from r""")
+def _(t):
+    f = sim.agent_features(simulation_runs(t), ["simulation_id", "day"])
+    older, _ = ml.time_split(f, "day")
+    names = [c for c in f.columns if c.startswith(("avg", "std"))]
+    model = scratch(t.spark, "model")
+    sim.fit_outcome(older, names, "max_speed", components=4).write().save(model)
+    p = sim.batch_predict(t.spark, model, f, scratch(t.spark, "predictions"), ["simulation_id", "day", "max_speed"])
+    error = F.sum(F.pow(F.col("prediction") - F.col("max_speed"), 2))
+    return p.agg(F.count("prediction").alias("predicted"), (error < 0.6 * F.var_pop("max_speed") * F.count("prediction")).alias("better_than_the_mean"))
+
+
 def updates(t):
     return t.events.groupBy("user_id").agg(n_rows().alias("n"), F.array(F.avg("value"), F.avg(k_of(t.events)).cast("double"), F.max("value")).alias("w")).withColumn("name", F.when(F.col("user_id") % 2 == 0, "dense").otherwise("bias"))
 
