@@ -12,8 +12,9 @@ from marlstone.session import cut_lineage, ship_package
 
 #: Vectors of one block; a block of 64 doubles each is 2 MB.
 BLOCK = 4096
-#: Rows of a block the bounds speak of: neighbouring rings of a pivot are joined until they hold as many.
-ROWS = 512
+#: Rows of a block the bounds speak of: neighbouring rings of a pivot are joined until they hold as many. A query is sent once per
+#: block it meets, so where nothing can be ruled out the shuffle is the square of the rows over this number.
+ROWS = 4096
 #: Width of a ring of distances around a pivot; distances of unit vectors are at most 2.
 RING = 1 / 32
 #: Pivots; with 65 rings each the bounds stay below 70,000 rows, whatever the table.
@@ -128,7 +129,7 @@ def knn_by_pivots(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "id
                   where: Column | None = None, exclude_self: bool = False, n_pivots: int | None = None, seed: int = 42) -> DataFrame:
     """Exact nearest neighbours by cosine: (query, id, similarity, rank, blocks), ties by id.
 
-    Documents are filed under their nearest pivot and a ring of distances around it; rings make blocks of some 512 rows and more. Every query first searches the nearest blocks
+    Documents are filed under their nearest pivot and a ring of distances around it; rings make blocks of some 4096 rows and more. Every query first searches the nearest blocks
     that hold ``k`` rows; the triangle inequality then rules out each block whose pivot and ring lie beyond the last neighbour
     found, and only the others are compared: few where vectors cluster, all where they are spread evenly in many dimensions. ``blocks`` counts the blocks a query met.
 
