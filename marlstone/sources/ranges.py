@@ -32,15 +32,16 @@ def split_files(spark: SparkSession, path: str, pattern: str = "*", size: int =
     """One row per byte range: (path, bytes of the file, part, offset, length); an empty file has none, as Spark
     does not list it.
 
-    Only names and lengths are listed. Ranges are dealt over tasks one by one, so a single large file is read by many.
+    Only names and lengths are listed. Ranges are dealt over tasks of about ``RANGE`` bytes, so a single large file is read by many.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path) \
         .select("path", F.col("length").alias("bytes")).filter("bytes > 0")
     last = (F.ceil(F.col("bytes") / size) - 1).cast("long")
     parts = files.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("offset", F.col("part") * size) \
         .withColumn("length", F.least(F.lit(size).cast("long"), F.col("bytes") - F.col("offset")))
-    n = files.agg(F.sum(last + 1)).first()[0] or 1
-    return parts.repartition(min(n, MAX_TASKS), "path", "part")
+    ranges, total = files.agg(F.sum(last + 1), F.sum("bytes")).first()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(total or 0) // RANGE))  # small ranges share a task
+    return parts.repartition(max(1, min(ranges or 1, tasks, MAX_TASKS)), "path", "part")
 
 
 def _open(path: str):
