@@ -104,7 +104,8 @@ def evaluate_access(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """Deny unless a rule allows: ``requests(request_id, user_id, groups, resource_id, action)``.
 
     ``rules(rule_id, principal, resource, is_prefix, action, effect)``: a principal is a user, a group or ``*``.
-    Each request names its principals and each resource its prefixes at ``/``, so both meet by equality.
+    Each request names its principals and each resource its prefixes at ``/``, so both meet by equality. The rules, a policy
+    table, go to every task: the requests, many rows each by then, must not, however small their files are.
     """
     parts = F.split("resource_id", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
@@ -113,7 +114,7 @@ def evaluate_access(requests: DataFrame, rules: DataFrame) -> DataFrame:
     who = F.array_union(F.array(F.col("user_id").cast("string"), F.lit("*")), F.coalesce("groups", F.array().cast("array<string>")))
     ask = requests.select("request_id", "action", F.explode(who).alias("principal"), scope.alias("scope")) \
         .select("request_id", "action", "principal", F.inline("scope"))
-    hits = ask.join(rules, ["principal", "resource", "is_prefix", "action"]).groupBy("request_id").agg(
+    hits = ask.join(F.broadcast(rules), ["principal", "resource", "is_prefix", "action"]).groupBy("request_id").agg(
         F.count_if(F.col("effect") == "allow").alias("_allow"), F.countDistinct("rule_id").alias("applicable_rules"))
     out = requests.join(hits, "request_id", "left")
     return out.withColumns({"decision": F.when(F.coalesce("_allow", F.lit(0)) > 0, "allow").otherwise("deny"),
