@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.columns import constant_map, ladder, micros
-from marlstone.operators.windows import range_frame, rows_frame
+from marlstone.functions.columns import constant_map, ladder, micros, null_safe_join
+from marlstone.operators.windows import numbered, range_frame, rows_frame, running
+from marlstone.session import written
 
 
 @dataclass(frozen=True)
@@ -130,32 +132,69 @@ def alerts(matches: DataFrame, pattern: Pattern, amount: str | None = None, new_
         "risk_score": F.round(F.least(F.lit(1.0), risk), 2), "actions": F.lit(",".join(pattern.actions))})
 
 
+#: Rows of one block of candidates, and how many times more blocks each round looks at.
+BLOCK, WIDEN = 32, 8
+
+
 def match_from_start(df: DataFrame, keys: list[str], ts: str, ident: str, start: str, steps: list[tuple],
                      within: float, columns: list[str]) -> DataFrame:
     """Matches whose later steps compare with the start row (worse than it, same side, other provider).
 
-    ``steps``: (condition of the columns of a row and of its start, times, consecutive). A step ends at its ``times``-th row after
-    the step before; ``consecutive`` asks that its rows follow each other without a gap. Start rows meet the rows of their
-    (key, time slice) in a join that emits those that satisfy the step only; the steps share one partitioning.
+    ``steps``: (condition of the columns of a row and of its start, times, consecutive), then, if there are any, the part of the
+    condition that needs no start row and the columns in which both are equal. A step ends at its ``times``-th row after the step
+    before; ``consecutive`` asks that its rows follow each other without a gap.
+    """
+    named = [f"_k{i}" for i in range(len(keys))]
+    d = df.select(*[F.col(k).alias(n) for k, n in zip(keys, named)], micros(ts).alias("_us"), F.col(ident).alias("_id"),
+                  F.coalesce(F.expr(start), F.lit(False)).alias("_start"), *columns).filter("_us is not null")
+    width = max(int(within * 1_000_000) // 8, 1_000_000)
+    rows = written(numbered(d, named, "_us", ["_id"], out="_rn", slice_by=F.floor(F.col("_us") / width)))
+    found = rows.filter("_start").select(*named, F.col("_rn").alias("_s_rn"), F.col("_rn").alias("_at"), F.struct("_us", "_id", *columns).alias("_s"))
+    for step in steps:
+        found = _next_of_start(rows, found, named, columns, int(within * 1_000_000), *step)
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, named)], F.col("_s._id").alias("start_id"), F.col("_s._us").alias("start_us"),
+                        F.col("_end._id").alias("end_id"), F.col("_end._us").alias("end_us"))
+
+
+def _next_of_start(rows: DataFrame, found: DataFrame, keys: list[str], columns: list[str], within: int, holds: Callable, times: int,
+                   consecutive: bool, alone: Callable | None = None, same: tuple[str, ...] = ()) -> DataFrame:
+    """One step: the first ``times`` rows after ``_at`` that fit the start row.
+
+    Rows that can satisfy the step stand in blocks of consecutive ones, per key and values of the ``same`` columns. A start row looks
+    at the block it lies in, then at the 8 after it, the 64 after those and so on, until it has its rows or the time is over: it
+    takes along the rows it found and no others, so nothing grows with the rows that lie within the time.
     """
-    part = ["_key", "_chunk"]
-    d = _sliced(df.withColumn("_start", F.coalesce(F.expr(start), F.lit(False))), ts, within) \
-        .select(F.struct(*keys).alias("_key"), "_chunk", "_home", "_us", F.col(ident).alias("_id"), "_start", *columns)
-    d = d.withColumn("_rn", F.row_number().over(Window.partitionBy(*part).orderBy("_us", "_id")))
-    kept = {f"_s_{c}": c for c in ["_us", "_id", *columns]}
-    found = d.filter("_start and _chunk = _home").select(*part, F.col("_rn").alias("_s_rn"), F.col("_rn").alias("_at"), *[F.col(c).alias(s) for s, c in kept.items()])
-    rows = d.select(*part, "_rn", "_us", "_id", *columns)
-    for holds, times, consecutive in steps:
-        ahead = (F.col("_rn") > F.col("_at")) & (F.col("_us") - F.col("_s__us") < int(within * 1_000_000))
-        hits = found.drop("_end_us", "_end_id").join(rows, part).filter(ahead & holds({c: F.col(c) for c in columns}, {c: F.col(f"_s_{c}") for c in columns}))
-        first = hits.withColumn("_k", F.row_number().over(Window.partitionBy(*part, "_s_rn").orderBy("_rn"))).filter(F.col("_k") <= times)
-        found = first.groupBy(*part, "_s_rn").agg(
-            F.max("_rn").alias("_at"), *[F.first(s).alias(s) for s in kept], F.max_by("_us", "_rn").alias("_end_us"), F.max_by("_id", "_rn").alias("_end_id"),
-            F.count(F.lit(1)).alias("_n"), F.min("_rn").alias("_from")).filter(F.col("_n") == times)
-        if consecutive:
-            found = found.filter(F.col("_at") - F.col("_from") == times - 1)
-        found = found.drop("_n", "_from")
-    return found.select("_key.*", F.col("_s__id").alias("start_id"), F.col("_s__us").alias("start_us"), F.col("_end_id").alias("end_id"), F.col("_end_us").alias("end_us"))
+    group = [*keys, *[f"_e{i}" for i in range(len(same))]]
+    able = rows.filter(alone({c: F.col(c) for c in columns})) if alone else rows
+    able = able.select(*keys, *[F.col(c).alias(f"_e{i}") for i, c in enumerate(same)], F.col("_rn").alias("_at"), F.struct("_rn", "_us", "_id", *columns).alias("_r"))
+    asked = found.select(*keys, *[F.col("_s")[c].alias(f"_e{i}") for i, c in enumerate(same)], "_at", "_s_rn", "_s")
+    both = able.unionByName(asked, allowMissingColumns=True).withColumn("_asks", F.col("_s_rn").isNotNull()).dropna(subset=group[len(keys):])
+    placed = written(running(both, group, "_at", ["_asks"], {"_n": ("sum", (~F.col("_asks")).cast("long"))}, slice_by=F.floor(F.col("_at") / 65_536)))
+    blocks = placed.filter("not _asks").groupBy(*group, F.floor((F.col("_n") - 1) / BLOCK).alias("_block")).agg(F.sort_array(F.collect_list("_r")).alias("_rows"))
+    row, hit = (placed.select(c).dtypes[0][1] for c in ("_r", F.struct("_r._rn", "_r._us", "_r._id").alias("_h")))
+    pending = placed.filter("_asks").select(*group, "_at", "_s_rn", "_s", F.floor(F.col("_n") / BLOCK).alias("_from"), F.array().cast(f"array<{hit}>").alias("_hits"))
+    done, span = [], 1
+    while True:
+        looked = null_safe_join(pending.withColumn("_block", F.explode(F.expr(f"sequence(_from, _from + {span - 1})"))), blocks, [*group, "_block"], "left")
+        fits = F.filter("_rows", lambda r: (r["_rn"] > F.col("_at")) & (r["_us"] - F.col("_s._us") < within)
+                        & holds({c: r[c] for c in columns}, {c: F.col("_s")[c] for c in columns}))
+        looked = looked.withColumns({
+            "_new": F.transform(F.slice(F.coalesce(fits, F.array().cast(f"array<{row}>")), 1, times), lambda r: F.struct(r["_rn"].alias("_rn"), r["_us"].alias("_us"), r["_id"].alias("_id"))),
+            "_seen": F.coalesce(F.size("_rows"), F.lit(0)), "_upto": F.element_at("_rows", -1)["_us"]}).drop("_rows", "_block")
+        if span > 1:
+            looked = looked.groupBy(*group, "_s_rn").agg(*[F.first(c).alias(c) for c in ("_at", "_s", "_from", "_hits")],
+                                                        F.sort_array(F.flatten(F.collect_list("_new"))).alias("_new"), F.sum("_seen").alias("_seen"), F.max("_upto").alias("_upto"))
+        looked = written(looked.withColumn("_hits", F.slice(F.concat("_hits", "_new"), 1, times)))
+        done.append(looked.filter(F.size("_hits") == times))
+        ahead = (F.size("_hits") < times) & (F.col("_seen") == span * BLOCK) & (F.col("_upto") - F.col("_s._us") < within)
+        pending = looked.filter(ahead).select(*group, "_at", "_s_rn", "_s", (F.col("_from") + span).alias("_from"), "_hits")
+        if pending.isEmpty():
+            break
+        span *= WIDEN
+    out = reduce(DataFrame.unionByName, done)
+    if consecutive:
+        out = out.filter(F.element_at("_hits", -1)["_rn"] - F.col("_hits")[0]["_rn"] == times - 1)
+    return out.select(*keys, "_s_rn", F.element_at("_hits", -1)["_rn"].alias("_at"), "_s", F.element_at("_hits", -1).alias("_end"))
 
 
 def _p(name, severity, minutes, *steps, absent=None, actions=("manual_review",)):
@@ -228,23 +267,23 @@ PATTERNS = {p.name: p for p in (
 
 def worsening(within: float = 1800.0):
     """Two later checks below 95 % of the first degraded one."""
-    return [(lambda r, s: (r["event_type"] == "PERFORMANCE_CHECK") & (r["amount"] < s["amount"] * 0.95), 2, False)], within
+    return [(lambda r, s: r["amount"] < s["amount"] * 0.95, 2, False, lambda r: r["event_type"] == "PERFORMANCE_CHECK")], within
 
 
 def recovering(within: float = 1200.0):
     """Three consecutive checks above 110 % of the first low one."""
-    return [(lambda r, s: (r["event_type"] == "PERFORMANCE_CHECK") & (r["amount"] > s["amount"] * 1.1), 3, True)], within
+    return [(lambda r, s: r["amount"] > s["amount"] * 1.1, 3, True, lambda r: r["event_type"] == "PERFORMANCE_CHECK")], within
 
 
 def correlated_failures(within: float = 900.0):
     """Two later outages of other providers in the region (the key)."""
-    return [(lambda r, s: (r["event_type"] == "PROVIDER_DOWN") & (r["provider"] != s["provider"]), 2, False)], within
+    return [(lambda r, s: r["provider"] != s["provider"], 2, False, lambda r: r["event_type"] == "PROVIDER_DOWN")], within
 
 
 def front_running(within: float = 30.0):
     """A large order of somebody else after a small one, then the first user on the opposite side."""
-    return [(lambda r, s: (r["event_type"] == "ORDER_PLACED") & (r["amount"] > r["average"] * 5) & (r["provider"] != s["provider"]), 1, False),
-            (lambda r, s: (r["event_type"] == "ORDER_PLACED") & (r["side"] != s["side"]) & (r["provider"] == s["provider"]), 1, False)], within
+    return [(lambda r, s: r["provider"] != s["provider"], 1, False, lambda r: (r["event_type"] == "ORDER_PLACED") & (r["amount"] > r["average"] * 5)),
+            (lambda r, s: r["side"] != s["side"], 1, False, lambda r: r["event_type"] == "ORDER_PLACED", ("provider",))], within
 
 
 def risk_indicators(event_type: Column, amount: Column, account_age_days: Column, rate_per_minute: Column) -> Column:

@@ -1,5 +1,11 @@
 """Steps whose cost must not outgrow their input, each with its rows checked against a small loop."""
 
+import random
+from datetime import datetime, timedelta
+
+import pytest
+
+from marlstone.operators import cep
 from marlstone.operators import operations as op
 
 
@@ -12,3 +18,39 @@ def test_access_rules_travel_and_requests_stay(spark, tmp_path):
     assert {(r["request_id"], r["decision"], r["applicable_rules"]) for r in out.collect()} == {(1, "allow", 2), (2, "deny", 0), (3, "allow", 1), (4, "allow", 1)}
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
+
+
+def start_loop(rows, start, steps, within):
+    """Brute force over (id, key, second, amount, user), nulls never satisfying a condition."""
+    out = set()
+    for a in [r for r in rows if start(r)]:
+        later = sorted((r for r in rows if r[1] == a[1] and (r[2], r[0]) > (a[2], a[0]) and r[2] - a[2] < within), key=lambda r: (r[2], r[0]))
+        at, last = -1, None
+        for holds, times, consecutive in steps:
+            hits = [i for i, r in enumerate(later) if i > at and None not in (r[3], a[3]) and holds(r, a)][:times]
+            if len(hits) < times or (consecutive and hits[-1] - hits[0] != times - 1):
+                break
+            at, last = hits[-1], later[hits[-1]]
+        else:
+            out.add((a[1], a[0], last[0]))
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 32])
+def test_start_patterns_keep_only_the_rows_they_need(spark, monkeypatch, block):
+    rng = random.Random(block)
+    rows = [(i, rng.choice(["a", "a", None]), rng.randrange(300), rng.choice([None, *range(1, 12)]), rng.choice(["u", "v", "w", None])) for i in range(500)]
+    sizes, keep = [], cep.written
+    monkeypatch.setattr(cep, "BLOCK", block)
+    monkeypatch.setattr(cep, "WIDEN", 2)
+    monkeypatch.setattr(cep, "written", lambda df: sizes.append((x := keep(df)).count()) or x)
+    t0 = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, k, t0 + timedelta(seconds=t), None if x is None else float(x), u) for i, k, t, x, u in rows], "id long, k string, ts timestamp, amount double, u string")
+    run = lambda start, steps: {(r["k"], r["start_id"], r["end_id"]) for r in cep.match_from_start(df, ["k"], "ts", "id", start, steps, 100.0, ["amount", "u"]).collect()}
+    high = lambda r: r[3] is not None and r[3] >= 4
+    less, more = lambda r, s: r["amount"] < s["amount"] * 0.5, lambda r, s: r["amount"] > s["amount"]
+    assert run("amount >= 4", [(less, 3, False)]) == start_loop(rows, high, [(lambda r, a: r[3] < a[3] * 0.5, 3, False)], 100)
+    assert run("amount >= 4", [(more, 2, True)]) == start_loop(rows, high, [(lambda r, a: r[3] > a[3], 2, True)], 100)
+    two = run("amount >= 4", [(less, 1, False, lambda r: r["u"] == "v"), (more, 1, False, None, ("u",))])
+    assert two == start_loop(rows, high, [(lambda r, a: r[3] < a[3] * 0.5 and r[4] == "v", 1, False), (lambda r, a: r[3] > a[3] and r[4] == a[4] is not None, 1, False)], 100)
+    assert max(sizes) <= 2 * len(rows)
