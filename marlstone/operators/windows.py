@@ -78,14 +78,8 @@ def _with_layers(df: DataFrame, make, w) -> DataFrame:
     return df
 
 
-def range_frame(df: DataFrame, keys: list[str], ts: str,
-                make: Callable[[Window], dict[str, Column]], before: float = 0, after: float = 0,
-                ties: list[str] | None = None, slice_seconds: float | None = None) -> DataFrame:
-    """Window columns whose frames reach at most ``before`` / ``after`` seconds from the row's time.
-
-    The window handed to ``make`` is ordered by epoch microseconds (``rangeBetween`` counts in them),
-    or by (microseconds, ties) when ``ties`` is given, for ROWS frames bounded in time.
-    """
+def _with_halo(df: DataFrame, ts: str, before: float, after: float, slice_seconds: float | None = None) -> DataFrame:
+    """Rows in their time slice (``_chunk`` = ``_home``) and, near a border, in the neighbouring one as well; null times share a slice."""
     width = max(slice_seconds or 0, 4 * max(before, after), 60)
     us = int(width * 1_000_000)
     base = df.withColumn("_us", micros(ts)).withColumn("_home", F.floor(F.col("_us") / us))
@@ -97,12 +91,74 @@ def range_frame(df: DataFrame, keys: list[str], ts: str,
         copies.append(F.when(offset <= int(after * 1_000_000), F.col("_home") - 1))
     targets = F.coalesce(F.nullif(F.array_compact(F.array(*copies)), F.array().cast("array<bigint>")),
                          F.array(F.lit(None).cast("bigint")))
-    spread = base.withColumn("_chunk", F.explode(targets))
+    return base.withColumn("_chunk", F.explode(targets))
+
+
+def range_frame(df: DataFrame, keys: list[str], ts: str,
+                make: Callable[[Window], dict[str, Column]], before: float = 0, after: float = 0,
+                ties: list[str] | None = None, slice_seconds: float | None = None) -> DataFrame:
+    """Window columns whose frames reach at most ``before`` / ``after`` seconds from the row's time.
+
+    The window handed to ``make`` is ordered by epoch microseconds (``rangeBetween`` counts in them),
+    or by (microseconds, ties) when ``ties`` is given, for ROWS frames bounded in time.
+    """
+    spread = _with_halo(df, ts, before, after, slice_seconds)
     w = Window.partitionBy(*keys, "_chunk").orderBy("_us", *(ties or []))
     return (_with_layers(spread, make, w)
             .filter(F.col("_chunk").eqNullSafe(F.col("_home"))).drop("_chunk", "_home", "_us"))
 
 
+def sliding_summaries(df: DataFrame, keys: list[str], ts: str, value: str, measures: dict[str, tuple[str, float]], keep: list[str]) -> DataFrame:
+    """``keep`` and per measure ``{out: (mean | min | max | median, seconds)}`` of the known values up to and with the row's time.
+
+    Spark computes such a frame anew at every row. Here the frame of a (key, time slice) slides: values enter and leave running
+    sums, queues and an ordered list, so a row costs the logarithm of its frame at most. Rows of one time share their frame.
+    """
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    from pandas.api.indexers import BaseIndexer
+
+    class Frame(BaseIndexer):
+        def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+            return self.start, self.end
+
+    def plain(kind, v):
+        """One frame with infinite or NaN values, NaN above all others."""
+        if not len(v):
+            return 0.0
+        v = np.sort(v)
+        a, b = v[(len(v) - 1) // 2], v[len(v) // 2]
+        return {"mean": v.mean(), "min": v[0], "max": v[-1], "median": a if a == b else 0.5 * a + 0.5 * b}[kind]
+
+    def slide(table):
+        table = table.sort_by("_us")
+        us = table["_us"].fill_null(0).to_numpy()
+        known = table["_x"].is_valid().to_numpy()
+        x = table["_x"].fill_null(0.0).to_numpy()
+        here = table["_here"].to_numpy()
+        end, seen = np.searchsorted(us, us, "right"), np.concatenate([[0], np.cumsum(known)])
+        finite = np.isfinite(x).all()
+        series = pd.Series(np.where(known, x, np.nan))
+        out = table.select(keep).filter(pa.array(here))
+        for name, (kind, seconds) in measures.items():
+            start = np.searchsorted(us, us - int(seconds * 1_000_000), "left")
+            if finite:
+                got = getattr(series.rolling(Frame(start=start, end=end), min_periods=1), kind)().to_numpy()
+            else:
+                with np.errstate(invalid="ignore"):
+                    got = np.array([plain(kind, x[a:b][known[a:b]]) for a, b in zip(start, end)], dtype=float)
+            out = out.append_column(name, pa.array(got[here], mask=(seen[end] == seen[start])[here]))
+        return out
+
+    spread = _with_halo(df, ts, max(s for _, s in measures.values()), 0)
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} double" for n in measures])
+    # keys under names of their own, as they may be kept too
+    groups = [F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]
+    rows = spread.select(*groups, "_chunk", *keep, "_us", F.col(value).cast("double").alias("_x"), F.col("_chunk").eqNullSafe(F.col("_home")).alias("_here"))
+    return rows.groupBy(*[f"_g{i}" for i in range(len(keys))], "_chunk").applyInArrow(slide, schema)
+
+
 _MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 _FIRST = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.columns import micros
 from marlstone.functions.quantiles import exact_quantiles
 from marlstone.operators import market
-from marlstone.operators.windows import fill_series, range_frame, rows_frame
+from marlstone.operators.windows import fill_series, range_frame, rows_frame, sliding_summaries
 from marlstone.plans.derived import HOURLY_SQL, SQL_K, TRADES_SQL, hourly, k_of, trades
 from marlstone.plans.registry import query
 
@@ -95,11 +95,9 @@ select event_id, round(avg(value) over h1, 6) mean_1h, round(avg(value) over h6,
 from events window h1 as (partition by event_type order by ts range between interval 1 hour preceding and current row),
  h6 as (partition by event_type order by ts range between interval 6 hour preceding and current row)""")
 def _(t):
-    def make(w):
-        h1, h6 = w.rangeBetween(-3_600_000_000, 0), w.rangeBetween(-6 * 3_600_000_000, 0)
-        return {"mean_1h": F.avg("value").over(h1), "mean_6h": F.avg("value").over(h6), "low_6h": F.min("value").over(h6),
-                "high_6h": F.max("value").over(h6), "median_6h": F.percentile("value", 0.5).over(h6)}
-    df = range_frame(t.events, ["event_type"], "ts", make, before=6 * 3600)
+    h1, h6 = 3600, 6 * 3600
+    df = sliding_summaries(t.events, ["event_type"], "ts", "value", {"mean_1h": ("mean", h1), "mean_6h": ("mean", h6), "low_6h": ("min", h6), "high_6h": ("max", h6),
+                                                                   "median_6h": ("median", h6)}, ["event_id"])
     return rounded(df.select("event_id", "mean_1h", "mean_6h", "low_6h", "high_6h", "median_6h"), ["mean_1h", "mean_6h"])
 
 

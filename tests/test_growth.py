@@ -4,8 +4,10 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from marlstone.operators import cep
+from marlstone.operators import cep, windows
 from marlstone.operators import operations as op
 
 
@@ -54,3 +56,19 @@ def test_start_patterns_keep_only_the_rows_they_need(spark, monkeypatch, block):
     two = run("amount >= 4", [(less, 1, False, lambda r: r["u"] == "v"), (more, 1, False, None, ("u",))])
     assert two == start_loop(rows, high, [(lambda r, a: r[3] < a[3] * 0.5 and r[4] == "v", 1, False), (lambda r, a: r[3] > a[3] and r[4] == a[4] is not None, 1, False)], 100)
     assert max(sizes) <= 2 * len(rows)
+
+
+def test_sliding_summaries_equal_the_plain_frame(spark):
+    rng = random.Random(5)
+    t0 = datetime(2024, 1, 1)
+    odd = {"b": [float("nan"), float("inf"), -1.0, 2.0, None]}
+    rows = [(i, k, None if i % 50 == 0 else t0 + timedelta(seconds=rng.randrange(200)), rng.choice(odd.get(k, [None, *range(9)]))) for i in range(400) for k in [rng.choice(["a", "b", None])]]
+    df = spark.createDataFrame([(i, k, t, None if x is None else float(x)) for i, k, t, x in rows], "id long, k string, ts timestamp, x double")
+    measures = {"m": ("mean", 20), "lo": ("min", 30), "hi": ("max", 10), "mid": ("median", 30)}
+    plain = {"mean": F.avg, "min": F.min, "max": F.max, "median": lambda c: F.percentile(c, 0.5)}
+    w = Window.partitionBy("k").orderBy("us")
+    want = df.withColumn("us", F.unix_micros("ts")).select("id", *[plain[k]("x").over(w.rangeBetween(-s * 1_000_000, 0)).alias(n) for n, (k, s) in measures.items()])
+    new = windows.sliding_summaries(df, ["k"], "ts", "x", measures, ["id"])
+    assert " Window" not in new._jdf.queryExecution().toString()  # no frame computed anew at every row
+    shown = lambda d: {r["id"]: tuple(None if v is None else format(round(v, 9), "g") for v in r[1:]) for r in d.collect()}
+    assert shown(new) == shown(want)
