@@ -98,7 +98,8 @@ def match_names(names: DataFrame, ident: str, name: str, watch: DataFrame, watch
     """Names similar to a watch-list entry: 1 - edits / longer length >= threshold.
 
     With at most ``d`` edits, one of ``d + 1`` equal pieces of the listed name must occur unchanged near its
-    place, so candidates meet on (length, piece number, piece text): exact, and no pair without a shared piece.
+    place, so candidates meet on (length, piece number, piece text): exact, and no pair without a shared piece. Where one edit is
+    allowed, half a name is a piece, and all names may begin alike: there they meet on what is left without one letter.
     """
     clean = lambda c: F.trim(F.regexp_replace(F.lower(F.col(c)), r"\s+", " "))
     w = watch.select(F.col(watch_id).alias("watch_id"), clean(watch_name).alias("w")).filter(F.length("w") > 0) \
@@ -106,22 +107,25 @@ def match_names(names: DataFrame, ident: str, name: str, watch: DataFrame, watch
     a = names.select(F.col(ident).alias("id"), clean(name).alias("n")).filter(F.length("n") > 0)
     distinct = a.select("n").distinct()
     edits = lambda lw: F.floor((1 - threshold) / threshold * lw + F.lit(1e-9)).cast("int")  # the longer name has at most lw / threshold letters
-    pieces = w.withColumns({"lw": F.length("w")}).withColumn("d", edits(F.col("lw"))) \
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    listed = w.withColumn("lw", F.length("w")).withColumn("d", edits(F.col("lw")))
+    pieces = listed.filter("d <> 1").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("d"))))
     bounds = lambda k: F.floor(F.col("lw") * k / (F.col("d") + 1)).cast("int")
     pieces = pieces.withColumns({"at": bounds(F.col("k")), "to": bounds(F.col("k") + 1)}) \
         .select("w", "watch_ids", "lw", "d", "k", "at", F.expr("substring(w, at + 1, to - at)").alias("piece"))
     lengths = w.agg(F.collect_set(F.length("w")).alias("s")).scalar()  # as many as there are lengths of names
     near = distinct.withColumn("ln", F.length("n")).select("n", "ln", F.explode(lengths).alias("lw")) \
         .withColumn("d", edits(F.col("lw"))).filter(F.abs(F.col("ln") - F.col("lw")) <= F.col("d"))
-    probe = near.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumns({"at": bounds(F.col("k")), "to": bounds(F.col("k") + 1)}) \
+    probe = near.filter("d <> 1").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumns({"at": bounds(F.col("k")), "to": bounds(F.col("k") + 1)}) \
         .withColumn("shift", F.explode(F.expr("sequence(greatest(-at, -d), least(d, ln - to))"))) \
         .filter((F.col("at") + F.col("shift") >= 0) & (F.col("to") + F.col("shift") <= F.col("ln"))) \
         .select("n", "lw", "k", F.expr("substring(n, at + shift + 1, to - at)").alias("piece")).distinct()
-    pairs = probe.join(pieces, ["lw", "k", "piece"]).select("n", "w", "watch_ids").dropDuplicates(["n", "w"])
+    shorter = lambda c: F.explode(F.expr(f"array_distinct(concat(array({c}), transform(sequence(1, length({c})), i -> concat(substring({c}, 1, i - 1), substring({c}, i + 1)))))"))
+    one_edit = near.filter("d = 1").select("n").distinct().select("n", shorter("n").alias("rest")) \
+        .join(listed.filter("d = 1").select("w", "watch_ids", shorter("w").alias("rest")).hint("merge"), "rest")  # small files of many keys must not be broadcast
+    pairs = probe.join(pieces.hint("merge"), ["lw", "k", "piece"]).select("n", "w", "watch_ids").unionByName(one_edit.select("n", "w", "watch_ids")).dropDuplicates(["n", "w"])
     similarity = 1 - F.levenshtein("n", "w") / F.greatest(F.length("n"), F.length("w"))
     scored = pairs.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold)
-    return a.join(scored, "n").select("id", F.explode("watch_ids").alias("watch_id"), "similarity")
+    return a.join(scored.hint("merge"), "n").select("id", F.explode("watch_ids").alias("watch_id"), "similarity")
 
 
 # -- marketplace fraud --------------------------------------------------------------------------------------
