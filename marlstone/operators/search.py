@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.columns import flagged, ladder
 from marlstone.functions.vectors import cosine
 from marlstone.operators.windows import ranked_top
-from marlstone.session import cut_lineage
+from marlstone.session import cut_lineage, ship_package
 
-#: Vectors per block; a query block of 64 doubles each is 2 MB.
-BLOCK = 4096
+#: Vectors per block; a block of 64 doubles each is 2 MB. Queries compared in one product.
+BLOCK, SLICE = 4096, 64
+#: Slack of matrix products for rounding.
+SLACK = 1e-9
 
 
 def tokens(text: str | Column) -> Column:
@@ -22,62 +25,109 @@ def tokens(text: str | Column) -> Column:
 
 # -- vectors ------------------------------------------------------------------------------------------------
 
+def _vectors(table: pa.Table, name: str) -> np.ndarray:
+    rows = table[name].combine_chunks()
+    return rows.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(rows), -1)
+
+
+def _block_search(d: DataFrame, q: DataFrame, k: int, rough, exact, exclude_self: bool) -> DataFrame:
+    """The best ``k`` documents of every query in every pair of a block of ``d(id, vec, ...)`` and one of ``q(query, vec, ...)``.
+
+    A pair of blocks is one group, so a task holds two blocks, whatever the tables; a shuffle carries a row once per block of
+    the other side, and ``k`` rows per query and pair. ``rough(queries, documents, slice)`` gives the similarities of a slice of queries as a matrix,
+    not finite where a pair does not count; ``exact(queries, documents, r, c)`` those of single pairs, the same in every block.
+    """
+    ship_package(d.sparkSession)
+    n_docs, n_queries = (max(1, -(-x.count() // BLOCK)) for x in (d, q))
+    id_type, q_type = d.schema["id"].dataType.simpleString(), q.schema["query"].dataType.simpleString()
+    dealt = lambda key, n: F.pmod(F.xxhash64(key, "vec"), F.lit(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = d.withColumn("part", dealt("id", n_docs)).withColumn("block", others(n_queries))
+    # other names on the right: a cogroup of a frame with itself loses the columns that both sides share
+    right = q.withColumn("block", dealt("query", n_queries)).withColumn("part", others(n_docs)).withColumnsRenamed({"vec": "qvec", "h": "qh"})
+
+    def search(docs, queries):
+        found = []
+        if docs.num_rows and queries.num_rows:
+            docs = docs.take(pc.sort_indices(docs["id"].combine_chunks(), null_placement="at_start"))  # ties by id
+            x, y = prepared(docs, "vec", "h"), prepared(queries, "qvec", "qh")
+            ids, names = named(docs["id"]), named(queries["query"])
+            keep = min(k, docs.num_rows)
+            for start in range(0, queries.num_rows, SLICE):
+                part = slice(start, start + SLICE)
+                s = rough(y, x, part)
+                s[~np.isfinite(s)] = -np.inf
+                if exclude_self:
+                    s[names[part][:, None] == ids[None, :]] = -np.inf
+                least = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
+                r, c = np.nonzero((s >= least[:, None] - SLACK) & np.isfinite(s))
+                sims = np.concatenate([exact(y, x, start + r[i:i + BLOCK], c[i:i + BLOCK]) for i in range(0, len(r), BLOCK)] or [np.zeros(0)])
+                order = np.lexsort((c, -sims, r))
+                r, c, sims = r[order], c[order], sims[order]
+                top = (np.arange(len(r)) - np.searchsorted(r, r) < keep) & np.isfinite(sims)
+                found.append((start + r[top], c[top], sims[top]))
+        r, c, sims = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, dtype=int),) * 2 + (np.zeros(0),)
+        return pa.table({"query": queries["query"].take(pa.array(r)), "id": docs["id"].take(pa.array(c)), "similarity": sims})
+
+    def named(keys):
+        return np.array(keys.to_pylist(), dtype=object) if keys.null_count else keys.to_numpy()
+
+    def prepared(table, vec, hashes):
+        v = _vectors(table, vec)
+        return v, np.linalg.norm(v, axis=1), _vectors(table, hashes) if hashes in table.column_names else None
+
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(search, f"query {q_type}, id {id_type}, similarity double")
+    return ranked_top(found, ["query"], [F.col("similarity").desc(), F.col("id")], k)
+
+
 def knn(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "id", doc_vec: str = "vec", query_id: str = "id",
         query_vec: str = "vec", where: Column | None = None, exclude_self: bool = False) -> DataFrame:
     """Exact nearest neighbours by cosine for a batch of queries: (query, id, similarity, rank).
 
-    Queries are packed into blocks of 4096. Every Arrow batch of documents is compared with each block as one
-    matrix product and keeps ``k`` rows per query, so a shuffle carries ``k`` rows per query and batch.
+    Blocks of 4096 documents and queries meet in pairs and keep ``k`` rows per query.
     """
     d = docs.filter(where) if where is not None else docs
-    d = d.select(F.col(doc_id).alias("id"), F.col(doc_vec).cast("array<double>").alias("vec"))
-    q = queries.select(F.col(query_id).alias("query"), F.col(query_vec).cast("array<double>").alias("qvec")).filter(F.col("qvec").isNotNull())
-    n_blocks = max(1, -(-q.count() // BLOCK))
-    packed = q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(n_blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("query", "qvec")).alias("qs"))
-    n_docs = max(1, -(-d.count() // BLOCK))
-    doc_blocks = d.filter(F.col("vec").isNotNull()).groupBy(F.pmod(F.xxhash64("id"), F.lit(n_docs)).alias("doc_block")) \
-        .agg(F.collect_list(F.struct("id", "vec")).alias("ds")) \
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = doc_blocks.join(packed, "block").select("ds", "qs")
-    id_type, q_type = d.schema["id"].dataType.simpleString(), q.schema["query"].dataType.simpleString()
+    vec = lambda c: F.col(c).cast("array<double>")
+    d = d.select(F.col(doc_id).alias("id"), vec(doc_vec).alias("vec")).filter(F.col("vec").isNotNull())
+    q = queries.select(F.col(query_id).alias("query"), vec(query_vec).alias("vec")).filter(F.col("vec").isNotNull())
 
-    def unit(rows, name):
-        m = np.array([np.asarray(r[name], dtype=float) for r in rows])
-        return m, np.linalg.norm(m, axis=1)
-
-    def search(batches):
-        for pdf in batches:
-            for ds, qs in zip(pdf["ds"], pdf["qs"]):
-                x, nx = unit(ds, "vec")
-                y, ny = unit(qs, "qvec")
-                ids, names = np.array([r["id"] for r in ds]), np.array([r["query"] for r in qs])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = (y @ x.T) / np.outer(ny, nx)
-                s = np.where(np.isfinite(s), s, -np.inf)
-                if exclude_self:
-                    s[names[:, None] == ids[None, :]] = -np.inf
-                keep = min(k, s.shape[1])
-                # all rows tied with the k-th best stay in, so that the tie rule is applied to whole data
-                floor = -np.sort(-s, axis=1)[:, keep - 1]
-                r, c = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
-                yield pd.DataFrame({"query": names[r], "id": ids[c], "similarity": s[r, c]})
-
-    found = pairs.mapInPandas(search, f"query {q_type}, id {id_type}, similarity double")
-    return ranked_top(found, ["query"], [F.col("similarity").desc(), F.col("id")], k)
+    def rough(y, x, part):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (y[0][part] @ x[0].T) / np.outer(y[1][part], x[1])
+
+    exact = lambda y, x, r, c: (y[0][r] * x[0][c]).sum(axis=1) / (y[1][r] * x[1][c])
+    return _block_search(d, q, k, rough, exact, exclude_self)
 
 
 def approximate_knn(docs: DataFrame, queries: DataFrame, k: int, doc_id: str, vec: str, bucket: float = 0.4, tables: int = 12, reach: float = 1.3,
                     seed: int = 42) -> DataFrame:
-    """Random-projection hashing of unit vectors; candidates share a bucket, ranked by true distance."""
+    """Random-projection hashing of unit vectors; candidates share a bucket, ranked by true distance.
+
+    Where vectors are spread evenly nearly all pairs share a bucket, so buckets are compared inside pairs of blocks and no row is
+    made per candidate.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
     unit = Normalizer(inputCol="raw", outputCol="unit")
-    prep = lambda d, name: unit.transform(d.select(F.col(doc_id).alias(name), array_to_vector(F.col(vec).cast("array<double>")).alias("raw"))).select(name, "unit")
+    prep = lambda d, name: unit.transform(d.filter(F.col(vec).isNotNull()).select(F.col(doc_id).alias(name), array_to_vector(F.col(vec).cast("array<double>")).alias("raw"))).select(name, "unit")
     a, b = prep(docs, "id"), prep(queries, "query")
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(a)
-    j = model.approxSimilarityJoin(a, b, reach, "distance")
-    d = j.select(F.col("datasetB.query").alias("query"), F.col("datasetA.id").alias("id"), (1 - F.col("distance") * F.col("distance") / 2).alias("similarity"))
-    return ranked_top(d.filter("query <> id"), ["query"], [F.col("similarity").desc(), F.col("id")], k)
+    hashes = F.array(*[vector_to_array(F.col("h")[i])[0] for i in range(tables)])
+    hashed = lambda d, name: model.transform(d.filter(F.col(name).isNotNull())).select(name, vector_to_array("unit").alias("vec"), hashes.alias("h")).distinct()
+
+    def rough(y, x, part):
+        s = 1 - (np.square(y[1][part])[:, None] + np.square(x[1]) - 2 * y[0][part] @ x[0].T) / 2
+        met = np.zeros(s.shape, dtype=bool)
+        for t in range(tables):
+            met |= y[2][part, t][:, None] == x[2][:, t]
+        s[~met] = -np.inf
+        return s
+
+    def exact(y, x, r, c):
+        distance = np.sqrt(np.square(y[0][r] - x[0][c]).sum(axis=1))
+        return np.where(distance < reach, 1 - distance * distance / 2, -np.inf)
+
+    return _block_search(hashed(a, "id"), hashed(b, "query"), k, rough, exact, True)
 
 
 # -- text ---------------------------------------------------------------------------------------------------

@@ -3,11 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marlstone.operators import cep, windows
+from marlstone.operators import cep, search, windows
 from marlstone.operators import operations as op
 from marlstone.operators.compliance import match_names
 
@@ -93,3 +94,44 @@ def test_names_that_begin_alike_do_not_all_meet(spark):
     want = {(i, j) for i, n in enumerate(names) if n for j, w in enumerate(listed) if 1 - edits(n.lower(), w.lower()) / max(len(n), len(w)) >= 0.93}
     assert {(r["id"], r["watch_id"]) for r in out.collect()} == want and len(want) > 80
     assert "rest" in out._jdf.queryExecution().analyzed().toString()  # candidates of one edit meet without one letter, not on the common half
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_vector_blocks_meet_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(90, 6)))] + [(90, [1.0] * 6), (91, [1.0] * 6), (92, None), (93, [0.0] * 6)]
+    d = spark.createDataFrame(rows, "id long, vec array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows[:92]}
+    asked = d.filter("id % 3 = 0")
+    ranked = lambda df: {(r["query"], r["id"], r["rank"]): pytest.approx(r["similarity"]) for r in df.collect()}
+    want = {}
+    for q in range(0, 92, 3):
+        best = sorted((-round(float((unit[q] * u).sum()), 12), i) for i, u in unit.items() if i != q)[:4]
+        want |= {(q, i, rank): -s for rank, (s, i) in enumerate(best, 1)}
+    exact = search.knn(d, asked, 4, exclude_self=True)
+    assert ranked(exact) == want and "collect_list" not in plan_of(exact)
+    # one bucket holds all vectors, so the search is exact; no row is made per candidate
+    hashed = search.approximate_knn(d.filter("id < 92"), asked.filter("id < 92"), 4, "id", "vec", bucket=100.0, reach=2.1)
+    assert ranked(hashed) == want and "Join" not in plan_of(hashed)
+    assert search.approximate_knn(d, asked.filter("id > 91"), 4, "id", "vec", reach=0.5).count() == 0
+
+
+def test_approximate_neighbours_share_a_bucket(spark):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v / np.linalg.norm(v)]) for i, v in enumerate(rng.normal(size=(80, 5)))]
+    d = spark.createDataFrame(rows, "id long, vec array<double>")
+    v = d.select("id", array_to_vector("vec").alias("unit"))
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="h", bucketLength=0.3, numHashTables=2, seed=42).fit(v)
+    h = {r["id"]: (r["a"], r["b"]) for r in model.transform(v).select("id", vector_to_array(F.col("h")[0])[0].alias("a"), vector_to_array(F.col("h")[1])[0].alias("b")).collect()}
+    want = set()
+    for q, x in rows:
+        near = sorted((float(np.linalg.norm(np.subtract(x, y))), i) for i, y in rows if i != q and any(s == t for s, t in zip(h[q], h[i])))
+        want |= {(q, i) for dist, i in near[:3] if dist < 0.6}
+    got = search.approximate_knn(d, d, 3, "id", "vec", bucket=0.3, tables=2, reach=0.6)
+    assert {(r["query"], r["id"]) for r in got.collect()} == want and len(want) > 80
