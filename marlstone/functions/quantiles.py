@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.columns import null_safe_join
+from marlstone.session import written
 
 ACCURACY = 10_000
 
@@ -33,7 +34,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[s
         high = F.when(few | F.lit(cuts[2 * i + 1] >= 1), F.col("_max")).otherwise(F.col("_cuts")[2 * i + 1])
         brackets.append(F.struct(F.lit(n).alias("name"), low.alias("low"), high.alias("high"),
                                  (F.lit(float(probs[n])) * (F.col("_n") - 1)).alias("pos")))
-    plan = sketch.select(*ks, F.array(*brackets).alias("_b"))
+    # written, so that the join knows its size: a join by few keys would sort all rows in as many tasks
+    plan = written(sketch.select(*ks, F.array(*brackets).alias("_b")))
     rows = (null_safe_join(keyed, plan, ks)
             .select(*ks, "_v", F.explode("_b").alias("_b"))
             .filter(F.col("_v") <= F.col("_b.high")))

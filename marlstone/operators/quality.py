@@ -72,7 +72,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     bounds = stats.join(q, "column_name")
     iqr = F.col("q3") - F.col("q1")
     out = (F.col("value") < F.col("q1") - 1.5 * iqr) | (F.col("value") > F.col("q3") + 1.5 * iqr)
-    beyond = long.join(q, "column_name").groupBy("column_name").agg(F.count_if(out).alias("outlier_count"))
+    beyond = long.join(F.broadcast(q), "column_name").groupBy("column_name").agg(F.count_if(out).alias("outlier_count"))
     return bounds.join(beyond, "column_name")
 
 

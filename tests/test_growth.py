@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marlstone.operators import cep, search, windows
+from marlstone.functions.quantiles import exact_quantiles
+from marlstone.operators import cep, quality, search, windows
 from marlstone.operators import operations as op
 from marlstone.operators.compliance import match_names
 
@@ -135,3 +136,18 @@ def test_approximate_neighbours_share_a_bucket(spark):
         want |= {(q, i) for dist, i in near[:3] if dist < 0.6}
     got = search.approximate_knn(d, d, 3, "id", "vec", bucket=0.3, tables=2, reach=0.6)
     assert {(r["query"], r["id"]) for r in got.collect()} == want and len(want) > 80
+
+
+def test_few_keys_do_not_gather_the_rows(spark, tmp_path):
+    spark.range(60_000).select("id", (F.col("id") % 3).alias("k"), F.rand(1).alias("x"), F.rand(2).alias("y")).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        keyed, profile = exact_quantiles(t, ["k"], F.col("x"), {"m": 0.5}), quality.numeric_profile(t, ["x", "y"])
+        assert "SortMergeJoin" not in plan_of(keyed)
+        assert plan_of(profile).count("SortMergeJoin") <= 2  # of one row per column each
+        rows = {r["column_name"]: r for r in profile.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    x = np.array([r[0] for r in t.select("x").collect()])
+    assert rows["x"]["median"] == pytest.approx(np.median(x)) and rows["x"]["q1"] == pytest.approx(np.percentile(x, 25)) and rows["x"]["outlier_count"] == 0
