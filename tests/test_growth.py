@@ -1,5 +1,6 @@
 """Steps whose cost must not outgrow their input, each with its rows checked against a small loop."""
 
+import itertools
 import random
 from datetime import datetime, timedelta
 
@@ -9,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.quantiles import exact_quantiles
-from marlstone.operators import cep, quality, search, windows
+from marlstone.operators import cep, graph, quality, search, windows
 from marlstone.operators import operations as op
 from marlstone.operators.compliance import match_names
 
@@ -151,3 +152,16 @@ def test_few_keys_do_not_gather_the_rows(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     x = np.array([r[0] for r in t.select("x").collect()])
     assert rows["x"]["median"] == pytest.approx(np.median(x)) and rows["x"]["q1"] == pytest.approx(np.percentile(x, 25)) and rows["x"]["outlier_count"] == 0
+
+
+def test_triangles_make_no_row_per_path(spark):
+    pairs = [*itertools.combinations(range(12), 2), *((0, i) for i in range(20, 60)), *((i, i + 1) for i in range(20, 59)), (5, 5), (1, 0), (None, 3)]
+    out = graph.triangles(spark.createDataFrame(pairs, "src long, dst long"))
+    assert "LeftSemi" not in plan_of(out)
+    links = {frozenset(p) for p in pairs if None not in p and p[0] != p[1]}
+    ids = sorted(set().union(*links))
+    want = {}
+    for t in itertools.combinations(ids, 3):
+        if all(frozenset(p) in links for p in itertools.combinations(t, 2)):
+            want |= {i: want.get(i, 0) + 1 for i in t}
+    assert {r["id"]: r["triangles"] for r in out.collect()} == want
