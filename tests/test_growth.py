@@ -102,6 +102,29 @@ def plan_of(df):
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
+@pytest.mark.parametrize("runs, piece", [(3, 5), (2048, 1 << 20)])
+def test_runs_meet_in_blocks(spark, monkeypatch, runs, piece):
+    monkeypatch.setattr(graph, "RUNS", runs)
+    monkeypatch.setattr(graph, "PIECE", piece)
+    rng = random.Random(7)
+    params = [(r, rng.choice([None, *"abcdefgh"])) for r in [None, *range(14)] for _ in range(4)]
+    series = [(r, i, 2.0 if r in (3, 4) else rng.choice([None, *map(float, range(9))])) for r in range(13) for i in [None, *range(6)] if r == 5 or rng.random() < 0.8] + [(6, 1, 4.0), (6, 1, 8.5), (7, 1, 3.0)]
+    items = {r: {x for q, x in params if q == r} for r in range(14)}
+    want = {}
+    for a, b in itertools.combinations(range(14), 2):
+        both = items[a] & items[b] - {None}
+        if both:
+            met = [(x, y) for q, i, x in series for p, j, y in series if (q, p) == (a, b) and i == j is not None and None not in (x, y)]
+            x, y = np.array(met).T if met else ([], [])
+            r = None if len(met) < 2 or min(np.ptp(x), np.ptp(y)) == 0 else np.corrcoef(x, y)[0, 1]
+            j = len(both) / (len(items[a]) + len(items[b]) - len(both))
+            want[a, b] = (pytest.approx(j), None if r is None else pytest.approx(r, abs=1e-9), pytest.approx(0.6 * j + 0.2 * ((r or 0) + 1)))
+    out = graph.run_similarity(spark.createDataFrame(params, "run long, item string"), spark.createDataFrame(series, "run long, i int, x double"))
+    assert "Join" not in plan_of(out)
+    got = {(r["a"], r["b"]): (r["jaccard"], r["correlation"], r["similarity"]) for r in out.collect()}
+    assert got == want and any(w[1] is None for w in want.values())
+
+
 def test_vector_blocks_meet_in_groups(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 16)
     rng = np.random.default_rng(2)
