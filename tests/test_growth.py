@@ -13,6 +13,7 @@ from marlstone.functions.quantiles import exact_quantiles
 from marlstone.operators import cep, graph, quality, search, windows
 from marlstone.operators import operations as op
 from marlstone.operators.compliance import match_names
+from marlstone.operators.joins import either_end_join
 
 
 def test_access_rules_travel_and_requests_stay(spark, tmp_path):
@@ -188,3 +189,12 @@ def test_triangles_make_no_row_per_path(spark):
         if all(frozenset(p) in links for p in itertools.combinations(t, 2)):
             want |= {i: want.get(i, 0) + 1 for i in t}
     assert {r["id"]: r["triangles"] for r in out.collect()} == want
+
+
+def test_either_end_join_reads_the_edges_once(spark, tmp_path):
+    spark.createDataFrame([(1, 2), (2, 1), (3, 3), (1, 2), (None, 2), (9, 9)], "src long, dst long").write.parquet(str(tmp_path / "e"))
+    groups = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "c"), (None, "d")], "member long, community string")
+    out = either_end_join(spark.read.parquet(str(tmp_path / "e")), groups, "src", "dst", "member")
+    want = {(1, 2, "a"), (1, 2, "b"), (2, 1, "a"), (2, 1, "b"), (3, 3, "c"), (None, 2, "a"), (None, 2, "b")}
+    assert out.columns == ["src", "dst", "community"] and sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    assert plan_of(out).count("FileScan") == 1
