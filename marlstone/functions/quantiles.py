@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.columns import null_safe_join
-from marlstone.session import written
 
 ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[str, float],
-                    accuracy: int = ACCURACY) -> DataFrame:
-    """One row per key with the linearly interpolated quantile ``probs[name]`` in each column ``name``."""
+                    accuracy: int = ACCURACY, few_keys: bool = False) -> DataFrame:
+    """One row per key with the linearly interpolated quantile ``probs[name]`` in each column ``name``.
+
+    ``few_keys`` says that the keys are few whatever the table, such as names of columns: their brackets are broadcast and no
+    row moves before the brackets have picked it.
+    """
     base = df.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     keyed = base if keys else base.withColumn("_all", F.lit(1))
     ks = keys or ["_all"]
@@ -34,8 +37,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict[s
         high = F.when(few | F.lit(cuts[2 * i + 1] >= 1), F.col("_max")).otherwise(F.col("_cuts")[2 * i + 1])
         brackets.append(F.struct(F.lit(n).alias("name"), low.alias("low"), high.alias("high"),
                                  (F.lit(float(probs[n])) * (F.col("_n") - 1)).alias("pos")))
-    # written, so that the join knows its size: a join by few keys would sort all rows in as many tasks
-    plan = written(sketch.select(*ks, F.array(*brackets).alias("_b")))
+    plan = sketch.select(*ks, F.array(*brackets).alias("_b"))
+    if few_keys or not keys:  # a join by few keys would sort all rows in as many tasks
+        plan = F.broadcast(plan)
     rows = (null_safe_join(keyed, plan, ks)
             .select(*ks, "_v", F.explode("_b").alias("_b"))
             .filter(F.col("_v") <= F.col("_b.high")))

@@ -53,7 +53,7 @@ def numeric_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     long = long_numeric(df, columns)
     s = long.groupBy("column_name").agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.avg("value").alias("mean"),
                                         F.stddev("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.countDistinct("value").alias("distinct"))
-    return s.join(exact_quantiles(long, ["column_name"], F.col("value"), {"q25": 0.25, "q50": 0.5, "q75": 0.75}), "column_name", "left")
+    return s.join(exact_quantiles(long, ["column_name"], F.col("value"), {"q25": 0.25, "q50": 0.5, "q75": 0.75}, few_keys=True), "column_name", "left")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:

@@ -68,7 +68,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     long = long_numeric(df, cols)
     stats = long.groupBy("column_name").agg(F.min("value").alias("min"), F.max("value").alias("max"),
                                             F.avg("value").alias("mean"), F.stddev("value").alias("stddev"))
-    q = exact_quantiles(long, ["column_name"], F.col("value"), {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q = exact_quantiles(long, ["column_name"], F.col("value"), {"q1": 0.25, "median": 0.5, "q3": 0.75}, few_keys=True)
     bounds = stats.join(q, "column_name")
     iqr = F.col("q3") - F.col("q1")
     out = (F.col("value") < F.col("q1") - 1.5 * iqr) | (F.col("value") > F.col("q3") + 1.5 * iqr)

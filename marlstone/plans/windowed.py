@@ -159,7 +159,7 @@ def _(t):
 @query("win21_latency_percentiles", "WIN21", """
 select event_type, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95, round(quantile_cont(value, 0.99), 6) p99 from events group by 1""")
 def _(t):
-    return rounded(exact_quantiles(t.events, ["event_type"], F.col("value"), {"p50": 0.5, "p95": 0.95, "p99": 0.99}), ["p50", "p95", "p99"])
+    return rounded(exact_quantiles(t.events, ["event_type"], F.col("value"), {"p50": 0.5, "p95": 0.95, "p99": 0.99}, few_keys=True), ["p50", "p95", "p99"])
 
 
 @query("win22_liquidation_features", "WIN22 RSK9", f"""
