@@ -16,6 +16,8 @@ from marlstone.session import cut_lineage, ship_package
 
 #: Bytes a task holds at a time, bytes of a digest block, blocks under one node of the digest tree.
 RANGE, BLOCK, FAN = 64 * 1024 * 1024, 1024 * 1024, 1024
+#: Schemes of the stores whose ranges Arrow reads.
+STORES = ("file", "hdfs", "s3", "s3a", "s3n", "gs", "abfs", "abfss")
 #: Most tasks of one pass.
 MAX_TASKS = 65_536
 
