@@ -19,6 +19,10 @@ ROWS = 4096
 RING = 1 / 32
 #: Pivots; with 65 rings each the bounds stay below 70,000 rows, whatever the table.
 MAX_PIVOTS = 1024
+#: Rows a task holds against all pivots or bounds, or sends on, at a time: its memory does not grow with their number.
+AT_ONCE = 512
+#: Meetings of queries and blocks a task sorts at a time.
+MEETINGS = 1 << 21
 #: Slack of distance bounds for rounding.
 SLACK = 1e-6
 
@@ -35,12 +39,18 @@ def _distances(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * unit @ pivots.T, 0))
 
 
+def _chunks(batches):
+    for pdf in batches:
+        for s in range(0, len(pdf), AT_ONCE):
+            yield pdf.iloc[s:s + AT_ONCE]
+
+
 def _in_cells(df: DataFrame, key: str, pivots: np.ndarray) -> DataFrame:
     """Adds the nearest pivot, the ring and the distance; unusable vectors drop out."""
     kind = df.schema[key].dataType.simpleString()
 
     def assign(batches):
-        for pdf in batches:
+        for pdf in _chunks(batches):
             unit, ok = _unit(pdf["vec"])
             if not ok.any():
                 continue
@@ -62,7 +72,7 @@ def _routed(queries: DataFrame, pivots: np.ndarray, bounds: pd.DataFrame, want:
     second = "worst" in queries.columns
 
     def route(batches):
-        for pdf in batches:
+        for pdf in _chunks(batches):
             unit, _ = _unit(pdf["vec"])
             d = _distances(unit, pivots)[:, cell]
             least = np.maximum(np.maximum(d - high, low - d), 0)
@@ -81,12 +91,24 @@ def _routed(queries: DataFrame, pivots: np.ndarray, bounds: pd.DataFrame, want:
     return queries.mapInPandas(route, "q long, vec array<double>, cell int, dist double, met array<int>" + (", worst double" if second else ""))
 
 
+def _by_meetings(batches):
+    """The rows in pieces that meet at most ``MEETINGS`` blocks in all, or of one row."""
+    for pdf in batches:
+        sent = pdf["met"].map(len).cumsum().to_numpy()
+        start = 0
+        while start < len(pdf):
+            done = sent[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sent, done + MEETINGS, "right")))
+            yield pdf.iloc[start:end]
+            start = end
+
+
 def _compared(routed: DataFrame, blocks: DataFrame, want: int, id_type: str) -> DataFrame:
     """The best ``want`` rows of every (query batch, block): (q, id, similarity), ties by id."""
     with_worst = "worst" in routed.columns
 
     def pack(batches):
-        for pdf in batches:
+        for pdf in _by_meetings(batches):
             at: dict[int, list[int]] = {}
             for i, met in enumerate(pdf["met"]):
                 for b in met:
