@@ -105,6 +105,49 @@ def test_blocks_against_removal(spark):
             assert got[i]["cyclic"] == (len(und.get(i, ())) > len(parts))  # two neighbours that stay connected without it
 
 
+@pytest.mark.parametrize("rest", [0, 4, g.REST])
+def test_blocks_of_rings_that_share_vertices(spark, monkeypatch, rest):
+    monkeypatch.setattr(g, "REST", rest)
+    rng, pairs, base = random.Random(rest), [(0, 1)], 2
+    for n in (3, 4, 5, 6, 9):  # rings alone, with a tail, two at one vertex, two joined by an edge
+        ring = lambda at: [(at + i, at + (i + 1) % n) for i in range(n)]
+        pairs += ring(base) + ring(base + n) + [(base + n, base + 2 * n), (base + 2 * n, base + 2 * n + 1)]
+        base += 2 * n + 2
+        pairs += ring(base) + [(base, base + n), *[(base + n + i, base + n + i + 1) for i in range(n)], (base + 2 * n, base)]
+        base += 2 * n + 1
+        pairs += ring(base) + ring(base + n) + [(base + 1, base + n + 1)]
+        base += 2 * n
+    name = rng.sample(range(base), base)
+    pairs = [(name[a], name[b]) for a, b in pairs]
+    und = {}
+    for a, b in pairs:
+        und.setdefault(a, set()).add(b)
+        und.setdefault(b, set()).add(a)
+    got = {r["id"]: r for r in g.block_counts(spark.range(base), spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    for i in range(base):
+        parts = {min(reach(und, x, banned=i)) for x in und[i]}
+        assert (got[i]["blocks"], got[i]["cyclic"]) == (len(parts), len(und[i]) > len(parts))
+
+
+def test_blocks_take_few_steps(spark, monkeypatch):
+    # a target drawn for every vertex: trees of all depths on a few cycles
+    rng, steps = random.Random(3), []
+    for name in ("written", "cut_lineage"):
+        monkeypatch.setattr(g, name, lambda df, keep=getattr(g, name): steps.append(1) or keep(df))
+    n = 400
+    pairs = [(str(i), str(rng.randrange(n))) for i in range(n)]
+    und = {}
+    for a, b in pairs:
+        if a != b:
+            und.setdefault(a, set()).add(b)
+            und.setdefault(b, set()).add(a)
+    got = {r["id"]: r for r in g.block_counts(spark.range(n).selectExpr("string(id) id"), spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    for i in und:
+        parts = {min(reach(und, x, banned=i)) for x in und[i]}
+        assert (got[i]["blocks"], got[i]["cyclic"]) == (len(parts), len(und[i]) > len(parts))
+    assert len(steps) < 16
+
+
 def test_communities_reach_a_good_partition(spark):
     ring = [(4 * i + a, 4 * i + b) for i in range(64) for a in range(4) for b in range(a)] + [(4 * i, (4 * i + 5) % 256) for i in range(64)]
     e = spark.createDataFrame(ring, "src long, dst long")
