@@ -59,9 +59,14 @@ def _size(spark: SparkSession, path: str) -> int:
 
 
 def compact(spark: SparkSession, path: str, target: str, target_bytes: int = TARGET_BYTES) -> int:
-    """Rewrite small files into about ``target_bytes`` each, at a new path; returns the file count asked for."""
+    """Rewrite small files into about ``target_bytes`` each, at a new path; returns the file count asked for.
+
+    A task reads the files it puts together as they are, without a shuffle; only files larger than the target are dealt out by rows.
+    """
     files = max(1, math.ceil(_size(spark, path) / target_bytes))
-    spark.read.parquet(path).repartition(files).write.mode("errorifexists").parquet(target)
+    rows = spark.read.parquet(path)
+    rows = rows.coalesce(files) if rows.rdd.getNumPartitions() >= files else rows.repartition(files)
+    rows.write.mode("errorifexists").parquet(target)
     return files
 
 

@@ -172,3 +172,17 @@ def test_parts_of_a_stream_are_written_by_many_tasks(spark):
     parts = {r["part"]: r for r in got.groupBy("part").agg(F.count_distinct("file").alias("files"), F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).collect()}
     assert [parts[p]["files"] for p in "012"] == [4, 4, 4] and sum(r["n"] for r in parts.values()) == 900
     assert parts["0"]["high"] < parts["1"]["low"] and parts["1"]["high"] < parts["2"]["low"]
+
+
+def test_compaction_puts_whole_files_together(spark, tmp_path):
+    from marlstone.sources.writers import _size, compact
+    a, b, c = (str(tmp_path / x) for x in "abc")
+    spark.range(4000).repartition(16).write.parquet(a)
+    before = {r["id"]: r["f"] for r in spark.read.parquet(a).select("id", F.input_file_name().alias("f")).collect()}
+    assert compact(spark, a, b, _size(spark, a) // 2 + 1) == 2
+    after = {r["id"]: r["f"] for r in spark.read.parquet(b).select("id", F.input_file_name().alias("f")).collect()}
+    assert after.keys() == before.keys() and len(set(after.values())) == 2
+    assert len({(before[i], after[i]) for i in before}) == len(set(before.values()))  # no file was dealt out by rows
+    assert compact(spark, b, c, _size(spark, b) // 9 + 1) == 9  # files larger than the target are
+    out = spark.read.parquet(c).select("id", F.input_file_name().alias("f")).collect()
+    assert {r["id"] for r in out} == before.keys() and len({r["f"] for r in out}) == 9
