@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.columns import micros
 from marlstone.operators.cep import Pattern
+from marlstone.session import ship_package
 
 #: How far events may be out of order.
 LATENESS = {"activity": "5 seconds", "pattern": "10 seconds"}
@@ -190,57 +191,88 @@ def silences(stream: DataFrame, key: str, ts: str, limit_seconds: float, waterma
     return rows.groupBy(key).applyInPandasWithState(update, f"{key} {t[key]}, last_us long", "last long", "append", "EventTimeTimeout")
 
 
-def _complete(us: list, flags: list, start: int, pattern: Pattern) -> int:
-    """Position of the row that completes a match from ``start``, or -1."""
+def _completed(us, flags, starts, pattern: Pattern):
+    """What the matches begun so far come to over more rows of a key, in order: the places in ``starts`` of the done ones and the rows
+    that complete them, then the places of the ones still open and the unit each waits for.
+
+    ``us`` and ``flags`` (a mask per step) belong to the rows, ``starts`` holds (time, row it stands at or -1, next unit). An open match
+    has seen all these rows; one whose time is over is in neither list.
+    """
     units = [(k, (s.strict and j == 0) or (s.consecutive and j > 0)) for k, s in enumerate(pattern.steps) for j in range(s.times)]
-    at, limit = start, us[start] + int(pattern.within * 1_000_000)
-    for k, strict in units[1:]:
-        at += 1
-        if not strict:
-            while at < len(us) and us[at] < limit and not flags[at][k]:
-                at += 1
-        if at >= len(us) or us[at] >= limit or not flags[at][k]:
-            return -1
-    return at
+    since, at, unit = starts
+    at, alive, waits = at.copy(), np.ones(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
+    for u in range(1, len(units)):
+        k, strict = units[u]
+        here = np.flatnonzero(alive & ~waits & (unit <= u))
+        if strict:
+            following = at[here] + 1
+        else:
+            hits = np.append(np.flatnonzero(flags[k]), len(us))
+            following = hits[np.searchsorted(hits, at[here], "right")]
+        there = following < len(us)
+        waits[here[~there]], unit[here[~there]] = True, u
+        here, following = here[there], following[there]
+        alive[here] = flags[k][following] & (us[following] < since[here] + int(pattern.within * 1_000_000))
+        at[here] = following
+    done, still = np.flatnonzero(alive & ~waits), np.flatnonzero(waits)
+    return done, at[done], still, unit[still]
 
 
 def pattern_stream(stream: DataFrame, key: str, ts: str, ident: str, pattern: Pattern, watermark: str = "10 seconds") -> DataFrame:
     """Matches of a pattern per key, the same as in a batch, once the watermark has passed their last row.
 
-    The conditions run as Spark expressions; the state keeps (time, id, which conditions hold) of the rows that the
-    watermark has not passed or that may still begin or extend a match. Late rows inside the watermark take their
-    place by time; a timer settles or clears the rows of a key that gets no more.
+    The conditions run as Spark expressions. The state of a key is (time, id, next unit) of the matches that have begun and may still be
+    completed, and (time, id, which conditions hold) of the rows that the watermark has not passed, packed in arrays: a row that it has
+    passed is looked at once and forgotten. Late rows inside the watermark take their place by time; a timer settles or clears the rows
+    of a key that gets no more. A task holds the rows that one key has in a micro-batch, some 20 bytes each.
     """
+    ship_package(stream.sparkSession)
     t = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    marks = F.array(*[F.coalesce(F.expr(s.when), F.lit(False)) for s in pattern.steps])
-    rows = timed(stream, ts, watermark).select(key, ts, micros(ts).alias("_us"), F.col(ident).alias("_id"), marks.alias("_m"))
-    within = int(pattern.within * 1_000_000)
+    marks = [f"_m{i}" for i in range(len(pattern.steps))]
+    rows = timed(stream, ts, watermark).select(key, ts, micros(ts).alias("_us"), F.col(ident).alias("_id"),
+                                               *[F.coalesce(F.expr(s.when), F.lit(False)).alias(m) for s, m in zip(pattern.steps, marks)])
+    within, names = int(pattern.within * 1_000_000), [key, "start_id", "start_us", "end_id", "end_us"]
+    every = any(s.strict or (s.consecutive and s.times > 1) for s in pattern.steps)  # else rows that meet no condition count for nothing
 
     def update(k, batches, state):
-        text, before = state.get if state.exists else ("[]", -1)
-        old = json.loads(text)
-        known = {(r[0], r[1]) for r in old}
-        new = [] if state.hasTimedOut else [[int(u), int(i), [bool(x) for x in m]] for p in batches for u, i, m in zip(p["_us"], p["_id"], p["_m"])]
-        held = sorted([*old, *[r for r in new if (r[0], r[1]) not in known]], key=lambda r: (r[0], r[1]))
+        us, ids, masks, since, begun, unit = (np.frombuffer(bytes(x), dtype="?" if i == 2 else "<i8") for i, x in enumerate(state.get if state.exists else [b""] * 6))
+        held, masks = len(us), masks.reshape(len(marks), -1)
+        parts = [(us, ids, masks)]
+        for p in () if state.hasTimedOut else batches:
+            m = np.stack([p[c].to_numpy(dtype=bool) for c in marks])
+            some = np.full(len(p), True) if every else m.any(axis=0)
+            parts.append((p["_us"][some].astype("int64").to_numpy(), p["_id"][some].astype("int64").to_numpy(), m[:, some]))
+        us, ids, masks = (np.concatenate(c, axis=-1) for c in zip(*parts))
+        del parts
+        order = np.lexsort((ids, us))
+        us, ids, masks = us[order], ids[order], masks[:, order]
+        if len(us):  # a row that is held already has come again
+            first = np.flatnonzero(np.append(True, (us[1:] != us[:-1]) | (ids[1:] != ids[:-1])))
+            seen = np.repeat(order[first] < held, np.diff(np.append(first, len(us))))
+            fresh = (order < held) | ~seen
+            us, ids, masks = us[fresh], ids[fresh], masks[:, fresh]
         mark = state.getCurrentWatermarkMs()
         passed = mark * 1000
-        settled = [r for r in held if r[0] <= passed]
-        us, flags = [r[0] for r in settled], [r[2] for r in settled]
-        out = []
-        for i, f in enumerate(flags):
-            if f[0]:
-                j = _complete(us, flags, i, pattern)
-                if j >= 0 and us[j] > before:
-                    out.append((k[0], settled[i][1], us[i], settled[j][1], us[j]))
-        kept = [r for r in held if r[0] + within > passed]
-        if kept:
-            state.update((json.dumps(kept), passed))
-            ahead = [r[0] for r in kept if r[0] > passed]
-            due = ahead[0] if ahead else kept[-1][0] + within
+        n = int(np.searchsorted(us, passed, "right"))
+        new = np.flatnonzero(masks[0, :n])
+        since, begun = np.concatenate([since, us[new]]), np.concatenate([begun, ids[new]])
+        at, unit = np.concatenate([np.full(len(unit), -1), new]), np.concatenate([unit, np.ones(len(new), dtype="int64")])
+        done, end, still, unit = _completed(us[:n], masks[:, :n], (since, at, unit), pattern)
+        for s in range(0, len(done), 1 << 16):
+            d, e = done[s:s + (1 << 16)], end[s:s + (1 << 16)]
+            yield pd.DataFrame(dict(zip(names, ([k[0]] * len(d), begun[d], since[d], ids[e], us[e]))))
+        more = since[still] + within > passed
+        since, begun, unit = since[still][more], begun[still][more], unit[more]
+        us, ids, masks = us[n:], ids[n:], masks[:, n:]
+        if len(us) or len(since):
+            state.update(tuple(a.astype(a.dtype.newbyteorder("<")).tobytes() for a in (us, ids, masks, since, begun, unit)))
+            due = int(us[0]) if len(us) else int(since.max()) + within
             state.setTimeoutTimestamp(max(due // 1000 + 1, mark + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=[key, "start_id", "start_us", "end_id", "end_us"])
+        if not len(done):
+            yield pd.DataFrame([], columns=names)
 
     return rows.groupBy(key).applyInPandasWithState(
-        update, f"{key} {t[key]}, start_id {t[ident]}, start_us long, end_id {t[ident]}, end_us long", "rows string, passed long", "append", "EventTimeTimeout")
+        update, f"{key} {t[key]}, start_id {t[ident]}, start_us long, end_id {t[ident]}, end_us long",
+        "us binary, id binary, masks binary, since binary, begun binary, unit binary", "append", "EventTimeTimeout")

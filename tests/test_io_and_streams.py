@@ -186,3 +186,28 @@ def test_compaction_puts_whole_files_together(spark, tmp_path):
     assert compact(spark, b, c, _size(spark, b) // 9 + 1) == 9  # files larger than the target are
     out = spark.read.parquet(c).select("id", F.input_file_name().alias("f")).collect()
     assert {r["id"] for r in out} == before.keys() and len({r["f"] for r in out}) == 9
+
+
+def test_pattern_stream_keeps_little_of_a_busy_key(spark):
+    """The state of a key holds matches still open and rows ahead of the watermark, not the rows of the pattern's time; a batch agrees."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    n, seen = 3000, []
+    patterns = [Pattern("loose", "low", 900, (Step("x = 1.0"), Step("x = 2.0", 3))), Pattern("strict", "low", 900, (Step("x = 1.0", 2, True), Step("x = 2.0", strict=True), Step("x = 0.0", 2)))]
+    times, kinds = np.sort(rng.integers(0, n // 2, n)), rng.choice([0.0, 1.0, 2.0], n)
+    rows = [(i, "k" if i % 5 else "z", int(s), float(x)) for i, (s, x) in enumerate(zip(times, kinds))]
+    rows[-300:-200] = [(i, "k", s, 0.0) for i, _, s, _ in rows[-300:-200]]
+    path = scratch(spark, "in")
+    for c in range(6):
+        part(spark, path, c, rows[c * n // 6:(c + 1) * n // 6] + ([(n, "end", 4 * n, 0.0)] if c == 5 else []))
+    s = file_stream(spark, path + "/*", SCHEMA, max_files=1)
+    every = spark.createDataFrame([(i, k, T0 + timedelta(seconds=s), x) for i, k, s, x in rows], SCHEMA)
+    for p in patterns:
+        state = scratch(spark, "state")
+        got = sorted((r["k"], r["start_id"], r["start_us"], r["end_id"], r["end_us"]) for r in collected(jobs.pattern_stream(s, "k", "ts", "id", p), checkpoint=state).collect())
+        want = sorted((r["k"], r["start_id"], r["start_us"], r["end_id"], r["end_us"]) for r in match_pattern(every, ["k"], "ts", "id", p).collect())
+        assert got == want and len(got) > 50
+        held = spark.read.format("statestore").option("batchId", 5).load(state)
+        seen.append(held.selectExpr("key.k", "length(to_json(value)) size").groupBy("k").agg({"size": "max"}).collect())
+    # 500 rows a file lie ahead of the watermark, and 1800 lie within the time; a row had some 30 letters
+    assert all(r[1] < 30_000 for rows in seen for r in rows)
