@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +13,10 @@ from marlstone.session import cut_lineage, ship_package
 
 #: Vectors of one block; a block of 64 doubles each is 2 MB.
 BLOCK = 4096
-#: Rows of a block the bounds speak of: neighbouring rings of a pivot are joined until they hold as many. A query is sent once per
-#: block it meets, so where nothing can be ruled out the shuffle is the square of the rows over this number.
+#: Rows of a block the bounds speak of: neighbouring rings of a pivot are joined until they hold as many.
 ROWS = 4096
+#: Bytes of vectors a task holds at a time, to meet batches of queries with.
+HELD = 1 << 26
 #: Width of a ring of distances around a pivot; distances of unit vectors are at most 2.
 RING = 1 / 32
 #: Pivots; with 65 rings each the bounds stay below 70,000 rows, whatever the table.
@@ -63,10 +65,8 @@ def _in_cells(df: DataFrame, key: str, pivots: np.ndarray) -> DataFrame:
 
 
 def _routed(queries: DataFrame, pivots: np.ndarray, bounds: pd.DataFrame, want: int) -> DataFrame:
-    """Places in ``bounds`` of the blocks a query has to meet, nearest first, as ``met``.
-
-    Without ``worst`` (similarity of the last neighbour found so far) these are the nearest blocks that hold ``want`` rows;
-    with it, all other blocks whose lower distance bound is within that neighbour's distance.
+    """Places in ``bounds`` of the nearest blocks that hold ``want`` rows, as ``met``; with ``worst`` (similarity of the last
+    neighbour found there) also the number of the other blocks whose lower distance bound is within that neighbour's distance, as ``more``.
     """
     cell, n, low, high = (bounds[c].to_numpy() for c in ("cell", "n", "low", "high"))
     second = "worst" in queries.columns
@@ -79,16 +79,19 @@ def _routed(queries: DataFrame, pivots: np.ndarray, bounds: pd.DataFrame, want:
             met = []
             for i in range(len(pdf)):
                 order = np.lexsort((d[i], least[i]))
-                first = order[:np.searchsorted(n[order].cumsum(), want) + 1]
-                if second:
-                    worst = pdf["worst"].iat[i]
-                    reach = np.sqrt(max(2 - 2 * worst, 0)) if worst == worst else np.inf
-                    order = order[len(first):]
-                    first = order[least[i][order] <= reach + SLACK]
-                met.append(first.astype("int32"))
-            yield pdf.assign(met=met)[["q", "vec", "cell", "dist", "met"] + (["worst"] if second else [])]
+                met.append(order[:np.searchsorted(n[order].cumsum(), want) + 1].astype("int32"))
+            out = pdf.assign(met=met)
+            if second:
+                near = least <= _reach(pdf["worst"].to_numpy(dtype=float))[:, None]
+                out["more"] = np.array([near[i].sum() - near[i][first].sum() for i, first in enumerate(met)], dtype="int32")
+            yield out[["q", "vec", "cell", "dist", "met"] + (["worst", "more"] if second else [])]
+
+    return queries.mapInPandas(route, "q long, vec array<double>, cell int, dist double, met array<int>" + (", worst double, more int" if second else ""))
+
 
-    return queries.mapInPandas(route, "q long, vec array<double>, cell int, dist double, met array<int>" + (", worst double" if second else ""))
+def _reach(worst: np.ndarray) -> np.ndarray:
+    """Distance within which blocks can hold more similar rows than the worst so far (not a number: there are too few)."""
+    return np.where(np.isnan(worst), np.inf, np.sqrt(np.maximum(2 - 2 * worst, 0)) + SLACK)
 
 
 def _by_meetings(batches):
@@ -104,8 +107,8 @@ def _by_meetings(batches):
 
 
 def _compared(routed: DataFrame, blocks: DataFrame, want: int, id_type: str) -> DataFrame:
-    """The best ``want`` rows of every (query batch, block): (q, id, similarity), ties by id."""
-    with_worst = "worst" in routed.columns
+    """The best ``want`` rows of every block a query is routed to: (q, id, similarity), ties by id. A query is sent once per block, so
+    these are to be few."""
 
     def pack(batches):
         for pdf in _by_meetings(batches):
@@ -113,27 +116,26 @@ def _compared(routed: DataFrame, blocks: DataFrame, want: int, id_type: str) ->
             for i, met in enumerate(pdf["met"]):
                 for b in met:
                     at.setdefault(int(b), []).append(i)
-            floor = pdf["worst"].fillna(-2.0).to_numpy() if with_worst else np.full(len(pdf), -2.0)
             q, v = pdf["q"].to_numpy(), pdf["vec"].to_numpy()
             for b, rows in at.items():
                 for s in range(0, len(rows), BLOCK):
                     r = rows[s:s + BLOCK]
-                    yield pd.DataFrame({"block": np.array([b], dtype="int32"), "qs": [q[r]], "floors": [floor[r]], "qvecs": [np.concatenate(list(v[r]))]})
+                    yield pd.DataFrame({"block": np.array([b], dtype="int32"), "qs": [q[r]], "qvecs": [np.concatenate(list(v[r]))]})
 
     # queries of one neighbourhood travel together, so that a batch meets few blocks
     near = routed.repartitionByRange("cell", "dist").sortWithinPartitions("cell", "dist")
-    packed = near.mapInPandas(pack, "block int, qs array<long>, floors array<double>, qvecs array<double>")
+    packed = near.mapInPandas(pack, "block int, qs array<long>, qvecs array<double>")
 
     def search(batches):
         for pdf in batches:
-            for ids, dv, qs, floors, qv in zip(pdf["ids"], pdf["vecs"], pdf["qs"], pdf["floors"], pdf["qvecs"]):
+            for ids, dv, qs, qv in zip(pdf["ids"], pdf["vecs"], pdf["qs"], pdf["qvecs"]):
                 x, y = dv.reshape(len(ids), -1), qv.reshape(len(qs), -1)
                 nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
                 keep = min(want, len(ids))
                 for s in range(0, len(qs), 64):
                     part = slice(s, s + 64)
                     sims = (y[part] @ x.T) / np.outer(ny[part], nx)
-                    least = np.maximum(-np.partition(-sims, keep - 1, axis=1)[:, keep - 1], floors[part])
+                    least = -np.partition(-sims, keep - 1, axis=1)[:, keep - 1]
                     r, c = np.nonzero(sims >= least[:, None] - SLACK * SLACK)
                     # one product per pair, the same in every block: equal vectors tie exactly
                     exact = np.concatenate([(y[part][r[i:i + BLOCK]] * x[c[i:i + BLOCK]]).sum(axis=1) for i in range(0, len(r), BLOCK)] or [np.zeros(0)])
@@ -144,7 +146,116 @@ def _compared(routed: DataFrame, blocks: DataFrame, want: int, id_type: str) ->
                     top = place < keep
                     yield pd.DataFrame({"q": qs[part][r[top]], "id": pd.Series([ids[i] for i in c[top]], dtype=object), "similarity": exact[top]})
 
-    return packed.join(blocks.hint("merge"), "block").select("ids", "vecs", "qs", "floors", "qvecs").mapInPandas(search, f"q long, id {id_type}, similarity double")
+    return packed.join(blocks.hint("merge"), "block").select("ids", "vecs", "qs", "qvecs").mapInPandas(search, f"q long, id {id_type}, similarity double")
+
+
+class _Batch:
+    """Queries that meet block after block: the floor of each rises with the best rows found."""
+
+    def __init__(self, row: dict, want: int):
+        self.qs, self.met = (row[c].values.to_numpy(zero_copy_only=False) for c in ("qs", "worsts"))
+        self.vecs = row["qvecs"].values.to_numpy(zero_copy_only=False).reshape(len(self.qs), -1)
+        self.reach, self.floor = _reach(self.met), np.where(np.isnan(self.met), -2.0, self.met)
+        self.norm = np.linalg.norm(self.vecs, axis=1)
+        unit = self.vecs / self.norm[:, None]
+        self.unit, self.single = unit, unit.astype("float32")
+        first = row["firsts"].values
+        self.first = np.repeat(np.arange(len(self.qs)), first.value_lengths().to_numpy(zero_copy_only=False)), first.flatten().to_numpy(zero_copy_only=False)
+        self.want, self.best, self.hits = want, np.full((len(self.qs), want), -2.0), []
+
+    def meet(self, block: int, bound, ids: pa.Array, x: np.ndarray) -> None:
+        """Takes the rows of a block that may be among the best of a query that the bound cannot keep away from it."""
+        pivot, low, high = bound
+        d = np.sqrt(np.maximum(2 - 2 * self.unit @ pivot, 0))
+        near = np.maximum(np.maximum(d - high, low - d), 0) <= self.reach
+        near[self.first[0][self.first[1] == block]] = False
+        asks = np.flatnonzero(near)
+        if not len(asks):
+            return
+        norm, keep = np.linalg.norm(x, axis=1), min(self.want, len(ids))
+        single = (x / norm[:, None]).astype("float32").T
+        # products of single precision name the candidates; what they may be off by is left to them
+        off = (x.shape[1] + 8) * 2.0 ** -23
+        for s in range(0, len(asks), AT_ONCE):
+            rows = asks[s:s + AT_ONCE]
+            sims = self.single[rows] @ single
+            least = (self.floor[rows] - off).astype("float32") - np.float32(off)
+            some = sims >= least[:, None]
+            many = np.flatnonzero(some.sum(axis=1) > 4 * keep + 64)
+            if len(many):
+                best = -np.partition(-sims[many], keep - 1, axis=1)[:, keep - 1]
+                some[many] &= sims[many] >= (best - np.float32(3 * off))[:, None]
+            r, c = np.nonzero(some)
+            r = rows[r]
+            # one product per pair, the same in every block: equal vectors tie exactly
+            exact = np.concatenate([(self.vecs[r[i:i + BLOCK]] * x[c[i:i + BLOCK]]).sum(axis=1) for i in range(0, len(r), BLOCK)] or [np.zeros(0)])
+            exact = exact / (self.norm[r] * norm[c])
+            good = exact >= self.floor[r] - SLACK * SLACK
+            r, c, exact = r[good], c[good], exact[good]
+            if not len(r):
+                continue
+            order = np.lexsort((c, -exact, r))  # ids of a block are in order
+            r, c, exact = r[order], c[order], exact[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            top = place < keep
+            r, c, exact, place = r[top], c[top], exact[top], place[top]
+            self.hits.append((r, exact, ids.take(pa.array(c))))
+            who, at = np.unique(r, return_inverse=True)
+            new = np.full((len(who), keep), -2.0)
+            new[at, place] = exact
+            best = np.concatenate([self.best[who], new], axis=1)
+            self.best[who] = -np.partition(-best, self.want - 1, axis=1)[:, :self.want]
+            self.floor[who] = np.maximum(self.floor[who], self.best[who].min(axis=1))
+
+    def found(self):
+        for r, exact, ids in self.hits:
+            good = exact >= self.floor[r] - SLACK * SLACK
+            if good.any():
+                yield pa.RecordBatch.from_arrays([pa.array(self.qs[r[good]]), ids.filter(pa.array(good)), pa.array(exact[good])], ["q", "id", "similarity"])
+
+
+def _beyond(routed: DataFrame, blocks: DataFrame, pivots: np.ndarray, bounds: pd.DataFrame, want: int, id_type: str) -> DataFrame:
+    """Of the blocks within reach of a query, but for the nearest it has met, the rows that may be among its best: (q, id, similarity).
+
+    Every task meets some batches of queries with some blocks, read again from shared storage, so nothing is sent once per query and block.
+    It gives out ``want`` rows a query, more only where rows of several blocks tie.
+    """
+    asking = routed.filter("more > 0")
+    n, rows, width = asking.count(), int(bounds["n"].sum()), 8 * max(1, pivots.shape[1])
+    cores = routed.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // (4 * BLOCK)), min(2 * cores, -(-n // AT_ONCE)))
+
+    def pack(batches):
+        for b in batches:
+            step = -(-b.num_rows // max(1, -(-b.num_rows // BLOCK)))
+            for s in range(0, b.num_rows, max(1, step)):
+                part = b.slice(s, step)
+                one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], "int32"), v)
+                yield pa.RecordBatch.from_arrays([one(part.column("q")), one(part.column("worst").fill_null(float("nan"))), one(part.column("met")), one(part.column("vec").flatten())],
+                                                 ["qs", "worsts", "firsts", "qvecs"])
+
+    # queries of one neighbourhood travel together, so that a batch meets few blocks
+    near = asking.repartitionByRange(parts, "cell", "dist").sortWithinPartitions("cell", "dist").select("q", "worst", "met", "vec")
+    packed = cut_lineage(near.mapInArrow(pack, "qs array<long>, worsts array<double>, firsts array<array<int>>, qvecs array<double>").withColumn("batch", F.monotonically_increasing_id()))
+    held = cut_lineage(blocks.repartition(max(1, -(-rows * width // HELD))))
+    cell, low, high = (bounds[c].to_numpy() for c in ("cell", "low", "high"))
+
+    def search(batches):
+        batch = number = None
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i] for c in b.schema.names}
+                if row["batch"].as_py() != number:
+                    if batch:
+                        yield from batch.found()
+                    batch, number = _Batch(row, want), row["batch"].as_py()
+                k, ids = row["block"].as_py(), row["ids"].values
+                batch.meet(k, (pivots[cell[k]], low[k], high[k]), ids, row["vecs"].values.to_numpy(zero_copy_only=False).reshape(len(ids), -1))
+        if batch:
+            yield from batch.found()
+
+    met = packed.join(held.hint("shuffle_replicate_nl"))
+    return met.mapInArrow(search, f"q long, id {id_type}, similarity double")
 
 
 def knn_by_pivots(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "id", doc_vec: str = "vec", query_id: str = "id", query_vec: str = "vec",
@@ -194,11 +305,10 @@ def knn_by_pivots(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "id
     first = cut_lineage(ranked_top(_compared(start, blocks, want, id_type), ["q"], [F.col("similarity").desc(), F.col("id")], want))
     worst = first.filter(F.col("rank") == want).select("q", F.col("similarity").alias("worst"))
     rest = cut_lineage(_routed(located.join(worst, "q", "left"), pivots, bounds, want))
-    found = first.drop("rank").unionByName(_compared(rest, blocks, want, id_type))
-    best = ranked_top(found, ["q"], [F.col("similarity").desc(), F.col("id")], want).drop("rank")
-    effort = start.select("q", F.size("met").alias("a")).join(rest.select("q", F.size("met").alias("b")), "q").select("q", (F.col("a") + F.col("b")).alias("blocks"))
-    answers = distinct.join(effort, "q").join(best, "q").select(F.col("vec").alias("qvec"), "id", "similarity", "blocks")
-    pairs = ask.join(answers, "qvec").select("query", "id", "similarity", "blocks")
+    found = first.drop("rank").unionByName(_beyond(rest, blocks, pivots, bounds, want, id_type))
+    best = ranked_top(found, ["q"], [F.col("similarity").desc(), F.col("id")], want).groupBy("q").agg(F.collect_list(F.struct("id", "similarity")).alias("best"))
+    answers = rest.select("q", F.col("vec").alias("qvec"), (F.size("met") + F.col("more")).alias("blocks")).join(best, "q").drop("q")
+    pairs = ask.join(answers, "qvec").select("query", "blocks", F.inline("best"))
     if exclude_self:
         pairs = pairs.filter(~F.col("query").eqNullSafe(F.col("id")) | F.col("query").isNull())
     return ranked_top(pairs, ["query"], [F.col("similarity").desc(), F.col("id")], k).select("query", "id", "similarity", "rank", "blocks")

@@ -81,3 +81,18 @@ def test_queries_are_routed_a_few_at_a_time(monkeypatch):
     assert [len(p) for p in neighbours._chunks([pdf])] == [4, 4, 3]
     pieces = [list(p["q"]) for p in neighbours._by_meetings([pdf])]
     assert sum(pieces, []) == list(range(11)) and all(len(p) == 1 or sum(len(pdf["met"][q]) for q in p) <= 10 for p in pieces)
+
+
+def test_spread_vectors_are_not_sent_to_every_block(spark, monkeypatch):
+    """Where bounds rule nothing out, a query was shuffled once per block: the square of the rows over a block's."""
+    for name, value in {"BLOCK": 16, "ROWS": 24, "AT_ONCE": 32, "HELD": 8 * 6 * 60}.items():
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 6)))] + [(300 + i, [float(i % 6 == j) for j in range(6)]) for i in range(60)]
+    rows += [(360 + i, [0.0] * j + [1.0, 1.0] + [0.0] * (4 - j)) for i, j in enumerate([0, 1, 2, 3, 4] * 3)]
+    d = spark.createDataFrame(rows, DOCS)
+    sent, compared = [], neighbours._compared
+    monkeypatch.setattr(neighbours, "_compared", lambda routed, *a: sent.append(routed.agg(F.sum(F.size("met"))).first()[0]) or compared(routed, *a))
+    got = neighbours.knn_by_pivots(d, d, 5, exclude_self=True, n_pivots=4)
+    assert ranked(got) == brute(rows, rows, 5, True)
+    assert got.agg(F.avg("blocks")).first()[0] > 8 and sum(sent) < 3 * len(rows)
