@@ -126,6 +126,16 @@ def test_runs_meet_in_blocks(spark, monkeypatch, runs, piece):
     assert got == want and any(w[1] is None for w in want.values())
 
 
+def test_runs_are_not_kept_once_per_block(spark, monkeypatch):
+    """Every run was shuffled once per block of runs."""
+    monkeypatch.setattr(graph, "RUNS", 4)
+    params, series = [(r, f"i{r % 3}") for r in range(48)], [(r, i, float(r * i % 7)) for r in range(48) for i in range(5)]
+    out = graph.run_similarity(spark.createDataFrame(params, "run long, item string"), spark.createDataFrame(series, "run long, i int, x double"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Generate" not in plan
+    assert sorted((r["a"], r["b"]) for r in out.collect()) == [(a, b) for a in range(48) for b in range(a + 1, 48) if a % 3 == b % 3]
+
+
 def test_vector_blocks_meet_in_groups(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 16)
     rng = np.random.default_rng(2)
