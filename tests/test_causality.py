@@ -86,3 +86,29 @@ def test_short_series_are_solved_where_they_meet(spark, monkeypatch, tile, value
                 assert r["points"] == n and r["f_statistic"] == pytest.approx(f, rel=1e-6, abs=1e-9)
     only = {(r["cause"], r["effect"], r["lag"]) for r in ts.granger(df, "e", "h", "v", max_lag=2, significant_only=True).collect()}
     assert only == {k for k, r in got.items() if r["significant"]}
+
+
+@pytest.mark.parametrize("name", ["lagged_partial_correlations"])
+def test_significant_pairs_are_found_among_few(spark, monkeypatch, name):
+    """Every pair was measured whole, and blocks were shuffled once per block they meet."""
+    x = panel(60, 12, seed=4, missing=0.1)
+    x[:, 50], x[:, 51], x[:, 52] = 7.0, x[:, 3] * -2, x[:, 4] + 1e-7 * np.arange(12)
+    x[:, 53], x[:, 54], x[4:, 55] = x[:, 5] * 1e9, x[:, 6] * 1e-9, np.nan
+    df, op = frame(spark, x), getattr(ts, name)
+    columns = ["cause", "effect", "lag", "f_statistic", "points"] if name == "granger" else ["cause", "effect", "lag", "strength"]
+    only = op(df, "e", "h", "v", max_lag=1, significant_only=True)
+    plan = only._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Generate" not in plan
+    got = sorted(map(tuple, only.select(columns).collect()))
+    every = op(df, "e", "h", "v", max_lag=1)
+    assert got == sorted(map(tuple, every.filter("significant").select(columns).collect())) and 100 < len(got) < every.count() / 3
+    seen, found = [], ts._candidates
+    monkeypatch.setattr(ts, "_candidates", lambda *a: seen.append(found(*a)) or seen[-1])
+    both = (ts._lagged(np.vstack([np.full(60, np.nan), x - np.nanmean(x, axis=0)])[:, s], 12, 1) for s in (slice(30), slice(30, 60)))
+    a, b = both
+    limits = []
+    monkeypatch.setattr(ts, "_pair_rows", lambda *args: limits.append(args[7:]) or df)
+    op(df, "e", "h", "v", max_lag=1, significant_only=True)
+    measure, _, limit = limits[0]
+    n, cov = ts._pair_covariances(ts._products(*a, *b, np.triu_indices(2)), 30, 30, 1)
+    assert sum(len(r[2]) for r in ts._measured(n, cov, False, 1, measure, True, limit)) <= sum(s.sum() for s in seen) < 900
