@@ -88,7 +88,7 @@ def test_short_series_are_solved_where_they_meet(spark, monkeypatch, tile, value
     assert only == {k for k, r in got.items() if r["significant"]}
 
 
-@pytest.mark.parametrize("name", ["lagged_partial_correlations"])
+@pytest.mark.parametrize("name", ["granger", "lagged_partial_correlations"])
 def test_significant_pairs_are_found_among_few(spark, monkeypatch, name):
     """Every pair was measured whole, and blocks were shuffled once per block they meet."""
     x = panel(60, 12, seed=4, missing=0.1)
