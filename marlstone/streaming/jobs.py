@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -232,16 +233,16 @@ def pattern_stream(stream: DataFrame, key: str, ts: str, ident: str, pattern: Pa
     rows = timed(stream, ts, watermark).select(key, ts, micros(ts).alias("_us"), F.col(ident).alias("_id"),
                                                *[F.coalesce(F.expr(s.when), F.lit(False)).alias(m) for s, m in zip(pattern.steps, marks)])
     within, names = int(pattern.within * 1_000_000), [key, "start_id", "start_us", "end_id", "end_us"]
-    every = any(s.strict or (s.consecutive and s.times > 1) for s in pattern.steps)  # else rows that meet no condition count for nothing
+    if not any(s.strict or (s.consecutive and s.times > 1) for s in pattern.steps):
+        # rows that meet no condition count for nothing; as it asks for the time, too, this filter stays behind the watermark
+        rows = rows.filter(reduce(Column.__or__, [F.col(m) for m in marks]) | F.col(ts).isNull())
 
     def update(k, batches, state):
         us, ids, masks, since, begun, unit = (np.frombuffer(bytes(x), dtype="?" if i == 2 else "<i8") for i, x in enumerate(state.get if state.exists else [b""] * 6))
         held, masks = len(us), masks.reshape(len(marks), -1)
         parts = [(us, ids, masks)]
         for p in () if state.hasTimedOut else batches:
-            m = np.stack([p[c].to_numpy(dtype=bool) for c in marks])
-            some = np.full(len(p), True) if every else m.any(axis=0)
-            parts.append((p["_us"][some].astype("int64").to_numpy(), p["_id"][some].astype("int64").to_numpy(), m[:, some]))
+            parts.append((p["_us"].astype("int64").to_numpy(), p["_id"].astype("int64").to_numpy(), np.stack([p[c].to_numpy(dtype=bool) for c in marks])))
         us, ids, masks = (np.concatenate(c, axis=-1) for c in zip(*parts))
         del parts
         order = np.lexsort((ids, us))
